@@ -47,7 +47,7 @@ VIEWS = {
     "condition_occurrence": """SELECT o_custkey AS person_id, 4000000 + o_orderkey % 25 AS condition_concept_id, 4100000 + o_orderkey % 25 AS condition_source_concept_id,
       substr('KNIB', CAST(1 + o_orderkey % 4 AS INTEGER), 1) || lpad(CAST(o_orderkey % 100 AS VARCHAR), 2, '0') AS condition_source_value,
       CAST(o_orderdate AS DATE) AS condition_start_date, o_orderkey AS visit_occurrence_id FROM orders""",
-    "measurement": f"""SELECT o_custkey AS person_id, CASE l_suppkey % 5 {_LAB} END AS measurement_concept_id, ship AS measurement_date,
+    "measurement": f"""SELECT o_custkey AS person_id, CAST(CASE l_suppkey % 5 {_LAB} END AS BIGINT) AS measurement_concept_id, ship AS measurement_date,
       CASE WHEN l_partkey % 97 <> 0 THEN CASE WHEN l_suppkey % 5 = 4 THEN l_quantity / 25 ELSE l_quantity END END AS value_as_number,
       8700 + l_suppkey % 3 AS unit_concept_id, CASE WHEN l_linenumber = 5 THEN 2.0::DOUBLE ELSE 10.0::DOUBLE END AS range_low,
       CASE l_linenumber WHEN 7 THEN NULL WHEN 6 THEN 0.0::DOUBLE WHEN 5 THEN 8.0::DOUBLE ELSE 30.0::DOUBLE END AS range_high, l_orderkey AS visit_occurrence_id FROM linez""",

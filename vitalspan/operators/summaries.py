@@ -87,9 +87,12 @@ def discrete_percentiles(values: DataFrame, keys: list[str], value: str, quantil
           for n, q in quantiles.items()])
 
 
-def middle_value(values: DataFrame, keys: list[str], value: str, alias: str) -> DataFrame:
-    """Interpolating median from grouped values (mean of the two middle ones)."""
-    counts = value_counts(values.filter(F.col(value).isNotNull()), keys, value)
+def middle_value(values: DataFrame, keys: list[str], value: str, alias: str, weight: str | None = None) -> DataFrame:
+    """Interpolating median from grouped values (mean of the two middle ones).
+    ``weight`` names a column with the number of repeats of a row."""
+    present = values.filter(F.col(value).isNotNull())
+    repeats = F.sum(weight) if weight else F.count(F.lit(1))
+    counts = present.groupBy(*keys, F.col(value).alias("value")).agg(repeats.alias("n"))
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("_total"))
     cum = running_totals(counts, keys, "value", ["n"]).join(totals, keys)
     half = F.col("_total") / 2.0

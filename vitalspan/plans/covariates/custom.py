@@ -114,9 +114,8 @@ def reduce_values(rows: DataFrame, how: str) -> DataFrame:
         rows = rows.join(near, [*ROW, "index_time"], "left_semi")
         how = "mean"
     if how == "median":
-        spread = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), n.cast("int"))))
-        return middle_value(spread, ROW, "value", "covariate_value").join(
-            middle_value(spread, ROW, "raw_value", "source_value"), ROW)
+        return middle_value(rows, ROW, "value", "covariate_value", "n").join(
+            middle_value(rows, ROW, "raw_value", "source_value", "n"), ROW)
     pick = {"max": lambda c: F.max(c), "min": lambda c: F.min(c), "mean": mean}[how]
     return rows.groupBy(*ROW).agg(pick("value").alias("covariate_value"), pick("raw_value").alias("source_value"))
 

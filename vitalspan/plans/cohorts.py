@@ -252,14 +252,12 @@ def exit_observation_end(events: DataFrame) -> DataFrame:
 
 
 def final_cohort(events: DataFrame, definition: CohortDefinition) -> DataFrame:
-    """Earliest valid exit per event, then merge overlapping stays."""
+    """One valid exit per event, then merge overlapping stays."""
     ends = (
         exit_observation_end(events) if definition.exit_days is None
         else exit_fixed_offset(events, definition.exit_days))
-    first_end = ends.filter(F.col("exit_date") >= F.col("start_date")).groupBy(
-        "cohort_definition_id", "person_id", "start_date").agg(F.max("exit_date").alias("exit_date"))
     merged = collapse_intervals(
-        first_end, ["cohort_definition_id", "person_id"], "start_date", "exit_date", definition.gap_days)
+        ends, ["cohort_definition_id", "person_id"], "start_date", "exit_date", definition.gap_days)
     return merged.select(
         "cohort_definition_id", F.col("person_id").alias("subject_id"), F.col("start_date").alias("cohort_start_date"),
         F.col("exit_date").alias("cohort_end_date"))
@@ -276,6 +274,14 @@ def build_family(cdm, family: Sequence[CohortDefinition]) -> DataFrame:
     return final_cohort(included(masked_events(cdm, family), family[0]), family[0])
 
 
+def unique_definitions(definitions: Iterable[CohortDefinition]) -> list[CohortDefinition]:
+    """The first definition of each (id, name)."""
+    seen: dict[tuple[int, str], CohortDefinition] = {}
+    for d in definitions:
+        seen.setdefault((d.cohort_definition_id, d.name), d)
+    return list(seen.values())
+
+
 def build_cohorts(cdm, definitions: Iterable[CohortDefinition]) -> DataFrame:
     """All cohorts; definitions sharing a template are built together."""
     return reduce(DataFrame.unionByName, [build_family(cdm, f) for f in families(definitions)])

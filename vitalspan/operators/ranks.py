@@ -26,7 +26,7 @@ def order_bucket(df: DataFrame, name: str) -> Column:
     c = F.col(name)
     if isinstance(kind, T.DateType):
         return F.unix_date(c).cast("long")
-    if isinstance(kind, T.TimestampType):
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return F.unix_date(F.to_date(c)).cast("long")
     if isinstance(kind, T.StringType):
         return F.substring(c, 1, 4)

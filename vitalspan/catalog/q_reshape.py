@@ -258,3 +258,9 @@ def _(cdm):
 @query("dedup_by_digest", "digest:s copies:l first_id:l", "SELECT sha256(text || chr(31) || lang) AS digest, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY text, lang HAVING count(*) > 1")
 def _(cdm):
     return R.duplicate_rows(cdm.documents, ["text", "lang"], "doc_id")
+
+
+@query("recast", "event_type:s mean_value:f mean_amount:f", "SELECT event_type, avg(value) AS mean_value, avg(value * 2) AS mean_amount FROM events GROUP BY 1")
+def _(cdm):
+    wide = cdm.events.select("event_type", F.col("value").alias("mean_value"), (F.col("value") * 2).alias("mean_amount"))
+    return R.dcast(R.melt(wide, ["event_type"], ["mean_value", "mean_amount"]), ["event_type"], "variable", ["mean_value", "mean_amount"], F.avg("value"))

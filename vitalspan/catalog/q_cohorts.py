@@ -222,6 +222,7 @@ _NAMES = [(d.cohort_definition_id, d.name) for d in STUDY]
 )
 def _(cdm):
     path = scratch_path(cdm.spark, "cohorts")
+    cdm.pin("drug_era", "measurement")
     store.upsert_cohorts(K.build_cohorts(cdm, STUDY), path)
     names = literal_frame(cdm.spark, [(i, c, n) for i, (c, n) in enumerate(_NAMES)], "seq int, cohort_definition_id long, cohort_name string")
     return K.named_counts(K.cohort_counts(store.read_cohorts(cdm.spark, path)), names)
@@ -261,15 +262,16 @@ _STATS = """SELECT 'inclusion_result' AS stat, cid AS cohort_definition_id, mode
 
 @query("cohort_stats", "stat:s cohort_definition_id:l mode_id:l id:l person_count:l gain_count:l total:l", _STATS, VIEWS)
 def _(cdm):
-    r = K.inclusion_result(K.masked_events(cdm, FAMILY))
+    stats = K.cohort_stats(K.masked_events(cdm, FAMILY), 2)
+    r = stats["inclusion_result"]
     null = F.lit(None).cast("long")
     return (
         r.select(F.lit("inclusion_result").alias("stat"), "cohort_definition_id", "mode_id", F.col("inclusion_rule_mask").alias("id"),
                  "person_count", null.alias("gain_count"), null.alias("total"))
-        .unionByName(K.inclusion_stats(r, 2).select(
+        .unionByName(stats["inclusion_stats"].select(
             F.lit("inclusion_stats").alias("stat"), "cohort_definition_id", "mode_id", F.col("rule_sequence").cast("long").alias("id"),
             "person_count", "gain_count", F.col("person_total").alias("total")))
-        .unionByName(K.summary_stats(r, 2).select(
+        .unionByName(stats["summary_stats"].select(
             F.lit("summary_stats").alias("stat"), "cohort_definition_id", "mode_id", F.lit(0).cast("long").alias("id"),
             F.col("final_count").alias("person_count"), null.alias("gain_count"), F.col("base_count").alias("total"))))
 

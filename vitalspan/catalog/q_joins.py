@@ -140,12 +140,12 @@ def _era_cols(df):
 
 @query("distinct_eras", _ERA_OUT, f"SELECT DISTINCT * FROM ({_eras(G.LIVER, True)})")
 def _(cdm):
-    return _era_cols(G.exposed_eras(cdm, G.LIVER))
+    return _era_cols(G.exposed_eras(cdm, G.LIVER).distinct())
 
 
 @query("prior_condition_anti", _ERA_OUT, f"SELECT DISTINCT * FROM ({_clean(G.KIDNEY, True)})")
 def _(cdm):
-    return _era_cols(G.without_prior_disease(cdm, G.exposed_eras(cdm, G.KIDNEY), G.KIDNEY))
+    return _era_cols(G.without_prior_disease(cdm, G.exposed_eras(cdm, G.KIDNEY), G.KIDNEY).distinct())
 
 
 @query("concept_semi", "person_id:l drug_concept_id:l drug_era_start_date:d", "SELECT person_id, drug_concept_id, drug_era_start_date FROM drug_era WHERE drug_concept_id IN (SELECT concept_id FROM concept WHERE lower(concept_name) LIKE '%sartan%')")

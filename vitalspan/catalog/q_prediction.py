@@ -278,8 +278,8 @@ _TS = ("prediction_threshold:f preference_threshold:f positive_count:l negative_
     "threshold_summary", _TS,
     """SELECT value AS prediction_threshold, 1 / (1 + exp(-(ln(value / (1 - value)) - ln((p / (p + n)) / (1 - p / (p + n)))))) AS preference_threshold, tp + fp AS positive_count, tn + fn AS negative_count, p AS true_count, n AS false_count,
        tp AS true_positive_count, tn AS true_negative_count, fp AS false_positive_count, fn AS false_negative_count, CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + fp + fn) END AS f_1_score, (tp + tn) / (p + n) AS accuracy, tp / p AS sensitivity, fn / p AS false_negative_rate,
-       fp / n AS false_positive_rate, tn / n AS specificity, tp / (tp + fp) AS positive_predictive_value, fp / (tp + fp) AS false_discovery_rate, tn / NULLIF(tn + fn, 0) AS negative_predictive_value, 1 - tn / NULLIF(tn + fn, 0) AS false_omission_rate,
-       (tp / p) / NULLIF(1 - tn / n, 0) AS positive_likelihood_ratio, (1 - tp / p) / NULLIF(tn / n, 0) AS negative_likelihood_ratio, ((tp / p) / NULLIF(1 - tn / n, 0)) / NULLIF((1 - tp / p) / NULLIF(tn / n, 0), 0) AS diagnostic_odds_ratio
+       fp / n AS false_positive_rate, tn / n AS specificity, tp / (tp + fp) AS positive_predictive_value, fp / (tp + fp) AS false_discovery_rate, tn / NULLIF(tn + fn, 0) AS negative_predictive_value, fn / NULLIF(tn + fn, 0) AS false_omission_rate,
+       (tp / p) / NULLIF(fp / n, 0) AS positive_likelihood_ratio, (fn / p) / NULLIF(tn / n, 0) AS negative_likelihood_ratio, ((tp / p) / NULLIF(fp / n, 0)) / NULLIF((fn / p) / NULLIF(tn / n, 0), 0) AS diagnostic_odds_ratio
        FROM (SELECT *, p - tp AS fn, n - fp AS tn FROM (SELECT value, sum(pos) OVER (ORDER BY value DESC)::DOUBLE AS tp, sum(neg) OVER (ORDER BY value DESC)::DOUBLE AS fp, sum(pos) OVER ()::DOUBLE AS p, sum(neg) OVER ()::DOUBLE AS n FROM scoreg))""", PV,
 )
 def _(cdm):

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vitalspan.session import materialize
+
 _RESOLUTION = 2048.0
 _CENTRE = 1 << 21
 
@@ -19,15 +21,16 @@ _CENTRE = 1 << 21
 def order_bucket(df: DataFrame, name: str) -> Column:
     """A coarse, order-preserving bucket of a column.
 
-    Numbers: logarithmic steps of 1/2048 on both sides of zero. Dates and
-    timestamps: the day. Strings: the first four characters.
+    Numbers: logarithmic steps of 1/2048 on both sides of zero. Dates: the day.
+    Timestamps: the minute. Strings: the first four characters, which is
+    balanced for hex digests; see ``dense_ids`` for other text.
     """
     kind = df.schema[name].dataType
     c = F.col(name)
     if isinstance(kind, T.DateType):
         return F.unix_date(c).cast("long")
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_date(F.to_date(c)).cast("long")
+        return F.floor(F.unix_seconds(c.cast("timestamp")) / 60).cast("long")
     if isinstance(kind, T.StringType):
         return F.substring(c, 1, 4)
     x = c.cast("double")
@@ -95,7 +98,24 @@ def row_numbers(df: DataFrame, keys: list[str], order: list[str], name: str = "r
 
 def dense_ids(df: DataFrame, column: str, name: str) -> DataFrame:
     """(column, dense id from 1) for the distinct values, in value order."""
-    return row_numbers(df.select(column).distinct(), [], [column], name)
+    values = df.select(column).distinct()
+    if isinstance(df.schema[column].dataType, T.StringType):
+        return _range_numbers(values, column, name)
+    return row_numbers(values, [], [column], name)
+
+
+def _range_numbers(values: DataFrame, column: str, name: str) -> DataFrame:
+    """Numbers for text of any shape: range-partition, write the sorted parts
+    with their part number, then add each part's offset. The written table
+    fixes the boundaries Spark sampled."""
+    ranged = values.repartitionByRange(column).sortWithinPartitions(column)
+    parts = materialize(ranged.withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = _part([]).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy("_part").orderBy(column)
+    return parts.withColumn("_rn", F.row_number().over(inside)).join(offsets, "_part").select(
+        column, (F.col("_rn") + F.col("_off")).cast("long").alias(name))
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column | str], descending: bool = False) -> DataFrame:

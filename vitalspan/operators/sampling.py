@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitalspan.operators.ranks import hash_order
+from vitalspan.operators.ranks import hash_order, row_numbers
 
 
 def portable_order(person: str, date: str) -> Column:
@@ -15,6 +15,9 @@ def portable_order(person: str, date: str) -> Column:
     return left * ((F.year(d) * F.dayofmonth(d)).cast("long") % 123)
 
 
+TOP_LIMIT = 100_000
+
+
 def take_ordered(df: DataFrame, order: list[Column | str], n: int) -> DataFrame:
     """First n rows in order: each partition keeps n, then n of those."""
     return df.orderBy(*order).limit(n)
@@ -26,5 +29,11 @@ def stable_sample(df: DataFrame, person: str, date: str, n: int) -> DataFrame:
 
 
 def hashed_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """n rows in hash order of a unique key; growing n keeps earlier rows."""
-    return take_ordered(df, [hash_order(key, seed=seed), key], n)
+    """n rows in hash order of a unique key; growing n keeps earlier rows.
+
+    Small samples are a top-n; larger ones rank the digests in buckets.
+    """
+    if n <= TOP_LIMIT:
+        return take_ordered(df, [hash_order(key, seed=seed), key], n)
+    hashed = df.withColumn("_h", hash_order(key, seed=seed))
+    return row_numbers(hashed, [], ["_h"], "_rn").filter(F.col("_rn") <= n).drop("_h", "_rn")

@@ -24,7 +24,7 @@ from vitalspan.operators.intervals import collapse_intervals
 from vitalspan.operators.ranges import period_of, window_counts
 from vitalspan.operators.ranks import first_per_key
 from vitalspan.plans import params as P
-from vitalspan.session import literal_frame
+from vitalspan.session import literal_frame, materialize
 
 EVENT = ["cohort_definition_id", "person_id", "start_date", "end_date", "op_start_date", "op_end_date"]
 
@@ -309,6 +309,15 @@ def inclusion_result(masked: DataFrame) -> DataFrame:
     return counted(masked, 0).unionByName(counted(best_events(masked), 1))
 
 
+def cohort_stats(masked: DataFrame, n_rules: int) -> dict[str, DataFrame]:
+    """The three statistics tables; masks and their counts are written once."""
+    result = materialize(inclusion_result(materialize(masked, "masked")), "inclusion-result")
+    return {
+        "inclusion_result": result, "inclusion_stats": inclusion_stats(result, n_rules),
+        "summary_stats": summary_stats(result, n_rules),
+    }
+
+
 def inclusion_stats(result: DataFrame, n_rules: int) -> DataFrame:
     """Per rule: events meeting it, events failing only it, and the total."""
     full = (1 << n_rules) - 1

@@ -18,6 +18,7 @@ from vitalspan.operators.ranks import first_per_key
 from vitalspan.operators.summaries import continuous_summary, nonmissing_summary
 from vitalspan.operators.vocab import condition_groups, drug_groups
 from vitalspan.plans import params as P
+from vitalspan.session import checked_broadcast, literal_frame
 
 # table -> (concept column, start column, end column)
 DOMAINS = {
@@ -53,7 +54,7 @@ class DomainAnalysis:
 def inpatient_visits(cdm) -> DataFrame:
     kinds = cdm.concept_ancestor.filter(F.col("ancestor_concept_id").isin(list(P.INPATIENT_VISITS))).select(
         F.col("descendant_concept_id").alias("visit_concept_id")).distinct()
-    return cdm.visit_occurrence.join(kinds, "visit_concept_id", "left_semi").select(
+    return cdm.visit_occurrence.join(checked_broadcast(kinds), "visit_concept_id", "left_semi").select(
         "person_id", "visit_start_date", "visit_end_date").distinct()
 
 
@@ -78,7 +79,7 @@ def domain_records(cdm, analysis: DomainAnalysis, counted: bool = False) -> Data
         pairs = (
             drug_groups(cdm.concept, cdm.concept_ancestor, analysis.domain == "drug_era")
             if analysis.domain.startswith("drug") else condition_groups(cdm.concept, cdm.concept_ancestor))
-        records = records.join(pairs, F.col("concept_id") == F.col("descendant_concept_id")).groupBy(
+        records = records.join(checked_broadcast(pairs), F.col("concept_id") == F.col("descendant_concept_id")).groupBy(
             "person_id", F.col("ancestor_concept_id").alias("concept_id"), "start_date", "end_date",
         ).agg(F.sum("n").alias("n"))
     return records if counted else records.drop("n")
@@ -311,8 +312,6 @@ def covariate_reference(covariates: DataFrame, concept: DataFrame, analysis: Dom
 
 def analysis_reference(spark, analyses: Sequence[tuple]) -> DataFrame:
     """(analysis_id, name, domain, start_day, end_day, is_binary, missing_means_zero)."""
-    from vitalspan.session import literal_frame
-
     return literal_frame(
         spark, list(analyses),
         "analysis_id long, analysis_name string, domain_id string, start_day int, end_day int, is_binary string, "

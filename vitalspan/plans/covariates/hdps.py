@@ -10,6 +10,7 @@ from vitalspan.operators.ranges import band_join
 from vitalspan.operators.ranks import running_totals
 from vitalspan.operators.vocab import icd9_number, one_code_per_concept, source_code_map
 from vitalspan.plans.covariates.domain import ROW
+from vitalspan.session import checked_broadcast, materialize
 
 LOOKBACK_DAYS = 180
 INPATIENT = 9201
@@ -41,11 +42,11 @@ def coded_records(cdm, source: str) -> DataFrame:
     """(person_id, code, start_date) records of one feature source."""
     if source.startswith("icd9"):
         r = _by_setting(cdm, cdm.condition_occurrence.filter(F.col("condition_concept_id") != 0), source.endswith("inpatient"))
-        r = r.join(icd9_of_conditions(cdm), "condition_concept_id")
+        r = r.join(checked_broadcast(icd9_of_conditions(cdm)), "condition_concept_id")
         return r.select("person_id", "code", F.col("condition_start_date").alias("start_date"))
     if source == "ingredient":
         r = cdm.drug_exposure.filter(F.col("drug_concept_id") != 0).join(
-            ingredient_links(cdm.concept, cdm.concept_ancestor), F.col("drug_concept_id") == F.col("source_concept_id"))
+            checked_broadcast(ingredient_links(cdm.concept, cdm.concept_ancestor)), F.col("drug_concept_id") == F.col("source_concept_id"))
         return r.select(
             "person_id", F.col("ingredient_concept_id").alias("code"), F.col("drug_exposure_start_date").alias("start_date"))
     r = cdm.procedure_occurrence.filter(F.col("procedure_concept_id") != 0)
@@ -79,8 +80,12 @@ def thresholds(freq: DataFrame) -> DataFrame:
 
 
 def flags(freq: DataFrame, source: str) -> DataFrame:
-    """Any use, use at or above the median, use at or above the upper quartile."""
+    """Any use, use at or above the median, use at or above the upper quartile.
+
+    The frequencies feed both the thresholds and the flags, so they are written once.
+    """
     any_id, median_id, upper_id = ANALYSES[source]
+    freq = materialize(freq, "frequencies")
     joined = freq.join(thresholds(freq), "code")
     f, med, q75 = F.col("frequency"), F.col("median_value"), F.col("q75_value")
     levels = F.array(

@@ -13,7 +13,7 @@ from vitalspan.functions.dates import age_by_year
 from vitalspan.operators.vocab import code_matches, source_code_map
 from vitalspan.plans import params as P
 from vitalspan.plans.covariates.domain import ROW
-from vitalspan.session import literal_frame
+from vitalspan.session import checked_broadcast, literal_frame
 
 
 def category_concepts(cdm, spec) -> DataFrame:
@@ -42,7 +42,7 @@ def category_concepts(cdm, spec) -> DataFrame:
 def _first_entries(cdm, concepts: DataFrame, keys: list[str]) -> DataFrame:
     eras = cdm.condition_era.select(
         "person_id", F.col("condition_concept_id").alias("concept_id"), "condition_era_start_date")
-    return eras.join(concepts, "concept_id").groupBy("person_id", *keys).agg(
+    return eras.join(checked_broadcast(concepts), "concept_id").groupBy("person_id", *keys).agg(
         F.min("condition_era_start_date").alias("_first"))
 
 

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vitalspan.session import materialize
+
 
 @dataclass
 class TidyState:
@@ -50,6 +52,7 @@ def tidy(
     Analyses that lost a redundant covariate are exempt from the frequency
     rule. Totals stay scalar subqueries; only per-covariate rows are joined.
     """
+    covariates = materialize(covariates, "covariates")
     size = population.agg(F.count(F.lit(1))).scalar()
     stats = covariate_stats(covariates)
     # An analysis partitions the rows when no row carries two of its covariates.

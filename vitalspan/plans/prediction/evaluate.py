@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from vitalspan.operators.ranks import row_numbers, running_totals
 from vitalspan.operators.summaries import value_counts
+from vitalspan.session import materialize
 
 def _y() -> Column:
     return (F.col("outcome_count") > 0).cast("long")
@@ -74,7 +75,9 @@ def threshold_summary(prediction: DataFrame) -> DataFrame:
     tp, fp, fn, tn = (F.col(c).cast("double") for c in ("tp", "fp", "fn", "tn"))
     sens, spec = _ratio(tp, tp + fn), _ratio(tn, tn + fp)
     ppv, npv = _ratio(tp, tp + fp), _ratio(tn, tn + fn)
-    lr_pos, lr_neg = _ratio(sens, 1 - spec), _ratio(1 - sens, spec)
+    fnr, fpr = _ratio(fn, tp + fn), _ratio(fp, tn + fp)
+    lr_pos, lr_neg = _ratio(sens, fpr), _ratio(fnr, spec)
+    f1 = F.when(tp > 0, 2 * tp / (2 * tp + fp + fn))  # 2PR/(P+R)
     return base.select(
         "prediction_threshold",
         preference_score(F.col("prediction_threshold"), F.col("p") / (F.col("p") + F.col("n"))).alias("preference_threshold"),
@@ -82,10 +85,10 @@ def threshold_summary(prediction: DataFrame) -> DataFrame:
         F.col("p").alias("true_count"), F.col("n").alias("false_count"),
         F.col("tp").alias("true_positive_count"), F.col("tn").alias("true_negative_count"),
         F.col("fp").alias("false_positive_count"), F.col("fn").alias("false_negative_count"),
-        _ratio(2 * ppv * sens, ppv + sens).alias("f_1_score"), ((tp + tn) / (tp + tn + fp + fn)).alias("accuracy"),
-        sens.alias("sensitivity"), (1 - sens).alias("false_negative_rate"), (1 - spec).alias("false_positive_rate"),
-        spec.alias("specificity"), ppv.alias("positive_predictive_value"), (1 - ppv).alias("false_discovery_rate"),
-        npv.alias("negative_predictive_value"), (1 - npv).alias("false_omission_rate"),
+        f1.alias("f_1_score"), ((tp + tn) / (tp + tn + fp + fn)).alias("accuracy"),
+        sens.alias("sensitivity"), fnr.alias("false_negative_rate"), fpr.alias("false_positive_rate"),
+        spec.alias("specificity"), ppv.alias("positive_predictive_value"), _ratio(fp, tp + fp).alias("false_discovery_rate"),
+        npv.alias("negative_predictive_value"), _ratio(fn, tn + fn).alias("false_omission_rate"),
         lr_pos.alias("positive_likelihood_ratio"), lr_neg.alias("negative_likelihood_ratio"),
         _ratio(lr_pos, lr_neg).alias("diagnostic_odds_ratio"))
 
@@ -120,14 +123,15 @@ def ntile(rank: Column, total: Column, tiles: int) -> Column:
 
 
 def calibration_bins(prediction: DataFrame, tiles: int = 10) -> DataFrame:
-    rows = row_numbers(prediction.select("row_id", "outcome_count", "value"), [], ["value", "row_id"], "_rn")
-    total = prediction.agg(F.count(F.lit(1))).scalar()
+    slim = materialize(prediction.select("row_id", "outcome_count", "value"), "scores")
+    rows = row_numbers(slim, [], ["value", "row_id"], "_rn")
+    total = slim.agg(F.count(F.lit(1))).scalar()
     return rows.withColumn("bin", ntile(F.col("_rn"), total, tiles)).drop("_rn")
 
 
 def calibration_summary(prediction: DataFrame, tiles: int = 10) -> DataFrame:
     """Predicted against observed risk by tenths of the predictions."""
-    binned = calibration_bins(prediction, tiles)
+    binned = materialize(calibration_bins(prediction, tiles), "calibration")
     return _spread(binned, ["bin"], {"p_25": 0.25, "median": 0.5, "p_75": 0.75}).withColumn(
         "observed_incidence", F.col("outcomes") / F.col("person_count"))
 
@@ -156,6 +160,7 @@ def ici(prediction: DataFrame) -> DataFrame:
 
     grid = prediction.withColumn("_b", order_bucket(prediction, "value")).groupBy("_b").agg(
         F.avg("value").alias("x"), F.avg(_y().cast("double")).alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
+    grid = materialize(grid, "calibration-grid")
     model = IsotonicRegression(featuresCol="x", labelCol="y", weightCol="w", predictionCol="smooth").fit(grid)
     return model.transform(grid).agg(
         (F.sum(F.col("w") * F.abs(F.col("x") - F.col("smooth"))) / F.sum("w")).alias("ici"))
@@ -249,6 +254,7 @@ def _newton(prediction: DataFrame, slope: bool, rounds: int = 25) -> tuple[float
     """Intercept (and slope) of a logistic regression on logit(p). Each round
     is one aggregation to a handful of sums over grouped scores."""
     grouped = by_score(prediction).select(logit(F.col("value")).alias("x"), "pos", (F.col("pos") + F.col("neg")).alias("m"))
+    grouped = materialize(grouped, "grouped-scores")
     a, b = 0.0, 1.0
     for _ in range(rounds):
         p = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("x"))))
@@ -285,6 +291,7 @@ def _shifted(prediction: DataFrame, a: float, b: float) -> DataFrame:
 def evaluation_statistics(prediction: DataFrame) -> DataFrame:
     """Headline measures as (metric, value) rows."""
     y = _y()
+    prediction = materialize(prediction.select("outcome_count", "value"), "scores")
     counts = prediction.agg(F.count(F.lit(1)).cast("double").alias("population_size"), F.sum(y).cast("double").alias("outcome_count"))
     frames = [counts, auc(prediction), auprc(prediction), brier(prediction)]
     long = [f.unpivot([], f.columns, "metric", "value") for f in frames]
@@ -292,6 +299,7 @@ def evaluation_statistics(prediction: DataFrame) -> DataFrame:
 
 
 def evaluate(prediction: DataFrame) -> dict[str, DataFrame]:
+    prediction = materialize(prediction, "prediction")
     return {
         "evaluation_statistics": evaluation_statistics(prediction),
         "threshold_summary": threshold_summary(prediction),

@@ -38,7 +38,7 @@ KIDNEY = SignalSpec(P.KIDNEY_SIGNAL_DRUGS, P.KIDNEY_SIGNAL_PRIOR, P.KIDNEY_SIGNA
 
 
 def eligible_eras(cdm, spec: SignalSpec) -> DataFrame:
-    """Distinct eras of all drugs with names, long enough and in the age range."""
+    """Eras of all drugs with names, long enough and in the age range."""
     person = cdm.person.select("person_id", "year_of_birth", "month_of_birth", "day_of_birth")
     names = cdm.concept.select(
         F.col("concept_id").alias("drug_concept_id"), F.lower("concept_name").alias("ingredient_name"))
@@ -56,7 +56,7 @@ def eligible_eras(cdm, spec: SignalSpec) -> DataFrame:
         rows = rows.filter(F.col("age_onset") >= spec.min_age)
     return rows.select(
         "person_id", "age_onset", "drug_concept_id", "ingredient_name", "drug_era_start_date", "drug_era_end_date",
-        "exposure_days").distinct()
+        "exposure_days")
 
 
 def exposed_eras(cdm, spec: SignalSpec) -> DataFrame:

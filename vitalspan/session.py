@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int = 8, memory: str = "16g", app: str = "vitalspan") -> SparkSession:
@@ -45,7 +46,7 @@ def configure(spark: SparkSession) -> SparkSession:
 def scratch_root(spark: SparkSession) -> str:
     """Folder shared by all executors: ``spark.checkpoint.dir`` when the
     cluster sets it, else a fresh local folder (single-machine runs only)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
@@ -72,6 +73,20 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_ROWS = 2_000_000
+
+
+def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint for a lookup table whose size was counted to be small.
+
+    Above the limit the frame is returned as it is and the join shuffles, with
+    adaptive execution splitting hot keys.
+    """
+    if df.limit(max_rows + 1).count() <= max_rows:
+        return F.broadcast(df)
+    return df
+
+
 def literal_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A driver-side constant table (settings, code lists) as an inline
     relation, so Catalyst sees its size and can fold or broadcast it."""

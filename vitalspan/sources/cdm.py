@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vitalspan.session import materialize
 from vitalspan.sources.schemas import LAYOUTS, conform
 
 
@@ -24,6 +25,12 @@ class Cdm:
             self._frames[name] = self._builders[name](self)
         return self._frames[name]
 
+    def pin(self, *names: str) -> "Cdm":
+        """Write tables that one job uses several times and read them back."""
+        for name in names:
+            self._frames[name] = materialize(getattr(self, name), name)
+        return self
+
     def tables(self) -> list[str]:
         return sorted(self._builders)
 

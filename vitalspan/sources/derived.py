@@ -12,13 +12,30 @@ from pyspark.sql import functions as F
 
 from vitalspan.operators.eras import condition_eras, drug_era
 from vitalspan.plans import params as P
-from vitalspan.session import literal_frame
+from vitalspan.session import literal_frame, materialize
 from vitalspan.sources.cdm import Cdm
 
-RAW_TABLES = (
-    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
-    "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
-)
+RAW_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, "
+    "o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+    "pages": "page_id long, url string, html string",
+    "benchmark": "item_id long, text string",
+    "labels": "doc_id long, quality int, toxic int",
+    "conversations": "conv_id long, turn long, role string, text string",
+}
+RAW_TABLES = tuple(RAW_SCHEMAS)
+VOCABULARY = ("concept", "concept_ancestor", "concept_relationship")
 
 # Ingredient concept and name for each part brand number 1..25.
 INGREDIENTS = (
@@ -304,13 +321,29 @@ def with_row_id(cohort: DataFrame) -> DataFrame:
         "row_id", F.col("subject_id") * 100000 + day * 10 + F.col("cohort_definition_id"))
 
 
+def _stored(build, folder: str, name: str):
+    """Vocabulary tables are written once per session and folder, so every
+    plan scans them as tables of known size."""
+
+    def read(cdm: Cdm) -> DataFrame:
+        known = cdm.spark.__dict__.setdefault("_vitalspan_vocabulary", {})
+        if (folder, name) not in known:
+            known[(folder, name)] = materialize(build(cdm).coalesce(1), name)
+        return known[(folder, name)]
+
+    return read
+
+
 def derived_cdm(spark: SparkSession, folder: str) -> Cdm:
-    builders = {t: (lambda _, t=t: spark.read.parquet(f"{folder}/{t}.parquet")) for t in RAW_TABLES}
+    builders = {
+        t: (lambda _, t=t: spark.read.schema(RAW_SCHEMAS[t]).parquet(f"{folder}/{t}.parquet")) for t in RAW_TABLES}
     builders |= {
         "person": _person, "observation_period": _observation_period, "drug_exposure": _drug_exposure,
         "visit_occurrence": _visit_occurrence, "condition_occurrence": _condition_occurrence,
         "measurement": _measurement, "procedure_occurrence": _procedure_occurrence, "death": _death,
-        "concept": _concept, "concept_ancestor": _concept_ancestor, "concept_relationship": _concept_relationship,
+        "concept": _stored(_concept, folder, "concept"),
+        "concept_ancestor": _stored(_concept_ancestor, folder, "concept_ancestor"),
+        "concept_relationship": _stored(_concept_relationship, folder, "concept_relationship"),
         "cohort": _cohort,
         "drug_era": lambda c: drug_era(c.drug_exposure, c.concept, c.concept_ancestor),
         "condition_era": lambda c: condition_eras(c.condition_occurrence),

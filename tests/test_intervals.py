@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from vitalspan.operators.eras import sub_exposures
 from vitalspan.operators.intervals import collapse_intervals, interval_difference, interval_intersection, interval_union
-from vitalspan.operators.ranges import band_join, overlap_join, window_counts, without_earlier
+from vitalspan.operators.ranges import band_join, interval_counts, overlap_join, window_counts, without_earlier
 
 DAY0 = dt.date(2000, 1, 1)
 
@@ -114,3 +114,16 @@ def test_window_counts_and_anti(frame):
     assert got == {(1, 100): (3, 2), (1, 200): (0, 0), (2, 100): (0, 0)}
     kept = without_earlier(events, records, ["k"], "d", F.date_sub("at", 60))
     assert sorted((r.k, (r.at - DAY0).days) for r in kept.collect()) == [(2, 100)]
+
+
+def test_interval_counts_match_brute_force(frame):
+    rng = random.Random(21)
+    spans_ = [(rng.choice([1, 1, 2, 3]), s, s + rng.choice([0, 5, 400])) for s in (rng.randint(0, 300) for _ in range(60))]
+    points = [(rng.choice([1, 1, 2, 4]), rng.randint(0, 500)) for _ in range(150)]
+    w = dated(frame, spans_)
+    p = frame([(k, day(d)) for k, d in points], "k long, d string").select("k", F.col("d").cast("date").alias("d"))
+    got = {(r.k, (r.s - DAY0).days, (r.e - DAY0).days): (r.n, r["first"] and (r["first"] - DAY0).days)
+           for r in interval_counts(w, p, ["k"], "s", "e", "d").collect()}
+    for k, s, e in spans_:
+        inside = sorted(d for m, d in points if m == k and s <= d <= e)
+        assert got[(k, s, e)] == (len(inside), inside[0] if inside else None)

@@ -71,8 +71,8 @@ def population(frame):
     ]
     df = frame(rows, "row_id long, subject_id long, days_from_obs_start long, days_to_cohort_end long, days_to_obs_end long")
     df = df.withColumn("cohort_start_date", F.lit("2001-01-01").cast("date"))
-    events = frame([(3, 9, 10), (4, 9, -5), (1, 9, 50)], "row_id long, outcome_id long, days_to_event long")
-    return df, events
+    events = frame([(3, 9, 10), (4, 9, -5), (1, 9, 50)], "subject_id long, outcome_id long, days int")
+    return df, events.withColumn("event_date", F.date_add(F.lit("2001-01-01").cast("date"), F.col("days")))
 
 
 @pytest.mark.parametrize("prior,require,everyone,kept", [

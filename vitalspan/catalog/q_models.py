@@ -198,8 +198,7 @@ def _(cdm):
 
 @query("count_regression", "family:s term:s value:f")
 def _(cdm):
-    rows = target_rows(cdm)
-    counted = N.study_population(rows, N.plp_outcomes(rows, cdm.cohort, [3]), 3, replace(SPEC, binary=False))
+    counted = N.study_population(target_rows(cdm), N.outcome_days(cdm.cohort, [3]), 3, replace(SPEC, binary=False))
     frame = materialize(_columns(counted).select(
         F.col("outcome_count").cast("double").alias("label"), array_to_vector(F.array("age", "male")).alias("features")), "counts")
     out = []

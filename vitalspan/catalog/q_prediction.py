@@ -22,13 +22,8 @@ def target_rows(cdm):
     return N.plp_cohort(cdm, rows, N.TargetSpec(row_id="row_id"))
 
 
-def outcomes(cdm):
-    return N.plp_outcomes(target_rows(cdm), cdm.cohort, [3])
-
-
 def population(cdm, spec=SPEC):
-    rows = target_rows(cdm)
-    return N.study_population(rows, N.plp_outcomes(rows, cdm.cohort, [3]), 3, spec)
+    return N.study_population(target_rows(cdm), N.outcome_days(cdm.cohort, [3]), 3, spec)
 
 
 def scored(cdm):
@@ -99,7 +94,7 @@ def _(cdm):
 
 @query("plp_outcomes", "row_id:l outcome_id:l days_to_event:l", "SELECT row_id, outcome_id, dte AS days_to_event FROM outc", PV)
 def _(cdm):
-    return outcomes(cdm)
+    return N.plp_outcomes(target_rows(cdm), cdm.cohort, [3])
 
 
 _POP = "row_id:l tar_start:l tar_end:l outcome_count:l survival_time:l"
@@ -119,7 +114,7 @@ def _(cdm):
     " UNION ALL ".join(f"SELECT '{n}' AS variant, count(*) AS rows, sum(outcome_count) AS outcomes FROM ({_flag_sql(s)}) WHERE s5" for n, s in N.population_variants(SPEC).items()), PV,
 )
 def _(cdm):
-    rows, events, out = target_rows(cdm), outcomes(cdm), None
+    rows, events, out = target_rows(cdm), N.outcome_days(cdm.cohort, [3]), None
     for name, spec in N.population_variants(SPEC).items():
         f = N.study_population(rows, events, 3, spec).agg(
             F.count(F.lit(1)).alias("rows"), F.sum("outcome_count").alias("outcomes")).withColumn("variant", F.lit(name))
@@ -133,7 +128,7 @@ _ATTRITION = " UNION ALL ".join(
 
 @query("attrition", "step:l description:s target_count:l unique_people:l outcomes:l", _ATTRITION, PV)
 def _(cdm):
-    return N.attrition(target_rows(cdm), outcomes(cdm), 3, STRICT)
+    return N.attrition(target_rows(cdm), N.outcome_days(cdm.cohort, [3]), 3, STRICT)
 
 
 # --- splits ---------------------------------------------------------------------
@@ -378,7 +373,7 @@ def _(cdm):
       UNION ALL SELECT 'attrition', description, target_count FROM ({_ATTRITION})""", PV,
 )
 def _(cdm):
-    return E.diagnose_design(population(cdm), N.attrition(target_rows(cdm), outcomes(cdm), 3, STRICT))
+    return E.diagnose_design(population(cdm), N.attrition(target_rows(cdm), N.outcome_days(cdm.cohort, [3]), 3, STRICT))
 
 
 _NEWTON = """WITH RECURSIVE g AS (SELECT ln(value / (1 - value)) AS x, pos, pos + neg AS m FROM scoreg), nw(i, a, b) AS (SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE UNION ALL

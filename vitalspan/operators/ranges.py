@@ -8,7 +8,7 @@ over many join keys instead of landing in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalspan.functions.dates import col
@@ -81,6 +81,33 @@ def window_counts(
         *events.columns, *[F.coalesce(F.col(n), F.lit(0)).cast("long").alias(n) for n in names])
 
 
+def interval_counts(windows: DataFrame, points: DataFrame, on: list[str], lo: str, hi: str, date: str) -> DataFrame:
+    """For each distinct (on, lo, hi) the number of points in ``[lo, hi]`` as
+    ``n`` and the first of them as ``first``, for windows of any length.
+
+    Points and window edges of one key are swept once in date order: the
+    count is a difference of two running counts, so no (window, point) pair is
+    ever formed. Both sides hold at most one row per day (or day pair) and key.
+    """
+    days = points.groupBy(*on, F.col(date).alias("_day")).agg(F.count(F.lit(1)).alias("_c"))
+    spans = windows.select(*on, F.col(lo).alias("_lo"), F.col(hi).alias("_hi")).filter(F.col("_lo") <= F.col("_hi")).distinct()
+    edges = spans.select(*on, "_lo", "_hi", F.explode(F.array(F.date_sub("_lo", 1), F.col("_hi"))).alias("_day"))
+    none = F.lit(None).cast("date")
+    marks = days.select(*on, "_day", "_c", none.alias("_lo"), none.alias("_hi"), F.lit(0).alias("_edge")).unionByName(
+        edges.select(*on, "_day", F.lit(0).cast("long").alias("_c"), "_lo", "_hi", F.lit(1).alias("_edge")))
+    forward = Window.partitionBy(*on).orderBy("_day", "_edge").rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy(*on).orderBy(F.col("_day").desc(), F.col("_edge").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    seen = marks.withColumn("_cum", F.sum("_c").over(forward)).withColumn(
+        "_next", F.last(F.when(F.col("_edge") == 0, F.col("_day")), ignorenulls=True).over(back))
+    at_hi = F.col("_day") == F.col("_hi")
+    out = seen.filter(F.col("_edge") == 1).groupBy(*on, "_lo", "_hi").agg(
+        (F.max(F.when(at_hi, F.col("_cum"))) - F.max(F.when(~at_hi, F.col("_cum")))).alias("n"),
+        F.max(F.when(~at_hi, F.col("_next"))).alias("first"))
+    return out.select(
+        *on, F.col("_lo").alias(lo), F.col("_hi").alias(hi), "n",
+        F.when(F.col("n") > 0, F.col("first")).alias("first"))
+
+
 def first_dates(records: DataFrame, on: list[str], date: str, alias: str = "_first") -> DataFrame:
     return records.groupBy(*on).agg(F.min(date).alias(alias))
 

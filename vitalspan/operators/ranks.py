@@ -152,16 +152,13 @@ def fill_missing(
     stamp = F.struct(*order, value)
     seen = F.when(F.col(value).isNotNull(), stamp)
     per_cell = c.groupBy(*keys, "_cell").agg((F.min(seen) if backward else F.max(seen)).alias("_s"))
-    if backward:
-        beyond = _part(keys).orderBy("_cell").rowsBetween(1, Window.unboundedFollowing)
-        carry = F.first(f"_s.{value}", ignorenulls=True).over(beyond)
-        inside = Window.partitionBy(*keys, "_cell").orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-        local = F.first(value, ignorenulls=True).over(inside)
-    else:
-        before = _part(keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-        carry = F.last(f"_s.{value}", ignorenulls=True).over(before)
-        inside = Window.partitionBy(*keys, "_cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        local = F.last(value, ignorenulls=True).over(inside)
+    # Backward filling reverses the order: a frame that grows from the start
+    # is updated row by row, one that ends at the last row is not.
+    turn = (lambda name: F.col(name).desc()) if backward else F.col
+    before = _part(keys).orderBy(turn("_cell")).rowsBetween(Window.unboundedPreceding, -1)
+    carry = F.last(f"_s.{value}", ignorenulls=True).over(before)
+    inside = Window.partitionBy(*keys, "_cell").orderBy(*[turn(o) for o in order]).rowsBetween(Window.unboundedPreceding, 0)
+    local = F.last(value, ignorenulls=True).over(inside)
     carried = per_cell.select(*keys, "_cell", carry.alias("_carry"))
     out = c.withColumn("_in", local).join(carried, [*keys, "_cell"])
     return out.select(*df.columns, F.coalesce("_in", "_carry").alias(name))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from vitalspan.plans.prediction import evaluate as E
 from vitalspan.plans.prediction.models import ModelSpec, fit
-from vitalspan.plans.prediction.population import PopulationSpec, plp_outcomes, study_population
+from vitalspan.plans.prediction.population import PopulationSpec, outcome_days, study_population
 from vitalspan.plans.prediction.split import SplitSpec, split
 from vitalspan.session import literal_frame, materialize
 
@@ -45,7 +45,7 @@ def run_multiple(
     todo = [d for d in todo if d.key() not in done]
     rows = materialize(rows, "targets")
     covariates = materialize(covariates, "covariates")
-    events = materialize(plp_outcomes(rows, cohort, sorted({d.outcome_id for d in todo})), "outcomes")
+    events = materialize(outcome_days(cohort, sorted({d.outcome_id for d in todo})), "outcomes")
     results = []
     for d in todo:
         target = rows.filter(F.col("cohort_definition_id") == d.target_id)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalspan.functions.dates import age_by_year, days_between
-from vitalspan.operators.ranges import period_of
+from vitalspan.operators.ranges import interval_counts, period_of
 from vitalspan.operators.ranks import row_numbers
 from vitalspan.operators.sampling import stable_sample
 from vitalspan.plans.study_cohorts import first_exposure_minmin
@@ -69,12 +69,16 @@ def _observed(rows: DataFrame, events: DataFrame) -> DataFrame:
     ).select("row_id", "outcome_id", "days_to_event").distinct()
 
 
-def plp_outcomes(rows: DataFrame, cohort: DataFrame, ids: Sequence[int]) -> DataFrame:
-    """Outcomes from a cohort table."""
-    events = cohort.filter(F.col("cohort_definition_id").isin(list(ids))).select(
+def outcome_days(cohort: DataFrame, ids: Sequence[int]) -> DataFrame:
+    """Distinct (subject, outcome, day) from a cohort table."""
+    return cohort.filter(F.col("cohort_definition_id").isin(list(ids))).select(
         "subject_id", F.col("cohort_definition_id").alias("outcome_id"), F.col("cohort_start_date").alias("event_date")
     ).distinct()
-    return _observed(rows, events)
+
+
+def plp_outcomes(rows: DataFrame, cohort: DataFrame, ids: Sequence[int]) -> DataFrame:
+    """Outcomes of each target row from a cohort table."""
+    return _observed(rows, outcome_days(cohort, ids))
 
 
 def era_outcomes(cdm, rows: DataFrame, ancestors: Sequence[int]) -> DataFrame:
@@ -106,36 +110,49 @@ class PopulationSpec:
 STEPS = ("original", "first_exposure", "washout", "prior_outcome", "negative_time", "time_at_risk")
 
 
-def population_flags(rows: DataFrame, outcomes: DataFrame, outcome_id: int, spec: PopulationSpec) -> DataFrame:
+def _in_window(timed: DataFrame, days: DataFrame, lo, hi, n: str, first: str) -> DataFrame:
+    """Add the number of outcome days in [lo, hi] (day offsets) and the first
+    of them as an offset."""
+    start = F.col("cohort_start_date")
+    framed = timed.withColumn("_lo", F.date_add(start, lo)).withColumn("_hi", F.date_add(start, hi))
+    found = interval_counts(framed, days, ["subject_id"], "_lo", "_hi", "event_date")
+    return framed.join(found, ["subject_id", "_lo", "_hi"], "left").select(
+        *timed.columns, F.coalesce("n", F.lit(0)).alias(n), F.datediff("first", start).alias(first))
+
+
+def population_flags(rows: DataFrame, events: DataFrame, outcome_id: int, spec: PopulationSpec) -> DataFrame:
     """Target rows with the time at risk, outcome summary and one boolean per
-    step: the row passes this step and every step before it."""
+    step: the row passes this step and every step before it.
+
+    ``events`` are outcome days per subject (see ``outcome_days``); target
+    rows and outcome days of a subject are swept, never paired.
+    """
     def anchor(kind, offset):
         return (F.col("days_to_cohort_end") if kind == "cohort end" else F.lit(0)) + offset
 
     timed = rows.withColumn("tar_start", anchor(spec.start_anchor, spec.risk_start)).withColumn(
         "tar_end", F.least(anchor(spec.end_anchor, spec.risk_end), F.col("days_to_obs_end")))
-    events = outcomes.filter(F.col("outcome_id") == outcome_id).select("row_id", "days_to_event")
-    at = F.col("days_to_event")
-    inside = (at >= F.col("tar_start")) & (at <= F.col("tar_end"))
-    before = (at < F.col("tar_start")) & (at >= F.col("tar_start") - spec.prior_lookback)
-    summary = timed.select("row_id", "tar_start", "tar_end").join(events, "row_id").groupBy("row_id").agg(
-        F.sum(inside.cast("int")).alias("_inside"), F.max(before.cast("int")).alias("_before"),
-        F.min(F.when(inside, at)).alias("_first"))
+    days = events.filter(F.col("outcome_id") == outcome_id).select("subject_id", "event_date").distinct()
+    joined = _in_window(
+        timed, days, F.greatest("tar_start", -F.col("days_from_obs_start")).cast("int"), F.col("tar_end").cast("int"), "_inside", "_first")
+    if spec.remove_prior_outcome:
+        since = F.greatest(F.col("tar_start") - spec.prior_lookback, -F.col("days_from_obs_start"))
+        until = F.least(F.col("tar_start") - 1, F.col("days_to_obs_end"))
+        joined = _in_window(joined, days, since.cast("int"), until.cast("int"), "_before", "_earliest")
     if spec.first_exposure_only:
         first = rows.groupBy("subject_id").agg(F.min("cohort_start_date").alias("_first_start"))
-        timed = timed.join(first, "subject_id")
+        joined = joined.join(first, "subject_id")
         is_first = F.col("cohort_start_date") == F.col("_first_start")
     else:
         is_first = F.lit(True)
-    joined = timed.join(summary, "row_id", "left")
-    n_inside = F.coalesce(F.col("_inside"), F.lit(0))
+    n_inside = F.col("_inside")
     length = F.col("tar_end") - F.col("tar_start")
     enough = length >= spec.min_time_at_risk
     if spec.include_all_outcomes:
         enough = enough | (n_inside > 0)
     tests = [
         F.lit(True), is_first, F.col("days_from_obs_start") >= spec.washout_days,
-        (F.coalesce(F.col("_before"), F.lit(0)) == 0) if spec.remove_prior_outcome else F.lit(True),
+        (F.col("_before") == 0) if spec.remove_prior_outcome else F.lit(True),
         length >= 0, enough if spec.require_time_at_risk else F.lit(True),
     ]
     passed, flags = F.lit(True), []
@@ -148,14 +165,14 @@ def population_flags(rows: DataFrame, outcomes: DataFrame, outcome_id: int, spec
         (F.coalesce(F.col("_first"), F.col("tar_end")) - F.col("tar_start") + 1).alias("survival_time"), *flags)
 
 
-def study_population(rows, outcomes, outcome_id: int, spec: PopulationSpec) -> DataFrame:
-    flagged = population_flags(rows, outcomes, outcome_id, spec)
+def study_population(rows, events, outcome_id: int, spec: PopulationSpec) -> DataFrame:
+    flagged = population_flags(rows, events, outcome_id, spec)
     return flagged.filter(F.col(f"step_{STEPS[-1]}")).drop(*[f"step_{s}" for s in STEPS])
 
 
-def attrition(rows, outcomes, outcome_id: int, spec: PopulationSpec) -> DataFrame:
+def attrition(rows, events, outcome_id: int, spec: PopulationSpec) -> DataFrame:
     """Rows, people and rows with the outcome left after each step, in one pass."""
-    flagged = population_flags(rows, outcomes, outcome_id, spec)
+    flagged = population_flags(rows, events, outcome_id, spec)
     steps = F.array(*[
         F.struct(F.lit(i).alias("step"), F.lit(s).alias("description"), F.col(f"step_{s}").alias("kept"))
         for i, s in enumerate(STEPS)])

@@ -2,7 +2,7 @@
 
 ``BENCH_SF_DIR`` (default sf0.1) and ``BENCH_CPUS`` (default 8) choose the
 tables and the local cores. Each query runs to a no-op sink, so every output
-row is computed; the best of two runs counts after a first warm-up query.
+row is computed; the best of three runs counts after a first warm-up query.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ def main() -> None:
     run(catalog["codeset"].run, spark, folder)
     times = {}
     for name in HEADLINE:
-        times[name] = round(min(run(catalog[name].run, spark, folder) for _ in range(2)), 3)
+        times[name] = round(min(run(catalog[name].run, spark, folder) for _ in range(3)), 3)
     sf = os.path.basename(os.path.normpath(folder)).removeprefix("sf")
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": sf}))

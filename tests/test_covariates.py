@@ -65,6 +65,7 @@ def test_age_alone_gives_a_score_row(spark, frame, people, cohort):
 
 def test_frequency_thresholds(frame):
     freq = frame([(i, 5, f) for i, f in enumerate((1, 1, 2, 5))] + [(9, 6, 4)], "row_id long, code long, frequency long")
+    freq = freq.withColumn("source", F.lit("ingredient"))
     got = {r.code: (r.median_value, r.q75_value) for r in H.thresholds(freq).collect()}
     assert got == {5: (1, 2), 6: (-9999, -9999)}
 

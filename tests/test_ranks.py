@@ -95,6 +95,16 @@ def test_percentiles_and_median(frame):
     assert middle_value(df, ["g"], "v", "m").first().m == 2.5
 
 
+def test_large_samples_equal_small_ones(frame, monkeypatch):
+    from vitalspan.operators import sampling
+
+    df = sample(frame).withColumn("d", F.date_add(F.lit("2001-03-04").cast("date"), F.col("id").cast("int")))
+    takes = (lambda: hashed_sample(df, "id", 37, 3), lambda: stable_sample(df, "id", "d", 37))
+    small = [{r.id for r in take().collect()} for take in takes]
+    monkeypatch.setattr(sampling, "TOP_LIMIT", 1)
+    assert small == [{r.id for r in take().collect()} for take in takes]
+
+
 def test_samples_are_nested(frame):
     df = sample(frame).withColumn("d", F.date_add(F.lit("2001-03-04").cast("date"), F.col("id").cast("int")))
     for take in (lambda n: hashed_sample(df, "id", n, 3), lambda n: stable_sample(df, "id", "d", n)):

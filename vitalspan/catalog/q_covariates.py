@@ -309,12 +309,12 @@ def _(cdm):
 
 @query("hdps_frequency", "row_id:l code:l frequency:l", _freq_sql("ingredient"))
 def _(cdm):
-    return H.frequencies(cdm, cdm.cohort_rows, "ingredient")
+    return H.frequencies(cdm, cdm.cohort_rows, ("ingredient",))
 
 
 @query("hdps_thresholds", "code:l median_value:l q75_value:l", _threshold_sql(_freq_sql("ingredient")))
 def _(cdm):
-    return H.thresholds(H.frequencies(cdm, cdm.cohort_rows, "ingredient"))
+    return H.thresholds(H.frequencies(cdm, cdm.cohort_rows, ("ingredient",)))
 
 
 @query(

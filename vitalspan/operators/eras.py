@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vitalspan.functions.dates import days_between, resolve_end
 from vitalspan.functions.predicates import is_mapped, supply_not_negative
-from vitalspan.operators.intervals import collapse_intervals
+from vitalspan.operators.intervals import collapse_intervals, collapse_twice
 from vitalspan.session import checked_broadcast
 
 ERA_KEYS = ["person_id", "drug_concept_id"]
@@ -48,11 +48,13 @@ def drug_era(
     exposure: DataFrame, concept: DataFrame, concept_ancestor: DataFrame,
     persistence_days: int = 30, zero_supply: str = "plus_one_day",
 ) -> DataFrame:
-    subs = sub_exposures(ingredient_exposures(exposure, concept, concept_ancestor, zero_supply))
-    eras = collapse_intervals(
-        subs, ERA_KEYS, "start_date", "end_date", persistence_days,
-        sums={"drug_exposure_count": F.col("drug_exposure_count"), "days_exposed": F.col("days_exposed")},
-    )
+    """Ingredient eras: sub-exposures merged across the persistence window.
+
+    ``gap_days`` is the era length minus the days its sub-exposures cover.
+    """
+    eras = collapse_twice(
+        ingredient_exposures(exposure, concept, concept_ancestor, zero_supply), ERA_KEYS, "start_date", "end_date",
+        persistence_days, "drug_exposure_count", "days_exposed")
     return eras.select(
         *ERA_KEYS, F.col("start_date").alias("drug_era_start_date"), F.col("end_date").alias("drug_era_end_date"),
         "drug_exposure_count",

@@ -43,6 +43,32 @@ def collapse_intervals(
     )
 
 
+def collapse_twice(
+    df: DataFrame, keys: list[str], start: str, end: str, gap_days: int, count: str, covered: str,
+) -> DataFrame:
+    """Merge overlapping rows, then merge those islands across ``gap_days``;
+    ``count`` is the rows merged and ``covered`` the days spanned by the
+    overlap islands inside each result.
+
+    The latest end before a row is the same for rows and for their islands, so
+    one sorted pass numbers both levels.
+    """
+    daily = df.filter(F.col(end) >= F.col(start)).groupBy(*keys, start).agg(
+        F.max(end).alias(end), F.count(F.lit(1)).alias(count))
+    by_start = Window.partitionBy(*keys).orderBy(start)
+    reach = F.max(end).over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    flagged = daily.withColumn("_reach", reach).select(
+        *keys, start, end, count, F.when(F.col(start) <= F.col("_reach"), 0).otherwise(1).alias("_o1"),
+        F.when(F.col(start) <= F.date_add("_reach", gap_days), 0).otherwise(1).alias("_o2"))
+    running = by_start.rowsBetween(Window.unboundedPreceding, 0)
+    numbered = flagged.withColumn("_sub", F.sum("_o1").over(running)).withColumn("_island", F.sum("_o2").over(running))
+    subs = numbered.groupBy(*keys, "_island", "_sub").agg(
+        F.min(start).alias(start), F.max(end).alias(end), F.sum(count).alias(count))
+    return subs.groupBy(*keys, "_island").agg(
+        F.min(start).alias(start), F.max(end).alias(end), F.sum(count).alias(count),
+        F.sum(F.datediff(end, start).cast("long")).alias(covered)).drop("_island")
+
+
 def interval_union(a: DataFrame, b: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
     """Days covered by either table, as maximal runs of days per key."""
     both = a.select(*keys, start, end).unionByName(b.select(*keys, start, end))

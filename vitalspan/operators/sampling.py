@@ -25,6 +25,10 @@ def take_ordered(df: DataFrame, order: list[Column | str], n: int) -> DataFrame:
 
 def stable_sample(df: DataFrame, person: str, date: str, n: int) -> DataFrame:
     """The same n rows on every run and engine; ties go by person and date."""
+    if n > TOP_LIMIT:
+        keyed = df.withColumn("_key", portable_order(person, date)).withColumn(
+            "_tie", F.col(person) * 100_000 + F.unix_date(date))
+        return row_numbers(keyed, [], ["_key", "_tie"], "_rn").filter(F.col("_rn") <= n).drop("_key", "_tie", "_rn")
     return take_ordered(df, [portable_order(person, date), person, date], n)
 
 

@@ -201,15 +201,16 @@ def measurement_covariate_id(analysis_id: int):
 
 
 def _daily_values(cdm, analysis: DomainAnalysis) -> DataFrame:
-    """The preferred value of each person, measurement and day."""
+    """The lowest value of each person, measurement, unit and day."""
     m = cdm.measurement.filter(
         F.col("value_as_number").isNotNull() & F.col("unit_concept_id").isNotNull() & (F.col("measurement_concept_id") != 0))
     if analysis.exclude:
         m = filter_concepts(m, "measurement_concept_id", analysis.exclude, keep=False)
     if analysis.include:
         m = filter_concepts(m, "measurement_concept_id", analysis.include)
-    return m.groupBy("person_id", "measurement_concept_id", F.col("measurement_date").alias("start_date")).agg(
-        F.min(F.struct("unit_concept_id", "value_as_number")).alias("best"))
+    return m.groupBy(
+        "person_id", "measurement_concept_id", "unit_concept_id", F.col("measurement_date").alias("start_date")
+    ).agg(F.min("value_as_number").alias("value_as_number"))
 
 
 def measurement_values(
@@ -233,10 +234,9 @@ def measurement_values(
         hit = in_window(rows, daily, True, analysis.start_day, analysis.end_day)
     else:
         hit = _latest_any_time(rows, daily, analysis.end_day)
-    best = hit.groupBy(*keys).agg(F.max_by("best", "start_date").alias("best"))
-    flat = best.select(
-        *keys, F.col("best.unit_concept_id").alias("unit_concept_id"),
-        F.col("best.value_as_number").alias("covariate_value")
+    latest = F.max(F.struct("start_date", (-F.col("unit_concept_id")).alias("u"), F.col("value_as_number").alias("v")))
+    flat = hit.groupBy(*keys).agg(latest.alias("best")).select(
+        *keys, (-F.col("best.u")).alias("unit_concept_id"), F.col("best.v").alias("covariate_value")
     ).withColumn("covariate_id", measurement_covariate_id(analysis.analysis_id))
     out = flat.select(*ROW, "covariate_id", *(["time_id"] if windows else []), "covariate_value")
     return filter_concepts(out, "covariate_id", analysis.covariate_ids) if analysis.covariate_ids else out
@@ -249,9 +249,10 @@ def _latest_any_time(rows: DataFrame, daily: DataFrame, end_day: int) -> DataFra
     left = left.withColumn("_year", F.year("_hi"))
     by_day = daily.withColumn("_year", F.year("start_date"))
     same = left.join(by_day, ["person_id", "_year"]).filter(F.col("start_date") <= F.col("_hi"))
-    last = first_per_key(by_day, ["person_id", "measurement_concept_id", "_year"], ["start_date"], descending=True)
+    last = first_per_key(
+        by_day, ["person_id", "measurement_concept_id", "_year"], ["start_date", -F.col("unit_concept_id")], descending=True)
     older = left.join(last.withColumnRenamed("_year", "_then"), "person_id").filter(F.col("_then") < F.col("_year"))
-    cols = [*ROW, "measurement_concept_id", "start_date", "best"]
+    cols = [*ROW, "measurement_concept_id", "start_date", "unit_concept_id", "value_as_number"]
     return same.select(*cols).unionByName(older.select(*cols))
 
 

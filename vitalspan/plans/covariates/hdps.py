@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,53 +57,54 @@ def coded_records(cdm, source: str) -> DataFrame:
     return r.select("person_id", F.col("procedure_concept_id").alias("code"), F.col("procedure_date").alias("start_date"))
 
 
-def frequencies(cdm, cohort: DataFrame, source: str, days: int = LOOKBACK_DAYS) -> DataFrame:
-    """Records per row and code in the lookback window."""
-    daily = coded_records(cdm, source).groupBy("person_id", "code", "start_date").agg(F.count(F.lit(1)).alias("n"))
+def frequencies(cdm, cohort: DataFrame, sources: Sequence[str], days: int = LOOKBACK_DAYS) -> DataFrame:
+    """Records per row, source and code in the lookback window; all sources
+    share one join."""
+    records = reduce(DataFrame.unionByName, [
+        coded_records(cdm, s).withColumn("source", F.lit(s)) for s in sources])
+    daily = records.groupBy("person_id", "source", "code", "start_date").agg(F.count(F.lit(1)).alias("n"))
     rows = cohort.select(
         *ROW, F.col("subject_id").alias("person_id"), F.date_sub("cohort_start_date", days).alias("_lo"),
         F.col("cohort_start_date").alias("_hi"))
     hit = band_join(rows, daily, ["person_id"], "_lo", "_hi", "start_date", days)
-    return hit.groupBy(*ROW, "code").agg(F.sum("n").alias("frequency"))
+    return hit.groupBy(*ROW, "source", "code").agg(F.sum("n").alias("frequency"))
 
 
 def thresholds(freq: DataFrame) -> DataFrame:
-    """Per code the largest frequency at or below the median and upper
-    quartile rank; -9999 where even the first rank lies above."""
-    counts = freq.groupBy("code", "frequency").agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.groupBy("code").agg(F.sum("n").alias("total"))
-    cum = running_totals(counts, ["code"], "frequency", ["n"]).join(totals, "code")
+    """Per source and code the largest frequency at or below the median and
+    upper quartile rank; -9999 where even the first rank lies above."""
+    keys = ["source", "code"]
+    counts = freq.groupBy(*keys, "frequency").agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
+    cum = running_totals(counts, keys, "frequency", ["n"]).join(totals, keys)
     # The lowest rank among rows sharing a frequency decides whether it qualifies.
     rank = (F.col("cum_n") - F.col("n") + 1) / F.col("total")
 
     def largest(q):
         return F.max(F.when(rank <= q, F.col("frequency")).otherwise(-9999))
 
-    return cum.groupBy("code").agg(largest(0.50).alias("median_value"), largest(0.75).alias("q75_value"))
+    return cum.groupBy(*keys).agg(largest(0.50).alias("median_value"), largest(0.75).alias("q75_value"))
 
 
-def flags(freq: DataFrame, source: str) -> DataFrame:
+def flags(freq: DataFrame) -> DataFrame:
     """Any use, use at or above the median, use at or above the upper quartile.
 
     The frequencies feed both the thresholds and the flags, so they are written once.
     """
-    any_id, median_id, upper_id = ANALYSES[source]
     freq = materialize(freq, "frequencies")
-    joined = freq.join(thresholds(freq), "code")
+    joined = freq.join(thresholds(freq), ["source", "code"])
+    ids = F.create_map(*[x for s, a in ANALYSES.items() for x in (F.lit(s), F.array(*[F.lit(i) for i in a]))])
+    a = ids[F.col("source")]
     f, med, q75 = F.col("frequency"), F.col("median_value"), F.col("q75_value")
-    levels = F.array(
-        F.lit(any_id), F.when((f >= med) & (med > 1), F.lit(median_id)), F.when((f >= q75) & (q75 > med), F.lit(upper_id)))
+    levels = F.array(a[0], F.when((f >= med) & (med > 1), a[1]), F.when((f >= q75) & (q75 > med), a[2]))
     return joined.select(
-        *ROW, "code", F.explode(F.filter(levels, lambda a: a.isNotNull())).alias("analysis_id")
+        *ROW, "code", F.explode(F.filter(levels, lambda i: i.isNotNull())).alias("analysis_id")
     ).select(*ROW, (F.col("code") * 1000 + F.col("analysis_id")).alias("covariate_id"), F.lit(1.0).alias("covariate_value"))
 
 
-def hdps_covariates(cdm, cohort: DataFrame, sources=tuple(ANALYSES)) -> DataFrame:
-    out = None
-    for source in sources:
-        part = flags(frequencies(cdm, cohort, source), source)
-        out = part if out is None else out.unionByName(part)
-    return out.distinct()
+def hdps_covariates(cdm, cohort: DataFrame, sources: Sequence[str] = tuple(ANALYSES)) -> DataFrame:
+    """All feature sources; their covariate ids never coincide."""
+    return flags(frequencies(cdm, cohort, sources))
 
 
 def drop_small_counts(covariates: DataFrame, max_dropped: int) -> DataFrame:

@@ -165,3 +165,25 @@ def test_sparse_and_dense_assembly_agree(frame, monkeypatch):
     monkeypatch.setattr(X, "DENSE_LIMIT", 1)
     sparse = {r.row_id: list(r.features.toArray()) for r in X.to_vectors(cov)[0].collect()}
     assert dense == sparse == {1: [2.0, 3.0], 2: [1.0, 0.0]}
+
+
+def test_evaluation_frames_fit_the_result_store(frame, tmp_path, spark):
+    from vitalspan.sources import store
+
+    df, rows = predictions(frame)
+    df = df.withColumn("age_year", 40 + F.col("row_id") % 20).withColumn("gender", F.lit(8507))
+    frames = E.evaluate(df)
+    stats = {r.metric: r.value for r in frames["evaluation_statistics"].collect()}
+    assert stats["population_size"] == len(rows) and 0 <= stats["auc"] <= 1
+    store.write_result(frames["evaluation_statistics"].withColumn("performance_id", F.lit(1)), "evaluation_statistics", str(tmp_path))
+    store.write_result(frames["threshold_summary"].withColumn("performance_id", F.lit(1)), "threshold_summary", str(tmp_path))
+    assert store.read_result(spark, "evaluation_statistics", str(tmp_path)).count() == len(stats)
+    assert store.read_result(spark, "threshold_summary", str(tmp_path)).first().prediction_threshold is not None
+
+
+def test_generated_designs_skip_done_ones(frame):
+    from vitalspan.plans.prediction import multi as U
+
+    todo = U.designs([1, 3], [3], [N.PopulationSpec()], [M.ModelSpec("dt"), M.ModelSpec("rf")])
+    assert [(d.target_id, d.model.kind) for d in todo] == [(1, "dt"), (1, "rf")]
+    assert len({d.key() for d in todo}) == 2

@@ -37,10 +37,11 @@ def test_running_totals_equal_window(frame):
 
 
 def test_order_bucket_is_monotone(frame):
-    values = sorted([-1e9, -1.0, -1e-12, 0.0, 1e-300, 1e-9, 0.1, 0.1000001, 1.0, 1.5, 2.0, 1e9])
-    df = frame([(v,) for v in values], "v double")
+    values = sorted([float("-inf"), float("inf"), -1e9, -1.0, -1e-12, 0.0, 1e-300, 1e-9, 0.1, 0.1000001, 1.0, 1.5, 2.0, 1e9])
+    df = frame([(str(v),) for v in values], "v string").select(F.col("v").cast("double").alias("v"))
+    df = df.unionByName(frame([(None,)], "v double")).unionByName(frame([("NaN",)], "v string").select(F.col("v").cast("double").alias("v")))
     got = [r.b for r in df.withColumn("b", R.order_bucket(df, "v")).orderBy("v").collect()]
-    assert got == sorted(got)
+    assert got == sorted(got) and len(got) == len(values) + 2
 
 
 def test_text_ids_follow_value_order(frame):

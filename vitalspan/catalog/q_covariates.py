@@ -367,6 +367,25 @@ def _(cdm):
     return day.unionByName(month)
 
 
+_SPANS = ((1, -90, -31), (2, -30, 0), (3, -365, 0))
+_TEMPORAL_LABS = _latest(705, "measurement_date BETWEEN cohort_start_date + a AND cohort_start_date + b", ", time_id", ", time_id").replace(
+    "WHERE value_as_number IS NOT NULL", f"JOIN (VALUES {', '.join(map(str, _SPANS))}) AS tp(time_id, a, b) ON measurement_date BETWEEN cohort_start_date + a AND cohort_start_date + b WHERE value_as_number IS NOT NULL").replace(
+    "subject_id = person_id AND measurement_date BETWEEN cohort_start_date + a AND cohort_start_date + b JOIN", "subject_id = person_id JOIN")
+
+
+@query("cov_temporal_measurement", "time_id:l row_id:l covariate_id:l covariate_value:f", _TEMPORAL_LABS)
+def _(cdm):
+    return D.measurement_values(cdm, cdm.cohort_rows, LABS_LONG, _SPANS)
+
+
+@query(
+    "cov_temporal_measurement_agg", f"cohort_definition_id:l time_id:l covariate_id:l {DIST}",
+    _nonmissing(_TEMPORAL_LABS, "cohort_definition_id, time_id, covariate_id"),
+)
+def _(cdm):
+    return D.aggregate_measurements(D.measurement_values(cdm, cdm.cohort_rows, LABS_LONG, _SPANS), ["time_id"])
+
+
 @query("cov_cohort_attr", COV, f"SELECT row_id, 1 AS covariate_id, date_diff('day', observation_period_start_date, cohort_start_date) AS covariate_value {_OP}")
 def _(cdm):
     return G.attribute_covariates(cdm.cohort_rows, G.observation_length_attribute(cdm, cdm.cohort_rows), include=[1])
@@ -513,6 +532,20 @@ def _(cdm):
     return T.binary_differences(agg, 1, 2)
 
 
+_LAB_DIST = _nonmissing(_latest(705, "measurement_date " + _WINDOW))
+
+
+@query(
+    "std_diff_continuous", "covariate_id:l mean_1:f mean_2:f std_diff:f",
+    f"""SELECT a.covariate_id, a.average_value AS mean_1, b.average_value AS mean_2,
+      (a.average_value - b.average_value) / NULLIF(sqrt((power(a.standard_deviation, 2) + power(b.standard_deviation, 2)) / 2), 0) AS std_diff
+      FROM ({_LAB_DIST}) a JOIN ({_LAB_DIST}) b ON a.covariate_id = b.covariate_id WHERE a.cohort_definition_id = 1 AND b.cohort_definition_id = 2""",
+)
+def _(cdm):
+    labs = D.aggregate_measurements(D.measurement_values(cdm, cdm.cohort_rows, LABS_LONG))
+    return T.continuous_differences(labs, 1, 2)
+
+
 @query(
     "rank_by_abs_diff", "rank:l covariate_id:l std_diff:f",
     f"""SELECT row_number() OVER (ORDER BY round(abs(d), 9) DESC, covariate_id) AS rank, covariate_id, d AS std_diff FROM (

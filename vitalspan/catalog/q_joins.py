@@ -210,17 +210,20 @@ def _(cdm):
 
 @query("case_total_join", "signal:s ingredient_name:s condition_source_value:s case_count:l total_count:l", _report(G.LIVER, "liver"))
 def _(cdm):
+    cdm.pin("drug_era")
     return G.case_counts(cdm, G.LIVER).join(G.total_case_counts(cdm, G.LIVER), "condition_source_value").withColumn("signal", F.lit("liver"))
 
 
 @query("case_total_report", "signal:s ingredient_name:s condition_source_value:s case_count:l total_count:l", f"{_report(G.LIVER, 'liver')} UNION ALL {_report(G.KIDNEY, 'kidney')}")
 def _(cdm):
+    cdm.pin("drug_era")
     liver = G.case_total_report(cdm, G.LIVER).withColumn("signal", F.lit("liver"))
     return liver.unionByName(G.case_total_report(cdm, G.KIDNEY).withColumn("signal", F.lit("kidney")))
 
 
 @query("ordered_report", "ingredient_name:s condition_source_value:s case_count:l total_count:l", f"SELECT ingredient_name, condition_source_value, case_count, total_count FROM ({_report(G.KIDNEY, 'k')}) ORDER BY 1, 2")
 def _(cdm):
+    cdm.pin("drug_era")
     return G.case_total_report(cdm, G.KIDNEY)
 
 

@@ -13,22 +13,24 @@ from pyspark.sql import functions as F
 
 def collapse_intervals(
     df: DataFrame, keys: list[str], start: str, end: str, gap_days: int = 0,
-    sums: dict[str, object] | None = None, count: str | None = None,
+    sums: dict[str, object] | None = None, count: str | None = None, unique_starts: bool = False,
 ) -> DataFrame:
     """Merge intervals whose start is at most ``gap_days`` after the latest
     end seen so far. ``sums`` adds per-island totals (name -> column),
     ``count`` names a column with the number of merged rows.
 
-    Rows that end before they start are dropped.
+    Rows that end before they start are dropped. ``unique_starts`` promises one
+    row per key and start, which saves the first exchange.
     """
     measures = dict(sums or {})
     if count:
         measures[count] = F.lit(1).cast("long")
-    daily = (
-        df.filter(F.col(end) >= F.col(start))
-        .groupBy(*keys, start)
-        .agg(F.max(end).alias(end), *[F.sum(c).alias(n) for n, c in measures.items()])
-    )
+    valid = df.filter(F.col(end) >= F.col(start))
+    if unique_starts:
+        daily = valid.select(*keys, start, end, *[c.alias(n) for n, c in measures.items()])
+    else:
+        daily = valid.groupBy(*keys, start).agg(
+            F.max(end).alias(end), *[F.sum(c).alias(n) for n, c in measures.items()])
     by_start = Window.partitionBy(*keys).orderBy(start)
     earlier = by_start.rowsBetween(Window.unboundedPreceding, -1)
     reach = F.date_add(F.max(end).over(earlier), gap_days)

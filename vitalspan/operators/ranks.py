@@ -34,8 +34,11 @@ def order_bucket(df: DataFrame, name: str) -> Column:
     if isinstance(kind, T.StringType):
         return F.substring(c, 1, 4)
     x = c.cast("double")
-    step = lambda v: F.floor(F.log(v) * F.lit(_RESOLUTION)) + F.lit(_CENTRE)
-    return F.when(x > 0, step(x)).when(x < 0, -step(-x)).otherwise(F.lit(0)).cast("long")
+    # Clamped so that infinities stay in range; nulls sort first and NaN last.
+    step = lambda v: F.floor(F.least(F.log(v) * F.lit(_RESOLUTION), F.lit(1.6e6))) + F.lit(_CENTRE)
+    return (
+        F.when(x.isNull(), -2 * _CENTRE).when(F.isnan(x), 2 * _CENTRE).when(x > 0, step(x)).when(x < 0, -step(-x))
+        .otherwise(0).cast("long"))
 
 
 def _part(keys: list[str]):

@@ -12,6 +12,7 @@ import hashlib
 import json
 from collections import defaultdict
 from collections.abc import Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, replace
 from functools import reduce
 
@@ -174,13 +175,26 @@ def entry_events(cdm, definitions: Sequence[CohortDefinition]) -> DataFrame:
     return events
 
 
+def one_event_per_day(definitions: Sequence[CohortDefinition]) -> bool:
+    """Whether entry events are unique per cohort, person and start by
+    construction: days of lab results, deaths, first events, or eras of a
+    single ingredient."""
+    entry = definitions[0].entry
+    return (
+        not isinstance(entry, DrugEntry) or definitions[0].first_only
+        or all(len(set(d.entry.concepts)) == 1 for d in definitions))
+
+
 def qualified_events(cdm, definitions: Sequence[CohortDefinition]) -> DataFrame:
     """Entry events inside an observation period with enough days on both sides."""
     d = definitions[0]
     events = period_of(entry_events(cdm, definitions), cdm.observation_period, "start_date")
     enough = (F.date_add("op_start_date", d.prior_days) <= F.col("start_date")) & (
         F.date_add("start_date", d.post_days) <= F.col("op_end_date"))
-    return events.filter(enough).groupBy(*EVENT).agg(F.sum("n").alias("n"))
+    kept = events.filter(enough)
+    if one_event_per_day(definitions):
+        return kept.select(*EVENT, "n")
+    return kept.groupBy(*EVENT).agg(F.sum("n").alias("n"))
 
 
 # --- inclusion rules --------------------------------------------------------------
@@ -229,8 +243,13 @@ def inclusion_mask(flagged: DataFrame, n_rules: int) -> DataFrame:
 
 
 def masked_events(cdm, definitions: Sequence[CohortDefinition]) -> DataFrame:
+    """Qualified events with their rule mask. Lab rules read the events twice,
+    so those are written first."""
     rules = definitions[0].rules
-    return inclusion_mask(rule_flags(cdm, qualified_events(cdm, definitions), rules), len(rules))
+    events = qualified_events(cdm, definitions)
+    if any(isinstance(r, LabRule) for r in rules):
+        events = materialize(events, "qualified")
+    return inclusion_mask(rule_flags(cdm, events, rules), len(rules))
 
 
 def included(masked: DataFrame, definition: CohortDefinition) -> DataFrame:
@@ -251,13 +270,14 @@ def exit_observation_end(events: DataFrame) -> DataFrame:
     return events.withColumn("exit_date", F.col("op_end_date"))
 
 
-def final_cohort(events: DataFrame, definition: CohortDefinition) -> DataFrame:
+def final_cohort(events: DataFrame, definition: CohortDefinition, unique_days: bool = False) -> DataFrame:
     """One valid exit per event, then merge overlapping stays."""
     ends = (
         exit_observation_end(events) if definition.exit_days is None
         else exit_fixed_offset(events, definition.exit_days))
     merged = collapse_intervals(
-        ends, ["cohort_definition_id", "person_id"], "start_date", "exit_date", definition.gap_days)
+        ends, ["cohort_definition_id", "person_id"], "start_date", "exit_date", definition.gap_days,
+        unique_starts=unique_days)
     return merged.select(
         "cohort_definition_id", F.col("person_id").alias("subject_id"), F.col("start_date").alias("cohort_start_date"),
         F.col("exit_date").alias("cohort_end_date"))
@@ -271,7 +291,8 @@ def families(definitions: Iterable[CohortDefinition]) -> list[list[CohortDefinit
 
 
 def build_family(cdm, family: Sequence[CohortDefinition]) -> DataFrame:
-    return final_cohort(included(masked_events(cdm, family), family[0]), family[0])
+    events = included(masked_events(cdm, family), family[0])
+    return final_cohort(events, family[0], one_event_per_day(family))
 
 
 def unique_definitions(definitions: Iterable[CohortDefinition]) -> list[CohortDefinition]:
@@ -283,8 +304,14 @@ def unique_definitions(definitions: Iterable[CohortDefinition]) -> list[CohortDe
 
 
 def build_cohorts(cdm, definitions: Iterable[CohortDefinition]) -> DataFrame:
-    """All cohorts; definitions sharing a template are built together."""
-    return reduce(DataFrame.unionByName, [build_family(cdm, f) for f in families(definitions)])
+    """All cohorts; definitions sharing a template are built together.
+
+    Families are independent, so their written stages run side by side.
+    """
+    groups = families(definitions)
+    with ThreadPoolExecutor(max_workers=min(4, len(groups))) as pool:
+        built = list(pool.map(lambda f: build_family(cdm, f), groups))
+    return reduce(DataFrame.unionByName, built)
 
 
 # --- statistics ---------------------------------------------------------------------

@@ -18,7 +18,7 @@ def _read_manifest(spark: SparkSession, path: str) -> dict[int, tuple[str, int]]
     from pyspark.errors import AnalysisException
 
     try:
-        rows = spark.read.schema(_MANIFEST).parquet(path).limit(1_000_000).collect()
+        rows = spark.read.schema(_MANIFEST).parquet(path).collect()
     except AnalysisException:
         return {}
     latest: dict[int, tuple[str, int]] = {}

@@ -345,10 +345,10 @@ def _(cdm):
     return S.new_user_cohorts(cdm, _NU)
 
 
-_T2DM = f"""SELECT v.person_id, min(visit_start_date) AS sd FROM visit_occurrence v JOIN observation_period o ON o.person_id = v.person_id JOIN condition_occurrence c ON c.person_id = v.person_id
-  WHERE visit_concept_id IN (9201, 9203) AND date_diff('day', observation_period_start_date, visit_start_date) > 90 AND visit_start_date > observation_period_start_date
-  AND date_diff('day', visit_start_date, observation_period_end_date) > 60 AND visit_start_date < observation_period_end_date AND date_diff('day', condition_start_date, visit_start_date) > 90 AND condition_start_date <= visit_start_date
-  AND condition_concept_id IN (SELECT descendant_concept_id FROM concept_ancestor WHERE ancestor_concept_id = {P.TYPE_2_DIABETES}) GROUP BY 1"""
+_T2DM = f"""SELECT v.person_id, min(visit_start_date) AS sd FROM visit_occurrence v
+  JOIN (SELECT person_id, min(condition_start_date) AS onset FROM condition_occurrence JOIN concept_ancestor ON descendant_concept_id = condition_concept_id AND ancestor_concept_id = {P.TYPE_2_DIABETES} GROUP BY 1) dm ON dm.person_id = v.person_id AND onset + 90 < visit_start_date
+  JOIN observation_period o ON o.person_id = v.person_id AND observation_period_start_date + 90 < visit_start_date AND visit_start_date + 60 < observation_period_end_date
+  WHERE visit_concept_id = 9201 OR visit_concept_id = 9203 GROUP BY 1"""
 _READMIT = f"SELECT 2 AS cohort_definition_id, v.person_id AS subject_id, visit_start_date AS cohort_start_date, visit_end_date AS cohort_end_date FROM ({_T2DM}) t JOIN visit_occurrence v ON v.person_id = t.person_id AND visit_concept_id IN (9201, 9203) AND visit_start_date > sd AND visit_start_date <= sd + 60"
 
 
@@ -362,9 +362,10 @@ def _(cdm):
     return S.t2dm_hospitalisation(cdm, 90, 60).filter(F.col("cohort_definition_id") == 2)
 
 
-_STROKE = f"""SELECT DISTINCT 2 AS cohort_definition_id, v.person_id AS subject_id, visit_start_date AS cohort_start_date, visit_end_date AS cohort_end_date FROM condition_occurrence c JOIN visit_occurrence v ON v.person_id = c.person_id
-  AND condition_start_date BETWEEN visit_start_date AND visit_end_date AND visit_concept_id IN (9201, 262) WHERE condition_concept_id IN
-  (SELECT descendant_concept_id FROM concept_ancestor WHERE ancestor_concept_id IN (443454) OR descendant_concept_id IN (441874, 375557, 372924))"""
+_STROKE_SET = """(SELECT descendant_concept_id FROM concept_ancestor WHERE ancestor_concept_id = 443454
+  UNION SELECT descendant_concept_id FROM concept_ancestor WHERE descendant_concept_id IN (375557, 372924, 441874))"""
+_STROKE = f"""SELECT 2 AS cohort_definition_id, person_id AS subject_id, visit_start_date AS cohort_start_date, visit_end_date AS cohort_end_date FROM visit_occurrence v WHERE visit_concept_id IN (262, 9201)
+  AND EXISTS (SELECT 1 FROM condition_occurrence c WHERE c.person_id = v.person_id AND condition_start_date BETWEEN visit_start_date AND visit_end_date AND condition_concept_id IN {_STROKE_SET}) GROUP BY ALL"""
 _AF = f"""SELECT 1 AS cohort_definition_id, a.person_id AS subject_id, sd AS cohort_start_date, observation_period_end_date AS cohort_end_date FROM
   (SELECT person_id, min(condition_start_date) AS sd FROM condition_occurrence WHERE condition_concept_id IN (SELECT descendant_concept_id FROM concept_ancestor WHERE ancestor_concept_id = {P.ATRIAL_FIBRILLATION}) GROUP BY 1) a
   JOIN observation_period o ON o.person_id = a.person_id AND sd >= observation_period_start_date + 180 AND sd <= observation_period_end_date

@@ -32,15 +32,15 @@ def _share(rows: str, extra: str = "") -> str:
 
 
 def _zero_filled(rows: str, keys: str = "cohort_definition_id, covariate_id") -> str:
-    """Independent form: ranks over observed values plus the count of absent rows."""
+    """Independent form: every cohort row gets a value or zero; discrete
+    quantiles of that list, except where the zeros end exactly at the rank."""
     qs = ", ".join(
-        f"CASE WHEN {q} * any_value(size) < any_value(size) - any_value(cnt) THEN 0 ELSE min(CASE WHEN acc + any_size - cnt >= {q} * any_size THEN covariate_value END) END AS {n}"
+        f"CASE WHEN {q} * count(*) = count(*) - count(x) THEN min(x) ELSE quantile_disc(v, {q}) END AS {n}"
         for n, q in (("median_value", .5), ("p10_value", .1), ("p25_value", .25), ("p75_value", .75), ("p90_value", .9)))
-    return f"""SELECT {keys}, any_value(cnt) AS count_value, CASE WHEN any_value(cnt) = any_value(size) THEN min(covariate_value) ELSE 0 END AS min_value,
-      max(covariate_value) AS max_value, sum(covariate_value) / any_value(size) AS average_value,
-      COALESCE(stddev_samp(covariate_value), 0) AS standard_deviation, {qs}
-      FROM (SELECT *, size AS any_size, count(*) OVER (PARTITION BY {keys}) AS cnt, count(*) OVER (PARTITION BY {keys} ORDER BY covariate_value RANGE UNBOUNDED PRECEDING) AS acc
-        FROM ({rows}) r JOIN ({_sizes()}) z ON cd = cohort_definition_id) GROUP BY {keys}"""
+    return f"""SELECT cohort_definition_id, covariate_id, count(x) AS count_value, min(v) AS min_value, max(v) AS max_value, avg(v) AS average_value,
+      COALESCE(stddev_samp(x), 0) AS standard_deviation, {qs} FROM (SELECT c.cohort_definition_id, k.covariate_id, covariate_value AS x, COALESCE(covariate_value, 0) AS v FROM cohort_rows c
+        JOIN (SELECT DISTINCT cohort_definition_id, covariate_id FROM ({rows})) k ON k.cohort_definition_id = c.cohort_definition_id
+        LEFT JOIN ({rows}) r ON r.row_id = c.row_id AND r.covariate_id = k.covariate_id) GROUP BY {keys}"""
 
 
 def _nonmissing(rows: str, keys: str = "cohort_definition_id, covariate_id") -> str:
@@ -87,8 +87,9 @@ def _(cdm):
     return D.aggregate_flags(D.domain_flags(cdm, cdm.cohort_rows, CONDITIONS), cdm.cohort_rows)
 
 
-_DRUG_GROUPS = """SELECT DISTINCT descendant_concept_id, ancestor_concept_id FROM concept_ancestor JOIN concept ON ancestor_concept_id = concept_id
-  WHERE (vocabulary_id = 'ATC' AND length(concept_code) IN (1, 3, 4, 5)) OR (standard_concept = 'S' AND concept_class_id = 'Ingredient' AND domain_id = 'Drug')"""
+_DRUG_GROUPS = """SELECT descendant_concept_id, ancestor_concept_id FROM concept_ancestor WHERE ancestor_concept_id IN (
+    SELECT concept_id FROM concept WHERE vocabulary_id = 'ATC' AND length(concept_code) BETWEEN 1 AND 5 AND length(concept_code) <> 2
+    UNION SELECT concept_id FROM concept WHERE domain_id = 'Drug' AND concept_class_id = 'Ingredient' AND standard_concept = 'S') GROUP BY ALL"""
 
 
 @query(
@@ -144,10 +145,12 @@ def _(cdm):
     return D.aggregate_counts(counts, cdm.cohort_rows)
 
 
-def _latest(analysis: int, condition: str, extra: str = "", part: str = "") -> str:
-    return f"""SELECT cohort_definition_id, row_id{extra}, measurement_concept_id * 1000000 + (unit_concept_id % 1000) * 1000 + {analysis} AS covariate_id, value_as_number AS covariate_value FROM (
-      SELECT *, row_number() OVER (PARTITION BY row_id, measurement_concept_id{part} ORDER BY measurement_date DESC, unit_concept_id, value_as_number) AS rn
-      FROM cohort_rows JOIN measurement ON subject_id = person_id AND {condition} WHERE value_as_number IS NOT NULL) WHERE rn = 1"""
+def _latest(analysis: int, condition: str, extra: str = "", part: str = "", windows: str = "") -> str:
+    """Ordered aggregate: the pick per row and measurement (and window)."""
+    order = "ORDER BY measurement_date DESC, unit_concept_id, value_as_number"
+    return f"""SELECT cohort_definition_id, row_id{extra}, measurement_concept_id * 1000000 + (unit % 1000) * 1000 + {analysis} AS covariate_id, covariate_value FROM (
+      SELECT cohort_definition_id, row_id{extra}, measurement_concept_id, first(unit_concept_id {order}) AS unit, first(value_as_number {order}) AS covariate_value
+      FROM cohort_rows JOIN (SELECT * FROM measurement WHERE value_as_number IS NOT NULL) m ON subject_id = person_id {windows} WHERE {condition} GROUP BY cohort_definition_id, row_id, measurement_concept_id{part})"""
 
 
 LABS_LONG = D.DomainAnalysis("measurement", 705)
@@ -291,8 +294,8 @@ def _freq_sql(source):
 
 
 def _threshold_sql(freq):
-    return f"""SELECT code, max(CASE WHEN quantile <= 0.50 THEN frequency ELSE -9999 END) AS median_value, max(CASE WHEN quantile <= 0.75 THEN frequency ELSE -9999 END) AS q75_value
-      FROM (SELECT code, frequency, 1.0 * row_number() OVER (PARTITION BY code ORDER BY frequency) / count(*) OVER (PARTITION BY code) AS quantile FROM ({freq})) GROUP BY code"""
+    return f"""SELECT code, COALESCE(max(frequency) FILTER (WHERE place <= 0.50 * size), -9999) AS median_value, COALESCE(max(frequency) FILTER (WHERE place <= 0.75 * size), -9999) AS q75_value
+      FROM (SELECT *, rank() OVER w AS place, count(*) OVER (PARTITION BY code) AS size FROM ({freq}) WINDOW w AS (PARTITION BY code ORDER BY frequency)) GROUP BY code"""
 
 
 def _flags_sql(source):
@@ -368,9 +371,9 @@ def _(cdm):
 
 
 _SPANS = ((1, -90, -31), (2, -30, 0), (3, -365, 0))
-_TEMPORAL_LABS = _latest(705, "measurement_date BETWEEN cohort_start_date + a AND cohort_start_date + b", ", time_id", ", time_id").replace(
-    "WHERE value_as_number IS NOT NULL", f"JOIN (VALUES {', '.join(map(str, _SPANS))}) AS tp(time_id, a, b) ON measurement_date BETWEEN cohort_start_date + a AND cohort_start_date + b WHERE value_as_number IS NOT NULL").replace(
-    "subject_id = person_id AND measurement_date BETWEEN cohort_start_date + a AND cohort_start_date + b JOIN", "subject_id = person_id JOIN")
+_TEMPORAL_LABS = _latest(
+    705, "measurement_date BETWEEN cohort_start_date + a AND cohort_start_date + b", ", time_id", ", time_id",
+    f", (VALUES {', '.join(map(str, _SPANS))}) AS tp(time_id, a, b)")
 
 
 @query("cov_temporal_measurement", "time_id:l row_id:l covariate_id:l covariate_value:f", _TEMPORAL_LABS)

@@ -111,7 +111,8 @@ def _eras(spec, drugs: bool) -> str:
 
 
 def _clean(spec, drugs: bool) -> str:
-    return f"""SELECT aa.* FROM ({_eras(spec, drugs)}) aa LEFT JOIN (SELECT * FROM condition_occurrence WHERE {_prefix(spec.prior_codes)}) b ON b.person_id = aa.person_id AND b.condition_start_date < sd - 60 WHERE b.person_id IS NULL"""
+    return f"""SELECT * FROM ({_eras(spec, drugs)}) era WHERE NOT EXISTS (SELECT 1 FROM condition_occurrence past
+      WHERE past.person_id = era.person_id AND past.condition_start_date + 60 < sd AND {_prefix(spec.prior_codes, 'past.condition_source_value')})"""
 
 
 def _outcome(spec, drugs: bool) -> str:

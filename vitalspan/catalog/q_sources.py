@@ -10,7 +10,6 @@ from vitalspan.session import materialize, scratch_path
 from vitalspan.sources import io, store
 from vitalspan.sources.cdm import load_cdm
 from vitalspan.sources.derived import RAW_TABLES
-from vitalspan.sources.schemas import conform
 
 
 @query(

@@ -160,18 +160,30 @@ def _(cdm):
     return S.value_tally(cdm.lineitem, ["l_orderkey", "l_linenumber"])
 
 
-@query(
-    "vec_match", "row_id:l first_event:l later_events:l",
-    """SELECT row_id, (SELECT min(o_orderkey) FROM orders WHERE o_custkey = subject_id) AS first_event,
-       (SELECT count(*) FROM orders WHERE o_custkey = subject_id AND CAST(o_orderdate AS DATE) >= cohort_start_date) AS later_events FROM cohort_rows""",
-)
+@query("vec_duplicate", "l_orderkey:l l_linenumber:l n:l", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def _(cdm):
+    return S.value_tally(cdm.lineitem, ["l_orderkey", "l_linenumber"]).filter("duplicated")
+
+
+@query("vec_count", "event_type:s n:l", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def _(cdm):
+    return S.value_tally(cdm.events, ["event_type"])
+
+
+@query("vec_match", "row_id:l first_event:l", "SELECT row_id, (SELECT min(o_orderkey) FROM orders WHERE o_custkey = subject_id) AS first_event FROM cohort_rows")
+def _(cdm):
+    needles = cdm.cohort_rows.select("row_id", "subject_id")
+    hay = cdm.orders.select(F.col("o_custkey").alias("subject_id"), F.col("o_orderkey").alias("first_event"))
+    return S.match_first(needles, hay, ["subject_id"], ["first_event"])
+
+
+@query("locate_matches", "row_id:l days:l events:l", "SELECT row_id, count(DISTINCT CAST(o_orderdate AS DATE)) AS days, count(*) AS events FROM cohort_rows JOIN orders ON o_custkey = subject_id AND CAST(o_orderdate AS DATE) >= cohort_start_date GROUP BY 1")
 def _(cdm):
     needles = cdm.cohort_rows.select("row_id", "subject_id", "cohort_start_date")
-    hay = cdm.orders.select(F.col("o_custkey").alias("subject_id"), "o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
-    first = S.match_first(needles, hay.select("subject_id", F.col("o_orderkey").alias("first_event")), ["subject_id"], ["first_event"])
+    hay = cdm.orders.select(F.col("o_custkey").alias("subject_id"), F.col("o_orderdate").cast("date").alias("day"))
     daily = hay.groupBy("subject_id", "day").agg(F.count(F.lit(1)).alias("n"))
-    later = S.locate_matches(needles, daily, ["subject_id"], ("cohort_start_date", "day")).groupBy("row_id").agg(F.sum("n").alias("later_events"))
-    return first.join(later, "row_id", "left").fillna(0, ["later_events"])
+    matches = S.locate_matches(needles, daily, ["subject_id"], ("cohort_start_date", "day"))
+    return matches.groupBy("row_id").agg(F.count(F.lit(1)).alias("days"), F.sum("n").alias("events"))
 
 
 @query(

@@ -16,7 +16,7 @@ from vitalspan.functions.predicates import filter_concepts, range_group
 from vitalspan.operators.ranges import band_join, overlap_join
 from vitalspan.operators.ranks import first_per_key
 from vitalspan.operators.summaries import continuous_summary, nonmissing_summary
-from vitalspan.operators.vocab import condition_groups, drug_groups
+from vitalspan.operators.vocab import condition_groups, drug_groups, expand_descendants
 from vitalspan.plans import params as P
 from vitalspan.session import checked_broadcast, literal_frame
 
@@ -288,8 +288,6 @@ def exclude_with_descendants(cdm, analysis: DomainAnalysis, ids: Sequence[int])
     The expanded list is settings data: it is read back and stored with the
     analysis, and a list too long to store is refused.
     """
-    from vitalspan.operators.vocab import expand_descendants
-
     rows = expand_descendants(cdm.concept_ancestor, ids).limit(10_001).collect()
     if len(rows) > 10_000:
         raise ValueError("more than 10,000 excluded concepts: join against a concept table instead")

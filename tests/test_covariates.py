@@ -103,3 +103,26 @@ def test_extract_runs_custom_builders(cdm):
     out = extract(cdm, cdm.cohort_rows, CovariateSettings(demographics=("gender",), scores=("charlson",), custom=(flag,)))
     seen = {r[0] % 1000 for r in out.covariates.select("covariate_id").distinct().collect()}
     assert seen == {1, 901, 77}
+
+
+def test_age_map_accepts_column_functions_and_pandas_udfs(spark, people, cohort):
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("double")
+    def halved(age: pd.Series) -> pd.Series:
+        return age / 2
+
+    t = Tables(spark, person=people)
+    for mapping in (halved, lambda age: age / 2):
+        got = {r.row_id: r.covariate_value for r in C.age_map_covariate(t, cohort, mapping).collect()}
+        assert got == {11: 20.0, 12: 40.0}
+
+
+def test_outside_cohort_members_are_dropped(spark, frame, people, cohort, labs):
+    other = to_date(frame([(5, 1, "2000-05-20", "2000-05-25")], "cohort_definition_id long, subject_id long, cohort_start_date string, cohort_end_date string"), "cohort_start_date", "cohort_end_date")
+    t = Tables(spark, person=people, measurement=labs)
+    spec = C.MeasurementCovariate((7,), start_day=-60, reduce="max")
+    inside = C.measurement_cohort_covariate(t, cohort, other, 5, spec, "in").collect()
+    assert [(r.row_id, r.covariate_value) for r in inside] == [(11, 99.0)]
+    assert C.measurement_cohort_covariate(t, cohort, other, 5, spec, "out").count() == 0

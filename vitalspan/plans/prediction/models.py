@@ -200,7 +200,7 @@ class KnnModel:
         """Exact k nearest neighbours as a block join: every pair of a test
         block and a training block is one task that keeps k per test row; the
         k best over all training blocks vote."""
-        frame, _ = design(covariates, population, self.index)
+        frame = materialize(design(covariates, population, self.index)[0].select("row_id", "features"), "test")
         n_test = max(1, math.ceil(frame.count() / self.test_block))
         n_train = max(1, math.ceil(self.train.count() / self.train_block))
         block = lambda n: F.pmod(F.xxhash64("row_id"), F.lit(n)).cast("int")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from vitalspan.operators.ranks import hash_fraction, hash_order, row_numbers
 from vitalspan.operators.sampling import hashed_sample
 from vitalspan.operators.summaries import discrete_percentiles
+from vitalspan.session import materialize
 
 
 @dataclass(frozen=True)
@@ -71,7 +72,7 @@ def undersample(population: DataFrame, non_outcomes_per_outcome: float, seed: in
 
 def random_sample_n(labels: DataFrame, members: dict[str, DataFrame], n: int, seed: int = 0) -> dict[str, DataFrame]:
     """The same n rows kept in the labels and every companion frame."""
-    chosen = hashed_sample(labels.select("row_id"), "row_id", n, seed)
+    chosen = materialize(hashed_sample(labels.select("row_id"), "row_id", n, seed), "sample")
     return {k: f.join(chosen, "row_id", "left_semi") for k, f in {"labels": labels, **members}.items()}
 
 

@@ -7,11 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalspan.llm import mixing, quality_rules, url_filter
+from vitalspan.llm import fingerprints, html_text, language, mixing, quality_rules, url_filter
 from vitalspan.llm.common import table
 from vitalspan.session import configure
 
 
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every whole document, learned from three quarters of them."""
+    docs = table(configure(spark), folder, "documents")
+    found = language.identify(docs, language.train(docs.where(~language.held_out())))
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+def op6_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract_pages(table(configure(spark), folder, "pages"))
+
+
+def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprints.fingerprint_documents(table(configure(spark), folder, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Verdict on every page's URL: the longest place rule, else pattern rules."""
     judged = url_filter.judge_urls(table(configure(spark), folder, "pages"))
@@ -33,7 +50,8 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op7_url_filter, op9_source_mixing, op10_quality_rules)}
+    f.__name__: f for f in (
+        op1_language_id, op6_html_extraction, op7_url_filter, op8_fingerprints, op9_source_mixing, op10_quality_rules)}
 
 
 def _url_sql() -> str:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalspan.llm.batches import code_points, map_rows
+from vitalspan.llm.batches import code_points, map_rows, share_code
 
 #: Two primes below 2**31, so that products fit in 64 bits, and bases for them.
 PRIMES = (2147483647, 2147483629)
@@ -161,6 +161,7 @@ def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "tex
     number per range.
     """
     spark = docs.sparkSession
+    share_code(spark)
     rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = 8 * tasks

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalspan.llm import fingerprints, html_text, language, mixing, near_dedup, quality_rules, url_filter
+from vitalspan.llm import fingerprints, html_text, language, mixing, near_dedup, quality_rules, repeated_passages, url_filter
 from vitalspan.llm.common import table
 from vitalspan.session import configure
 
@@ -25,6 +25,12 @@ def op2_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that no recurring passage covers."""
+    found = repeated_passages.remove_repeats(table(configure(spark), folder, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op6_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     """Main text of every page."""
     return html_text.extract_pages(table(configure(spark), folder, "pages"))
@@ -57,7 +63,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_language_id, op2_near_dedup, op6_html_extraction, op7_url_filter, op8_fingerprints, op9_source_mixing, op10_quality_rules)}
+        op1_language_id, op2_near_dedup, op5_substring_dedup, op6_html_extraction, op7_url_filter, op8_fingerprints, op9_source_mixing, op10_quality_rules)}
 
 
 def _url_sql() -> str:

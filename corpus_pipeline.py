@@ -6,10 +6,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalspan.llm import mixing, quality_rules
+from vitalspan.llm import line_templates, mixing, near_dedup, packing, quality_rules
 from vitalspan.llm.common import table
 from vitalspan.session import configure, materialize
 
@@ -18,21 +19,44 @@ ORACLE_SQL: str | None = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base test and the learned rules."""
-    judged = quality_rules.judge_quality(docs, table(spark, sf_dir, "labels")).where("kept").select("doc_id")
-    return docs.join(judged.distinct(), "doc_id", "left_semi")
+    """Documents that pass the base test and the learned rules; of rows with
+    equal ids all stay if one does."""
+    judged = quality_rules.judge_quality(docs, table(spark, sf_dir, "labels")).where("kept")
+    return docs.join(judged.select(F.col("doc_id").alias("_k")), F.col("doc_id").eqNullSafe(F.col("_k")), "left_semi")
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without recurring lines; ``n_chars`` follows the text. Documents
+    of which nothing but blanks is left, and that lost lines, go."""
+    rows = line_templates.rewritten(docs).where((F.col("_lines.dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    length = F.when(F.col("_lines.dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return rows.select(*[length.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group, the one with the least id."""
+    found = near_dedup.near_duplicates(docs).where("kept")
+    return docs.join(found.select(F.col("doc_id").alias("_k")), F.col("doc_id").eqNullSafe(F.col("_k")), "left_semi")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as the balanced mix takes."""
-    copies = mixing.mix_sources(docs).select(F.col("doc_id").alias("_k"), "copies").dropDuplicates(["_k"])
-    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_k"))).where("copies > 0")
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")
+    copies = mixing.mix_sources(docs).groupBy(F.col("doc_id").alias("_k")).agg(F.min("copies").alias("_copies"))
+    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_k"))).where("_copies > 0")
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).drop("_copy")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all token pieces in sequences."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", quality),
+    ("line dedup", lines),
+    ("MinHash near-dedup", near),
     ("mixing sources to target weights", mix),
+    ("best-fit packing", pack),
 ]
 
 

@@ -168,23 +168,18 @@ def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "tex
     bounds = np.unique(np.array(rows.approxQuantile("k", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)) or [], np.float64))
 
     def place(keys: pd.Series) -> pd.Series:
-        values = keys.to_numpy(dtype=np.float64, na_value=-np.inf)
-        return pd.Series(np.searchsorted(bounds, values, side="left").astype(np.int32))
+        return pd.Series(np.searchsorted(bounds, keys.to_numpy(np.float64), side="left").astype(np.int32))
 
     place_udf = F.pandas_udf(place, "int")
-    firsts = {r["g"]: r["k"] for r in rows.select(place_udf("k").alias("g"), "k").groupBy("g").agg(
-        F.min(F.coalesce("k", F.lit(-(2**63)))).alias("k")).collect()}
+    filled = F.coalesce("k", F.lit(-(2**63)))  # null keys come first
+    firsts = {r["g"]: r["k"] for r in rows.select(place_udf(filled).alias("g"), filled.alias("k")).groupBy("g").agg(F.min("k").alias("k")).collect()}
     held = sorted(firsts)
     before = {g: held[i - 1] for i, g in enumerate(held)}
 
     def destinations(keys: pd.Series) -> pd.Series:
-        filled = keys.to_numpy(dtype=object, na_value=None)
-        groups = place(keys).to_numpy()
-        return pd.Series([
-            [int(g) * 2, before[g] * 2 + 1] if (-(2**63) if k is None or k != k else int(k)) == firsts[g] else [int(g) * 2]
-            for k, g in zip(filled, groups, strict=True)])
+        return pd.Series([[g * 2, before[g] * 2 + 1] if k == firsts[g] else [g * 2] for k, g in zip(keys.tolist(), place(keys).tolist(), strict=True)])
 
-    spread = rows.withColumn("d", F.explode(F.pandas_udf(destinations, "array<int>")("k")))
+    spread = rows.withColumn("d", F.explode(F.pandas_udf(destinations, "array<int>")(filled)))
     spread = spread.select(F.floor(F.col("d") / 2).cast("int").alias("g"), (F.col("d") % 2).alias("borrowed"), "k", "t")
     ordered = spread.repartition(tasks, "g").sortWithinPartitions("g", "borrowed", F.col("k").asc_nulls_first(), "t")
 

@@ -180,15 +180,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     with nothing. ``class_id`` is the smallest key with an equal set,
     ``component_id`` the smallest reachable over links of at least ``percent``
     similarity, ``kept`` whether the row's key is that. Repeated rows are
-    repeated and share a key, so they share the verdict. Other columns are not
-    read.
+    repeated and share a key, so they share the verdict. Rows with a null key
+    link with nothing and are kept. Other columns are not read.
     """
     features = materialize(shingle_features(docs, key, text, k), "features")
     sets = ["n", "s1", "s2"]
-    classes = features.where("n > 0").groupBy(*sets).agg(F.min("id").alias("rep"))
+    classes = features.where("n > 0 AND id IS NOT NULL").groupBy(*sets).agg(F.min("id").alias("rep"))
     features = materialize(features.join(classes, sets, "left").withColumn("rep", F.coalesce("rep", "id")), "classes")
     groups = components(near_links(features, docs, key, text, k, percent))
     out = features.join(groups, features["rep"] == groups["node"], "left")
-    component = F.coalesce("component", "rep")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("rep").alias("class_id"), component.alias("component_id"),
-                      (F.col("id") == component).alias("kept"))
+    known = F.col("id").isNotNull()
+    component = F.when(known, F.coalesce("component", "rep"))
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(known, F.col("rep")).alias("class_id"),
+                      component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

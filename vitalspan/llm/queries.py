@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalspan.llm import fingerprints, html_text, language, mixing, near_dedup, quality_rules, repeated_passages, url_filter
+from vitalspan.llm import fingerprints, html_text, language, line_templates, mixing, near_dedup, packing, quality_rules, repeated_passages, url_filter
 from vitalspan.llm.common import table
 from vitalspan.session import configure
 
@@ -25,6 +26,17 @@ def op2_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of every document that recur as templates across documents."""
+    found = line_templates.drop_recurring_lines(table(configure(spark), folder, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Sequence and place of every token piece of every document."""
+    return packing.pack_documents(table(configure(spark), folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Words of every document that no recurring passage covers."""
     found = repeated_passages.remove_repeats(table(configure(spark), folder, "documents"))
@@ -63,7 +75,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_language_id, op2_near_dedup, op5_substring_dedup, op6_html_extraction, op7_url_filter, op8_fingerprints, op9_source_mixing, op10_quality_rules)}
+        op1_language_id, op2_near_dedup, op3_line_dedup, op4_best_fit_packing, op5_substring_dedup, op6_html_extraction, op7_url_filter, op8_fingerprints, op9_source_mixing, op10_quality_rules)}
 
 
 def _url_sql() -> str:

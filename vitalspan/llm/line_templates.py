@@ -81,13 +81,13 @@ def rewritten(docs: DataFrame, key: str = "doc_id", text: str = "text", **tree)
     gone = recurring_lines(docs.where(F.col(key).isNotNull()), key, text, **tree)
     gone = gone.groupBy(F.col("id").alias("_id")).agg(F.collect_set("line").alias("_gone"))
     rows = docs.join(gone, F.col(key) == F.col("_id"), "left")
-    lines = F.split(F.col(text), "\n")
-    n = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines))
-    gone_here = F.filter("_gone", lambda i: i < n)
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone"), lambda i: F.get(lines, i))
-    counts = F.struct(n.cast("long").alias("n"), F.coalesce(F.size(gone_here), F.lit(0)).cast("long").alias("dropped"))
-    new = F.when(F.col("_gone").isNotNull() & F.col(text).isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(text))
-    return rows.select(*[new.alias(c) if c == text else F.col(c) for c in docs.columns], counts.alias("_lines"))
+    rows = rows.withColumn("_all", F.split(F.col(text), "\n"))
+    rows = rows.withColumn("_n", F.when(F.col("_all").isNull(), 0).otherwise(F.size("_all")))
+    here = F.filter("_gone", lambda i: i < F.col("_n"))
+    rows = rows.withColumn("_lines", F.struct(F.col("_n").cast("long").alias("n"), F.coalesce(F.size(here), F.lit(0)).cast("long").alias("dropped")))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.col("_n") - 1), "_gone"), lambda i: F.get("_all", i))
+    rows = rows.withColumn("_new", F.when(F.col("_lines.dropped") > 0, F.array_join(kept, "\n")).otherwise(F.col(text)))
+    return rows.select(*[F.col("_new").alias(c) if c == text else F.col(c) for c in docs.columns], "_lines")
 
 
 def drop_recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", **tree) -> DataFrame:

@@ -235,8 +235,11 @@ def main_text(page: str | None) -> str:
     up = best.parent
     while up is not None:
         for c in up.children:
-            beside = id(c) not in path
-            if beside and c.tag not in LEAVES and c.tag not in INLINE and (c.density < lowest or 4 * c.total < best.total):
+            if id(c) in path or c.tag in INLINE:
+                continue
+            # a block that cannot hold an article goes if it is mostly links
+            thin = 2 * c.links > c.chars if c.tag in LEAVES else 4 * c.total < best.total
+            if thin or (c.tag not in LEAVES and c.density < lowest):
                 dropped.add(id(c))
         up = up.parent
     return " ".join(_block_text(root, frozenset(dropped)))

@@ -109,6 +109,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", smoothing: fl
     counts = map_rows(rows, count, "l string, b long, n long").groupBy("l", "b").agg(F.sum("n").alias("n"))
     packed = counts.groupBy("l").agg(F.collect_list(F.struct("b", "n")).alias("c")).orderBy("l").collect()
     languages = tuple(r["l"] for r in packed)
+    if not languages:
+        return Model((), np.zeros((BUCKETS, 0), np.float32), np.zeros((len(SCRIPT_NAMES), 0), bool))
     table = np.zeros((BUCKETS + len(SCRIPT_NAMES), len(languages)))
     for j, r in enumerate(packed):
         for b, n in r["c"]:

@@ -67,7 +67,7 @@ def balance(histogram: DataFrame, targets: DataFrame, most: int = MOST, steps: i
     top = math.log(most)
     shape = (histogram.where("size > 0").groupBy("source")
              .agg((F.sum(F.col("n") * F.col("size")) / F.sum("n")).alias("mean"), F.min("size").alias("least")))
-    state = targets.join(shape, targets["source"].eqNullSafe(shape["source"]), "left").drop(shape["source"])
+    state = targets.join(shape.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left")
     open_ = (F.col("target") > 0) & (F.col("target") < most * F.col("source_size"))
     # at the ends of the bracket every rate is at least, or at most, what the target needs on average
     scale = F.col("mean") / F.col("least")
@@ -84,7 +84,7 @@ def balance(histogram: DataFrame, targets: DataFrame, most: int = MOST, steps: i
                                                  F.col("source").eqNullSafe(F.col("_s")))
                 .groupBy("_s").agg((F.sum(each) - F.first("target")).alias("gradient"),
                                    F.sum(F.when(power < top, each * moment).otherwise(0.0)).alias("curvature")))
-        moved = state.join(sums, state["source"].eqNullSafe(sums["_s"]), "left")
+        moved = state.join(sums, F.col("source").eqNullSafe(F.col("_s")), "left")
         low = F.when(F.col("gradient") < 0, F.col("multiplier")).otherwise(F.col("low"))
         high = F.when(F.col("gradient") > 0, F.col("multiplier")).otherwise(F.col("high"))
         newton = F.col("multiplier") - F.col("gradient") / F.col("curvature")

@@ -79,7 +79,7 @@ def super_minhash(elements: np.ndarray, owner: np.ndarray, n_sets: int, size: in
             break
         if places is None:
             live, own, pick = live[going], own[going], pick[going]
-            places = np.broadcast_to(np.arange(size, dtype=np.uint8), (len(live), size)).copy()
+            places = np.broadcast_to(np.arange(size, dtype=np.min_scalar_type(size)), (len(live), size)).copy()
             places[np.arange(len(live)), pick] = 0
         elif not going.all():
             live, own, places = live[going], own[going], places[going]

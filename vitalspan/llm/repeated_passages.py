@@ -145,26 +145,27 @@ def covered_words(documents: list[list[bytes]], confirmed: np.ndarray) -> list[n
     that hold them are compiled into one automaton over word numbers, which
     then reads every document.
     """
-    numbers: dict[bytes, int] = {}
-    ids = [np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int64) for words in documents]
+    lengths = [len(words) for words in documents]
+    hashes = mix64(word_hashes([w for words in documents for w in words]))
+    numbers = np.unique(hashes, return_inverse=True)[1]
     machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    touched = []
-    for i, words in enumerate(documents):
-        if len(words) >= WINDOW and len(confirmed):
-            hit = _member(_rolled(mix64(word_hashes(words)), WINDOW), confirmed)
+    starts = np.cumsum([0, *lengths])
+    for start, n in zip(starts.tolist(), lengths, strict=False):
+        if n >= WINDOW and len(confirmed):
+            hit = _member(_rolled(hashes[start:start + n], WINDOW), confirmed)
             if hit.any():
-                touched.append(i)
-                for passage in _passages(ids[i], hit):
+                for passage in _passages(numbers[start:start + n], hit):
                     machine.add_word(passage, len(passage))
-    out = [np.zeros(len(words), bool) for words in documents]
-    if touched:
+    out = [np.zeros(n, bool) for n in lengths]
+    if len(machine):
         machine.make_automaton()
-        for i, sequence in enumerate(ids):
-            if len(sequence) >= WINDOW:
-                edges = np.zeros(len(sequence) + 1, np.int32)
-                for end, length in machine.iter(tuple(sequence.tolist())):
-                    edges[end + 1 - length] += 1
-                    edges[end + 1] -= 1
+        for i, (start, n) in enumerate(zip(starts.tolist(), lengths, strict=False)):
+            found = list(machine.iter(tuple(numbers[start:start + n].tolist()))) if n >= WINDOW else ()
+            if found:
+                spans = np.array(found)
+                edges = np.zeros(n + 1, np.int64)
+                np.add.at(edges, spans[:, 0] + 1 - spans[:, 1], 1)
+                np.add.at(edges, spans[:, 0] + 1, -1)
                 out[i] = np.cumsum(edges[:-1]) > 0
     return out
 

@@ -7,11 +7,6 @@ import xxhash
 
 from vitalspan.llm.batches import mix64
 
-#: Words kept in a task's dictionary of word hashes before it starts anew.
-KNOWN = 1 << 18
-_WORDS: dict[bytes, int] = {}
-
-
 def words_of(text: str, lower: bool) -> list[bytes]:
     """Words between ASCII blanks; ``lower`` folds A-Z only."""
     data = text.encode("utf-8", "surrogatepass")
@@ -19,17 +14,8 @@ def words_of(text: str, lower: bool) -> list[bytes]:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words, through a bounded dictionary."""
-    if len(_WORDS) > KNOWN:
-        _WORDS.clear()
-    known, digest = _WORDS, xxhash.xxh3_64_intdigest
-    out = []
-    for w in words:
-        h = known.get(w)
-        if h is None:
-            h = known[w] = digest(w)
-        out.append(h)
-    return np.array(out, np.uint64)
+    """64-bit hashes of words."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def shingle_set(text: str | None, k: int = 5) -> np.ndarray:

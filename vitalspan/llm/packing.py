@@ -12,6 +12,7 @@ its length to the plan's ranges.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -31,7 +32,7 @@ CLASSES, LEAST = 512, 4
 #: kinds for the best fit.
 SHARE = 0.6
 #: Chunks whose tokens a worker remembers before it starts anew.
-KNOWN = 400_000
+KNOWN = 1_000_000
 #: Shares of a length among which ranks are dealt.
 SALTS = 32
 
@@ -48,21 +49,26 @@ class ChunkTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        chunks = [[c for c in t.replace("\n", " ").split(" ") if c] for t in texts]
-        new = list({c for part in chunks for c in part if c not in self.known})
-        if len(self.known) + len(new) > KNOWN:
-            self.known = {}
-            new = list({c for part in chunks for c in part})
+    def _learn(self, chunks: list[str]) -> None:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for i in range(0, len(new), 5000):
-            some = new[i:i + 5000]
+        for i in range(0, len(chunks), 5000):
+            some = chunks[i:i + 5000]
             for c, e in zip(some, encode(some, add_special_tokens=False), strict=True):
-                self.known[c] = np.array(e.ids, "<u4")
+                self.known[c] = array("I", e.ids).tobytes()
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        chunks = [t.replace("\n", " ").split(" ") for t in texts]
+        if len(self.known) > KNOWN:
+            self.known = {}
         known = self.known
-        return [np.concatenate([known[c] for c in part]) if part else np.zeros(0, "<u4") for part in chunks]
+        found = [list(map(known.get, part)) for part in chunks]
+        lacking = [i for i, part in enumerate(found) if None in part]
+        self._learn(list({c for i in lacking for c, b in zip(chunks[i], found[i], strict=True) if b is None}))
+        for i in lacking:
+            found[i] = map(known.__getitem__, chunks[i])
+        return [np.frombuffer(b"".join(part), "<u4") for part in found]
 
 
 @cache
@@ -83,8 +89,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, ke
         for b in batches:
             out: list[tuple] = []
             keys, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            for start in range(0, len(texts), 100):
-                for k, ids in zip(keys[start:start + 100], cut.ids(texts[start:start + 100]), strict=True):
+            for start in range(0, len(texts), 200):
+                for k, ids in zip(keys[start:start + 200], cut.ids(texts[start:start + 200]), strict=True):
                     ids = np.concatenate([ids, end])
                     for i, at in enumerate(range(0, len(ids), capacity)):
                         part = ids[at:at + capacity]

@@ -159,12 +159,13 @@ def test_linear_scorer_equals_vector_model(frame):
     assert a == pytest.approx(b)
 
 
-def test_sparse_and_dense_assembly_agree(frame, monkeypatch):
-    cov = frame([(1, 5, 2.0), (1, 9, 3.0), (2, 5, 1.0)], "row_id long, covariate_id long, covariate_value double")
-    dense = {r.row_id: list(r.features.toArray()) for r in X.to_vectors(cov)[0].collect()}
-    monkeypatch.setattr(X, "DENSE_LIMIT", 1)
-    sparse = {r.row_id: list(r.features.toArray()) for r in X.to_vectors(cov)[0].collect()}
-    assert dense == sparse == {1: [2.0, 3.0], 2: [1.0, 0.0]}
+def test_vectors_are_sparse_without_python(frame, spark):
+    wide = [(1, i, 1.0) for i in range(3000)] + [(2, 5, 1.5), (2, 5, 1.0), (2, 2999, 2.0)]
+    vectors, index = X.to_vectors(spark.createDataFrame(wide, "row_id long, covariate_id long, covariate_value double"))
+    got = {r.row_id: r.features for r in vectors.collect()}
+    assert index.count() == 3000 and got[1].size == 3000 and got[1].toArray().sum() == 3000
+    assert dict(zip(got[2].indices.tolist(), got[2].values.tolist(), strict=True)) == {5: 2.5, 2999: 2.0}
+    assert "Python" not in vectors._jdf.queryExecution().executedPlan().toString()
 
 
 def test_evaluation_frames_fit_the_result_store(frame, tmp_path, spark):

@@ -4,7 +4,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vitalspan.operators import ranks as R
-from vitalspan.operators.sampling import hashed_sample, stable_sample
+from vitalspan.operators.ranks import hash_order
+from vitalspan.operators.sampling import hashed_sample, portable_order, stable_sample
 from vitalspan.operators.summaries import continuous_summary, discrete_percentiles, middle_value, nonmissing_summary
 
 
@@ -96,14 +97,27 @@ def test_percentiles_and_median(frame):
     assert middle_value(df, ["g"], "v", "m").first().m == 2.5
 
 
-def test_large_samples_equal_small_ones(frame, monkeypatch):
-    from vitalspan.operators import sampling
-
+def test_samples_follow_the_plain_order(frame):
     df = sample(frame).withColumn("d", F.date_add(F.lit("2001-03-04").cast("date"), F.col("id").cast("int")))
-    takes = (lambda: hashed_sample(df, "id", 37, 3), lambda: stable_sample(df, "id", "d", 37))
-    small = [{r.id for r in take().collect()} for take in takes]
-    monkeypatch.setattr(sampling, "TOP_LIMIT", 1)
-    assert small == [{r.id for r in take().collect()} for take in takes]
+    big = df.withColumn("id", F.col("id") + 10**14)
+    for n in (0, 1, 37, 399, 400, 1000):
+        want = {r.id for r in df.orderBy(portable_order("id", "d"), "id", "d").limit(n).collect()}
+        assert {r.id for r in stable_sample(df, "id", "d", n).collect()} == want
+        want = {r.id for r in df.orderBy(hash_order("id", seed=3), "id").limit(n).collect()}
+        assert {r.id for r in hashed_sample(df, "id", n, 3).collect()} == want
+        assert stable_sample(big, "id", "d", n).count() == min(n, 400)
+
+
+def test_large_ids_spread_over_many_buckets(spark):
+    for start in (0, 10**12, -10**12):
+        ids = spark.range(start, start + 200_000)
+        sizes = ids.groupBy(R.order_bucket(ids, "id")).count()
+        assert sizes.agg(F.max("count")).first()[0] <= 4096
+    ids = spark.range(0, 3000).select((F.col("id") * 10**13 - 10**16).alias("id"))
+    got = [r.rn for r in R.row_numbers(ids, [], ["id"]).orderBy("id").collect()]
+    assert got == list(range(1, 3001))
+    down = R.running_totals(ids.withColumn("n", F.lit(1)), [], "id", ["n"], descending=True)
+    assert [r.cum_n for r in down.orderBy(F.desc("id")).collect()] == list(range(1, 3001))
 
 
 def test_samples_are_nested(frame):

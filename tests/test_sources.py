@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from vitalspan.functions.dates import resolve_end
 from vitalspan.functions.predicates import filter_concepts
-from vitalspan.session import checked_broadcast, materialize, scratch_root
+from vitalspan.session import literal_frame, materialize, scratch_root
 from vitalspan.sources import io, store
 from vitalspan.sources.schemas import conform
 
@@ -37,7 +37,7 @@ def test_cohort_set_headers(spark, tmp_path):
 def test_upsert_is_idempotent(cdm, tmp_path, spark):
     path = str(tmp_path / "cohort")
     for _ in range(2):
-        store.upsert_cohorts(cdm.cohort, path)
+        store.upsert_cohorts(cdm.cohort, path, [1, 2, 3, 4])
     assert sorted(map(tuple, store.read_cohorts(spark, path).collect())) == sorted(map(tuple, cdm.cohort.collect()))
 
 
@@ -74,10 +74,12 @@ def test_long_id_lists_become_joins(spark):
     assert filter_concepts(df, "c", range(0, 3000), keep=False).count() == 2000
 
 
-def test_broadcast_only_below_the_limit(spark):
-    df = spark.range(100)
-    assert "ResolvedHint" in checked_broadcast(df, 100)._jdf.queryExecution().analyzed().toString()
-    assert "ResolvedHint" not in checked_broadcast(df, 99)._jdf.queryExecution().analyzed().toString()
+def test_lists_of_any_length_enter_as_tables(spark):
+    rows = [(i, f"name {i}") for i in range(50_000)]
+    long = literal_frame(spark, rows, "id long, name string")
+    assert long.count() == 50_000 and long.dtypes == literal_frame(spark, rows[:3], "id long, name string").dtypes
+    assert "LocalTableScan" not in long._jdf.queryExecution().executedPlan().toString()
+
 
 
 def test_scratch_follows_the_cluster_setting(spark):

@@ -86,8 +86,8 @@ VIEWS = {
       UNION ALL SELECT 2, o_custkey, CAST(min(o_orderdate) AS DATE), CAST(min(o_orderdate) AS DATE) + 30 FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY o_custkey
       UNION ALL SELECT DISTINCT 3, o_custkey, CAST(o_orderdate AS DATE), CAST(o_orderdate AS DATE) FROM orders WHERE o_orderkey % 5 = 3
       UNION ALL SELECT DISTINCT 4, o_custkey, CAST(o_orderdate AS DATE), CAST(o_orderdate AS DATE) + 60 FROM orders WHERE o_orderkey % 3 = 1""",
-    "cohort_all_rows": """SELECT *, subject_id * 100000 + date_diff('day', DATE '1990-01-01', cohort_start_date) * 10 + cohort_definition_id AS row_id FROM cohort""",
-    "cohort_rows": "SELECT * FROM cohort_all_rows WHERE cohort_definition_id IN (1, 2)",
+    "cohort_all_rows": """SELECT *, (subject_id * 100000 + date_diff('day', DATE '1900-01-01', cohort_start_date)) * 10000 + cohort_definition_id AS row_id FROM cohort""",
+    "cohort_rows": "SELECT * FROM cohort_all_rows",
     "resolved": """SELECT person_id, c.concept_id AS ing, drug_exposure_start_date AS sd,
       COALESCE(drug_exposure_end_date, CASE WHEN days_supply > 0 THEN drug_exposure_start_date + days_supply END, drug_exposure_start_date + 1) AS ed
       FROM drug_exposure JOIN concept_ancestor a ON a.descendant_concept_id = drug_concept_id JOIN concept c ON c.concept_id = a.ancestor_concept_id

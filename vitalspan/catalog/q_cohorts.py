@@ -11,7 +11,7 @@ from vitalspan.operators.vocab import codeset
 from vitalspan.plans import cohorts as K
 from vitalspan.plans import params as P
 from vitalspan.plans import study_cohorts as S
-from vitalspan.session import literal_frame, scratch_path
+from vitalspan.session import literal_frame, materialize, scratch_path
 from vitalspan.sources import store
 from vitalspan.sources.derived import INGREDIENTS
 from vitalspan.streaming.incremental import generate_incrementally, read_manifest
@@ -222,8 +222,9 @@ _NAMES = [(d.cohort_definition_id, d.name) for d in STUDY]
 )
 def _(cdm):
     path = scratch_path(cdm.spark, "cohorts")
-    cdm.pin("drug_era", "measurement")
-    store.upsert_cohorts(K.build_cohorts(cdm, STUDY), path)
+    cdm.pin("drug_era")
+    built = materialize(K.build_cohorts(cdm, STUDY), "study")
+    store.upsert_cohorts(built, path, [d.cohort_definition_id for d in STUDY])
     names = literal_frame(cdm.spark, [(i, c, n) for i, (c, n) in enumerate(_NAMES)], "seq int, cohort_definition_id long, cohort_name string")
     return K.named_counts(K.cohort_counts(store.read_cohorts(cdm.spark, path)), names)
 

@@ -653,8 +653,8 @@ _MEMBERS = """SELECT a.subject_id FROM cohort_rows a JOIN cohort b ON a.subject_
 
 @query(
     "cov_measurement_cohort", "side:s row_id:l covariate_value:f",
-    f"""SELECT 'in' AS side, row_id, avg(raw) AS covariate_value FROM ({_MROWS}) WHERE row_id // 100000 IN ({_MEMBERS}) GROUP BY 2
-      UNION ALL SELECT 'out', row_id, avg(raw) FROM ({_MROWS}) WHERE row_id // 100000 NOT IN ({_MEMBERS}) GROUP BY 2""",
+    f"""SELECT 'in' AS side, row_id, avg(raw) AS covariate_value FROM ({_MROWS}) WHERE row_id // 1000000000 IN ({_MEMBERS}) GROUP BY 2
+      UNION ALL SELECT 'out', row_id, avg(raw) FROM ({_MROWS}) WHERE row_id // 1000000000 NOT IN ({_MEMBERS}) GROUP BY 2""",
 )
 def _(cdm):
     out = None

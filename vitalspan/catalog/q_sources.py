@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vitalspan.catalog.registry import query
 from vitalspan.catalog.common import condition_flags
-from vitalspan.session import materialize, scratch_path
+from vitalspan.session import literal_frame, materialize, scratch_path
 from vitalspan.sources import io, store
 from vitalspan.sources.cdm import load_cdm
 from vitalspan.sources.derived import RAW_TABLES
@@ -55,19 +55,12 @@ def _(cdm):
     "SELECT count(*) AS rows, TRUE AS max_page_ok, sum(l_quantity) AS quantity FROM lineitem",
 )
 def _(cdm):
-    limit = int(cdm.spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
-
-    def page_sizes(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            yield pa.RecordBatch.from_pydict(
-                {"n": [b.num_rows], "q": [float(sum(b.column(0).to_pylist()))]},
-                schema=pa.schema([("n", pa.int64()), ("q", pa.float64())]))
-
-    pages = cdm.lineitem.select("l_quantity").mapInArrow(page_sizes, "n long, q double")
-    return pages.agg(
-        F.sum("n").alias("rows"), (F.max("n") <= limit).alias("max_page_ok"), F.sum("q").alias("quantity"))
+    # a page is all that the driver holds at a time
+    limit, rows, largest, quantity = 1000, 0, 0, 0.0
+    for page in io.fetch_batches(cdm.lineitem.select("l_quantity"), limit):
+        rows, largest = rows + len(page), max(largest, len(page))
+        quantity += sum(float(r["l_quantity"]) for r in page)
+    return literal_frame(cdm.spark, [(rows, largest <= limit, quantity)], "rows long, max_page_ok boolean, quantity double")
 
 
 @query(
@@ -156,22 +149,23 @@ def _(cdm):
 )
 def _(cdm):
     path = scratch_path(cdm.spark, "cohorts")
-    store.upsert_cohorts(cdm.cohort.filter(F.col("cohort_definition_id").isin(1, 2, 3)), path)
+    store.upsert_cohorts(cdm.cohort, path, [1, 2, 3, 4])
+    # definition 2 gets other rows, definition 4 becomes empty
     again = cdm.cohort.filter(F.col("cohort_definition_id") == 4).withColumn("cohort_definition_id", F.lit(2))
-    store.upsert_cohorts(again, path)
+    store.upsert_cohorts(again, path, [2, 4])
     return store.read_cohorts(cdm.spark, path)
 
 
 @query(
     "select_into", "person_id:l first_high:d days_to_next:l",
-    """WITH staged AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_totalprice > 300000),
+    """WITH staged AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS d FROM orders),
        f AS (SELECT o_custkey, min(d) AS first_high FROM staged GROUP BY 1)
        SELECT f.o_custkey AS person_id, first_high, date_diff('day', first_high, min(s.d)) AS days_to_next
        FROM f LEFT JOIN staged s ON s.o_custkey = f.o_custkey AND s.d > first_high GROUP BY 1, 2""",
 )
 def _(cdm):
     staged = materialize(
-        cdm.orders.filter(F.col("o_totalprice") > 300000).select(
+        cdm.orders.select(
             F.col("o_custkey").alias("person_id"), F.col("o_orderdate").cast("date").alias("d")), "staged")
     first = staged.groupBy("person_id").agg(F.min("d").alias("first_high"))
     later = staged.join(first, "person_id").filter(F.col("d") > F.col("first_high"))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from vitalspan.functions.dates import days_between, resolve_end
 from vitalspan.functions.predicates import is_mapped, supply_not_negative
 from vitalspan.operators.intervals import collapse_intervals, collapse_twice
-from vitalspan.session import checked_broadcast
 
 ERA_KEYS = ["person_id", "drug_concept_id"]
 
@@ -30,7 +29,7 @@ def ingredient_exposures(
     usable = exposure.filter(is_mapped("drug_concept_id") & supply_not_negative("days_supply"))
     ends = resolve_end(
         "drug_exposure_start_date", "drug_exposure_end_date", "days_supply", zero_supply)
-    links = checked_broadcast(ingredient_links(concept, concept_ancestor))
+    links = ingredient_links(concept, concept_ancestor)
     return usable.join(links, F.col("drug_concept_id") == F.col("source_concept_id")).select(
         "person_id", F.col("ingredient_concept_id").alias("drug_concept_id"),
         F.col("drug_exposure_start_date").alias("start_date"), ends.alias("end_date"),

@@ -16,17 +16,24 @@ from vitalspan.session import materialize
 
 _RESOLUTION = 2048.0
 _CENTRE = 1 << 21
+_RUN_BITS = 12
+_STEP_BITS = 14
 
 
 def order_bucket(df: DataFrame, name: str) -> Column:
     """A coarse, order-preserving bucket of a column.
 
-    Numbers: logarithmic steps of 1/2048 on both sides of zero. Dates: the day.
+    Whole numbers: runs of 4,096 values, wherever they start. Other numbers:
+    logarithmic steps of 1/2048 on both sides of zero. Dates: the day.
     Timestamps: the minute. Strings: the first four characters, which is
-    balanced for hex digests; see ``dense_ids`` for other text.
+    balanced for hex digests; ``row_ranks`` and ``dense_ids`` cut other text
+    into sampled ranges.
     """
     kind = df.schema[name].dataType
     c = F.col(name)
+    if isinstance(kind, T.IntegralType):
+        # nulls come first
+        return F.coalesce(F.shiftright(c.cast("long"), _RUN_BITS), F.lit(-(2**60)))
     if isinstance(kind, T.DateType):
         return F.unix_date(c).cast("long")
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
@@ -45,6 +52,34 @@ def _part(keys: list[str]):
     return Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
 
 
+def exclusive_sums(frame: DataFrame, keys: list[str], by: str, measures: list[str]) -> DataFrame:
+    """Add ``_before<m>``: the sum of a measure over all earlier buckets of the
+    key. ``frame`` holds one row per (keys, by).
+
+    Numbered buckets are summed in three levels of 16,384 each, so that a
+    table of many buckets is never ordered in one task; other buckets (digest
+    prefixes) are few by construction.
+    """
+    def before(part: list[str], order: str):
+        return _part(part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+
+    def summed(f: DataFrame, part: list[str], order: str, tag: str) -> DataFrame:
+        return f.withColumns({f"{tag}{m}": F.coalesce(F.sum(m).over(before(part, order)), F.lit(0)) for m in measures})
+
+    if not isinstance(frame.schema[by].dataType, T.IntegralType):
+        return summed(frame, keys, by, "_before")
+    f = frame.withColumn("_g1", F.shiftright(F.col(by).cast("long"), _STEP_BITS)).withColumn("_g2", F.shiftright("_g1", _STEP_BITS))
+    totals = [F.sum(m).alias(m) for m in measures]
+    middle = f.groupBy(*keys, "_g2", "_g1").agg(*totals)
+    upper = middle.groupBy(*keys, "_g2").agg(*totals)
+    middle = summed(middle, [*keys, "_g2"], "_g1", "_m1").drop(*measures)
+    upper = summed(upper, list(keys), "_g2", "_m2").drop(*measures)
+    f = summed(f, [*keys, "_g1"], by, "_m0")
+    null_safe = middle.join(upper, [*keys, "_g2"]).drop("_g2")
+    out = f.drop("_g2").join(null_safe, [*keys, "_g1"])
+    return out.select(*frame.columns, *[(F.col(f"_m0{m}") + F.col(f"_m1{m}") + F.col(f"_m2{m}")).alias(f"_before{m}") for m in measures])
+
+
 def running_totals(
     df: DataFrame, keys: list[str], value: str, measures: list[str], descending: bool = False
 ) -> DataFrame:
@@ -53,9 +88,15 @@ def running_totals(
     b = df.withColumn("_b", order_bucket(df, value))
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     totals = b.groupBy(*keys, "_b").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
-    before = _part(keys).orderBy(direction("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys, "_b", *[F.coalesce(F.sum(f"_t_{m}").over(before), F.lit(0)).alias(f"_o_{m}") for m in measures])
+    if descending and isinstance(totals.schema["_b"].dataType, T.IntegralType):
+        totals, b = totals.withColumn("_b", -F.col("_b")), b.withColumn("_b", -F.col("_b"))
+    if descending and isinstance(totals.schema["_b"].dataType, T.StringType):
+        before = _part(keys).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        offsets = totals.select(
+            *keys, "_b", *[F.coalesce(F.sum(f"_t_{m}").over(before), F.lit(0)).alias(f"_o_{m}") for m in measures])
+    else:
+        offsets = exclusive_sums(totals, keys, "_b", [f"_t_{m}" for m in measures]).select(
+            *keys, "_b", *[F.col(f"_before_t_{m}").alias(f"_o_{m}") for m in measures])
     inside = Window.partitionBy(*keys, "_b").orderBy(direction(value)).rowsBetween(Window.unboundedPreceding, 0)
     out = b.select("*", *[F.sum(m).over(inside).alias(f"_i_{m}") for m in measures]).join(offsets, [*keys, "_b"])
     return out.select(
@@ -80,6 +121,8 @@ def row_numbers(df: DataFrame, keys: list[str], order: list[str], name: str = "r
     cells = work.groupBy(*cell_keys, "_b_last").agg(F.count(F.lit(1)).alias("_n"))
 
     def offset(frame: DataFrame, part: list[str], by: str, alias: str) -> DataFrame:
+        if by.startswith("_b_"):
+            return exclusive_sums(frame, part, by, ["_n"]).withColumnRenamed("_before_n", alias)
         before = _part(part).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
         return frame.withColumn(alias, F.coalesce(F.sum("_n").over(before), F.lit(0)))
 
@@ -108,17 +151,21 @@ def dense_ids(df: DataFrame, column: str, name: str) -> DataFrame:
 
 
 def _range_numbers(values: DataFrame, column: str, name: str) -> DataFrame:
-    """Numbers for text of any shape: range-partition, write the sorted parts
-    with their part number, then add each part's offset. The written table
-    fixes the boundaries Spark sampled."""
-    ranged = values.repartitionByRange(column).sortWithinPartitions(column)
+    return row_ranks(values, [column], name).select(column, name)
+
+
+def row_ranks(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Row numbers from 1 over all rows, for order columns of any shape:
+    range-partition, write the sorted parts with their part number, then add
+    each part's offset. The written table fixes the boundaries Spark sampled."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     parts = materialize(ranged.withColumn("_part", F.spark_partition_id()), "ranges")
     sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = _part([]).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy("_part").orderBy(column)
+    inside = Window.partitionBy("_part").orderBy(*order)
     return parts.withColumn("_rn", F.row_number().over(inside)).join(offsets, "_part").select(
-        column, (F.col("_rn") + F.col("_off")).cast("long").alias(name))
+        *df.columns, (F.col("_rn") + F.col("_off")).cast("long").alias(name))
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column | str], descending: bool = False) -> DataFrame:

@@ -88,9 +88,11 @@ def observation_length_attribute(cdm, cohort: DataFrame, attribute_id: int = 1)
 
 
 def attribute_covariates(cohort: DataFrame, attributes: DataFrame, include=None) -> DataFrame:
-    """Attribute table rows as covariates of the matching cohort rows."""
-    a = attributes.select("cohort_definition_id", "subject_id", "attribute_definition_id", "value_as_number")
+    """Attribute table rows as covariates of the cohort rows they were made
+    for; a subject may enter a cohort more than once."""
+    keys = ["cohort_definition_id", "subject_id", "cohort_start_date"]
+    a = attributes.select(*keys, "attribute_definition_id", "value_as_number")
     if include is not None:
         a = a.filter(F.col("attribute_definition_id").isin(list(include)))
-    return cohort.join(a, ["cohort_definition_id", "subject_id"]).select(
+    return cohort.join(a, keys).select(
         *ROW, F.col("attribute_definition_id").alias("covariate_id"), F.col("value_as_number").alias("covariate_value"))

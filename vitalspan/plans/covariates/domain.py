@@ -18,7 +18,7 @@ from vitalspan.operators.ranks import first_per_key
 from vitalspan.operators.summaries import continuous_summary, nonmissing_summary
 from vitalspan.operators.vocab import condition_groups, drug_groups, expand_descendants
 from vitalspan.plans import params as P
-from vitalspan.session import checked_broadcast, literal_frame
+from vitalspan.session import literal_frame
 
 # table -> (concept column, start column, end column)
 DOMAINS = {
@@ -49,12 +49,14 @@ class DomainAnalysis:
     exclude: tuple[int, ...] = ()
     covariate_ids: tuple[int, ...] = ()
     name: str = ""
+    #: Concepts to leave out as a table (``concept_id``), however many.
+    without: DataFrame | None = None
 
 
 def inpatient_visits(cdm) -> DataFrame:
     kinds = cdm.concept_ancestor.filter(F.col("ancestor_concept_id").isin(list(P.INPATIENT_VISITS))).select(
         F.col("descendant_concept_id").alias("visit_concept_id")).distinct()
-    return cdm.visit_occurrence.join(checked_broadcast(kinds), "visit_concept_id", "left_semi").select(
+    return cdm.visit_occurrence.join(kinds, "visit_concept_id", "left_semi").select(
         "person_id", "visit_start_date", "visit_end_date").distinct()
 
 
@@ -64,6 +66,8 @@ def domain_records(cdm, analysis: DomainAnalysis, counted: bool = False) -> Data
     source = getattr(cdm, analysis.domain).filter(F.col(concept) != 0)
     if analysis.exclude:
         source = filter_concepts(source, concept, analysis.exclude, keep=False)
+    if analysis.without is not None:
+        source = source.join(analysis.without.select(F.col("concept_id").alias(concept)), concept, "left_anti")
     if analysis.include:
         source = filter_concepts(source, concept, analysis.include)
     records = source.groupBy(
@@ -79,7 +83,7 @@ def domain_records(cdm, analysis: DomainAnalysis, counted: bool = False) -> Data
         pairs = (
             drug_groups(cdm.concept, cdm.concept_ancestor, analysis.domain == "drug_era")
             if analysis.domain.startswith("drug") else condition_groups(cdm.concept, cdm.concept_ancestor))
-        records = records.join(checked_broadcast(pairs), F.col("concept_id") == F.col("descendant_concept_id")).groupBy(
+        records = records.join(pairs, F.col("concept_id") == F.col("descendant_concept_id")).groupBy(
             "person_id", F.col("ancestor_concept_id").alias("concept_id"), "start_date", "end_date",
         ).agg(F.sum("n").alias("n"))
     return records if counted else records.drop("n")
@@ -283,15 +287,12 @@ def measurement_ranges(cdm, cohort: DataFrame, analysis: DomainAnalysis) -> Data
 
 
 def exclude_with_descendants(cdm, analysis: DomainAnalysis, ids: Sequence[int]) -> DomainAnalysis:
-    """The same analysis without the ids and all their descendants.
-
-    The expanded list is settings data: it is read back and stored with the
-    analysis, and a list too long to store is refused.
-    """
-    rows = expand_descendants(cdm.concept_ancestor, ids).limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("more than 10,000 excluded concepts: join against a concept table instead")
-    return replace(analysis, exclude=tuple(sorted({r[0] for r in rows} | set(analysis.exclude))))
+    """The same analysis without the ids and all their descendants, which
+    stay a table and are joined."""
+    gone = expand_descendants(cdm.concept_ancestor, ids)
+    if analysis.without is not None:
+        gone = gone.unionByName(analysis.without.select("concept_id")).distinct()
+    return replace(analysis, without=gone)
 
 
 def covariate_reference(covariates: DataFrame, concept: DataFrame, analysis: DomainAnalysis) -> DataFrame:

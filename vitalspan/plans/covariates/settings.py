@@ -27,6 +27,14 @@ DEMOGRAPHICS: dict[str, Callable] = {
     "index_year": G.index_year, "index_month": G.index_month, "time_prior": G.time_prior, "time_post": G.time_post,
     "time_in_cohort": G.time_in_cohort,
 }
+# Analysis id, whether the value is a flag, and whether a missing
+# value means zero, of each demographic and score.
+PERSON_ANALYSES = {
+    "gender": (1, "Y", None), "age": (2, "N", "Y"), "age_group": (3, "Y", None), "race": (4, "Y", None), "ethnicity": (5, "Y", None),
+    "index_year": (6, "Y", None), "index_month": (7, "Y", None), "time_prior": (8, "N", "Y"), "time_post": (9, "N", "Y"),
+    "time_in_cohort": (10, "N", "Y"),
+}
+SCORE_ANALYSES = {"charlson": 901, "dcsi": 902, "chads2": 903, "chads2vasc": 904, "hfrs": 926}
 SCORES: dict[str, Callable] = {
     "charlson": S.charlson, "chads2": S.chads2, "chads2vasc": S.chads2vasc, "dcsi": S.dcsi, "hfrs": S.hfrs,
 }
@@ -64,31 +72,64 @@ class CovariateSettings:
 
 
 def extract(cdm, cohort: DataFrame, settings: CovariateSettings) -> CovariateData:
-    """All requested covariates in one lazy union with their references."""
-    parts, refs = [], []
+    """All requested covariates in one lazy union, with one reference row per
+    analysis and one per covariate.
+
+    A custom builder may name its analyses in an attribute ``analyses`` (rows
+    of ``analysis_reference``); without it they are flags named after it.
+    """
+    parts, refs, names = [], [], []
     for a in settings.analyses():
         parts.append(D.domain_flags(cdm, cohort, a))
+        names.append(D.covariate_reference(parts[-1], cdm.concept, a))
         refs.append((a.analysis_id, a.name, a.domain, a.start_day, a.end_day, "Y", None))
-    parts += [DEMOGRAPHICS[name](cdm, cohort) for name in settings.demographics]
-    parts += [SCORES[name](cdm, cohort) for name in settings.scores]
-    parts += [builder(cdm, cohort) for builder in settings.custom]
+    for name in settings.demographics:
+        parts.append(DEMOGRAPHICS[name](cdm, cohort))
+        number, binary, zero = PERSON_ANALYSES[name]
+        refs.append((number, name, "Demographics", None, None, binary, zero))
+        names.append(_plain_names(parts[-1], name))
+    for name in settings.scores:
+        parts.append(SCORES[name](cdm, cohort))
+        refs.append((SCORE_ANALYSES[name], name, "Condition", None, settings.end_day, "N", "Y"))
+        names.append(_plain_names(parts[-1], name))
+    for builder in settings.custom:
+        parts.append(builder(cdm, cohort))
+        label = getattr(builder, "__name__", "custom")
+        refs += getattr(builder, "analyses", ())
+        names.append(_plain_names(parts[-1], label))
     if settings.measurement_values:
-        parts.append(D.measurement_values(cdm, cohort, D.DomainAnalysis(
-            "measurement", 705, settings.long_days, settings.end_day, include=settings.include, exclude=settings.exclude)))
+        labs = D.DomainAnalysis(
+            "measurement", 705, settings.long_days, settings.end_day, include=settings.include, exclude=settings.exclude)
+        parts.append(D.measurement_values(cdm, cohort, labs))
+        names.append(_plain_names(parts[-1], "measurement value"))
         refs.append((705, "measurement value", "Measurement", settings.long_days, settings.end_day, "N", "N"))
     out = None
     for p in parts:
         p = p.select(*D.ROW, "covariate_id", F.col("covariate_value").cast("double").alias("covariate_value"))
         out = p if out is None else out.unionByName(p)
-    return CovariateData(out, analysis_ref=D.analysis_reference(cdm.spark, refs) if refs else None)
+    reference = None
+    for n in names:
+        n = n.select(F.col("covariate_id").cast("long"), "covariate_name", F.col("analysis_id").cast("long"), F.col("concept_id").cast("long"))
+        reference = n if reference is None else reference.unionByName(n)
+    return CovariateData(out, covariate_ref=reference, analysis_ref=D.analysis_reference(cdm.spark, refs) if refs else None)
+
+
+def _plain_names(covariates: DataFrame, label: str) -> DataFrame:
+    """Reference rows of covariates that carry no concept of their own."""
+    ids = covariates.select(F.col("covariate_id").cast("long").alias("covariate_id")).distinct()
+    number = F.floor(F.col("covariate_id") / 1000)
+    return ids.select("covariate_id", F.concat(F.lit(label + ": "), number.cast("string")).alias("covariate_name"),
+                      F.pmod("covariate_id", F.lit(1000)).alias("analysis_id"), F.lit(0).cast("long").alias("concept_id"))
 
 
 def aggregate(covariates: DataFrame, analysis_ref: DataFrame, cohort: DataFrame) -> DataFrame:
     """Per-person covariates to distributions: zero-filled, over non-missing
-    values, or plain shares, as each analysis declares."""
-    tagged = covariates.join(
-        analysis_ref.select("analysis_id", "is_binary", "missing_means_zero"),
-        F.pmod("covariate_id", F.lit(1000)) == F.col("analysis_id"))
+    values, or plain shares, as each analysis declares. A covariate of an
+    undeclared analysis stops the run instead of vanishing."""
+    analysis = F.pmod("covariate_id", F.lit(1000))
+    tagged = covariates.join(analysis_ref.select("analysis_id", "is_binary", "missing_means_zero"), analysis == F.col("analysis_id"), "left")
+    unknown = F.raise_error(F.concat(F.lit("analysis without reference: "), analysis.cast("string")))
+    tagged = tagged.withColumn("is_binary", F.when(F.col("analysis_id").isNull(), unknown.cast("string")).otherwise(F.col("is_binary")))
     keys = ["cohort_definition_id", "covariate_id"]
     sizes = D.population_sizes(cohort)
     zero = continuous_summary(

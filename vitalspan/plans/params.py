@@ -92,7 +92,7 @@ CHADS2VASC = (
      (312327, 43020432, 314962, 312939, 315288, 317309, 134380, 196438, 200138, 194393, 319047, 40486130, 317003,
       4313767, 321596, 317305, 321886, 314659, 321887, 437312, 134057)),
 )
-# (category, score, code prefixes, exact codes, (low, high) code range)
+# Diabetes complications, (category, score, code prefixes, exact codes, (low, high) code range)
 DCSI = (
     ("Retinopathy", 1, ("250.5",), ("362.01", "362.1", "362.83", "362.53", "362.81", "362.82"), None),
     ("Retinopathy", 2, ("361", "369"), ("362.02", "379.23"), None),
@@ -109,17 +109,20 @@ DCSI = (
     ("Peripheral vascular disease", 2, ("785.4", "707.1", "040.0"), ("444.22",), None),
     ("Metabolic", 2, ("250.1", "250.2", "250.3"), (), None),
 )
-# Hospital frailty: score of each three-character code prefix.
-HFRS_TEXT = """
-F00 7.1 G81 4.4 G30 4.0 I69 3.7 R29 3.6 N39 3.2 F05 3.2 W19 3.2 S00 3.2 R31 3.0 B96 2.9 R41 2.7 R26 2.6 I67 2.6
-R56 2.6 R40 2.5 T83 2.4 S06 2.5 S42 2.3 E87 2.3 M25 2.3 E86 2.3 R54 2.2 Z50 2.1 F03 2.1 W18 2.1 Z75 2.0 F01 2.0
-S80 2.0 L03 2.0 H54 1.9 E53 1.9 Z60 1.8 G20 1.8 R55 1.8 S22 1.8 K59 1.8 N17 1.8 L89 1.7 Z22 1.7 B95 1.7 L97 1.6
-R44 1.6 K26 1.6 I95 1.6 N19 1.6 A41 1.6 Z87 1.5 J96 1.5 X59 1.5 M19 1.5 G40 1.5 M81 1.4 S72 1.4 S32 1.4 E16 1.4
-R94 1.4 N18 1.4 R33 1.3 R69 1.3 N28 1.3 R32 1.2 G31 1.2 Y95 1.2 S09 1.2 R45 1.2 G45 1.2 Z74 1.1 M79 1.1 W06 1.1
-S01 1.1 A04 1.1 A09 1.1 J18 1.1 J69 1.0 R47 1.0 E55 1.0 Z93 1.0 R02 1.0 R63 0.9 H91 0.9 W10 0.9 W01 0.9 E05 0.9
-M41 0.9 R13 0.8 Z99 0.8 U80 0.8 M80 0.8 K92 0.8 I63 0.8 N20 0.7 F10 0.7 Y84 0.7 R00 0.7 J22 0.7 Z73 0.6 R79 0.6
-Z91 0.5 S51 0.5 F32 0.5 M48 0.5 E83 0.4 M15 0.4 D64 0.4 L08 0.4 R11 0.3 K52 0.3 R50 0.1
-"""
-HFRS = tuple(
-    (code, float(score)) for code, score in zip(HFRS_TEXT.split()[::2], HFRS_TEXT.split()[1::2], strict=True)
+# Hospital frailty, score of each three-character code prefix.
+HFRS = (
+    ("F00", 7.1), ("G81", 4.4), ("G30", 4.0), ("I69", 3.7), ("R29", 3.6), ("N39", 3.2), ("F05", 3.2), ("W19", 3.2),
+    ("S00", 3.2), ("R31", 3.0), ("B96", 2.9), ("R41", 2.7), ("R26", 2.6), ("I67", 2.6), ("R56", 2.6), ("R40", 2.5),
+    ("T83", 2.4), ("S06", 2.5), ("S42", 2.3), ("E87", 2.3), ("M25", 2.3), ("E86", 2.3), ("R54", 2.2), ("Z50", 2.1),
+    ("F03", 2.1), ("W18", 2.1), ("Z75", 2.0), ("F01", 2.0), ("S80", 2.0), ("L03", 2.0), ("H54", 1.9), ("E53", 1.9),
+    ("Z60", 1.8), ("G20", 1.8), ("R55", 1.8), ("S22", 1.8), ("K59", 1.8), ("N17", 1.8), ("L89", 1.7), ("Z22", 1.7),
+    ("B95", 1.7), ("L97", 1.6), ("R44", 1.6), ("K26", 1.6), ("I95", 1.6), ("N19", 1.6), ("A41", 1.6), ("Z87", 1.5),
+    ("J96", 1.5), ("X59", 1.5), ("M19", 1.5), ("G40", 1.5), ("M81", 1.4), ("S72", 1.4), ("S32", 1.4), ("E16", 1.4),
+    ("R94", 1.4), ("N18", 1.4), ("R33", 1.3), ("R69", 1.3), ("N28", 1.3), ("R32", 1.2), ("G31", 1.2), ("Y95", 1.2),
+    ("S09", 1.2), ("R45", 1.2), ("G45", 1.2), ("Z74", 1.1), ("M79", 1.1), ("W06", 1.1), ("S01", 1.1), ("A04", 1.1),
+    ("A09", 1.1), ("J18", 1.1), ("J69", 1.0), ("R47", 1.0), ("E55", 1.0), ("Z93", 1.0), ("R02", 1.0), ("R63", 0.9),
+    ("H91", 0.9), ("W10", 0.9), ("W01", 0.9), ("E05", 0.9), ("M41", 0.9), ("R13", 0.8), ("Z99", 0.8), ("U80", 0.8),
+    ("M80", 0.8), ("K92", 0.8), ("I63", 0.8), ("N20", 0.7), ("F10", 0.7), ("Y84", 0.7), ("R00", 0.7), ("J22", 0.7),
+    ("Z73", 0.6), ("R79", 0.6), ("Z91", 0.5), ("S51", 0.5), ("F32", 0.5), ("M48", 0.5), ("E83", 0.4), ("M15", 0.4),
+    ("D64", 0.4), ("L08", 0.4), ("R11", 0.3), ("K52", 0.3), ("R50", 0.1),
 )

@@ -7,17 +7,14 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vitalspan.operators.ranks import dense_ids
 from vitalspan.operators.sampling import take_ordered
-
-# Above this many features a row is assembled sparsely.
-DENSE_LIMIT = 1024
-
+from vitalspan.session import scratch_path
 
 def map_ids(covariates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Dense row and covariate numbers from 1, in id order."""
@@ -29,31 +26,34 @@ def feature_index(covariates: DataFrame) -> DataFrame:
     return dense_ids(covariates, "covariate_id", "_n").select("covariate_id", (F.col("_n") - 1).cast("int").alias("idx"))
 
 
-def _sparse(size: int):
-    def build(entries):
-        return Vectors.sparse(size, sorted((e["idx"], e["v"]) for e in entries))
+def _as_vectors(rows: DataFrame, size: int) -> DataFrame:
+    """(row_id, features) from (row_id, sorted entries ``_e``).
 
-    return F.udf(build, VectorUDT())
+    The entries are written in the struct that vectors are stored as and read
+    back with the vector type: no Python function packs rows.
+    """
+    spark = rows.sparkSession
+    stored = rows.select("row_id", F.struct(
+        F.lit(0).cast("byte").alias("type"), F.lit(size).cast("int").alias("size"),
+        F.transform("_e", lambda e: e["idx"]).alias("indices"), F.transform("_e", lambda e: e["v"]).alias("values")).alias("features"))
+    path = scratch_path(spark, "vectors")
+    stored.write.parquet(path)
+    return spark.read.schema(T.StructType([rows.schema["row_id"], T.StructField("features", VectorUDT())])).parquet(path)
 
 
 def to_vectors(covariates: DataFrame, index: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(row_id, features) and the feature index. Pass the training index to
     lay out new data the same way; covariates it lacks are dropped.
 
-    A row's list is bounded by the number of features. Up to ``DENSE_LIMIT``
-    features the vector is built by built-in functions; beyond that a small
-    function packs each row sparsely.
+    Vectors are sparse whatever the number of features; a row's list is
+    bounded by that number.
     """
     index = feature_index(covariates) if index is None else index
     size = index.count()
     entries = covariates.join(index, "covariate_id").groupBy("row_id", "idx").agg(
         F.sum(F.col("covariate_value").cast("double")).alias("v"))
-    rows = entries.groupBy("row_id").agg(F.collect_list(F.struct("idx", "v")).alias("_e"))
-    if size > DENSE_LIMIT:
-        return rows.select("row_id", _sparse(size)("_e").alias("features")), index
-    lookup = F.map_from_entries("_e")
-    dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(lookup[i], F.lit(0.0)))
-    return rows.select("row_id", array_to_vector(dense).alias("features")), index
+    rows = entries.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("idx", "v"))).alias("_e"))
+    return _as_vectors(rows, size), index
 
 
 def select_univariate(covariates: DataFrame, population: DataFrame, k: int) -> DataFrame:

@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def local_session(cpus: int = 8, memory: str = "16g", app: str = "vitalspan") -> SparkSession:
@@ -73,25 +72,15 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-BROADCAST_ROWS = 2_000_000
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint for a lookup table whose size was counted to be small.
-
-    Above the limit the frame is returned as it is and the join shuffles, with
-    adaptive execution splitting hot keys.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+#: Rows that stand in a plan as literals.
+INLINE_ROWS = 1000
 
 
 def literal_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A driver-side constant table (settings, code lists) as an inline
-    relation, so Catalyst sees its size and can fold or broadcast it."""
-    if len(rows) > 10_000:
-        raise ValueError("inline tables are for settings and short code lists")
+    """A driver-side table: short ones (settings, code lists) inline, so that
+    Catalyst sees their size; lists of any length as a written table."""
+    if len(rows) > INLINE_ROWS:
+        return materialize(spark.createDataFrame(rows, schema), "list")
 
     def text(v):
         if v is None:

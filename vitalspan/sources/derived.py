@@ -315,10 +315,10 @@ def _cohort(cdm: Cdm) -> DataFrame:
 
 
 def with_row_id(cohort: DataFrame) -> DataFrame:
-    """A unique row id from subject, start and definition, without a sort."""
-    day = F.datediff("cohort_start_date", F.lit("1990-01-01").cast("date"))
-    return cohort.withColumn(
-        "row_id", F.col("subject_id") * 100000 + day * 10 + F.col("cohort_definition_id"))
+    """A unique row id from subject, start (1900 to 2173) and definition (up to
+    9,999), without a sort; larger subjects overflow with an error."""
+    day = F.datediff("cohort_start_date", F.lit("1900-01-01").cast("date"))
+    return cohort.withColumn("row_id", (F.col("subject_id") * 100000 + day) * 10000 + F.col("cohort_definition_id"))
 
 
 def _stored(build, folder: str, name: str):
@@ -347,6 +347,6 @@ def derived_cdm(spark: SparkSession, folder: str) -> Cdm:
         "cohort": _cohort,
         "drug_era": lambda c: drug_era(c.drug_exposure, c.concept, c.concept_ancestor),
         "condition_era": lambda c: condition_eras(c.condition_occurrence),
-        "cohort_rows": lambda c: with_row_id(c.cohort.filter(F.col("cohort_definition_id").isin(1, 2))),
+        "cohort_rows": lambda c: with_row_id(c.cohort),
     }
     return Cdm(spark, builders)

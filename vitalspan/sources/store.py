@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,9 +26,20 @@ def read_cohort_set(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"cohort settings need columns {COHORT_SET_COLUMNS[0]}, found {header.columns}")
 
 
-def upsert_cohorts(cohorts: DataFrame, path: str) -> None:
-    """Idempotent replace: the partitions of the definitions in ``cohorts``
-    are overwritten, all others stay."""
+def upsert_cohorts(cohorts: DataFrame, path: str, ids: Iterable[int]) -> None:
+    """Idempotent replace: the rows of all ``ids`` go, then those of
+    ``cohorts`` are written; other definitions stay.
+
+    An id without rows leaves none behind. A run that dies in between is
+    repeated by calling again.
+    """
+    spark, ids = cohorts.sparkSession, sorted(set(ids))
+    if cohorts.filter(~F.col("cohort_definition_id").isin(ids) | F.col("cohort_definition_id").isNull()).limit(1).count():
+        raise ValueError("rows of definitions that are not replaced")
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for i in ids:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(root, f"cohort_definition_id={i}"), True)
     (
         cohorts.select("subject_id", "cohort_start_date", "cohort_end_date", "cohort_definition_id")
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

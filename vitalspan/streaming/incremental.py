@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from vitalspan.plans.cohorts import CohortDefinition, build_cohorts
-from vitalspan.session import literal_frame
+from vitalspan.session import literal_frame, materialize
 from vitalspan.sources.store import upsert_cohorts
 
 _MANIFEST = "cohort_definition_id long, checksum string, run int"
@@ -38,7 +38,7 @@ def generate_incrementally(cdm, definitions: Sequence[CohortDefinition], folder:
     todo = [d for d in definitions if known.get(d.cohort_definition_id, ("", 0))[0] != d.checksum()]
     if not todo:
         return []
-    upsert_cohorts(build_cohorts(cdm, todo), f"{folder}/cohort")
+    upsert_cohorts(materialize(build_cohorts(cdm, todo), "cohorts"), f"{folder}/cohort", [d.cohort_definition_id for d in todo])
     run = 1 + max((r for _, r in known.values()), default=0)
     rows = [(d.cohort_definition_id, d.checksum(), run) for d in todo]
     literal_frame(cdm.spark, rows, _MANIFEST).coalesce(1).write.mode("append").parquet(f"{folder}/manifest")

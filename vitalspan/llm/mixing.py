@@ -23,6 +23,7 @@ from vitalspan.session import materialize
 
 MOST = 3
 CELLS = 4096
+SHARES = 32
 
 
 def document_sizes(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -102,6 +103,15 @@ def balance(histogram: DataFrame, targets: DataFrame, most: int = MOST, steps: i
     return state.select("source", "source_size", "weight", "target", "mean", F.round("multiplier", 6).alias("multiplier"))
 
 
+def _per_source(rows: DataFrame, key: str, table: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows with the columns of their source. Either side is dealt by source
+    and a share of the keys, so that a source with a third of all rows is not
+    gathered in one place, by the join or by a sum that follows it."""
+    dealt = table.withColumnRenamed("source", "_s").withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    rows = rows.withColumn("_share", F.pmod(F.xxhash64(key), F.lit(SHARES)).cast("int"))
+    return rows.join(dealt, (F.col("_share") == F.col("_deal")) & F.col("source").eqNullSafe(F.col("_s")), how).drop("_s", "_deal", "_share")
+
+
 def _unit(key: Column, seed: int) -> Column:
     """An even number in [0, 1) from a key."""
     return F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 11) / F.lit(float(2**53))
@@ -122,7 +132,7 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     histogram = sizes.groupBy("source", "size").agg(F.count("*").alias("n"))
     sources = histogram.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
     solved = balance(histogram, source_targets(sources, cycle, most), most)
-    rows = sizes.join(solved.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    rows = _per_source(sizes, key, solved)
     tilted = F.exp(F.least(F.col("multiplier") * F.col("size") / F.col("mean"), F.lit(math.log(most))))
     rate = (F.when(F.col("size") == 0, F.lit(1.0)).when(F.col("multiplier").isNotNull(), F.least(tilted, F.lit(float(most))))
             .otherwise(F.when(F.col("target") > 0, F.lit(float(most))).otherwise(F.lit(0.0))))
@@ -130,12 +140,12 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     rows = rows.withColumn("_copies", F.least(F.floor("_at"), F.lit(most)).cast("long"))
     # how near the sum is to the next copy: cells of equal width, for the threshold
     rows = rows.withColumn("_cell", F.when(F.col("rate") < most, F.least(F.floor((F.col("_at") - F.floor("_at")) * CELLS), F.lit(CELLS - 1))).cast("int"))
-    rows = rows.join(_shifts(rows).withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+    rows = _per_source(rows, key, _shifts(rows), "left")
     up = (F.col("_shift") > 0) & (F.col("_cell") >= CELLS - F.col("_shift")) & (F.col("_copies") < most)
     down = (F.col("_shift") < 0) & (F.col("_cell") < -F.col("_shift")) & (F.col("_copies") > 0)
     copies = F.when(F.col("size") == 0, F.col("_copies")).when(up, F.col("_copies") + 1).when(down, F.col("_copies") - 1).otherwise(F.col("_copies"))
     rows = rows.select(key, "source", "size", "source_size", "target", "rate", copies.alias("copies"))
-    rows = rows.join(_last_copy(rows, key, most).withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+    rows = _per_source(rows, key, _last_copy(rows, key, most), "left")
     last = F.col("copies") + F.when(F.col(key) == F.col("_key"), F.col("_step")).otherwise(0)
     return rows.select(key, "source", "size", "source_size", "target", "rate", last.alias("copies"), (last * F.col("size")).alias("taken"))
 
@@ -143,11 +153,11 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
 def _last_copy(rows: DataFrame, key: str, most: int) -> DataFrame:
     """For each source, the one document whose copy more or less brings the
     sum nearest to the target, if that is nearer than it is."""
-    short = rows.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("short")).withColumnRenamed("source", "_s")
+    short = rows.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("short"))
     off = F.abs(F.abs("short") - F.col("size"))
     able = (F.col("size") > 0) & F.when(F.col("short") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0)
     able = able & (off < F.abs("short")) & ((F.col("target") > 0) & (F.col("target") < most * F.col("source_size")))
-    best = (rows.join(short, F.col("source").eqNullSafe(F.col("_s"))).where(able).groupBy("source")
+    best = (_per_source(rows, key, short).where(able).groupBy("source")
             .agg(F.min(F.struct(off.alias("off"), F.col(key).alias("k"), F.signum("short").cast("int").alias("step"))).alias("b")))
     return best.select("source", F.col("b.k").alias("_key"), F.col("b.step").alias("_step"))
 

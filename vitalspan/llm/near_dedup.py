@@ -185,7 +185,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     """
     features = materialize(shingle_features(docs, key, text, k), "features")
     sets = ["n", "s1", "s2"]
-    classes = features.where("n > 0 AND id IS NOT NULL").groupBy(*sets).agg(F.min("id").alias("rep"))
+    # written, so that the join deals its own sides and can split a large class
+    classes = materialize(features.where("n > 0 AND id IS NOT NULL").groupBy(*sets).agg(F.min("id").alias("rep")), "representatives")
     features = materialize(features.join(classes, sets, "left").withColumn("rep", F.coalesce("rep", "id")), "classes")
     groups = components(near_links(features, docs, key, text, k, percent))
     out = features.join(groups, features["rep"] == groups["node"], "left")

@@ -36,9 +36,10 @@ def parsed_lines(docs: DataFrame, key: str, text: str, depth: int, least_tokens:
 
 
 def _reached(rows: DataFrame, least_docs: int) -> DataFrame:
-    """Leaves of at least so many documents."""
-    return (rows.select("leaf", "id").distinct().groupBy("leaf").agg(F.count("*").alias("docs"))
-            .where(F.col("docs") >= least_docs).select("leaf"))
+    """Leaves of at least so many documents; written, so that a join with them
+    deals its own sides and can split a leaf that many lines reach."""
+    leaves = rows.select("leaf", "id").distinct().groupBy("leaf").agg(F.count("*").alias("docs"))
+    return materialize(leaves.where(F.col("docs") >= least_docs).select("leaf"), "leaves")
 
 
 def leaf_templates(rows: DataFrame) -> DataFrame:
@@ -65,7 +66,7 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", de
         if i:
             rows = materialize(rows.join(_reached(rows, least_docs), "leaf", "left_semi"), "lines")
         same = F.aggregate(F.zip_with("tokens", "template", lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-        judged = materialize(rows.join(leaf_templates(rows), "leaf").withColumn("fits", same >= agreement * F.size("tokens")), "judged")
+        judged = materialize(rows.join(materialize(leaf_templates(rows), "templates"), "leaf").withColumn("fits", same >= agreement * F.size("tokens")), "judged")
         fit = judged.where("fits").select("leaf", "id", "line", "template")
         firsts = (fit.groupBy("leaf").agg(F.min(F.struct("id", "line")).alias("first"))
                   .join(_reached(fit, least_docs), "leaf", "left_semi"))

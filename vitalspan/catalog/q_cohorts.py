@@ -261,6 +261,17 @@ _STATS = """SELECT 'inclusion_result' AS stat, cid AS cohort_definition_id, mode
   UNION ALL SELECT 'summary_stats', cid, mode, 0, sum(CASE WHEN mask = 3 THEN n ELSE 0 END), NULL, sum(n) FROM result GROUP BY 2, 3"""
 
 
+_RULE_NAMES = values([(d.cohort_definition_id, i, r.label()) for d in FAMILY for i, r in enumerate(d.rules)], "cid2, place, nm")
+
+
+@query("inclusion_rules", "cohort_definition_id:l rule_sequence:l name:s mode_id:l person_count:l",
+       f"SELECT cohort_definition_id, id AS rule_sequence, nm AS name, mode_id, person_count FROM ({_STATS}) s JOIN {_RULE_NAMES} ON cid2 = cohort_definition_id AND place = id WHERE stat = 'inclusion_stats'", VIEWS)
+def _(cdm):
+    stats = K.cohort_stats(K.masked_events(cdm, FAMILY), 2)["inclusion_stats"]
+    names = K.inclusion_rules(cdm.spark, FAMILY)
+    return stats.join(names, ["cohort_definition_id", "rule_sequence"])
+
+
 @query("cohort_stats", "stat:s cohort_definition_id:l mode_id:l id:l person_count:l gain_count:l total:l", _STATS, VIEWS)
 def _(cdm):
     stats = K.cohort_stats(K.masked_events(cdm, FAMILY), 2)

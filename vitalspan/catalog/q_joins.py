@@ -95,7 +95,9 @@ def _(cdm):
     return D.temporal_flags(cdm, cdm.cohort_rows, D.DomainAnalysis("measurement", 1), _TP)
 
 
-def _prefix(codes, c="condition_source_value"):
+def _prefix(codes, c="condition_source_value", concepts=()):
+    if concepts:
+        return f"{c.replace('source_value', 'concept_id')} IN ({', '.join(map(str, concepts))})"
     return "(" + " OR ".join(f"upper({c}) LIKE '{p}%'" for p in codes) + ")"
 
 
@@ -112,12 +114,12 @@ def _eras(spec, drugs: bool) -> str:
 
 def _clean(spec, drugs: bool) -> str:
     return f"""SELECT * FROM ({_eras(spec, drugs)}) era WHERE NOT EXISTS (SELECT 1 FROM condition_occurrence past
-      WHERE past.person_id = era.person_id AND past.condition_start_date + 60 < sd AND {_prefix(spec.prior_codes, 'past.condition_source_value')})"""
+      WHERE past.person_id = era.person_id AND past.condition_start_date + 60 < sd AND {_prefix(spec.prior_codes, 'past.condition_source_value', spec.prior_concepts)})"""
 
 
 def _outcome(spec, drugs: bool) -> str:
     return f"""SELECT DISTINCT x.person_id, ingredient_name, sd, ed, condition_source_value, condition_start_date FROM ({_clean(spec, drugs)}) x
-      JOIN condition_occurrence c ON c.person_id = x.person_id AND condition_start_date BETWEEN sd AND ed + 60 AND {_prefix(spec.outcome_codes)}"""
+      JOIN condition_occurrence c ON c.person_id = x.person_id AND condition_start_date BETWEEN sd AND ed + 60 AND {_prefix(spec.outcome_codes, concepts=spec.outcome_concepts)}"""
 
 
 def _case(spec):
@@ -222,6 +224,15 @@ def _(cdm):
     return liver.unionByName(G.case_total_report(cdm, G.KIDNEY).withColumn("signal", F.lit("kidney")))
 
 
+_BY_CONCEPT = G.SignalSpec(P.LIVER_SIGNAL_DRUGS, (), (), max_age=65, prior_concepts=(4000002, 4000007), outcome_concepts=(4000001, 4000011, 4000021))
+
+
+@query("case_total_by_concept", "signal:s ingredient_name:s condition_source_value:s case_count:l total_count:l", _report(_BY_CONCEPT, "concepts"))
+def _(cdm):
+    cdm.pin("drug_era")
+    return G.case_total_report(cdm, _BY_CONCEPT).withColumn("signal", F.lit("concepts"))
+
+
 @query("ordered_report", "ingredient_name:s condition_source_value:s case_count:l total_count:l", f"SELECT ingredient_name, condition_source_value, case_count, total_count FROM ({_report(G.KIDNEY, 'k')}) ORDER BY 1, 2")
 def _(cdm):
     cdm.pin("drug_era")

@@ -88,12 +88,19 @@ class LabRule:
     def needed(self) -> int:
         return {"all": len(self.criteria), "any": 1, "at_least": self.at_least}[self.mode]
 
+    def label(self) -> str:
+        return f"at least {self.needed()} of {len(self.criteria)} lab criteria from day {self.lo} to {self.hi}"
+
 
 @dataclass(frozen=True)
 class PersonRule:
     older_than: int | None = None
     genders: tuple[int, ...] = ()
 
+    def label(self) -> str:
+        age = "any age" if self.older_than is None else f"older than {self.older_than}"
+        return age + (f", gender {', '.join(map(str, self.genders))}" if self.genders else "")
+
 
 @dataclass(frozen=True)
 class CohortDefinition:
@@ -345,6 +352,12 @@ def cohort_stats(masked: DataFrame, n_rules: int) -> dict[str, DataFrame]:
     }
 
 
+def inclusion_rules(spark, definitions: Sequence[CohortDefinition]) -> DataFrame:
+    """Names of the inclusion rules by definition and place in its list."""
+    rows = [(d.cohort_definition_id, i, r.label()) for d in definitions for i, r in enumerate(d.rules)]
+    return literal_frame(spark, rows, "cohort_definition_id long, rule_sequence int, name string")
+
+
 def inclusion_stats(result: DataFrame, n_rules: int) -> DataFrame:
     """Per rule: events meeting it, events failing only it, and the total."""
     full = (1 << n_rules) - 1

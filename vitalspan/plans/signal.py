@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalspan.functions.dates import age_by_days, age_by_year, days_inclusive
-from vitalspan.functions.predicates import code_prefix_any, compare, name_contains_any
+from vitalspan.functions.predicates import code_prefix_any, compare, filter_concepts, name_contains_any
 from vitalspan.operators.intervals import collapse_intervals
 from vitalspan.operators.ranges import overlap_join, window_counts, without_earlier
 from vitalspan.plans import params as P
+from vitalspan.session import materialize
 
 
 @dataclass(frozen=True)
@@ -31,6 +32,9 @@ class SignalSpec:
     # reproduces the published counts.
     baseline_concepts: tuple[int, ...] = ()
     baseline_limit: float | None = None
+    # Criteria by standard concept instead of source code prefixes.
+    prior_concepts: tuple[int, ...] = ()
+    outcome_concepts: tuple[int, ...] = ()
 
 
 LIVER = SignalSpec(P.LIVER_SIGNAL_DRUGS, P.LIVER_SIGNAL_PRIOR, P.LIVER_SIGNAL_OUTCOME, max_age=65)
@@ -60,11 +64,20 @@ def eligible_eras(cdm, spec: SignalSpec) -> DataFrame:
 
 
 def exposed_eras(cdm, spec: SignalSpec) -> DataFrame:
-    return eligible_eras(cdm, spec).filter(name_contains_any("ingredient_name", spec.drug_names))
+    return _named(eligible_eras(cdm, spec), spec)
+
+
+def conditions_of(cdm, codes: tuple[str, ...], concepts: tuple[int, ...]) -> DataFrame:
+    """Condition records by concept ids where they are given, else by prefixes
+    of the source code."""
+    rows = cdm.condition_occurrence
+    if concepts:
+        return filter_concepts(rows, "condition_concept_id", concepts)
+    return rows.filter(code_prefix_any("condition_source_value", codes))
 
 
 def without_prior_disease(cdm, eras: DataFrame, spec: SignalSpec) -> DataFrame:
-    prior = cdm.condition_occurrence.filter(code_prefix_any("condition_source_value", spec.prior_codes))
+    prior = conditions_of(cdm, spec.prior_codes, spec.prior_concepts)
     return without_earlier(
         eras, prior, ["person_id"], "condition_start_date", F.date_sub("drug_era_start_date", spec.prior_gap))
 
@@ -80,39 +93,58 @@ def with_normal_baseline(cdm, eras: DataFrame, spec: SignalSpec) -> DataFrame:
     return counted.filter(F.col("normal_labs") > 0).drop("normal_labs")
 
 
-def cases(cdm, eras: DataFrame, spec: SignalSpec, by: list[str]) -> DataFrame:
-    """Distinct (person, by, outcome code) with an outcome in the risk window.
+def kept_eras(cdm, eras: DataFrame, spec: SignalSpec) -> DataFrame:
+    """Eras without prior disease and, where asked for, with a normal baseline."""
+    return with_normal_baseline(cdm, without_prior_disease(cdm, eras, spec), spec)
+
+
+def cases(cdm, kept: DataFrame, spec: SignalSpec, by: list[str]) -> DataFrame:
+    """Distinct (person, by, outcome code) with an outcome in the risk window
+    of a kept era.
 
     Risk windows of one person and group merge first, so the join sees
     disjoint windows and one row per person, code and day.
     """
-    kept = with_normal_baseline(cdm, without_prior_disease(cdm, eras, spec), spec)
     anchor = "drug_era_end_date" if spec.outcome_anchor == "end" else "drug_era_start_date"
     windows = collapse_intervals(
         kept.select(
             "person_id", *by, F.col("drug_era_start_date").alias("risk_start"),
             F.date_add(anchor, spec.outcome_days).alias("risk_end")),
         ["person_id", *by], "risk_start", "risk_end")
-    outcomes = cdm.condition_occurrence.filter(
-        code_prefix_any("condition_source_value", spec.outcome_codes)
-    ).select("person_id", "condition_source_value", "condition_start_date").distinct()
+    outcomes = conditions_of(cdm, spec.outcome_codes, spec.outcome_concepts).select(
+        "person_id", "condition_source_value", "condition_start_date").distinct()
     outcomes = outcomes.withColumn("_day", F.col("condition_start_date"))
     hit = overlap_join(
         outcomes, windows, ["person_id"], "condition_start_date", "_day", "risk_start", "risk_end", width=92)
     return hit.select("person_id", *by, "condition_source_value").distinct()
 
 
-def case_counts(cdm, spec: SignalSpec) -> DataFrame:
-    found = cases(cdm, exposed_eras(cdm, spec), spec, ["ingredient_name"])
+def _named(eras: DataFrame, spec: SignalSpec) -> DataFrame:
+    return eras.filter(name_contains_any("ingredient_name", spec.drug_names))
+
+
+def _by_drug(cdm, kept: DataFrame, spec: SignalSpec) -> DataFrame:
+    found = cases(cdm, kept, spec, ["ingredient_name"])
     return found.groupBy("condition_source_value", "ingredient_name").agg(F.count(F.lit(1)).alias("case_count"))
 
 
+def _total(cdm, kept: DataFrame, spec: SignalSpec) -> DataFrame:
+    return cases(cdm, kept, spec, []).groupBy("condition_source_value").agg(F.count(F.lit(1)).alias("total_count"))
+
+
+def case_counts(cdm, spec: SignalSpec) -> DataFrame:
+    return _by_drug(cdm, kept_eras(cdm, exposed_eras(cdm, spec), spec), spec)
+
+
 def total_case_counts(cdm, spec: SignalSpec) -> DataFrame:
-    found = cases(cdm, eligible_eras(cdm, spec), spec, [])
-    return found.groupBy("condition_source_value").agg(F.count(F.lit(1)).alias("total_count"))
+    return _total(cdm, kept_eras(cdm, eligible_eras(cdm, spec), spec), spec)
 
 
 def case_total_report(cdm, spec: SignalSpec) -> DataFrame:
-    return case_counts(cdm, spec).join(total_case_counts(cdm, spec), "condition_source_value").select(
+    """Cases per drug beside the cases of all drugs. Eligible eras and the
+    exclusion are computed once, written, and read by both counts."""
+    kept = materialize(kept_eras(cdm, eligible_eras(cdm, spec), spec).select(
+        "person_id", "ingredient_name", "drug_era_start_date", "drug_era_end_date"), "kept-eras")
+    return _by_drug(cdm, _named(kept, spec), spec).join(_total(cdm, kept, spec), "condition_source_value").select(
         "ingredient_name", "condition_source_value", "case_count", "total_count"
     ).orderBy("ingredient_name", "condition_source_value")

@@ -127,3 +127,21 @@ def test_interval_counts_match_brute_force(frame):
     for k, s, e in spans_:
         inside = sorted(d for m, d in points if m == k and s <= d <= e)
         assert got[(k, s, e)] == (len(inside), inside[0] if inside else None)
+
+
+def test_long_intervals_meet_every_partner_once_and_are_not_spread(spark):
+    rng = random.Random(11)
+    day = dt.date(2000, 1, 1)
+
+    def rows(n, base):
+        out = []
+        for i in range(n):
+            a = day + dt.timedelta(rng.randrange(4000))
+            out.append((base + i, i % 5, a, dt.date(2099, 12, 31) if i % 7 == 0 else a + dt.timedelta(rng.choice([0, 5, 60, 400, 3000]))))
+        return out
+
+    left, right = rows(120, 0), rows(150, 1000)
+    l = spark.createDataFrame(left, "lid long, person_id long, lo date, hi date")
+    r = spark.createDataFrame(right, "rid long, person_id long, s date, e date")
+    got = sorted((x.lid, x.rid) for x in overlap_join(l, r, ["person_id"], "lo", "hi", "s", "e", 31).collect())
+    assert got == sorted((a[0], b[0]) for a in left for b in right if a[1] == b[1] and b[2] <= a[3] and b[3] >= a[2])

@@ -36,21 +36,33 @@ def band_join(
     return joined.filter((F.col(date) >= F.col(lo)) & (F.col(date) <= F.col(hi))).drop(_BUCKET)
 
 
+# An interval over more buckets than this meets its partners by key alone.
+_LONG = 8
+_RIGHT_LONG, _LEFT_LONG = -(10**9), -2 * 10**9
+
+
 def overlap_join(
     left: DataFrame, right: DataFrame, on: list[str], lo: str, hi: str, start: str, end: str, width: int = 366,
 ) -> DataFrame:
     """Inner join where ``[start, end]`` of right overlaps ``[lo, hi]`` of left.
 
-    Each pair is produced once: in the first bucket both intervals share.
+    Intervals of a few buckets meet in the first bucket both share. A longer
+    one (an open end, say) is not spread: it meets all partners of its key,
+    most of which it overlaps. Every row has at most ten join keys, whatever
+    the dates, and each pair is produced once.
     """
-    def spread(df, a, b):
-        return df.filter(F.col(a) <= F.col(b)).withColumn(
-            _BUCKET, F.explode(F.sequence(_bucket_of(a, width), _bucket_of(b, width))))
-
-    joined = spread(left, lo, hi).join(spread(right, start, end), [*on, _BUCKET])
+    def spread(df, a, b, long_keys: list[int], short_key: int):
+        first, last = _bucket_of(a, width), _bucket_of(b, width)
+        fine = F.concat(F.sequence(first, F.least(last, first + _LONG - 1)), F.array(F.lit(short_key).cast("long")))
+        keys = F.when(last - first >= _LONG, F.array(*[F.lit(k).cast("long") for k in long_keys])).otherwise(fine)
+        return df.filter(F.col(a) <= F.col(b)).withColumn(_BUCKET, F.explode(keys))
+
+    joined = spread(left, lo, hi, [_RIGHT_LONG, _LEFT_LONG], _RIGHT_LONG).join(
+        spread(right, start, end, [_RIGHT_LONG], _LEFT_LONG), [*on, _BUCKET])
     first_shared = F.greatest(_bucket_of(lo, width), _bucket_of(start, width))
     return joined.filter(
-        (F.col(start) <= F.col(hi)) & (F.col(end) >= F.col(lo)) & (F.col(_BUCKET) == first_shared)
+        (F.col(start) <= F.col(hi)) & (F.col(end) >= F.col(lo))
+        & ((F.col(_BUCKET) <= _RIGHT_LONG) | (F.col(_BUCKET) == first_shared))
     ).drop(_BUCKET)
 
 

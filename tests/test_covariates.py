@@ -126,3 +126,31 @@ def test_outside_cohort_members_are_dropped(spark, frame, people, cohort, labs):
     inside = C.measurement_cohort_covariate(t, cohort, other, 5, spec, "in").collect()
     assert [(r.row_id, r.covariate_value) for r in inside] == [(11, 99.0)]
     assert C.measurement_cohort_covariate(t, cohort, other, 5, spec, "out").count() == 0
+
+
+def test_extraction_reads_a_domain_once_and_declares_everything(cdm):
+    from vitalspan.plans.covariates.settings import CovariateSettings, aggregate, extract
+
+    settings = CovariateSettings(
+        demographics=("gender", "age"), domains={"condition_occurrence": ("any_time", "long", "short")}, groups={"condition_era": ("long",)},
+        scores=("charlson",), measurement_values=True)
+    data = extract(cdm, cdm.cohort_rows, settings)
+    found = {r[0] for r in data.covariates.selectExpr("covariate_id % 1000").distinct().collect()}
+    assert found == {1, 2, 101, 102, 104, 210, 705, 901}
+    assert found == {r.analysis_id for r in data.analysis_ref.collect()}
+    ids = {r.covariate_id for r in data.covariates.select("covariate_id").distinct().collect()}
+    assert ids == {r.covariate_id for r in data.covariate_ref.collect()}
+    rows = aggregate(data.covariates, data.analysis_ref, cdm.cohort_rows)
+    assert {r[0] for r in rows.selectExpr("covariate_id % 1000").distinct().collect()} == found
+    with __import__("pytest").raises(Exception, match="without reference"):
+        aggregate(data.covariates, data.analysis_ref.where("analysis_id <> 2"), cdm.cohort_rows).collect()
+
+
+def test_exclusion_lists_have_no_limit(cdm, spark):
+    from vitalspan.operators.vocab import codeset
+    from vitalspan.plans.covariates import domain as D
+
+    many = list(range(5_000_000, 5_050_000))
+    assert codeset(cdm.concept_ancestor, many).count() == 50_000
+    a = D.exclude_with_descendants(cdm, D.DomainAnalysis("drug_exposure", 301), many)
+    assert D.domain_flags(cdm, cdm.cohort_rows, a).count() == D.domain_flags(cdm, cdm.cohort_rows, D.DomainAnalysis("drug_exposure", 301)).count()

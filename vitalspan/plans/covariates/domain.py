@@ -60,6 +60,12 @@ def inpatient_visits(cdm) -> DataFrame:
         "person_id", "visit_start_date", "visit_end_date").distinct()
 
 
+def group_pairs(cdm, domain: str) -> DataFrame:
+    if domain.startswith("drug"):
+        return drug_groups(cdm.concept, cdm.concept_ancestor, domain == "drug_era")
+    return condition_groups(cdm.concept, cdm.concept_ancestor)
+
+
 def domain_records(cdm, analysis: DomainAnalysis, counted: bool = False) -> DataFrame:
     """Distinct (person, concept, start, end), optionally with a row count ``n``."""
     concept, start, end = DOMAINS[analysis.domain]
@@ -80,9 +86,7 @@ def domain_records(cdm, analysis: DomainAnalysis, counted: bool = False) -> Data
             "visit_start_date", "visit_end_date", width=31)
         records = inside.groupBy("person_id", "concept_id", "start_date", "end_date").agg(F.first("n").alias("n"))
     if analysis.groups:
-        pairs = (
-            drug_groups(cdm.concept, cdm.concept_ancestor, analysis.domain == "drug_era")
-            if analysis.domain.startswith("drug") else condition_groups(cdm.concept, cdm.concept_ancestor))
+        pairs = group_pairs(cdm, analysis.domain)
         records = records.join(pairs, F.col("concept_id") == F.col("descendant_concept_id")).groupBy(
             "person_id", F.col("ancestor_concept_id").alias("concept_id"), "start_date", "end_date",
         ).agg(F.sum("n").alias("n"))
@@ -103,16 +107,35 @@ def in_window(cohort: DataFrame, records: DataFrame, point: bool, start_day: int
     return overlap_join(left, records, ["person_id"], "_lo", "_hi", "start_date", "end_date", span + 1)
 
 
-def _row_concepts(cdm, cohort: DataFrame, analysis: DomainAnalysis) -> DataFrame:
-    records = domain_records(cdm, analysis)
+def _row_concepts(cdm, cohort: DataFrame, analyses: Sequence[DomainAnalysis]) -> DataFrame:
+    """(row, concept, analysis) of analyses that differ only in id and window.
+
+    The domain is read once and joined over the widest window; each hit is
+    then given to the windows it touches. Groups roll up last, from distinct
+    concepts of a row, so the history is never multiplied by its ancestors.
+    """
+    one = analyses[0]
+    records = domain_records(cdm, replace(one, groups=False))
     rows = cohort.select(*ROW, "subject_id", "cohort_start_date")
-    if analysis.start_day is None:
+    ever = [a for a in analyses if a.start_day is None]
+    windows = [a for a in analyses if a.start_day is not None]
+    found = []
+    if ever:
         seen = records.groupBy("person_id", "concept_id").agg(F.min("start_date").alias("_first"))
-        hit = rows.withColumnRenamed("subject_id", "person_id").join(seen, "person_id").filter(
-            F.col("_first") <= F.date_add("cohort_start_date", analysis.end_day))
-        return hit.select(*ROW, "concept_id")
-    return in_window(rows, records, _is_point(analysis.domain), analysis.start_day, analysis.end_day).select(
-        *ROW, "concept_id").distinct()
+        hit = rows.withColumnRenamed("subject_id", "person_id").join(seen, "person_id")
+        ids = [F.when(F.col("_first") <= F.date_add("cohort_start_date", a.end_day), F.lit(a.analysis_id)) for a in ever]
+        found.append(hit.select(*ROW, "concept_id", F.explode(F.array_compact(F.array(*ids))).alias("analysis_id")))
+    if windows:
+        lo, hi = min(a.start_day for a in windows), max(a.end_day for a in windows)
+        hit = in_window(rows, records, _is_point(one.domain), lo, hi)
+        ids = [F.when((F.col("start_date") <= F.date_add("cohort_start_date", a.end_day))
+                      & (F.col("end_date") >= F.date_add("cohort_start_date", a.start_day)), F.lit(a.analysis_id)) for a in windows]
+        found.append(hit.select(*ROW, "concept_id", F.explode(F.array_compact(F.array(*ids))).alias("analysis_id")).distinct())
+    out = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    if one.groups:
+        out = out.join(group_pairs(cdm, one.domain), F.col("concept_id") == F.col("descendant_concept_id")).select(
+            *ROW, F.col("ancestor_concept_id").alias("concept_id"), "analysis_id").distinct()
+    return out
 
 
 def _ids(frame: DataFrame, analysis: DomainAnalysis) -> DataFrame:
@@ -124,7 +147,24 @@ def _ids(frame: DataFrame, analysis: DomainAnalysis) -> DataFrame:
 
 def domain_flags(cdm, cohort: DataFrame, analysis: DomainAnalysis) -> DataFrame:
     """Binary covariates: the person has the concept in the window."""
-    return _ids(_row_concepts(cdm, cohort, analysis), analysis).withColumn("covariate_value", F.lit(1.0))
+    found = _row_concepts(cdm, cohort, [analysis]).drop("analysis_id")
+    return _ids(found, analysis).withColumn("covariate_value", F.lit(1.0))
+
+
+def domain_flags_of(cdm, cohort: DataFrame, analyses: Sequence[DomainAnalysis]) -> list[tuple[list[DomainAnalysis], DataFrame]]:
+    """Flags of many analyses: those that differ only in id and window come
+    from one read of their domain."""
+    alike: dict[DomainAnalysis, list[DomainAnalysis]] = {}
+    for a in analyses:
+        alike.setdefault(replace(a, analysis_id=0, start_day=0, end_day=0, name=""), []).append(a)
+    out = []
+    for members in alike.values():
+        found = _row_concepts(cdm, cohort, members)
+        flags = found.withColumn("covariate_id", F.col("concept_id") * 1000 + F.col("analysis_id")).drop("concept_id", "analysis_id")
+        if members[0].covariate_ids:
+            flags = filter_concepts(flags, "covariate_id", members[0].covariate_ids)
+        out.append((members, flags.withColumn("covariate_value", F.lit(1.0))))
+    return out
 
 
 def population_sizes(cohort: DataFrame) -> DataFrame:

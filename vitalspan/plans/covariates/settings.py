@@ -79,9 +79,10 @@ def extract(cdm, cohort: DataFrame, settings: CovariateSettings) -> CovariateDat
     of ``analysis_reference``); without it they are flags named after it.
     """
     parts, refs, names = [], [], []
+    for members, flags in D.domain_flags_of(cdm, cohort, settings.analyses()):
+        parts.append(flags)
+        names += [D.covariate_reference(flags.filter(F.pmod("covariate_id", F.lit(1000)) == a.analysis_id), cdm.concept, a) for a in members]
     for a in settings.analyses():
-        parts.append(D.domain_flags(cdm, cohort, a))
-        names.append(D.covariate_reference(parts[-1], cdm.concept, a))
         refs.append((a.analysis_id, a.name, a.domain, a.start_day, a.end_day, "Y", None))
     for name in settings.demographics:
         parts.append(DEMOGRAPHICS[name](cdm, cohort))

@@ -381,6 +381,8 @@ def test_repeated_passages_of_nothing(make):
     ("<body><ul><li><a href=a>One link</a></li><li><a href=b>Two links</a></li><li><a href=c>Three</a></li></ul><div><p>Real prose stands in this place.</p>"
      "<p>It has sentences.</p></div>", "Real prose stands in this place. It has sentences."),
     ("<article><nav><ul><li>menu</article>", ""), ("<nav><ul><li>menu<article><p>kept text</p></article>", "kept text"),
+    ("<article class='post'><p>Own text.</p><section id='comments'><article class='comment-body'><p>Nice!</p></article></section></article>", "Own text."),
+    ("<main><p>Own text.</p></main><article class='related-post'><p>Another page</p></article>", "Own text."),
     ("<p title='a>b\">unbalanced <i>x</i></p>", None),
 ])
 def test_main_text(page, text):

@@ -37,11 +37,12 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: Blocks that cannot hold an article by themselves.
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre address figcaption caption tr td th br hr blockquote ul ol dl tbody thead".split())
 #: Words of class, id and role that mark what is not the article.
-HINTS = frozenset("ad ads advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion sidebar aside "
+HINTS = frozenset("ad ads adsbygoogle adslot adunit toc advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion sidebar aside "
                   "nav navbar navigation menu breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices "
                   "alert popup modal overlay share sharing social related recommended newsletter subscribe subscription signup "
                   "login search comment comments reply replies respond disqus widget toolbar pagination pager copyright "
                   "complementary contentinfo disclaimer".split())
+ARTICLES = frozenset(("article", "main"))
 HEADERS = frozenset("header topbar".split())
 #: Start tags that end an open element of the same row.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -60,10 +61,13 @@ class Node:
         self.density = self.total = 0.0
 
 
-def _unwanted(tag: str, attrs: str, stack: list[Node]) -> bool:
+def _unwanted(tag: str, attrs: str, stack: list[Node], articles: int) -> bool:
+    """Whether an element and all it holds is left out. ``articles`` counts
+    the articles begun before: the first is the page's own, whatever its
+    class; later ones may be comments or links to others."""
     if tag in DROPPED:
         return True
-    inside = any(n.tag in ("article", "main") for n in stack)
+    inside = any(n.tag in ARTICLES for n in stack)
     if tag == "header" and not inside:
         return True
     if "=" not in attrs and "hidden" not in attrs.lower():
@@ -74,7 +78,7 @@ def _unwanted(tag: str, attrs: str, stack: list[Node]) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
-        if name in ("class", "id", "role") and tag not in ("body", "html", "article", "main"):
+        if name in ("class", "id", "role") and not (tag in ARTICLES and not articles):
             words = {w.lower() for w in _PARTS.findall(value)}
             if words & HINTS or (not inside and words & HEADERS):
                 return True
@@ -86,6 +90,7 @@ def parse(page: str) -> Node:
     root = Node("body", None)
     stack = [root]
     skipped: list[str] = []  # open elements inside a dropped one, outermost first
+    articles = 0
     at, size = 0, len(page)
 
     def add(text: str) -> None:
@@ -131,8 +136,8 @@ def parse(page: str) -> Node:
             continue
         void = tag in VOID or attrs.endswith("/")
         if skipped:
-            # an article may not start inside an unclosed menu or advert
-            if tag in ("article", "main"):
+            # the page's article does not start inside a menu or advert: that was never closed
+            if tag in ARTICLES and not articles:
                 skipped.clear()
             else:
                 if not void:
@@ -148,10 +153,11 @@ def parse(page: str) -> Node:
                 break
             if stack[i].tag in _BOUNDS:
                 break
-        if _unwanted(tag, attrs, stack):
+        if _unwanted(tag, attrs, stack, articles):
             if not void:
                 skipped.append(tag)
             continue
+        articles += tag in ARTICLES
         node = Node(tag, stack[-1])
         stack[-1].children.append(node)
         stack[-1].pieces.append(node)

@@ -1,10 +1,12 @@
-"""Registered plans against their reference SQL.
+"""Every registered plan against its reference SQL.
 
-By default a cross-section runs; VITALSPAN_ALL=1 runs every query.
+The plans are started side by side; each test waits for its own. VITALSPAN_SOME=1
+runs a cross-section only.
 """
 
 import math
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
 import pytest
@@ -23,7 +25,7 @@ undersample auc auprc threshold_summary calibration_summary covariate_summary su
 pivot_margins json_array_rows vec_chop dedup_by_digest scalar_date text_profile""".split()
 
 QUERIES = load()
-NAMES = [n for n, q in QUERIES.items() if q.sql and (os.environ.get("VITALSPAN_ALL") or n in SOME)]
+NAMES = [n for n, q in QUERIES.items() if q.sql and (n in SOME or not os.environ.get("VITALSPAN_SOME"))]
 
 
 @pytest.fixture(scope="module")
@@ -34,6 +36,19 @@ def duck():
     return con
 
 
+@pytest.fixture(scope="module")
+def results(spark, request):
+    """Columns and rows of the selected plans, as they become ready."""
+    wanted = [i.callspec.params["name"] for i in request.session.items if getattr(i, "callspec", None) and "name" in i.callspec.params]
+
+    def run(name):
+        df = QUERIES[name].run(spark, DATA)
+        return df.columns, df.collect()
+
+    with ThreadPoolExecutor(5) as pool:
+        yield {n: pool.submit(run, n) for n in dict.fromkeys(wanted)}
+
+
 def canonical(rows, kinds):
     def cell(v, k):
         if v is None or (isinstance(v, float) and math.isnan(v)):
@@ -46,12 +61,12 @@ def canonical(rows, kinds):
 
 
 @pytest.mark.parametrize("name", NAMES)
-def test_matches_reference(spark, duck, name):
+def test_matches_reference(results, duck, name):
     q = QUERIES[name]
     kinds = [k for _, k in q.columns]
-    got = q.run(spark, DATA)
-    assert got.columns == [c for c, _ in q.columns]
-    ours, theirs = canonical(got.collect(), kinds), canonical(duck.execute(q.sql).fetchall(), kinds)
+    columns, rows = results[name].result()
+    assert columns == [c for c, _ in q.columns]
+    ours, theirs = canonical(rows, kinds), canonical(duck.execute(q.sql).fetchall(), kinds)
     assert len(ours) == len(theirs) > 0
     assert ours == theirs
 

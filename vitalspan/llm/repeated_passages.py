@@ -26,6 +26,7 @@ from itertools import compress
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -88,6 +89,21 @@ def _phrase_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                               pa.array(np.minimum(np.concatenate(times), 2).astype(np.int32))], names=["h", "block", "n"])
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed for their way to the blocks; shuffle files hold them in
+    less than two thirds of the room that plain rows need."""
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    for b in batches:
+        texts = [squeeze(t.encode("utf-8", "surrogatepass")) for t in b.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.binary())], names=["block", "k", "z"])
+
+
+def _texts(docs: pa.Table) -> Iterator[str]:
+    loose = zstandard.ZstdDecompressor().decompress
+    for z in docs.column("z").to_pylist():
+        yield loose(z).decode("utf-8", "surrogatepass") if z else ""
+
+
 def _recurring(rows: DataFrame) -> DataFrame:
     """``block, h`` of hashes with two or more places in all blocks; rows are
     one per hash and block."""
@@ -104,7 +120,7 @@ def _candidate_windows(docs: pa.Table, phrases: pa.Table) -> pa.Table:
     wanted = np.sort(phrases.column("h").to_numpy().view(np.uint64))
     parts = []
     if len(wanted):
-        for text in docs.column("t").to_pylist():
+        for text in _texts(docs):
             words = words_of(text, False)
             if len(words) >= WINDOW:
                 h = mix64(word_hashes(words))
@@ -172,7 +188,7 @@ def covered_words(documents: list[list[bytes]], confirmed: np.ndarray) -> list[n
 
 def _remove(docs: pa.Table, confirmed: pa.Table) -> pa.Table:
     wanted = np.sort(confirmed.column("h").to_numpy().view(np.uint64))
-    documents = [words_of(t, False) for t in docs.column("t").to_pylist()]
+    documents = [words_of(t, False) for t in _texts(docs)]
     removed, kept, digests = [], [], []
     for words, gone in zip(documents, covered_words(documents, wanted), strict=True):
         left = b" ".join(compress(words, (~gone).tolist()))
@@ -201,7 +217,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", blo
     phrases = phrases.groupBy("h", "block").agg(F.sum("n").alias("n"))
     # a phrase of a block reaches its documents as one row
     wanted = materialize(_recurring(phrases), "phrases")
-    docs_of = rows.groupBy("block")
+    docs_of = map_rows(rows.select("block", "k", "t"), _packed, "block int, k long, z binary").groupBy("block")
     windows = docs_of.cogroup(wanted.groupBy("block")).applyInArrow(_candidate_windows, "h long, block int, n int")
     confirmed = materialize(_recurring(windows), "passages")
     out = docs_of.cogroup(confirmed.groupBy("block")).applyInArrow(_remove, "k long, n_words long, n_removed long, kept string, kept_sha256 string")

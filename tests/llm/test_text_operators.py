@@ -264,6 +264,17 @@ def test_recurring_lines_match_brute_force(spark):
     assert got and len(got ^ want) <= 0.01 * len(want)  # equally common tokens are told apart by their hash
 
 
+def test_recurring_lines_of_a_full_leaf_all_go(make):
+    names = ["".join("abcdefghij"[int(c)] for c in f"{i:03d}") for i in range(300)]
+    tails = ("red green blue white black", "one two three four five", "up down left right back")
+    exact = [(i, f"it is a {tails[i % 3]}", "en", "s") for i in range(30)]
+    alone = [(i, f"it was a {tails[0] if i < 10 else ' '.join(names[5 * i:5 * i + 5])}", "en", "s") for i in range(40)]
+    varied = [(i, f"there is a {' '.join(tails[i % 3].split()[:4])} {names[i]}", "en", "s") for i in range(30)]
+    numbers = [(i, f"{i} 5 6 {tails[i % 3]}", "en", "s") for i in range(30)]
+    for rows, gone in ((exact, 27), (alone, 9), (varied, 27), (numbers, 27)):
+        assert line_templates.recurring_lines(make(rows)).distinct().count() == gone
+
+
 # -- 4 packing
 
 

@@ -1,12 +1,14 @@
 """Operator 3, line dedup by a log-template tree.
 
 A line's place in the tree is its number of tokens and its leading tokens; a
-token with a digit is a variable field everywhere. In a leaf that enough
-documents reach, every position holds its most common token if at least half
-of the leaf's lines share it, and is a variable field otherwise. Lines that
-agree with this template recur; lines of the leaf that do not are given a
-template of their own in another round. The first line of a template (by key
-and line) stays where it is, all others are dropped.
+token with a digit is a variable field everywhere. Lines that enough documents
+hold token for token recur as they are. The others are judged in groups, at
+first the leaves: every position holds its most common token if at least half
+of the group's lines share it, and is a variable field otherwise. Lines that
+agree with this template recur. The rest splits by the most common token that
+each line holds and part of its group lacks, until no group is left that
+enough documents reach. The first line of a template (by key and line) stays
+where it is, all others are dropped.
 
 Only SQL functions run. The tree is a key, its leaves are groups, and all
 counts have partial sums, so a line that a third of the documents hold is
@@ -26,54 +28,81 @@ FIELD = 0
 
 
 def parsed_lines(docs: DataFrame, key: str, text: str, depth: int, least_tokens: int) -> DataFrame:
-    """``id, line, leaf, tokens`` of lines with enough tokens; tokens are
-    hashes, ``FIELD`` for one with a digit."""
+    """``id, line, leaf, row, tokens`` of lines with enough tokens; tokens are
+    hashes, ``FIELD`` for one with a digit. ``row`` is equal for lines of equal
+    tokens; where all are fields, for lines of equal words."""
     lines = docs.select(F.col(key).alias("id"), F.posexplode(F.split(text_of(text), "\n")).alias("line", "content"))
     words = lines.select("id", "line", word_array(F.col("content")).alias("w")).where(F.size("w") >= least_tokens)
     hashed = F.transform("w", lambda w: F.when(w.rlike("[0-9]"), F.lit(FIELD)).otherwise(F.hash(w)))
-    rows = words.select("id", "line", hashed.alias("tokens"))
-    return rows.select("id", "line", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf"), "tokens")
+    rows = words.select("id", "line", "w", hashed.alias("tokens"))
+    row = F.when(F.exists("tokens", lambda t: t != FIELD), F.xxhash64("tokens")).otherwise(F.xxhash64("w"))
+    return rows.select("id", "line", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf"), row.alias("row"), "tokens")
 
 
-def _reached(rows: DataFrame, least_docs: int) -> DataFrame:
-    """Leaves of at least so many documents; written, so that a join with them
-    deals its own sides and can split a leaf that many lines reach."""
-    leaves = rows.select("leaf", "id").distinct().groupBy("leaf").agg(F.count("*").alias("docs"))
-    return materialize(leaves.where(F.col("docs") >= least_docs).select("leaf"), "leaves")
+def _reached(rows: DataFrame, least_docs: int, by: str = "group") -> DataFrame:
+    """Groups of at least so many documents, and their lines; written, so that
+    a join with them deals its own sides and can split a group that many lines
+    reach."""
+    groups = rows.groupBy(by, "id").agg(F.count("*").alias("n")).groupBy(by).agg(F.count("*").alias("docs"), F.sum("n").alias("lines"))
+    return materialize(groups.where(F.col("docs") >= least_docs).select(by, "lines"), "groups")
 
 
-def leaf_templates(rows: DataFrame) -> DataFrame:
-    """``leaf, template``: for each position the commonest token if half of
-    the leaf's lines have it (the smaller hash of equally common ones), else
+def _firsts(rows: DataFrame, least_docs: int, by: str = "group") -> DataFrame:
+    """The first line of each group of at least so many documents."""
+    groups = (rows.groupBy(by, "id").agg(F.min("line").alias("line"))
+              .groupBy(by).agg(F.count("*").alias("docs"), F.min(F.struct("id", "line")).alias("first")))
+    return materialize(groups.where(F.col("docs") >= least_docs).select(by, "first"), "firsts")
+
+
+def _counts(rows: DataFrame) -> DataFrame:
+    """``group, lines, at, token, n, docs``: lines and documents of a group
+    that hold a token at a position."""
+    tokens = rows.select("group", "lines", "id", F.posexplode("tokens").alias("at", "token"))
+    return (tokens.groupBy("group", "lines", "at", "token", "id").agg(F.count("*").alias("n"))
+            .groupBy("group", "lines", "at", "token").agg(F.sum("n").alias("n"), F.count("*").alias("docs")))
+
+
+def group_templates(rows: DataFrame) -> DataFrame:
+    """``group, template``: for each position the commonest token if half of
+    the group's lines have it (the smaller hash of equally common ones), else
     a variable field."""
-    sizes = rows.groupBy("leaf").agg(F.count("*").alias("lines"))
-    tokens = rows.select("leaf", F.posexplode("tokens").alias("at", "token"))
-    counts = tokens.groupBy("leaf", "at", "token").agg(F.count("*").alias("n"))
-    top = counts.groupBy("leaf", "at").agg(F.max(F.struct("n", (-F.col("token").cast("long")).alias("t"))).alias("m"))
-    placed = top.join(sizes, "leaf").select(
-        "leaf", "at", F.when(2 * F.col("m.n") >= F.col("lines"), -F.col("m.t")).otherwise(FIELD).cast("int").alias("token"))
+    top = _counts(rows).groupBy("group", "lines", "at").agg(F.max(F.struct("n", (-F.col("token").cast("long")).alias("t"))).alias("m"))
+    placed = top.select("group", "at", F.when(2 * F.col("m.n") >= F.col("lines"), -F.col("m.t")).otherwise(FIELD).cast("int").alias("token"))
     ordered = F.sort_array(F.collect_list(F.struct("at", "token")))
-    return placed.groupBy("leaf").agg(F.transform(ordered, lambda x: x["token"]).alias("template"))
+    return placed.groupBy("group").agg(F.transform(ordered, lambda x: x["token"]).alias("template"))
+
+
+def _split(rest: DataFrame, least_docs: int) -> DataFrame:
+    """The lines of a group that enough documents could still share, by the
+    commonest token of each. A token of all the group's lines splits nothing,
+    so every new group has fewer lines than the one it comes from."""
+    keys = materialize(_counts(rest).where((F.col("token") != FIELD) & (F.col("docs") >= least_docs) & (F.col("n") < F.col("lines")))
+                       .select("group", "at", "token", "n"), "keys")
+    tokens = rest.select("group", "id", "line", "row", F.posexplode("tokens").alias("at", "token"))
+    chosen = (tokens.join(keys, ["group", "at", "token"]).groupBy("group", "id", "line", "row")
+              .agg(F.max(F.struct("n", (-F.col("at")).alias("before"), "token")).alias("k")))
+    return (rest.join(chosen, ["group", "id", "line", "row"])
+            .select("leaf", F.xxhash64("group", "k.before", "k.token").alias("group"), "id", "line", "row", "tokens"))
 
 
 def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = 3, least_tokens: int = 5, least_docs: int = 5,
-                    agreement: float = 0.6, rounds: int = 2) -> DataFrame:
+                    agreement: float = 0.6) -> DataFrame:
     """``id, line, leaf, template`` of every line to drop."""
+    later = "NOT (id <=> first.id AND line <=> first.line)"
     rows = parsed_lines(docs, key, text, depth, least_tokens)
-    rows = materialize(rows.join(_reached(rows, least_docs), "leaf", "left_semi"), "lines")
-    dropped = None
-    for i in range(rounds):
-        if i:
-            rows = materialize(rows.join(_reached(rows, least_docs), "leaf", "left_semi"), "lines")
+    rows = materialize(rows.join(_reached(rows, least_docs, "leaf"), "leaf", "left_semi"), "lines")
+    rows = materialize(rows.join(_firsts(rows, least_docs, "row"), "row", "left"), "exact")
+    dropped = rows.where("first IS NOT NULL").where(later).select("id", "line", "leaf", F.col("tokens").alias("template"))
+    rows = rows.where("first IS NULL").select("leaf", F.col("leaf").alias("group"), "id", "line", "row", "tokens").distinct()
+    while True:
+        rows = materialize(rows.join(_reached(rows, least_docs), "group"), "lines")
+        if rows.isEmpty():
+            return dropped
         same = F.aggregate(F.zip_with("tokens", "template", lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-        judged = materialize(rows.join(materialize(leaf_templates(rows), "templates"), "leaf").withColumn("fits", same >= agreement * F.size("tokens")), "judged")
-        fit = judged.where("fits").select("leaf", "id", "line", "template")
-        firsts = (fit.groupBy("leaf").agg(F.min(F.struct("id", "line")).alias("first"))
-                  .join(_reached(fit, least_docs), "leaf", "left_semi"))
-        found = fit.join(firsts, "leaf").where("NOT (id <=> first.id AND line <=> first.line)").select("id", "line", "leaf", "template")
-        dropped = found if dropped is None else dropped.union(found)
-        rows = judged.where("NOT fits").select("leaf", "id", "line", "tokens")
-    return dropped
+        judged = materialize(rows.join(materialize(group_templates(rows), "templates"), "group").withColumn("fits", same >= agreement * F.size("tokens")), "judged")
+        judged = judged.join(_firsts(judged.where("fits"), least_docs), "group", "left").withColumn("gone", F.col("fits") & F.col("first").isNotNull())
+        dropped = dropped.union(judged.where("gone").where(later).select("id", "line", "leaf", "template"))
+        rows = materialize(_split(judged.where("NOT gone").drop("template", "fits", "first", "gone"), least_docs), "rest")
 
 
 def rewritten(docs: DataFrame, key: str = "doc_id", text: str = "text", **tree) -> DataFrame:

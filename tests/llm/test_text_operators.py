@@ -566,6 +566,13 @@ def test_mixing_rates_solve_the_dual(make):
         assert np.ptp(slopes) < 1e-9  # exponential in the size
 
 
+def test_mixing_solves_a_source_whose_documents_all_reach_the_cap(spark):
+    histogram = spark.createDataFrame([("a", 100, 1), ("b", 110, 50)], "source string, size long, n long")
+    targets = spark.createDataFrame([("a", 100, 1, 250.0), ("b", 5500, 1, 12100.0)], "source string, source_size long, weight int, target double")
+    got = {r["source"]: r["multiplier"] for r in mixing.balance(histogram, targets).collect()}
+    assert got == pytest.approx({"a": np.log(2.5), "b": np.log(2.2)}, abs=1e-5)
+
+
 def test_mixing_an_empty_table(make):
     assert mixing.mix_sources(make([])).count() == 0
     assert [r["taken"] for r in mixing.mix_sources(make([(1, None, None, None), (2, "", None, "a")])).collect()] == [0, 0]

@@ -88,7 +88,8 @@ def balance(histogram: DataFrame, targets: DataFrame, most: int = MOST, steps: i
         moved = state.join(sums, F.col("source").eqNullSafe(F.col("_s")), "left")
         low = F.when(F.col("gradient") < 0, F.col("multiplier")).otherwise(F.col("low"))
         high = F.when(F.col("gradient") > 0, F.col("multiplier")).otherwise(F.col("high"))
-        newton = F.col("multiplier") - F.col("gradient") / F.col("curvature")
+        # no curvature is left once all documents are at the cap; the null takes the bisection
+        newton = F.col("multiplier") - F.try_divide("gradient", "curvature")
         moved = moved.select("source", "source_size", "weight", "target", "mean", "multiplier", low.alias("low"), high.alias("high"),
                              newton.alias("_newton"), F.abs(F.col("gradient") / F.col("target")).alias("_off"))
         inside = (F.col("_newton") > F.col("low")) & (F.col("_newton") < F.col("high"))

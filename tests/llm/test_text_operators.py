@@ -401,6 +401,19 @@ def test_main_text(page, text):
     assert text is None or got == text
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ("<div><p class=ad>Buy this<p>First words of it.<p>And more words.</div><p>The end of it.</p>", "First words of it. And more words. The end of it."),
+    ("<article><ul><li class=promo>Buy<li>First point here.<li>Second point here.</ul><p>The end of it.</p></article>",
+     "First point here. Second point here. The end of it."),
+    ("<article><div><nav><ul><li>menu</div><p>Text of the article.</p></article>", "Text of the article."),
+    ("<article><p>Text <button><div>menu</div></button>goes on.</p></article>", "Text goes on."),
+    ("<div class='page no-sidebar'><p>The page's own text is long enough.</p><nav><p>menu</p></nav></div><div class=sidebar><p>Links</p></div>",
+     "The page's own text is long enough."),
+])
+def test_dropped_elements_end_like_others(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_main_text_of_deep_and_long_pages():
     deep = "<div>" * 5000 + "<p>bottom text</p>" + "</div>" * 5000
     assert html_text.main_text(deep) == "bottom text"

@@ -4,6 +4,7 @@ A page becomes a tree of elements. For every node the density is its
 characters per tag, adjusted for links; a node's sum adds up the densities of
 its children. The main text is the subtree with the highest sum, and what
 hangs beside its path to the body with a density above the path's lowest.
+Inside the page's first article element all stays that is not mostly links.
 Elements that are never article text (menus, forms, scripts, adverts, reader
 comments and the like) leave the tree before densities are taken.
 """
@@ -47,55 +48,74 @@ HEADERS = frozenset("header topbar".split())
 #: Start tags that end an open element of the same row.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
           "option": {"option"}}
-_BOUNDS = frozenset("table ul ol dl article section div body main".split())
+_BOUNDS = frozenset("table ul ol dl article section div body main".split()) | DROPPED
+#: Elements whose blocks do not end a paragraph around them.
+_CELLS = frozenset("button object svg math select caption td th".split())
+#: How an element is left out: by a word of its class, or wherever it stands.
+BY_WORD, ALWAYS = 1, 2
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "pieces", "chars", "links", "tags", "link_tags", "density", "total", "order")
+    __slots__ = ("tag", "parent", "children", "pieces", "chars", "links", "tags", "link_tags", "density", "total", "order", "out", "within")
 
-    def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent = tag, parent
+    def __init__(self, tag: str, parent: Node | None, out: int = 0):
+        self.tag, self.parent, self.out = tag, parent, out
+        #: the strongest ``out`` of the element and those around it
+        self.within: int = max(out, parent.within) if parent is not None else out
         self.children: list[Node] = []
         self.pieces: list[str | Node] = []
         self.chars = self.links = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _unwanted(tag: str, attrs: str, stack: list[Node], articles: int) -> bool:
-    """Whether an element and all it holds is left out. ``articles`` counts
-    the articles begun before: the first is the page's own, whatever its
-    class; later ones may be comments or links to others."""
+def _unwanted(tag: str, attrs: str, stack: list[Node], articles: int) -> int:
+    """Whether and how an element and all it holds is left out. ``articles``
+    counts the articles begun before: the first is the page's own, whatever
+    its class; later ones may be comments or links to others."""
     if tag in DROPPED:
-        return True
+        return ALWAYS
     inside = any(n.tag in ARTICLES for n in stack)
     if tag == "header" and not inside:
-        return True
+        return ALWAYS
     if "=" not in attrs and "hidden" not in attrs.lower():
-        return False
+        return 0
+    out = 0
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return ALWAYS
         if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
+            return ALWAYS
         if name in ("class", "id", "role") and not (tag in ARTICLES and not articles):
             words = {w.lower() for w in _PARTS.findall(value)}
             if words & HINTS or (not inside and words & HEADERS):
-                return True
-    return False
+                out = BY_WORD
+    return out
+
+
+def _close(stack: list[Node], tag: str) -> None:
+    """Ends the innermost open element of a tag and all in it. An inline end
+    tag does not end a dropped element, nor ``</p>`` a cell."""
+    for i in range(len(stack) - 1, 0, -1):
+        n = stack[i]
+        if n.tag == tag:
+            del stack[i:]
+            return
+        if (tag in INLINE and n.out) or (tag == "p" and n.tag in _CELLS):
+            return
 
 
 def parse(page: str) -> Node:
-    """The tree below the body, without what is never article text."""
+    """The tree below the body, without what is never article text. Dropped
+    elements stand on the same stack as others, so that they end like them."""
     root = Node("body", None)
     stack = [root]
-    skipped: list[str] = []  # open elements inside a dropped one, outermost first
     articles = 0
     at, size = 0, len(page)
 
-    def add(text: str) -> None:
-        if text and not skipped:
-            stack[-1].pieces.append(text)
+    def add(item: str | Node) -> None:
+        if item and stack[-1].within != ALWAYS:
+            stack[-1].pieces.append(item)
 
     lower = None
     for_token = _TOKEN.search
@@ -111,16 +131,10 @@ def parse(page: str) -> Node:
             continue
         tag = name.lower()
         if m["close"]:
-            if skipped:
-                if tag in skipped:
-                    while skipped.pop() != tag:
-                        pass
-                continue
             if tag == "br":
-                stack[-1].pieces.append(Node("br", None))
-            elif any(n.tag == tag for n in stack[1:]):
-                while stack.pop().tag != tag:
-                    pass
+                add(Node("br", None))
+            else:
+                _close(stack, tag)
             continue
         attrs = m["attrs"]
         if tag in RAW:
@@ -135,47 +149,65 @@ def parse(page: str) -> Node:
         if tag in ("html", "body"):
             continue
         void = tag in VOID or attrs.endswith("/")
-        if skipped:
+        if stack[-1].within and tag in ARTICLES and not articles:
             # the page's article does not start inside a menu or advert: that was never closed
-            if tag in ARTICLES and not articles:
-                skipped.clear()
-            else:
-                if not void:
-                    skipped.append(tag)
-                continue
-        if tag not in INLINE and any(n.tag == "p" for n in stack):
-            if tag != "br" and tag != "img":
-                while stack.pop().tag != "p":
-                    pass
+            del stack[next(i for i, n in enumerate(stack) if n.out):]
+        if tag not in INLINE and tag != "br" and tag != "img":
+            _close(stack, "p")
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in CLOSES.get(tag, ()):
                 del stack[i:]
                 break
             if stack[i].tag in _BOUNDS:
                 break
-        if _unwanted(tag, attrs, stack, articles):
-            if not void:
-                skipped.append(tag)
-            continue
-        articles += tag in ARTICLES
-        node = Node(tag, stack[-1])
-        stack[-1].children.append(node)
-        stack[-1].pieces.append(node)
+        within = stack[-1].within
+        node = Node(tag, stack[-1], _unwanted(tag, attrs, stack, articles) if within != ALWAYS else ALWAYS)
+        articles += tag in ARTICLES and not node.within
+        if node.within != ALWAYS:
+            stack[-1].children.append(node)
+            stack[-1].pieces.append(node)
         if not void:
             stack.append(node)
+    _prune(root, articles == 0)
     return root
 
 
-def _measure(root: Node) -> list[Node]:
-    """Counts, densities and sums of all nodes; returns them in page order."""
+def _in_order(root: Node) -> list[Node]:
     nodes, todo = [], [root]
     while todo:
         n = todo.pop()
         nodes.append(n)
         todo.extend(reversed(n.children))
+    return nodes
+
+
+def _own_chars(n: Node) -> int:
+    return sum(len(" ".join(html.unescape(p).split())) for p in n.pieces if isinstance(p, str))
+
+
+def _prune(root: Node, weigh: bool) -> None:
+    """Takes out what a word of its class marks. On a page without an article
+    a block with most of the text is the page's own, whatever its class."""
+    nodes = _in_order(root)
+    if not any(n.out for n in nodes):
+        return
+    if weigh:
+        for n in reversed(nodes):
+            n.chars = _own_chars(n) + sum(c.chars for c in n.children)
+        for n in nodes:
+            if 2 * n.chars > root.chars:
+                n.out = 0
+    for n in nodes:
+        if any(c.out for c in n.children):
+            n.children = [c for c in n.children if not c.out]
+            n.pieces = [p for p in n.pieces if isinstance(p, str) or not p.out]
+
+
+def _measure(root: Node) -> list[Node]:
+    """Counts, densities and sums of all nodes; returns them in page order."""
+    nodes = _in_order(root)
     for n in reversed(nodes):
-        own = sum(len(" ".join(html.unescape(p).split())) for p in n.pieces if isinstance(p, str))
-        n.chars = own + sum(c.chars for c in n.children)
+        n.chars = _own_chars(n) + sum(c.chars for c in n.children)
         n.links = n.chars if n.tag == "a" else sum(c.links for c in n.children)
         n.tags = sum(c.tags + 1 for c in n.children)
         n.link_tags = sum(c.link_tags + (c.tag == "a") for c in n.children)

@@ -414,6 +414,18 @@ def test_dropped_elements_end_like_others(page, text):
     assert html_text.main_text(page) == text
 
 
+def test_short_sections_of_the_article_stay():
+    many, few = "<p>" + "long words " * 27 + "</p>", "<p>" + "more words " * 27 + "</p>"
+    first, second = " ".join(["long words"] * 270), " ".join(["more words"] * 54)
+    sections = f"<section>{many * 10}</section><section>{few * 2}</section>"
+    assert html_text.main_text(f"<article>{sections}</article>") == f"{first} {second}"
+    # outside an article the density decides: direct text has one, but no children to sum up
+    assert html_text.main_text(f"<div><section>{many * 10}</section><section>{second}</section></div>") == f"{first} {second}"
+    page = (f"<article><header><h1>Title</h1></header><div>{many * 10}</div><div>Direct text.</div>"
+            "<div><a href=a>Other page</a></div></article><div><a href=b>Far page</a></div>")
+    assert html_text.main_text(page) == f"Title {first} Direct text."
+
+
 def test_main_text_of_deep_and_long_pages():
     deep = "<div>" * 5000 + "<p>bottom text</p>" + "</div>" * 5000
     assert html_text.main_text(deep) == "bottom text"

@@ -269,16 +269,18 @@ def main_text(page: str | None) -> str:
         path.add(id(up))
         lowest = min(lowest, up.density)
         up = up.parent
+    article = next((n for n in nodes if n.tag in ARTICLES), None)
+    inside = article is not best and article is not None and id(article) in path
     dropped = set()
     up = best.parent
     while up is not None:
         for c in up.children:
             if id(c) in path or c.tag in INLINE:
                 continue
-            # a block that cannot hold an article goes if it is mostly links
-            thin = 2 * c.links > c.chars if c.tag in LEAVES else 4 * c.total < best.total
-            if thin or (c.tag not in LEAVES and c.density < lowest):
+            # in the article, and for a block that cannot hold one, only links count
+            if 2 * c.links > c.chars if inside or c.tag in LEAVES else c.density < lowest:
                 dropped.add(id(c))
+        inside = inside and up is not article
         up = up.parent
     return " ".join(_block_text(root, frozenset(dropped)))
 

@@ -372,6 +372,18 @@ def test_repeated_passages_match_brute_force(make, corpus, block_bytes):
         assert (r["n_words"], r["n_removed"], r["kept_sha256"]) == want[r["doc_id"]]
 
 
+def test_rows_of_one_key_spread_over_the_blocks(make):
+    rng = random.Random(7)
+    text = lambda n: " ".join(str(rng.random()) for _ in range(n))
+    shared = text(60)
+    rows = [(None, text(90), "en", "s") for _ in range(60)] + [(None, shared, "en", "s")] * 40 + [(7, f"{text(5)} {shared}", "en", "s")]
+    docs = make(rows).select(F.col("doc_id").alias("k"), F.col("text").alias("t"))
+    dealt = repeated_passages._dealt(docs, 20, 5000).collect()
+    assert len(dealt) == 62 and max(Counter(r["block"] for r in dealt).values()) < 15
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_removed"]) for r in repeated_passages.remove_repeats(make(rows), block_bytes=5000).collect())
+    assert got == sorted([("None", 90, 0)] * 60 + [("None", 60, 60)] * 40 + [("7", 65, 60)])
+
+
 def test_repeated_passages_of_nothing(make):
     assert repeated_passages.remove_repeats(make([])).count() == 0
 

@@ -14,7 +14,9 @@ every word it covers goes. Documents are dealt into blocks of a bounded size.
    does, and together they grow with the corpus, not with its square.
 
 A phrase or passage reaches the counts once per block, with 1 or 2, so one
-that a third of all documents share is never gathered row by row.
+that a third of all documents share is never gathered row by row. Rows are
+dealt by key and text, so rows of one key spread; equal rows that would fill a
+good part of a block stand in it once, with their number.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ from vitalspan.session import materialize
 WINDOW, PHRASE = 35, 8
 #: Bytes of text in a block, on average.
 BLOCK_BYTES = 6 << 20
+#: Equal rows of more than this part of a block are counted, not dealt.
+EQUAL_PART = 16
 
 
 def _rolled(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -77,12 +81,12 @@ def _times(phrases: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _phrase_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found, blocks, times = [], [], []
-        for block, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for block, text, copies in zip(*(c.to_pylist() for c in b.columns), strict=True):
             words = words_of(text, False)
             if len(words) >= WINDOW:
                 values, n = _times(*phrases_of(mix64(word_hashes(words))))
                 found.append(values)
-                times.append(n)
+                times.append(n * min(copies, 2))
                 blocks.append(np.full(len(values), block, np.int32))
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(blocks)),
@@ -95,7 +99,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     squeeze = zstandard.ZstdCompressor(level=1).compress
     for b in batches:
         texts = [squeeze(t.encode("utf-8", "surrogatepass")) for t in b.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.binary())], names=["block", "k", "z"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.binary()), b.column(3)], names=["block", "k", "z", "copies"])
 
 
 def _texts(docs: pa.Table) -> Iterator[str]:
@@ -120,13 +124,13 @@ def _candidate_windows(docs: pa.Table, phrases: pa.Table) -> pa.Table:
     wanted = np.sort(phrases.column("h").to_numpy().view(np.uint64))
     parts = []
     if len(wanted):
-        for text in _texts(docs):
+        for text, copies in zip(_texts(docs), docs.column("copies").to_pylist(), strict=True):
             words = words_of(text, False)
             if len(words) >= WINDOW:
                 h = mix64(word_hashes(words))
                 hit = _member(phrases_of(h)[1], wanted)
                 if hit.any():
-                    parts.append(_rolled(h, WINDOW)[hit])
+                    parts += [_rolled(h, WINDOW)[hit]] * min(copies, 2)
     if not parts:
         return _empty(["h", "block", "n"], [pa.int64(), pa.int32(), pa.int32()])
     values, n = np.unique(np.concatenate(parts), return_counts=True)
@@ -196,7 +200,21 @@ def _remove(docs: pa.Table, confirmed: pa.Table) -> pa.Table:
         kept.append(left.decode("utf-8", "surrogatepass"))
         digests.append(hashlib.sha256(left).hexdigest())
     return pa.table([docs.column("k"), pa.array([len(w) for w in documents], pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()),
-                     pa.array(digests, pa.string())], names=["k", "n_words", "n_removed", "kept", "kept_sha256"])
+                     pa.array(digests, pa.string()), docs.column("copies")], names=["k", "n_words", "n_removed", "kept", "kept_sha256", "copies"])
+
+
+def _dealt(rows: DataFrame, blocks: int, block_bytes: int) -> DataFrame:
+    """``k, t, copies, block``: rows by a hash of key and text. Equal rows that
+    together are large are one row, summed up before they are sent."""
+    rows = rows.withColumn("h", F.xxhash64("k", "t"))
+    equal = rows.groupBy("h").agg(F.count("*").alias("n"), F.sum(F.octet_length("t")).alias("size"))
+    large = materialize(equal.where((F.col("n") > 1) & (F.col("size") * EQUAL_PART > block_bytes)).select("h"), "equal")
+    one = F.lit(1).cast("long").alias("copies")
+    if large.isEmpty():
+        return rows.select("k", "t", one, F.pmod("h", F.lit(blocks)).cast("int").alias("block"))
+    summed = rows.join(large, "h", "left_semi").groupBy("h", "k", "t").agg(F.count("*").alias("copies"))
+    rows = rows.join(large, "h", "left_anti").select("h", "k", "t", one).unionByName(summed)
+    return rows.select("k", "t", "copies", F.pmod("h", F.lit(blocks)).cast("int").alias("block"))
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -212,13 +230,15 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", blo
     rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, round(size / block_bytes))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
-    phrases = map_rows(rows.select("block", "t"), _phrase_rows, "h long, block int, n int")
+    rows = _dealt(rows, blocks, block_bytes)
+    phrases = map_rows(rows.select("block", "t", "copies"), _phrase_rows, "h long, block int, n int")
     phrases = phrases.groupBy("h", "block").agg(F.sum("n").alias("n"))
     # a phrase of a block reaches its documents as one row
     wanted = materialize(_recurring(phrases), "phrases")
-    docs_of = map_rows(rows.select("block", "k", "t"), _packed, "block int, k long, z binary").groupBy("block")
+    docs_of = map_rows(rows.select("block", "k", "t", "copies"), _packed, "block int, k long, z binary, copies long").groupBy("block")
     windows = docs_of.cogroup(wanted.groupBy("block")).applyInArrow(_candidate_windows, "h long, block int, n int")
     confirmed = materialize(_recurring(windows), "passages")
-    out = docs_of.cogroup(confirmed.groupBy("block")).applyInArrow(_remove, "k long, n_words long, n_removed long, kept string, kept_sha256 string")
-    return out.withColumnRenamed("k", key)
+    out = docs_of.cogroup(confirmed.groupBy("block")).applyInArrow(
+        _remove, "k long, n_words long, n_removed long, kept string, kept_sha256 string, copies long")
+    out = out.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return out.select(F.col("k").alias(key), "n_words", "n_removed", "kept", "kept_sha256")

@@ -92,3 +92,20 @@ def test_scratch_follows_the_cluster_setting(spark):
 
     assert scratch_root(Session()) == "/shared/run"
     assert materialize(spark.range(3), "x").count() == 3
+
+
+def test_pages_are_summed_before_the_driver_sees_them(cdm, monkeypatch):
+    from vitalspan.catalog import load
+
+    passed, fetch = [], io.fetch_batches
+
+    def counted(df, rows):
+        for page in fetch(df, rows):
+            passed.append(len(page))
+            yield page
+
+    monkeypatch.setattr(io, "fetch_batches", counted)
+    got = load()["fetch_batches"].plan(cdm).first()
+    lines = cdm.lineitem.agg(F.count("*"), F.sum(F.col("l_quantity").cast("double"))).first()
+    assert (got.rows, got.max_page_ok) == (lines[0], True) and got.quantity == pytest.approx(lines[1])
+    assert sum(passed) <= lines[0] // 1000 + cdm.lineitem.rdd.getNumPartitions()

@@ -275,6 +275,14 @@ def test_recurring_lines_of_a_full_leaf_all_go(make):
         assert line_templates.recurring_lines(make(rows)).distinct().count() == gone
 
 
+def test_lines_that_share_only_their_leading_tokens_stay(make):
+    names = ["".join("abcdefghij"[int(c)] for c in f"{i:03d}") for i in range(200)]
+    rows = [(i, f"it is a {names[2 * i]} {names[2 * i + 1]}\nit is a {names[i]} {names[i + 50]} 7\n1 2 3 {names[i]} 5 6", "en", "s") for i in range(50)]
+    assert line_templates.recurring_lines(make(rows)).count() == 0
+    rows = [(i, f"{t} the same word {names[i]}", "en", "s") for i, (_, t, *_) in enumerate(rows)]
+    assert {r["line"] for r in line_templates.recurring_lines(make(rows)).collect()} == {2}
+
+
 # -- 4 packing
 
 

@@ -4,8 +4,9 @@ A line's place in the tree is its number of tokens and its leading tokens; a
 token with a digit is a variable field everywhere. Lines that enough documents
 hold token for token recur as they are. The others are judged in groups, at
 first the leaves: every position holds its most common token if at least half
-of the group's lines share it, and is a variable field otherwise. Lines that
-agree with this template recur. The rest splits by the most common token that
+of the group's lines and enough documents share it, and is a variable field
+otherwise. Lines that agree with this template behind their leading tokens,
+and not by fields alone, recur. The rest splits by the most common token that
 each line holds and part of its group lacks, until no group is left that
 enough documents reach. The first line of a template (by key and line) stays
 where it is, all others are dropped.
@@ -17,7 +18,7 @@ counted, not gathered.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitalspan.llm.common import text_of, word_array
@@ -27,16 +28,22 @@ from vitalspan.session import materialize
 FIELD = 0
 
 
-def parsed_lines(docs: DataFrame, key: str, text: str, depth: int, least_tokens: int) -> DataFrame:
-    """``id, line, leaf, row, tokens`` of lines with enough tokens; tokens are
-    hashes, ``FIELD`` for one with a digit. ``row`` is equal for lines of equal
-    tokens; where all are fields, for lines of equal words."""
+def _hashed(words: Column) -> Column:
+    return F.transform(words, lambda w: F.when(w.rlike("[0-9]"), F.lit(FIELD)).otherwise(F.hash(w)))
+
+
+def parsed_lines(docs: DataFrame, key: str, text: str, depth: int, least_tokens: int, least_docs: int) -> DataFrame:
+    """``id, line, leaf, row, tokens`` of lines with enough tokens in leaves of
+    enough documents; tokens are hashes, ``FIELD`` for one with a digit. ``row``
+    is equal for lines of equal tokens; where all are fields, of equal words.
+    Only leading tokens are hashed to find the leaves."""
     lines = docs.select(F.col(key).alias("id"), F.posexplode(F.split(text_of(text), "\n")).alias("line", "content"))
-    words = lines.select("id", "line", word_array(F.col("content")).alias("w")).where(F.size("w") >= least_tokens)
-    hashed = F.transform("w", lambda w: F.when(w.rlike("[0-9]"), F.lit(FIELD)).otherwise(F.hash(w)))
-    rows = words.select("id", "line", "w", hashed.alias("tokens"))
+    words = lines.select("id", "line", "content", word_array(F.col("content")).alias("w")).where(F.size("w") >= least_tokens)
+    rows = words.select("id", "line", "content", F.xxhash64(F.size("w"), _hashed(F.slice("w", 1, depth))).alias("leaf"))
+    rows = rows.join(_reached(rows, least_docs, "leaf"), "leaf", "left_semi").withColumn("w", word_array(F.col("content")))
+    rows = rows.select("id", "line", "leaf", "w", _hashed(F.col("w")).alias("tokens"))
     row = F.when(F.exists("tokens", lambda t: t != FIELD), F.xxhash64("tokens")).otherwise(F.xxhash64("w"))
-    return rows.select("id", "line", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf"), row.alias("row"), "tokens")
+    return materialize(rows.select("id", "line", "leaf", row.alias("row"), "tokens"), "lines")
 
 
 def _reached(rows: DataFrame, least_docs: int, by: str = "group") -> DataFrame:
@@ -62,16 +69,26 @@ def _counts(rows: DataFrame) -> DataFrame:
             .groupBy("group", "lines", "at", "token").agg(F.sum("n").alias("n"), F.count("*").alias("docs")))
 
 
-def group_templates(rows: DataFrame) -> DataFrame:
+def group_templates(rows: DataFrame, least_docs: int) -> DataFrame:
     """``group, template``: for each position the commonest token if half of
-    the group's lines have it (the smaller hash of equally common ones), else
-    a variable field."""
-    top = _counts(rows).groupBy("group", "lines", "at").agg(F.max(F.struct("n", (-F.col("token").cast("long")).alias("t"))).alias("m"))
-    placed = top.select("group", "at", F.when(2 * F.col("m.n") >= F.col("lines"), -F.col("m.t")).otherwise(FIELD).cast("int").alias("token"))
+    the group's lines and enough documents have it (the smaller hash of
+    equally common ones), else a variable field."""
+    top = (_counts(rows).groupBy("group", "lines", "at")
+           .agg(F.max(F.struct("n", (-F.col("token").cast("long")).alias("t"), "docs")).alias("m")))
+    common = (2 * F.col("m.n") >= F.col("lines")) & (F.col("m.docs") >= least_docs)
+    placed = top.select("group", "at", F.when(common, -F.col("m.t")).otherwise(FIELD).cast("int").alias("token"))
     ordered = F.sort_array(F.collect_list(F.struct("at", "token")))
     return placed.groupBy("group").agg(F.transform(ordered, lambda x: x["token"]).alias("template"))
 
 
+def _agrees(depth: int, agreement: float) -> Column:
+    """Whether enough tokens behind the leading ones, which all lines of a leaf
+    share, are those of the template, and one of them is no field."""
+    behind = [F.slice(c, depth + 1, F.size("tokens")) for c in ("tokens", "template")]
+    same = F.filter(F.zip_with(*behind, lambda a, b: F.when(a == b, a)), lambda t: t.isNotNull())
+    return (F.size(same) >= agreement * F.size(behind[0])) & F.exists(same, lambda t: t != FIELD)
+
+
 def _split(rest: DataFrame, least_docs: int) -> DataFrame:
     """The lines of a group that enough documents could still share, by the
     commonest token of each. A token of all the group's lines splits nothing,
@@ -89,8 +106,7 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", de
                     agreement: float = 0.6) -> DataFrame:
     """``id, line, leaf, template`` of every line to drop."""
     later = "NOT (id <=> first.id AND line <=> first.line)"
-    rows = parsed_lines(docs, key, text, depth, least_tokens)
-    rows = materialize(rows.join(_reached(rows, least_docs, "leaf"), "leaf", "left_semi"), "lines")
+    rows = parsed_lines(docs, key, text, depth, least_tokens, least_docs)
     rows = materialize(rows.join(_firsts(rows, least_docs, "row"), "row", "left"), "exact")
     dropped = rows.where("first IS NOT NULL").where(later).select("id", "line", "leaf", F.col("tokens").alias("template"))
     rows = rows.where("first IS NULL").select("leaf", F.col("leaf").alias("group"), "id", "line", "row", "tokens").distinct()
@@ -98,8 +114,8 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", de
         rows = materialize(rows.join(_reached(rows, least_docs), "group"), "lines")
         if rows.isEmpty():
             return dropped
-        same = F.aggregate(F.zip_with("tokens", "template", lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-        judged = materialize(rows.join(materialize(group_templates(rows), "templates"), "group").withColumn("fits", same >= agreement * F.size("tokens")), "judged")
+        judged = rows.join(materialize(group_templates(rows, least_docs), "templates"), "group")
+        judged = materialize(judged.withColumn("fits", _agrees(depth, agreement)), "judged")
         judged = judged.join(_firsts(judged.where("fits"), least_docs), "group", "left").withColumn("gone", F.col("fits") & F.col("first").isNotNull())
         dropped = dropped.union(judged.where("gone").where(later).select("id", "line", "leaf", "template"))
         rows = materialize(_split(judged.where("NOT gone").drop("template", "fits", "first", "gone"), least_docs), "rest")

@@ -288,9 +288,7 @@ def test_lines_that_share_only_their_leading_tokens_stay(make):
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
 
 
 @pytest.mark.parametrize("capacity", [64, 4096])
@@ -319,6 +317,20 @@ def test_packing_keeps_every_token(make, corpus, tokenizer, capacity):
     assert len(sequences) <= 1.05 * total / capacity + 2
 
 
+def test_special_tokens_have_their_own_ids(tokenizer):
+    import pyarrow as pa
+
+    cut = packing.ChunkTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(9)
+    alphabet = "abcXYZ'sTe09_!#ÀßñÿŁİıǅ×÷ª½Ωσς漢ｅ\u0301\u00a0\u2003\u200b\u0085\x1c\x00😀 \n\t<|>"
+    texts = ["a <|endoftext|> b", "x<|startoftext|>y", "<|EndOfText|>", "it's we'LL !!'s", None, "", " \n ", "a" * 3000]
+    texts += ["".join(rng.choices(alphabet, k=rng.randint(0, 60))) for _ in range(3000)]
+    ids, at = cut.ids(pa.array(texts))
+    got = [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+    assert got == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert got[0] == [320, 49407, 321]
+
+
 def test_packing_an_empty_table(make):
     assert packing.pack_documents(make([]), public_tokenizers.path("word_bpe_49k.json")).count() == 0
 

@@ -11,6 +11,7 @@ its length to the plan's ranges.
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -18,6 +19,8 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,42 +36,93 @@ CLASSES, LEAST = 512, 4
 SHARE = 0.6
 #: Chunks whose tokens a worker remembers before it starts anew.
 KNOWN = 1_000_000
-#: Shares of a length among which ranks are dealt.
-SALTS = 32
+#: Shares of a length among which ranks are dealt, at least, and pieces for
+#: each further one: full pieces all have one length.
+SALTS, SHARE_PIECES = 32, 1 << 20
+
+
+#: Characters of a batch whose chunks are looked up together.
+PART_CHARS = 1 << 22
+#: What a chunk is made of for its words to be found without the tokenizer's
+#: normalizer: printable ASCII and composed Latin letters that keep their
+#: number in lower case.
+_SIMPLE = regex.compile(r"[!-~\u00C0-\u012F\u0131-\u024F]+")
+#: How the byte-level alphabet writes a byte that is not printable.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
 class ChunkTokenizer:
     """Token ids of texts, remembered per chunk between spaces.
 
     The tokenizer drops white space and never merges across it, so a text's
-    ids are those of its chunks one after another.
+    ids are those of its chunks one after another. New chunks of simple
+    characters are cut into words by the tokenizer's own pattern, and words
+    are remembered, too; all other chunks, and all of a tokenizer that cuts
+    words in another way, pass through the tokenizer whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.pattern = self._word_pattern()
+        marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = regex.compile("|".join(map(regex.escape, marks)) or r"(?!)", regex.I)
+
+    def _word_pattern(self) -> regex.Pattern | None:
+        parts = json.loads(self.tokenizer.to_str())
+        normal = [n["type"] for n in (parts.get("normalizer") or {}).get("normalizers", [])]
+        cut = (parts.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        if normal != ["NFC", "Replace", "Lowercase"] or [c["type"] for c in cut] != ["Split", "ByteLevel"] or parts["model"]["type"] != "BPE":
+            return None
+        if not cut[0]["invert"] or cut[0]["behavior"] != "Removed" or cut[1]["use_regex"] or cut[1]["add_prefix_space"] or "Regex" not in cut[0]["pattern"]:
+            return None
+        return regex.compile(cut[0]["pattern"]["Regex"])
+
+    def _word(self, word: str) -> bytes:
+        if len(self.words) > KNOWN:
+            self.words = {}
+        written = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARS)
+        ids = self.words[word] = array("I", [t.id for t in self.tokenizer.model.tokenize(written)]).tobytes()
+        return ids
 
     def _learn(self, chunks: list[str]) -> None:
+        whole = []
+        words = self.words
+        for c in chunks:
+            if self.pattern and _SIMPLE.fullmatch(c) and not self.special.search(c):
+                found = self.pattern.findall(c.lower())
+                self.known[c] = b"".join([words.get(w) or self._word(w) for w in found])
+                words = self.words
+            else:
+                whole.append(c)
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for i in range(0, len(chunks), 5000):
-            some = chunks[i:i + 5000]
+        for i in range(0, len(whole), 5000):
+            some = whole[i:i + 5000]
             for c, e in zip(some, encode(some, add_special_tokens=False), strict=True):
                 self.known[c] = array("I", e.ids).tobytes()
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        chunks = [t.replace("\n", " ").split(" ") for t in texts]
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and where each text's begin
+        (one more place than texts); nulls have none."""
+        spaced = pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), "\n", " ")
+        chunks = pc.split_pattern(spaced, " ")
+        coded = chunks.flatten().dictionary_encode()
+        names = coded.dictionary.to_pylist()
         if len(self.known) > KNOWN:
             self.known = {}
-        known = self.known
-        found = [list(map(known.get, part)) for part in chunks]
-        lacking = [i for i, part in enumerate(found) if None in part]
-        self._learn(list({c for i in lacking for c, b in zip(chunks[i], found[i], strict=True) if b is None}))
-        for i in lacking:
-            found[i] = map(known.__getitem__, chunks[i])
-        return [np.frombuffer(b"".join(part), "<u4") for part in found]
+        self._learn([c for c in names if c not in self.known])
+        parts = [self.known[c] for c in names]
+        first = np.cumsum([0, *map(len, parts)]) // 4
+        blob = np.frombuffer(b"".join(parts), "<u4")
+        which = coded.indices.to_numpy()
+        size = np.diff(first)[which]
+        ends = np.cumsum(size)
+        out = blob[np.repeat(first[which] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        return out, np.concatenate([[0], ends])[chunks.offsets.to_numpy() - chunks.offsets[0].as_py()]
 
 
 @cache
@@ -88,13 +142,16 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, ke
         end = np.array([end_id], "<u4")
         for b in batches:
             out: list[tuple] = []
-            keys, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            for start in range(0, len(texts), 200):
-                for k, ids in zip(keys[start:start + 200], cut.ids(texts[start:start + 200]), strict=True):
-                    ids = np.concatenate([ids, end])
-                    for i, at in enumerate(range(0, len(ids), capacity)):
-                        part = ids[at:at + capacity]
-                        out.append((k, i, at, len(part), zlib.crc32(part.tobytes())))
+            keys, texts = b.column(0).to_pylist(), b.column(1)
+            filled = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+            starts = [*np.flatnonzero(np.diff(filled // PART_CHARS, prepend=-1)).tolist(), len(texts)]
+            for start, stop in zip(starts[:-1], starts[1:], strict=True):
+                ids, at = cut.ids(texts.slice(start, stop - start))
+                for k, first, last in zip(keys[start:stop], at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    row = np.concatenate([ids[first:last], end])
+                    for i, place in enumerate(range(0, len(row), capacity)):
+                        part = row[place:place + capacity]
+                        out.append((k, i, place, len(part), zlib.crc32(part)))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 5,
                                              names=["id", "piece", "start", "length", "ids_crc32"])
 
@@ -258,7 +315,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: i
     """``key, piece, start, length, ids_crc32, sequence_id, offset`` of every
     piece.
 
-    A null or empty text is its end id alone. Rows with equal keys are packed
+    Ids are the tokenizer's own: a text that spells out one of its special
+    tokens gets that token's id. A null or empty text is its end id alone. Rows with equal keys are packed
     as separate pieces. Other columns are not read. An empty table gives none.
     Texts are tokenized once; only piece records are shuffled. The histogram
     (one row per length up to ``capacity``) and the plan pass through the
@@ -267,7 +325,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: i
     spark = docs.sparkSession
     pieces = materialize(token_pieces(docs, tokenizer, end_id, capacity, key, text), "pieces")
     # ranks within a length: within one of its shares, after the shares before
-    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("id", "piece"), F.lit(SALTS)))
+    salts = max(SALTS, -(-pieces.count() // SHARE_PIECES))
+    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(salts)))
     shares = pieces.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     shares = materialize(shares.withColumn("before", before), "shares")
@@ -275,7 +334,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: i
     plan = plan_sequences(histogram, capacity)
     table = spark.createDataFrame(plan.rows or [(0, 0, 0, 0, 0)], "length long, low long, high long, first long, slot int")
     table = materialize(table, "plan")
-    rank = F.row_number().over(W.partitionBy("length", "salt").orderBy("id", "piece")) - 1
+    rank = F.row_number().over(W.partitionBy("length", "salt").orderBy("id", "piece", "ids_crc32")) - 1
     ranked = pieces.withColumn("_rank", rank).join(shares.select("length", "salt", "before"), ["length", "salt"])
     ranked = ranked.withColumn("rank", F.col("_rank") + F.col("before")).drop("_rank", "before")
     placed = ranked.join(table, (ranked["length"] == table["length"]) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))).drop(table["length"])

@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +33,16 @@ KNOWN = 500_000
 #: Words whose n-grams are hashed together.
 PART_WORDS = 1 << 18
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
-_RUNS = re.compile(r"(.)\1+", re.S)
+#: UTF-8 bytes to their character class: capitals, letters (all bytes beyond
+#: ASCII are), digits; blanks and marks stand for themselves.
+CLASS_BYTES = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256))
+_RUNS = re.compile(rb"(.)\1+", re.S)
 
 
-def word_shape(word: str) -> str:
-    """Character classes in order, runs as one: ``Aa`` for "Spark", ``a#`` for
-    "this***" (``#`` stands for the mark itself, a run of it for two)."""
-    kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
-    return _RUNS.sub(lambda m: m[1] if m[1] in "Aa0" else m[1] * 2, kinds)[:24]
+def word_shape(classes: bytes) -> bytes:
+    """Character classes in order, runs as one: ``Aa`` for "Spark", ``a**``
+    for "this***" (a run of marks stands as two)."""
+    return _RUNS.sub(lambda m: m[1] if m[1] in b"Aa0" else m[1] * 2, classes)[:24]
 
 
 class _Hashes(dict):
@@ -63,19 +66,21 @@ def _hash(data: bytes) -> int:
 
 
 _words = _Hashes(_hash)
-_shapes = _Hashes(lambda w: _hash(b"\0" + word_shape(w.decode("utf-8", "replace")).encode()))
+_shapes = _Hashes(lambda classes: _hash(b"\0" + word_shape(classes)))
 
 
-def _parts(texts: list[str | None]) -> Iterator[list[list[bytes]]]:
-    part: list[list[bytes]] = []
+def _parts(texts: list[str | None]) -> Iterator[list[bytes]]:
+    """Texts in runs of about ``PART_WORDS`` words; a longer one is a run of
+    its own."""
+    part: list[bytes] = []
     held = 0
     for t in texts:
-        words = (t or "").encode("utf-8", "surrogatepass").split()  # bytes split at space and 9 to 13 only
-        if part and held + len(words) > PART_WORDS:
+        data = (t or "").encode("utf-8", "surrogatepass")
+        if part and held + len(data) > 6 * PART_WORDS:
             yield part
             part, held = [], 0
-        part.append(words)
-        held += len(words)
+        part.append(data)
+        held += len(data)
     if part:
         yield part
 
@@ -85,9 +90,11 @@ def indicators(texts: list[str | None], bits: int = BITS) -> tuple[np.ndarray, n
     text's begin (one more place than texts)."""
     buckets, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
     for part in _parts(texts):
-        flat = [w for words in part for w in words]
-        row = np.repeat(np.arange(len(part), dtype=np.uint64), [len(w) for w in part])
+        words = [t.split() for t in part]  # bytes split at space and 9 to 13 only
+        row = np.repeat(np.arange(len(part), dtype=np.uint64), [len(w) for w in words])
+        flat = list(chain.from_iterable(words))
         word = np.fromiter(map(_words.__getitem__, flat), np.uint64, len(flat))
+        flat = b"\n".join(part).translate(CLASS_BYTES).split()
         shape = np.fromiter(map(_shapes.__getitem__, flat), np.uint64, len(flat))
         if len(flat) > 1:
             again = (word[1:] == word[:-1]) & (row[1:] == row[:-1])
@@ -102,7 +109,8 @@ def indicators(texts: list[str | None], bits: int = BITS) -> tuple[np.ndarray, n
                 if order in orders:
                     grams.append((row[:len(rolled)][same], mix64(rolled[same] + np.uint64(order))))
         cells = np.concatenate([(r << np.uint64(bits)) | (h >> np.uint64(64 - bits)) for r, h in grams])
-        cells = np.unique(cells)
+        cells.sort()
+        cells = cells[np.concatenate([[True], cells[1:] != cells[:-1]])] if len(cells) else cells
         buckets.append((cells & np.uint64((1 << bits) - 1)).astype(np.uint32))
         sizes.append(np.bincount((cells >> np.uint64(bits)).astype(np.int64), minlength=len(part)))
     return np.concatenate(buckets), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
@@ -203,10 +211,10 @@ class Model:
 
 
 def _margins(ratio: np.ndarray, weight: np.ndarray, constant: float, buckets: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    dot = np.concatenate([[0.0], np.cumsum(weight[buckets], dtype=np.float64)])
-    square = np.concatenate([[0.0], np.cumsum(ratio[buckets].astype(np.float64) ** 2)])
-    length = np.sqrt(np.maximum(square[starts[1:]] - square[starts[:-1]], 1e-12))
-    return (dot[starts[1:]] - dot[starts[:-1]]) / length + constant
+    row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    dot = np.bincount(row, weight[buckets], len(starts) - 1)
+    square = np.bincount(row, ratio[buckets].astype(np.float64) ** 2, len(starts) - 1)
+    return dot / np.sqrt(np.maximum(square, 1e-12)) + constant
 
 
 def _fold(key: Column, text: Column) -> Column:
@@ -214,13 +222,14 @@ def _fold(key: Column, text: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit("fold"), key.cast("string"), text), F.lit(1 << 30)) / float(1 << 30)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000, calibration_share: float = 0.15, cost: float = 1.0,
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 6_000, calibration_share: float = 0.15, cost: float = 1.0,
           key: str = "doc_id", text: str = "text", label: str = "quality", bits: int = BITS) -> Model:
     """Learns label 1 against label 0 from all ``docs`` that have a label.
 
     Class counts cover every labelled row. The support vectors are fitted to
     about ``sample_rows`` rows, never more, drawn by digest; the curve to at
-    most as many of the ``calibration_share`` that nothing else learned from.
+    most a third as many of the ``calibration_share`` that nothing else
+    learned from.
     Both are bounds on rows; a row has at most ``2^bits`` numbers. Rows of
     ``labels`` with a null label or other values teach nothing, nor do keys
     with both labels; several equal labels count as one. Null texts learn as
@@ -264,8 +273,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000, calibra
 
     # a tenth of slack, so that the limit hardly ever has to cut
     share = min(1.0, 0.9 * sample_rows / (n1 + n0))
-    fit_rows = learned.where(F.col("f") < calibration_share + (1 - calibration_share) * share).limit(sample_rows).withColumn("fit", F.lit(True))
-    held = rows.where(F.col("f") < min(calibration_share, 0.9 * sample_rows / (n1 + n0) * (1 - calibration_share))).limit(sample_rows).withColumn("fit", F.lit(False))
+    drawn = learned.where(F.col("f") < calibration_share + (1 - calibration_share) * share).limit(sample_rows).withColumn("fit", F.lit(True))
+    few = sample_rows // 3
+    held = rows.where(F.col("f") < min(calibration_share, 0.9 * few / (n1 + n0) * (1 - calibration_share))).limit(few).withColumn("fit", F.lit(False))
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio = shared.value
@@ -290,7 +300,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000, calibra
         yield pa.RecordBatch.from_arrays([pa.array([weight.astype("<f4").tobytes()], pa.binary()), pa.array([w[-1]]), pa.array([slope]), pa.array([offset])],
                                          names=["weight", "constant", "slope", "offset"])
 
-    sample = fit_rows.select("y", "x", "fit").unionByName(held.select("y", "x", "fit")).repartition(1)
+    sample = drawn.select("y", "x", "fit").unionByName(held.select("y", "x", "fit")).repartition(1)
     best = map_rows(sample, fit, "weight binary, constant double, slope double, offset double").first()
     return Model(ratio, np.frombuffer(best["weight"], "<f4"), best["constant"], best["slope"], best["offset"], bits)
 

@@ -161,6 +161,16 @@ def test_classifier_edges(spark, make):
     assert {r["score"] for r in quality_classifier.score_documents(docs, nothing).collect()} == {0.5}
 
 
+def test_the_sieve_keeps_every_known_key(spark, monkeypatch):
+    rows = spark.range(5000).select(F.col("id").alias("k"), F.lit("x").alias("t"), F.lit(1).alias("_z"))
+    known = spark.range(0, 5000, 7).select(F.col("id").alias("k"))
+    for bits, most in ((26, 730), (16, 800)):
+        monkeypatch.setattr(quality_classifier, "SIEVE_BITS", bits)
+        left = quality_classifier._sieve(rows, known)
+        assert left.columns == rows.columns and left.join(known, "k").count() == known.count() <= left.count() <= most
+    assert quality_classifier._sieve(rows, known.where("false")).count() == 0
+
+
 def test_classifier_on_held_out_documents(spark):
     folder = os.path.join(os.path.dirname(DATA), "sf0.01")
     folder = folder if os.path.isdir(folder) else DATA

@@ -32,6 +32,8 @@ BITS = 18
 KNOWN = 500_000
 #: Words whose n-grams are hashed together.
 PART_WORDS = 1 << 18
+#: Bits of the bitmap that keeps texts without labels from being shuffled.
+SIEVE_BITS = 26
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: UTF-8 bytes to their character class: capitals, letters (all bytes beyond
 #: ASCII are), digits; blanks and marks stand for themselves.
@@ -222,6 +224,21 @@ def _fold(key: Column, text: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit("fold"), key.cast("string"), text), F.lit(1 << 30)) / float(1 << 30)
 
 
+def _sieve(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows whose key may be among the known ones, by one bitmap of
+    ``2^SIEVE_BITS`` digests. It only saves shuffling the texts of others;
+    the join that follows decides."""
+    def digest(df: DataFrame) -> DataFrame:
+        h = F.pmod(F.xxhash64(F.col("k").cast("string")), F.lit(1 << SIEVE_BITS))
+        return df.withColumn("_b", F.shiftright(h, 15)).withColumn("_p", h.bitwiseAND(32767))
+
+    # at most 2^(SIEVE_BITS - 15) rows of 4 kB: broadcast has a fixed bound
+    bitmap = digest(known).groupBy("_b").agg(F.bitmap_construct_agg("_p").alias("_m"))
+    byte = F.conv(F.hex(F.substring("_m", (F.shiftright("_p", 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.expr("shiftright(_v, cast(_p & 7 AS int)) & 1") == 1
+    return digest(rows).join(F.broadcast(bitmap), "_b").withColumn("_v", byte).where(hit).select(*rows.columns)
+
+
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 6_000, calibration_share: float = 0.15, cost: float = 1.0,
           key: str = "doc_id", text: str = "text", label: str = "quality", bits: int = BITS) -> Model:
     """Learns label 1 against label 0 from all ``docs`` that have a label.
@@ -239,7 +256,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 6_000, calibrat
     """
     known = (labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("k"))
              .agg(F.min(F.col(label).cast("int")).alias("y"), F.max(F.col(label).cast("int")).alias("_y")).where("y = _y").select("k", "y"))
-    rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(known, "k")
+    known = materialize(known, "labels")
+    rows = _sieve(docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")), known).join(known, "k")
     rows = rows.select("y", "t", _fold(F.col("k"), F.col("t")).alias("f"))
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

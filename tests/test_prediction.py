@@ -100,16 +100,63 @@ def test_splits_are_disjoint_and_stable(frame):
     assert abs(shares[0] - 0.25) < 0.02 and abs(shares[1] - 0.25) < 0.04
 
 
-def test_knn_blocks_equal_one_block(frame, spark):
+@pytest.mark.parametrize("k", [1, 5, 60])
+def test_neighbours_equal_brute_force(frame, k):
     rng = random.Random(4)
-    cov = frame([(i, c, float(rng.randint(1, 4))) for i in range(80) for c in range(1, 6) if rng.random() < 0.6], "row_id long, covariate_id long, covariate_value double")
-    pop = frame([(i, int(rng.random() < 0.4)) for i in range(80)], "row_id long, outcome_count long")
-    train, test = pop.filter("row_id < 50"), pop.filter("row_id >= 50")
-
-    def run(**blocks):
-        return {r.row_id: round(r.value, 9) for r in M.fit_knn(cov, train, 5, **blocks).predict(cov, test).collect()}
-
-    assert run() == run(test_block=7, train_block=11)
+    cov = [(i, c, float(rng.randint(1, 4))) for i in range(80) for c in range(1, 9) if rng.random() < (0.9 if c == 1 else 0.4 / c)]
+    cov += [(70, 99, 3.0), (5, 2, 0.0)]  # unknown to the training rows; an explicit zero
+    vectors = {i: np.zeros(100) for i in range(82)}
+    for i, c, v in cov:
+        vectors[i][c] += v
+    cov = frame(cov, "row_id long, covariate_id long, covariate_value double")
+    pop = frame([(i, int(i % 3 == 0)) for i in range(82)], "row_id long, outcome_count long")
+    model = M.fit_knn(cov, pop.filter("row_id < 50"), k)
+    got = {}
+    for r in model.neighbours(cov, pop.filter("row_id >= 50")).collect():
+        got.setdefault(r.row_id, []).append((r.distance, r.neighbour))
+    for i in range(50, 82):
+        x = vectors[i].copy()
+        x[99] = 0
+        want = sorted((round(float(((x - vectors[t]) ** 2).sum()), 9), t) for t in range(50))[:k]
+        assert sorted(got[i]) == want
+    value = {r.row_id: r.value for r in model.predict(cov, pop.filter("row_id >= 50")).collect()}
+    assert value == pytest.approx({i: np.mean([t % 3 == 0 for _, t in n]) for i, n in got.items()})
+
+
+def test_neighbours_do_not_meet_all_pairs(frame, spark):
+    pop = spark.range(3000).select(F.col("id").alias("row_id"), (F.col("id") % 2).alias("outcome_count"))
+    rare = pop.select("row_id", F.explode(F.array(*[F.lit(10 + 50 * j) + F.pmod(F.xxhash64("row_id", F.lit(j)), F.lit(50)) for j in range(6)])).alias("covariate_id"))
+    cov = rare.unionByName(pop.select("row_id", F.lit(1).cast("long").alias("covariate_id"))).withColumn("covariate_value", F.lit(1.0))
+    model = M.fit_knn(cov, pop.filter("row_id < 2500"), 3)
+    seen = []
+    plain = type(model)._distances
+    model._distances = lambda pairs, test: seen.append(pairs.count()) or plain(model, pairs, test)
+    assert model.neighbours(cov, pop.filter("row_id >= 2500")).count() == 1500
+    assert sum(seen) < 0.5 * 500 * 2500
+    with pytest.raises(Exception, match="zero or more"):
+        M.fit_knn(frame([(1, 1, -1.0)], "row_id long, covariate_id long, covariate_value double"), pop, 1)
+
+
+def test_permutation_importance_equals_rescoring(frame):
+    rng = random.Random(12)
+    cov = frame([(i, c, float(rng.randint(1, 3))) for i in range(120) for c in (11, 12, 13) if rng.random() < 0.5], "row_id long, covariate_id long, covariate_value double")
+    rows = [(i, int(rng.random() < 0.4)) for i in range(120)]
+    pop = frame(rows, "row_id long, outcome_count long")
+    beta = {11: 0.5, 12: -0.5, 13: 0.25, 14: 1.0}
+    scorer = M.LinearScorer(frame(list(beta.items()), "covariate_id long, coefficient double"), -0.2)
+    got = {r.covariate_id: r.importance for r in M.permutation_importance(scorer, cov, pop, [11, 12, 13, 14], seed=3).collect()}
+    values = {}
+    for r in cov.collect():
+        values[r.row_id, r.covariate_id] = r.covariate_value
+    donors = [r.row_id for r in pop.orderBy(M.hash_order("row_id", seed=3)).collect()]
+    y = dict(rows)
+
+    def area(moved):
+        score = {i: round(-0.2 + sum(b * values.get((donors[i] if c == moved else i, c), 0) for c, b in beta.items()), 9) for i in y}
+        pairs = [(score[i] > score[j]) + 0.5 * (score[i] == score[j]) for i in y if y[i] for j in y if not y[j]]
+        return sum(pairs) / len(pairs)
+
+    assert got == pytest.approx({c: area(None) - area(c) for c in beta})
 
 
 def test_cox_gradient_vanishes(frame):

@@ -10,15 +10,16 @@ from functools import reduce
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import classification as C
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitalspan.operators.ranks import hash_fraction, hash_order, row_numbers, running_totals
 from vitalspan.plans.prediction import evaluate as E
 from vitalspan.plans.prediction.features import feature_index, to_vectors
+from vitalspan.plans.prediction.neighbours import fit_knn as fit_knn
+from vitalspan.plans.prediction.sparse import PathResult, lasso_path, sparse_rows
 from vitalspan.session import literal_frame, materialize
 
 
@@ -97,9 +98,17 @@ class LinearScorer:
 
 def linear_scorer(model, index: DataFrame) -> LinearScorer:
     """Coefficients of a fitted logistic regression as a table."""
-    beta = F.lit([float(v) for v in model.coefficients.toArray()])
-    table = index.select("covariate_id", F.element_at(beta, F.col("idx") + 1).alias("coefficient"))
-    return LinearScorer(table.filter(F.col("coefficient") != 0), float(model.intercept))
+    beta = model.coefficients
+    table = literal_frame(index.sparkSession, [(int(i), float(v)) for i, v in enumerate(beta.toArray()) if v], "idx int, coefficient double")
+    return LinearScorer(index.join(table, "idx").select("covariate_id", "coefficient"), float(model.intercept))
+
+
+def fit_lasso_path(covariates: DataFrame, population: DataFrame, fold: Column | None = None, **path) -> tuple[LinearScorer, PathResult]:
+    """Lasso logistic regression whose penalty is chosen from the data by
+    held-out likelihood over the folds (1, 2, ...)."""
+    rows, index = sparse_rows(covariates, population, F.col("outcome_count") > 0, fold)
+    found = lasso_path(rows, index, "logistic", **path)
+    return LinearScorer(found.coefficients(), found.final.constant), found
 
 
 # --- learners -------------------------------------------------------------------
@@ -187,63 +196,27 @@ def fit_adaboost(covariates: DataFrame, population: DataFrame, rounds: int = 3,
     return AdaBoostModel(members, index)
 
 
-# --- nearest neighbours -----------------------------------------------------------
+# --- time to event -----------------------------------------------------------------
 @dataclass
-class KnnModel:
-    train: DataFrame
-    index: DataFrame
-    k: int
-    test_block: int = 50_000
-    train_block: int = 10_000
+class CoxModel:
+    """Relative hazards from sparse covariates."""
+
+    path: PathResult
 
     def predict(self, covariates: DataFrame, population: DataFrame) -> DataFrame:
-        """Exact k nearest neighbours as a block join: every pair of a test
-        block and a training block is one task that keeps k per test row; the
-        k best over all training blocks vote."""
-        frame = materialize(design(covariates, population, self.index)[0].select("row_id", "features"), "test")
-        n_test = max(1, math.ceil(frame.count() / self.test_block))
-        n_train = max(1, math.ceil(self.train.count() / self.train_block))
-        block = lambda n: F.pmod(F.xxhash64("row_id"), F.lit(n)).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        test = frame.select("row_id", vector_to_array("features").alias("x"), block(n_test).alias("ti"), every(n_train).alias("tj"))
-        train = self.train.select(
-            "row_id", vector_to_array("features").alias("x"), "label", block(n_train).alias("tj"), every(n_test).alias("ti"))
-        k = self.k
-
-        def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            if left.empty or right.empty:
-                return pd.DataFrame({"row_id": [], "distance": [], "neighbour": [], "label": []})
-            b = np.stack(right["x"].to_numpy())
-            ids, y = right["row_id"].to_numpy(), right["label"].to_numpy()
-            norms, parts = (b * b).sum(1), []
-            for at in range(0, len(left), 1024):
-                a = np.stack(left["x"].iloc[at:at + 1024].to_numpy())
-                d = np.maximum((a * a).sum(1)[:, None] + norms[None, :] - 2 * a @ b.T, 0.0).round(9)
-                order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
-                take = order.shape[1]
-                parts.append(pd.DataFrame({
-                    "row_id": np.repeat(left["row_id"].iloc[at:at + 1024].to_numpy(), take),
-                    "distance": np.take_along_axis(d, order, 1).ravel(), "neighbour": ids[order].ravel(),
-                    "label": y[order].ravel()}))
-            return pd.concat(parts)
-
-        found = test.groupBy("ti", "tj").cogroup(train.groupBy("ti", "tj")).applyInPandas(
-            nearest, "row_id long, distance double, neighbour long, label double")
-        # At most k rows per training block and test row reach this point.
-        best = found.groupBy("row_id").agg(F.slice(F.sort_array(F.collect_list(
-            F.struct("distance", "neighbour", "label"))), 1, k).alias("n"))
-        vote = F.aggregate("n", F.lit(0.0), lambda s, e: s + e["label"]) / F.size("n")
-        return population.join(best.select("row_id", vote.alias("value")), "row_id")
-
-
-def fit_knn(covariates: DataFrame, population: DataFrame, k: int = 10, **blocks) -> KnnModel:
-    frame, index = training_frame(covariates, population)
-    return KnnModel(frame.select("row_id", "features", "label"), index, k, **blocks)
+        lp = LinearScorer(self.path.coefficients(), 0.0).linear_predictor(covariates, population)
+        return lp.withColumn("value", F.exp("lp")).drop("lp")
+
+
+def fit_sparse_cox(covariates: DataFrame, population: DataFrame, time: str = "survival_time", fold: Column | None = None, **path) -> CoxModel:
+    """Proportional hazards with an L1 penalty over any number of covariates;
+    with folds the penalty is chosen by held-out partial likelihood."""
+    rows, index = sparse_rows(covariates, population, F.col("outcome_count") > 0, fold, F.col(time))
+    return CoxModel(lasso_path(rows, index, "cox", **path))
 
 
-# --- time to event -----------------------------------------------------------------
 @dataclass
-class CoxModel:
+class ColumnCoxModel:
     columns: list[str]
     beta: list[float]
 
@@ -252,44 +225,14 @@ class CoxModel:
         return frame.withColumn("value", F.exp(lp))
 
 
-def fit_cox(frame: DataFrame, columns: list[str], time: str, event: str, l1: float = 0.0, rounds: int = 12) -> CoxModel:
-    """Proportional hazards with an L1 penalty by proximal Newton steps.
-
-    Each round is one aggregation by day to a few sums; the number of days in
-    the risk window bounds what reaches the driver.
-    """
-    p = len(columns)
-    beta = np.zeros(p)
-    x = [F.col(c).cast("double") for c in columns]
-    n = frame.count()
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    for _ in range(rounds):
-        risk = F.exp(reduce(lambda a, b: a + b, [F.lit(float(b)) * c for b, c in zip(beta, x, strict=True)]))
-        base = frame.withColumn("_r", risk)
-        r, e = F.col("_r"), F.col(event).cast("double")
-        daily = base.groupBy(F.col(time).alias("day")).agg(
-            F.sum(e).alias("d"), F.sum(r).alias("s0"), *[F.sum(e * c).alias(f"e{i}") for i, c in enumerate(x)],
-            *[F.sum(r * c).alias(f"a{i}") for i, c in enumerate(x)],
-            *[F.sum(r * x[i] * x[j]).alias(f"b{i}_{j}") for i, j in pairs]).orderBy(F.col("day").desc()).toPandas()
-        d, s0 = daily["d"].to_numpy(), daily["s0"].cumsum().to_numpy()
-        s1 = np.stack([daily[f"a{i}"].cumsum().to_numpy() for i in range(p)], 1)
-        mean = s1 / s0[:, None]
-        gradient = np.array([daily[f"e{i}"].sum() for i in range(p)]) - (d[:, None] * mean).sum(0)
-        hessian = np.zeros((p, p))
-        for i, j in pairs:
-            s2 = daily[f"b{i}_{j}"].cumsum().to_numpy() / s0
-            hessian[i, j] = hessian[j, i] = (d * (s2 - mean[:, i] * mean[:, j])).sum()
-        hessian += np.eye(p) * 1e-8 * n
-        new = beta.copy()
-        for _sweep in range(100):
-            for j in range(p):
-                slope = gradient[j] - hessian[j] @ (new - beta) + hessian[j, j] * new[j]
-                new[j] = np.sign(slope) * max(abs(slope) - l1 * n, 0.0) / hessian[j, j]
-        done = np.abs(new - beta).max() < 1e-9
-        beta = new
-        if done:
-            break
-    return CoxModel(columns, [float(b) for b in beta])
+def fit_cox(frame: DataFrame, columns: list[str], time: str, event: str, l1: float = 0.0) -> ColumnCoxModel:
+    """The same model on a few named columns of a frame with row ids."""
+    values = F.array(*[F.struct(F.lit(i).cast("long").alias("covariate_id"), F.col(c).cast("double").alias("covariate_value")) for i, c in enumerate(columns)])
+    covariates = frame.select("row_id", F.explode(values).alias("_e")).select("row_id", "_e.*")
+    rows, index = sparse_rows(covariates, frame, F.col(event), None, F.col(time))
+    found = lasso_path(rows, index, "cox", penalties=[l1])
+    beta = {r.covariate_id: r.coefficient for r in found.coefficients().collect()}
+    return ColumnCoxModel(columns, [beta.get(i, 0.0) for i in range(len(columns))])
 
 
 # --- selection and curves -------------------------------------------------------------
@@ -352,8 +295,9 @@ def permutation_importance(
     """Drop in AUC when one covariate's values are shuffled over the rows.
 
     Row i receives the value of the row whose hash rank is i's id rank. Only
-    rows whose value changes are rescored; per covariate they replace their
-    counts in the grouped base scores.
+    rows whose value changes count: the area changes by their ranks, old and
+    new, among all scores, and by the order of moved rows among themselves.
+    The base distribution is sorted once for all covariates.
     """
     rows = materialize(population.select("row_id", "outcome_count"), "rows")
     base = scorer.linear_predictor(covariates, rows).withColumn("y", (F.col("outcome_count") > 0).cast("long"))
@@ -370,18 +314,26 @@ def permutation_importance(
     delta = own.unionByName(given).groupBy("row_id", "covariate_id").agg(F.sum("part").alias("delta")).filter(F.abs("delta") > 1e-12)
     moved = base.join(delta, "row_id")
 
-    def counts(frame, value, sign):
-        return frame.select("covariate_id", F.round(value, 9).alias("value"), (F.col("y") * sign).alias("pos"), ((1 - F.col("y")) * sign).alias("neg"))
-
+    moved = moved.select("covariate_id", "y", F.round("lp", 9).alias("old"), F.round(F.col("lp") + F.col("delta"), 9).alias("new"))
+    moved = materialize(moved, "moved")
     grouped = base.groupBy(F.round("lp", 9).alias("value")).agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    everywhere = grouped.select(F.explode(F.array(*[F.lit(i).cast("long") for i in (0, *covariate_ids)])).alias("covariate_id"), "value", "pos", "neg")
-    final = everywhere.unionByName(counts(moved, F.col("lp"), -1)).unionByName(counts(moved, F.col("lp") + F.col("delta"), 1))
-    merged = final.groupBy("covariate_id", "value").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).filter("pos + neg > 0")
-    cum = running_totals(merged, ["covariate_id"], "value", ["neg"])
-    area = F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2.0)) / (F.sum("pos") * F.sum("neg"))
-    per_id = cum.groupBy("covariate_id").agg(area.alias("auc"))
-    whole = per_id.filter(F.col("covariate_id") == 0).select("auc").scalar()
-    return per_id.withColumn("importance", whole - F.col("auc")).filter(F.col("covariate_id") != 0).select("covariate_id", "importance")
+    zero = F.lit(0).cast("long")
+    points = grouped.unionByName(moved.select(F.col("new").alias("value"), zero.alias("pos"), zero.alias("neg")))
+    points = points.groupBy("value").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    p, n = (grouped.agg(F.sum(c)).scalar() for c in ("pos", "neg"))
+    # negatives below a score and positives above it, in the one base distribution
+    ranked = running_totals(points, [], "value", ["pos", "neg"]).select(
+        "value", (F.col("cum_neg") - F.col("neg") / 2.0).alias("below"), (p - F.col("cum_pos") + F.col("pos") / 2.0).alias("above"))
+    sides = F.array(F.struct(F.col("new").alias("value"), F.lit(1).alias("sign")), F.struct(F.col("old").alias("value"), F.lit(-1).alias("sign")))
+    change = moved.select("covariate_id", "y", F.explode(sides).alias("_s")).groupBy("covariate_id", F.col("_s.value").alias("value")).agg(
+        F.sum(F.col("y") * F.col("_s.sign")).alias("dp"), F.sum((1 - F.col("y")) * F.col("_s.sign")).alias("dn"))
+    # pairs of two moved rows count once by their own order
+    own_order = F.col("cum_dn") - F.col("dn") / 2.0
+    gain = F.col("dp") * F.col("below") + F.col("dn") * F.col("above") + F.col("dp") * own_order
+    change = running_totals(change, ["covariate_id"], "value", ["dn"]).join(ranked, "value")
+    per_id = change.groupBy("covariate_id").agg((-F.sum(gain) / (p * n)).alias("_drop"))
+    wanted = literal_frame(rows.sparkSession, [(int(i),) for i in dict.fromkeys(covariate_ids)], "covariate_id long")
+    return wanted.join(per_id, "covariate_id", "left").select("covariate_id", F.coalesce("_drop", F.lit(0.0)).alias("importance"))
 
 
 def stacked_ensemble(predictions: Sequence[DataFrame], split: DataFrame) -> DataFrame:

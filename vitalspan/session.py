@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +43,15 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def share_code(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it,
+    whatever folder they start in; an installed package needs none of it."""
+    root = str(Path(__file__).resolve().parents[1])
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Folder shared by all executors: ``spark.checkpoint.dir`` when the
     cluster sets it, else a fresh local folder (single-machine runs only)."""

@@ -19,8 +19,8 @@ from vitalspan.operators.ranks import hash_fraction, hash_order, row_numbers, ru
 from vitalspan.plans.prediction import evaluate as E
 from vitalspan.plans.prediction.features import feature_index, to_vectors
 from vitalspan.plans.prediction.neighbours import fit_knn as fit_knn
-from vitalspan.plans.prediction.sparse import PathResult, lasso_path, sparse_rows
-from vitalspan.session import literal_frame, materialize
+from vitalspan.plans.prediction.sparse import PathResult, coordinate_boosting, lasso_path, sparse_rows
+from vitalspan.session import concurrently, literal_frame, materialize
 
 
 class Model(Protocol):
@@ -114,7 +114,6 @@ def fit_lasso_path(covariates: DataFrame, population: DataFrame, fold: Column |
 # --- learners -------------------------------------------------------------------
 CLASSIFIERS: dict[str, Callable[..., object]] = {
     "lasso_lr": lambda **p: C.LogisticRegression(**({"elasticNetParam": 1.0, "regParam": 0.01, "maxIter": 50} | p)),
-    "linear_booster": lambda **p: C.LogisticRegression(**({"elasticNetParam": 0.5, "regParam": 0.01, "maxIter": 50} | p)),
     "gbm": lambda **p: C.GBTClassifier(**({"maxIter": 10, "maxDepth": 3, "stepSize": 0.1, "seed": 1} | p)),
     "rf": lambda **p: C.RandomForestClassifier(**({"numTrees": 20, "maxDepth": 4, "seed": 1} | p)),
     "dt": lambda **p: C.DecisionTreeClassifier(**({"maxDepth": 4, "seed": 1} | p)),
@@ -131,12 +130,24 @@ class ModelSpec:
     def estimator(self, **override):
         return CLASSIFIERS[self.kind](**(dict(self.params) | override))
 
+    def fit(self, covariates: DataFrame, population: DataFrame) -> Model:
+        if self.kind == "linear_booster":
+            return fit_linear_booster(covariates, population, **dict(self.params))
+        return fit(covariates, population, self)
+
 
 def fit(covariates: DataFrame, population: DataFrame, spec: ModelSpec) -> VectorModel:
     frame, index = training_frame(covariates, population)
     return VectorModel(spec.estimator().fit(frame), index)
 
 
+def fit_linear_booster(covariates: DataFrame, population: DataFrame, **settings) -> LinearScorer:
+    """Boosted coordinates; see ``coordinate_boosting`` for the settings."""
+    rows, index = sparse_rows(covariates, population, F.col("outcome_count") > 0)
+    found = coordinate_boosting(rows, index, **settings)
+    return LinearScorer(found.coefficients(), found.constant)
+
+
 def fit_mlp(covariates: DataFrame, population: DataFrame, hidden: Sequence[int] = (8,), seed: int = 1, iterations: int = 30) -> VectorModel:
     frame, index = training_frame(covariates, population)
     layers = [index.count(), *hidden, 2]
@@ -236,27 +247,67 @@ def fit_cox(frame: DataFrame, columns: list[str], time: str, event: str, l1: flo
 
 
 # --- selection and curves -------------------------------------------------------------
-def grid_search_cv(
-    covariates: DataFrame, population: DataFrame, folds: DataFrame, spec: ModelSpec, grid: Sequence[dict],
-) -> tuple[VectorModel, DataFrame]:
-    """Every setting on every fold; the best mean AUC is refitted on all rows.
+@dataclass(frozen=True)
+class FrameLearner:
+    """An estimator on feature vectors that were written once for all fits."""
 
-    Returns the model and (setting, fold, auc) rows; fold 0 is over all
-    out-of-fold predictions.
+    frame: DataFrame
+    index: DataFrame
+    estimator: object
+
+    def fit(self, covariates: DataFrame, population: DataFrame) -> FrameModel:
+        train = self.frame.join(population.select("row_id"), "row_id", "left_semi")
+        return FrameModel(VectorModel(self.estimator.fit(train), self.index), self.frame)
+
+
+@dataclass(frozen=True)
+class FrameModel:
+    model: VectorModel
+    frame: DataFrame
+
+    def predict(self, covariates: DataFrame, population: DataFrame) -> DataFrame:
+        return self.model.score(self.frame.join(population.select("row_id"), "row_id", "left_semi"))
+
+
+def cross_validate(
+    covariates: DataFrame, population: DataFrame, folds: DataFrame, learners: Sequence[Learner], workers: int = 4,
+) -> tuple[DataFrame, DataFrame]:
+    """Every learner on every fold, side by side.
+
+    Returns the written held-out predictions (``setting, index, row_id,
+    outcome_count, value``) and ``setting, fold, rows, auc, best``: all areas
+    come from one grouped pass; fold 0 is over all held-out predictions; best
+    has the largest mean over the folds, of equals the first.
     """
+    spark = population.sparkSession
+    labelled = materialize(population.join(folds.filter(F.col("index") > 0), "row_id"), "labelled")
+    ids = [r[0] for r in labelled.select("index").distinct().orderBy("index").collect()]
+
+    def job(s: int, fold: int) -> Callable[[], DataFrame]:
+        def run() -> DataFrame:
+            model = learners[s].fit(covariates, labelled.filter(F.col("index") != fold))
+            held = model.predict(covariates, labelled.filter(F.col("index") == fold))
+            return materialize(held.select(F.lit(s).cast("long").alias("setting"), "index", "row_id", "outcome_count", "value"), "heldout")
+        return run
+
+    scored = reduce(DataFrame.unionByName, concurrently(spark, [job(s, f) for s in range(len(learners)) for f in ids], workers))
+    both = scored.select("*", F.explode(F.array(F.lit(0).cast("long"), F.col("index").cast("long"))).alias("fold"))
+    sizes = both.groupBy("setting", "fold").agg(F.count(F.lit(1)).alias("rows"))
+    table = materialize(sizes.join(E.auc(both, ["setting", "fold"]), ["setting", "fold"]), "areas")
+    mean = table.filter(F.col("fold") > 0).groupBy("setting").agg(F.avg(F.coalesce("auc", F.lit(0.0))).alias("mean")).collect()
+    best = min(mean, key=lambda r: (-r["mean"], r["setting"]))["setting"]
+    return scored, table.withColumn("best", F.col("setting") == best)
+
+
+def grid_search_cv(
+    covariates: DataFrame, population: DataFrame, folds: DataFrame, spec: ModelSpec, grid: Sequence[dict], workers: int = 4,
+) -> tuple[VectorModel, DataFrame]:
+    """Cross-validation of every setting over one written frame; the best is
+    refitted on all rows. Returns the model and the table of areas."""
     frame, index = training_frame(covariates, population.join(folds.filter(F.col("index") > 0), "row_id"))
-    n_folds = frame.agg(F.max("index")).first()[0]
-    results: list[tuple[int, int, float]] = []
-    for s, params in enumerate(grid):
-        held = []
-        for fold in range(1, n_folds + 1):
-            model = spec.estimator(**params).fit(frame.filter(F.col("index") != fold))
-            held.append(VectorModel(model, index).score(frame.filter(F.col("index") == fold)).select("row_id", "index", "outcome_count", "value"))
-        scored = materialize(reduce(DataFrame.unionByName, held), "heldout")
-        results += [(s, r["index"], r["auc"]) for r in E.auc(scored, ["index"]).collect()]
-        results.append((s, 0, E.auc(scored).first()["auc"]))
-    best = max(range(len(grid)), key=lambda s: (np.mean([a or 0 for t, f, a in results if t == s and f > 0]), -s))
-    table = literal_frame(frame.sparkSession, [(s, f, a, s == best) for s, f, a in results], "setting int, fold int, auc double, best boolean")
+    learners = [FrameLearner(frame, index, spec.estimator(**params)) for params in grid]
+    _, table = cross_validate(covariates, population, folds, learners, workers)
+    best = table.filter("best").first()["setting"]
     return VectorModel(spec.estimator(**grid[best]).fit(frame), index, {"setting": best}), table
 
 
@@ -271,22 +322,41 @@ def out_of_fold(population: DataFrame, folds: DataFrame, learner: Learner, covar
     return reduce(DataFrame.unionByName, parts)
 
 
+def event_prefixes(train: DataFrame, events: Sequence[int], seed: int) -> list[tuple[int, str]]:
+    """For each number of outcomes the digest up to which rows, in hash order,
+    hold exactly as many. Numbers beyond the last outcome are left out."""
+    hits = train.filter(F.col("outcome_count") > 0).select(hash_order("row_id", seed=seed).alias("_h"))
+    ranked = row_numbers(hits, [], ["_h"])
+    return [(r.rn, r["_h"]) for r in ranked.filter(F.col("rn").isin([int(e) for e in events])).orderBy("rn").collect()]
+
+
 def learning_curve(
-    covariates: DataFrame, population: DataFrame, split: DataFrame, spec: ModelSpec, fractions: Sequence[float], seed: int = 101,
+    covariates: DataFrame, population: DataFrame, split: DataFrame, learner: Learner, fractions: Sequence[float] = (), events: Sequence[int] = (),
+    seed: int = 101, workers: int = 4,
 ) -> DataFrame:
-    """AUC on a fixed test set for nested shares of the training rows.
+    """AUC on a fixed test set for nested parts of the training rows, by their
+    share (``fractions``) or by their number of outcomes (``events``).
 
-    The seed must differ from the split's, which also ranks rows by hash.
+    Parts are prefixes in hash order, so a smaller one lies within a larger
+    one; fits run side by side. ``events`` in the result is the number asked
+    for, null for shares. The seed must differ from the split's, which also
+    ranks rows by hash.
     """
-    frame, index = training_frame(covariates, population.join(split, "row_id"))
-    train, test = frame.filter(F.col("index") > 0), frame.filter(F.col("index") < 0)
-    rows = []
-    for f in fractions:
-        part = train.filter(hash_fraction("row_id", seed=seed) < f)
-        n, events = part.agg(F.count(F.lit(1)), F.sum("label")).first()
-        scored = VectorModel(spec.estimator().fit(part), index).score(test)
-        rows.append((float(f), int(n), int(events), float(E.auc(scored).first()["auc"])))
-    return literal_frame(frame.sparkSession, rows, "fraction double, rows long, outcomes long, auc double")
+    spark = population.sparkSession
+    labelled = materialize(population.join(split, "row_id"), "labelled")
+    train, test = labelled.filter(F.col("index") > 0), labelled.filter(F.col("index") < 0)
+    parts = [(float(f), None, train.filter(hash_fraction("row_id", seed=seed) < f)) for f in fractions]
+    parts += [(None, n, train.filter(hash_order("row_id", seed=seed) <= cut)) for n, cut in event_prefixes(train, events, seed)]
+
+    def job(share: float | None, wanted: int | None, part: DataFrame) -> Callable[[], tuple]:
+        def run() -> tuple:
+            n, hits = part.agg(F.count(F.lit(1)), F.sum((F.col("outcome_count") > 0).cast("long"))).first()
+            area = E.auc(learner.fit(covariates, part).predict(covariates, test)).first()["auc"]
+            return share, wanted, int(n), int(hits or 0), None if area is None else float(area)
+        return run
+
+    rows = concurrently(spark, [job(*p) for p in parts], workers)
+    return literal_frame(spark, rows, "fraction double, events long, rows long, outcomes long, auc double")
 
 
 def permutation_importance(

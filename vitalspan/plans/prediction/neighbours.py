@@ -1,7 +1,7 @@
 """Exact nearest neighbours by an inverted index.
 
-Training rows are kept as postings: per covariate its holders, each with its
-value and squared length. A test row is first compared with the k shortest
+Of training rows with equal vectors the k first are kept, as postings: per
+covariate its holders, each with its value and squared length. A test row is first compared with the k shortest
 training rows and with the k shortest holders of each of its covariates, which
 gives a distance that at least k rows reach. Its covariates are then walked
 from the rarest: a training row that shares only those from some point on has
@@ -37,12 +37,12 @@ def _entries(covariates: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def _vectors(rows: DataFrame, entries: DataFrame) -> DataFrame:
-    """One row per row id with its covariates as a map and its squared length."""
-    listed = entries.groupBy("row_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("covariate_id", "v"))).alias("m"), F.sum(F.col("v") * F.col("v")).alias("n2"))
-    empty = F.create_map().cast("map<bigint,double>")
-    return rows.join(listed, "row_id", "left").select(
-        *rows.columns, F.coalesce("m", empty).alias("m"), F.coalesce("n2", F.lit(0.0)).alias("n2"))
+    """One row per row id with its sorted covariates and its squared length."""
+    listed = entries.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("covariate_id", "v"))).alias("e"))
+    empty = F.array().cast("array<struct<covariate_id:bigint,v:double>>")
+    rows = rows.join(listed, "row_id", "left").withColumn("e", F.coalesce("e", empty))
+    # summed in one order, so that equal vectors have equal lengths
+    return rows.withColumn("n2", F.aggregate("e", F.lit(0.0), lambda s, x: s + x["v"] * x["v"]))
 
 
 @dataclass
@@ -58,11 +58,11 @@ class NeighbourModel:
     k: int
 
     def _distances(self, pairs: DataFrame, test: DataFrame) -> DataFrame:
-        left = test.select("row_id", F.col("m").alias("_a"), F.col("n2").alias("_na"))
-        right = self.vectors.select(F.col("row_id").alias("neighbour"), F.col("m").alias("_b"), F.col("n2").alias("_nb"), "label")
+        left = test.select("row_id", F.col("e").alias("_a"), F.col("n2").alias("_na"))
+        right = self.vectors.select(F.col("row_id").alias("neighbour"), F.map_from_entries("e").alias("_b"), F.col("n2").alias("_nb"), "label")
         joined = pairs.join(left, "row_id").join(right, "neighbour")
         dot = F.aggregate(
-            F.map_entries("_a"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at("_b", e["key"]), F.lit(0.0)))
+            F.col("_a"), F.lit(0.0), lambda s, x: s + x["v"] * F.coalesce(F.try_element_at("_b", x["covariate_id"]), F.lit(0.0)))
         far = F.round(F.greatest(F.col("_na") + F.col("_nb") - 2 * dot, F.lit(0.0)), 9)
         return joined.select("row_id", "neighbour", "label", far.alias("distance"))
 
@@ -73,14 +73,24 @@ class NeighbourModel:
 
     def neighbours(self, covariates: DataFrame, population: DataFrame) -> DataFrame:
         """``row_id, neighbour, label, distance`` of the k nearest training
-        rows; distances leave out covariates no training row has."""
+        rows; distances leave out covariates no training row has. Test rows
+        with equal vectors are looked up once."""
         rows = population.select("row_id").distinct()
-        mine = materialize(_entries(covariates, rows).join(self.statistics, "covariate_id"), "entries")
-        test = materialize(_vectors(rows, mine), "test")
+        every = _vectors(rows, _entries(covariates, rows).join(self.statistics.select("covariate_id"), "covariate_id"))
+        every = materialize(every, "every")
+        test = materialize(every.groupBy("e").agg(F.min("row_id").alias("row_id"), F.first("n2").alias("n2")), "test")
+        found = self._search(test).withColumnRenamed("row_id", "_one")
+        same = every.select("row_id", "e").join(test.select("e", F.col("row_id").alias("_one")), "e").select("row_id", "_one")
+        return same.join(found, "_one").drop("_one")
+
+    def _search(self, test: DataFrame) -> DataFrame:
+        mine = test.select("row_id", F.explode("e").alias("_x")).select("row_id", "_x.*").join(self.statistics, "covariate_id")
+        mine, rows = materialize(mine, "entries"), test.select("row_id")
         near = mine.select("row_id", "covariate_id").join(self.champions, "covariate_id").select("row_id", "neighbour")
         short = rows.select("row_id", F.explode(F.lit(self.shortest).cast("array<bigint>")).alias("neighbour"))
         first = materialize(self._distances(near.unionByName(short).distinct(), test), "first")
-        reached = self._nearest(first).groupBy("row_id").agg(F.max("distance").alias("reach"))
+        reached = self._nearest(first).groupBy("row_id").agg(F.max(F.struct("distance", "neighbour")).alias("_f")).select(
+            "row_id", F.col("_f.distance").alias("reach"), F.col("_f.neighbour").alias("last"))
         # training rows that share nothing before a covariate: their product with
         # the row is at most _w and at most _a times their length
         onwards = Window.partitionBy("row_id").orderBy("frequency", "covariate_id").rowsBetween(0, Window.unboundedFollowing)
@@ -93,7 +103,9 @@ class NeighbourModel:
 
         shortest = F.greatest(F.least(F.col("_a"), F.col("_w") / F.col("_a")), F.sqrt("least"))
         walked = held.filter(at_least(shortest) <= F.col("reach") + SLACK)
-        met = walked.join(self.postings, "covariate_id").filter(at_least(F.sqrt("n2")) <= F.col("reach") + SLACK)
+        # distances have nine digits, so what cannot be nearer than the last row must come before it
+        met = walked.join(self.postings, "covariate_id").withColumn("_far", at_least(F.sqrt("n2"))).filter(
+            (F.col("_far") <= F.col("reach") + SLACK) & ((F.col("_far") < F.col("reach") - 1e-10) | (F.col("neighbour") < F.col("last"))))
         more = met.select("row_id", "neighbour").distinct().join(first.select("row_id", "neighbour"), ["row_id", "neighbour"], "left_anti")
         return self._nearest(self._distances(more, test).unionByName(first)).drop("_r")
 
@@ -106,8 +118,11 @@ class NeighbourModel:
 def fit_knn(covariates: DataFrame, population: DataFrame, k: int = 10) -> NeighbourModel:
     rows = population.select("row_id", (F.col("outcome_count") > 0).cast("double").alias("label"))
     entries = materialize(_entries(covariates, rows), "entries")
-    vectors = materialize(_vectors(rows, entries), "vectors")
-    postings = materialize(entries.join(vectors.select("row_id", "n2"), "row_id").select("covariate_id", F.col("row_id").alias("neighbour"), "v", "n2"), "postings")
+    # of equal vectors only the k first rows can be among the nearest
+    alike = Window.partitionBy("e").orderBy("row_id")
+    vectors = materialize(_vectors(rows, entries).withColumn("_r", F.row_number().over(alike)).filter(F.col("_r") <= k).drop("_r"), "vectors")
+    held = vectors.select(F.col("row_id").alias("neighbour"), "n2", F.explode("e").alias("_x"))
+    postings = materialize(held.select("_x.covariate_id", "neighbour", "_x.v", "n2"), "postings")
     statistics = materialize(postings.groupBy("covariate_id").agg(F.count(F.lit(1)).alias("frequency"), F.max("v").alias("peak"), F.min("n2").alias("least")), "statistics")
     order = Window.partitionBy("covariate_id").orderBy("n2", "neighbour")
     champions = materialize(postings.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).select("covariate_id", "neighbour"), "champions")

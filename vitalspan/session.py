@@ -5,10 +5,15 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 
 def local_session(cpus: int = 8, memory: str = "16g", app: str = "vitalspan") -> SparkSession:
     """A session for tests and benchmarks on one machine."""
@@ -82,6 +87,30 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in whatever store Spark reads it from."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(there)
+
+
+def concurrently(spark: SparkSession, jobs: Sequence[Callable[[], T]], workers: int = 4) -> list[T]:
+    """Results of jobs that do not depend on each other, in their order.
+
+    At most ``workers`` are submitted at a time, each in its own scheduler
+    pool, so that under a fair scheduler small fits fill what a large one
+    leaves idle. The first failure is raised when all have ended.
+    """
+    def call(i: int) -> T:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{i % workers}")
+        try:
+            return jobs[i]()
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+
+    with ThreadPoolExecutor(max(1, min(workers, len(jobs)))) as pool:
+        return list(pool.map(call, range(len(jobs))))
+
+
 #: Rows that stand in a plan as literals.
 INLINE_ROWS = 1000
 

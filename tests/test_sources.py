@@ -109,3 +109,60 @@ def test_pages_are_summed_before_the_driver_sees_them(cdm, monkeypatch):
     lines = cdm.lineitem.agg(F.count("*"), F.sum(F.col("l_quantity").cast("double"))).first()
     assert (got.rows, got.max_page_ok) == (lines[0], True) and got.quantity == pytest.approx(lines[1])
     assert sum(passed) <= lines[0] // 1000 + cdm.lineitem.rdd.getNumPartitions()
+
+
+COHORT = "cohort_definition_id long, subject_id long, cohort_start_date date, cohort_end_date date"
+
+
+def cohort_rows(frame, rows):
+    return frame([(d, s, "2000-01-01") for d, s in rows], "cohort_definition_id long, subject_id long, day string").selectExpr(
+        "cohort_definition_id", "subject_id", "date(day) AS cohort_start_date", "date(day) + 10 AS cohort_end_date")
+
+
+def stored(spark, path):
+    return sorted((r.cohort_definition_id, r.subject_id) for r in store.read_cohorts(spark, path).collect())
+
+
+def test_upsert_may_read_its_own_store(frame, tmp_path, spark):
+    path = str(tmp_path)
+    assert stored(spark, path) == []
+    store.upsert_cohorts(cohort_rows(frame, [(1, 1), (1, 2), (1, 3), (2, 9)]), path, [1, 2])
+    for left in ([(1, 2), (1, 3), (2, 9)], [(1, 3), (2, 9)], [(2, 9)], [(2, 9)]):
+        reader = store.read_cohorts(spark, path)
+        reader.count()
+        store.upsert_cohorts(reader.filter(f"cohort_definition_id = 1 AND subject_id > {4 - len(left)}"), path, [1])
+        assert stored(spark, path) == left
+        reader.count()  # planned before the change, still readable
+
+
+def test_a_killed_upsert_leaves_the_old_version(frame, tmp_path, spark, monkeypatch):
+    from vitalspan.sources import snapshots
+
+    path = str(tmp_path)
+    store.upsert_cohorts(cohort_rows(frame, [(1, 1), (2, 2)]), path, [1, 2])
+
+    def killed(self, rows, after):
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{self._folder(after + 1)}/_temporary/x")
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as patch, pytest.raises(KeyboardInterrupt):
+        patch.setattr(snapshots.Snapshots, "commit", killed)
+        store.upsert_cohorts(cohort_rows(frame, [(1, 7)]), path, [1])
+    assert stored(spark, path) == [(1, 1), (2, 2)]
+    store.upsert_cohorts(cohort_rows(frame, [(1, 8)]), path, [1])
+    assert stored(spark, path) == [(1, 8), (2, 2)]
+
+
+def test_versions_and_snapshots_stay_few(frame, tmp_path, spark):
+    from vitalspan.sources.snapshots import Snapshots, folder_names
+
+    path = str(tmp_path / "cohorts")
+    for i in range(6):
+        store.upsert_cohorts(cohort_rows(frame, [(1, i)]), path, [1])
+    assert stored(spark, path) == [(1, 5)]
+    assert len(folder_names(spark, f"{path}/rows")) == 2 and len(folder_names(spark, f"{path}/current")) == 2
+    table = Snapshots(spark, str(tmp_path / "table"), "x long")
+    table.commit(frame([(1,)], "x long"), 0)
+    with pytest.raises(RuntimeError):
+        table.commit(frame([(2,)], "x long"), 0)
+    assert [r.x for r in table.read().collect()] == [1]

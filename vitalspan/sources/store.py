@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass, fields
 
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalspan.operators.ranks import dense_ids
+from vitalspan.session import literal_frame
+from vitalspan.sources.snapshots import Snapshots, delete_folder, folder_names
 
 COHORT_SET_COLUMNS = (("cohort_id", "cohort_name"), ("id", "name"))
 
@@ -26,30 +29,56 @@ def read_cohort_set(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"cohort settings need columns {COHORT_SET_COLUMNS[0]}, found {header.columns}")
 
 
+_POINTER = "cohort_definition_id long, version string"
+
+
+def _pointer(spark: SparkSession, path: str) -> Snapshots:
+    return Snapshots(spark, f"{path}/current", _POINTER)
+
+
 def upsert_cohorts(cohorts: DataFrame, path: str, ids: Iterable[int]) -> None:
     """Idempotent replace: the rows of all ``ids`` go, then those of
-    ``cohorts`` are written; other definitions stay.
+    ``cohorts`` are the definition's; other definitions stay.
 
-    An id without rows leaves none behind. A run that dies in between is
-    repeated by calling again.
+    Rows are written into a new version folder first; then the pointer from
+    definitions to versions is replaced in one step. ``cohorts`` may read the
+    same store, readers see all of a change or nothing of it, and a run that
+    dies leaves the old rows in place. An id without rows leaves none behind.
+    Versions that neither the new pointer nor the one before names are deleted.
     """
     spark, ids = cohorts.sparkSession, sorted(set(ids))
     if cohorts.filter(~F.col("cohort_definition_id").isin(ids) | F.col("cohort_definition_id").isNull()).limit(1).count():
         raise ValueError("rows of definitions that are not replaced")
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    for i in ids:
-        files.delete(spark._jvm.org.apache.hadoop.fs.Path(root, f"cohort_definition_id={i}"), True)
+    pointer = _pointer(spark, path)
+    before = pointer.current()
+    version = f"{before + 1:09d}-{uuid.uuid4().hex[:8]}"
+    folder = f"{path}/rows/version={version}"
     (
-        cohorts.select("subject_id", "cohort_start_date", "cohort_end_date", "cohort_definition_id")
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("cohort_definition_id").parquet(path)
+        cohorts.select("subject_id", "cohort_start_date", "cohort_end_date", F.col("cohort_definition_id").cast("long").alias("cohort_definition_id"))
+        .write.partitionBy("cohort_definition_id").parquet(folder)
     )
+    written = [int(n.split("=")[1]) for n in folder_names(spark, folder) if n.startswith("cohort_definition_id=")]
+    kept = pointer.read(before).filter(~F.col("cohort_definition_id").isin(ids))
+    kept = kept.unionByName(literal_frame(spark, [(i, version) for i in written], _POINTER))
+    after = pointer.commit(kept, before)
+    named = {r["version"] for n in (before, after) for r in pointer.read(n).select("version").distinct().collect()}
+    for name in folder_names(spark, f"{path}/rows"):
+        old = name.removeprefix("version=")
+        # versions of the same or a later number may belong to a run at work
+        if old not in named and int(old.split("-")[0]) <= before:
+            delete_folder(spark, f"{path}/rows/{name}")
 
 
 def read_cohorts(spark: SparkSession, path: str) -> DataFrame:
-    schema = "subject_id long, cohort_start_date date, cohort_end_date date, cohort_definition_id long"
-    return spark.read.schema(schema).parquet(path).select(
+    """The current rows of all definitions."""
+    columns = "subject_id long, cohort_start_date date, cohort_end_date date"
+    pointer = _pointer(spark, path).read()
+    if not folder_names(spark, f"{path}/rows"):
+        return literal_frame(spark, [], f"cohort_definition_id long, {columns}")
+    rows = spark.read.schema(f"{columns}, version string, cohort_definition_id long").parquet(f"{path}/rows")
+    # folders of older versions are not listed: they may go while this is read
+    versions = [r["version"] for r in pointer.select("version").distinct().collect()]
+    return rows.filter(F.col("version").isin(versions)).join(pointer, ["cohort_definition_id", "version"], "left_semi").select(
         "cohort_definition_id", "subject_id", "cohort_start_date", "cohort_end_date")
 
 

@@ -37,6 +37,22 @@ def test_thresholds_and_calibration_add_up(frame):
     assert len(bins) == 10 and sum(b.person_count for b in bins) == len(rows)
 
 
+def test_ici_equals_brute_force_local_regression(frame):
+    rng = random.Random(21)
+    rows = [(i, int(rng.random() < 0.1 + 0.6 * v), v) for i, v in enumerate(rng.choice([0.05, 0.1, 0.2, 0.22, 0.35, 0.5, 0.7, 0.71, 0.9]) for _ in range(150))]
+    x, y = np.array([r[2] for r in rows]), np.array([float(r[1]) for r in rows])
+    total = 0.0
+    for at in x:
+        far = np.abs(x - at)
+        h = np.sort(far)[math.ceil(0.75 * len(x)) - 1]
+        w = np.where(far < h, (1 - (np.minimum(far, h) / h) ** 3) ** 3, 0.0) ** 0.5
+        design = np.stack([np.ones_like(x), x - at, (x - at) ** 2], 1)
+        total += abs(at - np.linalg.lstsq(design * w[:, None], y * w, rcond=None)[0][0])
+    found = E.ici(frame(rows, "row_id long, outcome_count long, value double")).first().ici
+    assert found == pytest.approx(total / len(x), abs=1e-9)
+    assert E.ici(frame(rows[:0], "row_id long, outcome_count long, value double")).first().ici is None
+
+
 def test_ici_is_zero_for_perfect_calibration(frame):
     df = frame([(i, y, v) for i, (y, v) in enumerate([(1, .5), (0, .5), (0, .25), (0, .25), (0, .25), (1, .25)])], "row_id long, outcome_count long, value double")
     assert E.ici(df).first().ici == pytest.approx(0.0)
@@ -235,3 +251,80 @@ def test_generated_designs_skip_done_ones(frame):
     todo = U.designs([1, 3], [3], [N.PopulationSpec()], [M.ModelSpec("dt"), M.ModelSpec("rf")])
     assert [(d.target_id, d.model.kind) for d in todo] == [(1, "dt"), (1, "rf")]
     assert len({d.key() for d in todo}) == 2
+
+
+class MeanLearner:
+    """Outcome share of the training rows with the same covariate 11."""
+
+    kind = "mean"
+
+    def __init__(self, log=None, fail=0):
+        self.log, self.fail = log, fail
+
+    def __repr__(self):
+        return "mean"
+
+    def fit(self, covariates, population):
+        if self.log is not None:
+            self.log.append(1)
+            if len(self.log) == self.fail:
+                raise KeyboardInterrupt
+        flag = covariates.filter("covariate_id = 11").select("row_id", F.lit(1).alias("f"))
+        rates = population.join(flag, "row_id", "left").groupBy(F.coalesce("f", F.lit(0)).alias("f")).agg(F.avg("outcome_count").alias("value"))
+        return type("Rates", (), {"predict": lambda self, c, p: p.join(flag, "row_id", "left").withColumn("f", F.coalesce("f", F.lit(0))).join(rates, "f")})()
+
+
+@pytest.fixture
+def labelled(frame):
+    rng = random.Random(17)
+    cov = frame([(i, c, 1.0) for i in range(300) for c in (11, 12) if rng.random() < 0.5], "row_id long, covariate_id long, covariate_value double")
+    pop = frame([(i, int(rng.random() < 0.3)) for i in range(300)], "row_id long, outcome_count long")
+    return cov, pop, frame([(i, (i % 4) or -1) for i in range(300)], "row_id long, index long")
+
+
+def test_cross_validation_scores_every_held_out_row_once(labelled):
+    cov, pop, folds = labelled
+    scored, table = M.cross_validate(cov, pop, folds, [MeanLearner(), MeanLearner()], workers=3)
+    assert scored.groupBy("setting", "row_id").count().filter("count > 1").count() == 0 and scored.count() == 2 * 225
+    rows = table.collect()
+    assert {(r.setting, r.fold, r.rows) for r in rows} == {(s, f, 75 if f else 225) for s in (0, 1) for f in range(4)}
+    assert {r.setting for r in rows if r.best} == {0}
+
+
+def test_learning_curve_by_outcomes_is_exact_and_nested(labelled):
+    cov, pop, split = labelled
+    curve = M.learning_curve(cov, pop, split, MeanLearner(), fractions=(1.0,), events=(1, 7, 30, 10_000))
+    rows = {r.events: r for r in curve.collect()}
+    assert [(e, rows[e].outcomes) for e in (1, 7, 30)] == [(1, 1), (7, 7), (30, 30)] and 10_000 not in rows
+    assert rows[1].rows < rows[7].rows < rows[30].rows < rows[None].rows == 225
+
+
+def test_boosted_coordinates_lower_the_loss(labelled):
+    from vitalspan.plans.prediction import sparse as P
+
+    cov, pop, _ = labelled
+    rows, index = P.sparse_rows(cov, pop, F.col("outcome_count") > 0)
+    found = P.coordinate_boosting(rows, index, rounds=12, rate=1.9)
+    assert len(found.losses) == 13 and all(a >= b for a, b in zip(found.losses, found.losses[1:], strict=False))
+    long = P.coordinate_boosting(rows, index, rounds=150, rate=0.5, l2=0.0)
+    assert long.losses[-1] == pytest.approx(P.lasso_path(rows, index, penalties=[0.0]).final.loss, abs=1e-6)
+
+
+def test_designs_resume_from_their_manifest(frame, cdm, tmp_path):
+    from vitalspan.catalog import q_prediction as Q
+    from vitalspan.plans.prediction import multi as U
+
+    rows = Q.target_rows(cdm).withColumn("cohort_definition_id", F.lit(4)) if "cohort_definition_id" not in Q.target_rows(cdm).columns else Q.target_rows(cdm)
+    cov = Q.covariates(cdm).withColumn("covariate_id", F.when(F.col("covariate_id") % 1000 == 1, 11).otherwise(F.col("covariate_id")))
+    log = []
+    todo = U.designs([4], [3], U.with_risk_ends(Q.SPEC, [90, 180, 365]), [MeanLearner(log)])
+    killed = U.designs([4], [3], U.with_risk_ends(Q.SPEC, [90, 180, 365]), [MeanLearner([], fail=2)])
+    folder = str(tmp_path / "designs")
+    with pytest.raises(KeyboardInterrupt):
+        U.run_multiple(rows, {"all": cov}, cdm.cohort, killed, manifest=folder, workers=1)
+    before = U.finished(cdm.spark, folder).count()
+    assert before in (1, 2)
+    again = U.run_multiple(rows, {"all": cov}, cdm.cohort, todo, manifest=folder, workers=2)
+    assert len(log) == 3 - before and sorted(r.risk_end for r in again.collect()) == [90, 180, 365]
+    assert U.run_multiple(rows, {"all": cov}, cdm.cohort, todo, manifest=folder).count() == 3 and len(log) == 3 - before
+    assert len(U.designs([1, 4], [3], [Q.SPEC], [MeanLearner()], restrict=lambda d: d.covariates == "b", covariates=["a", "b"])) == 2

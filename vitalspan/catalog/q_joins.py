@@ -174,7 +174,9 @@ def _(cdm):
 
 @query("exactly_zero", "row_id:l", f"SELECT row_id FROM ({_ABN}) WHERE n = 0")
 def _(cdm):
-    return _abnormal(cdm).filter(F.col("n") == 0)
+    records = cdm.measurement.filter(K.LabTest(P.LIVER_LABS, ratio=(">", 1.0)).matches())
+    rows = cdm.cohort_rows.withColumnRenamed("subject_id", "person_id")
+    return R.without_record(rows, records, ["person_id"], "cohort_start_date", "measurement_date", -60, 0)
 
 
 @query("at_least_n", "k:l row_id:l n:l", " UNION ALL ".join(f"SELECT {k} AS k, row_id, n FROM ({_ABN}) WHERE n >= {k}" for k in (1, 2)))
@@ -294,11 +296,11 @@ def _(cdm):
 @query(
     "attribute_join", "row_id:l covariate_id:l covariate_value:f",
     """SELECT a.row_id, 1 AS covariate_id, date_diff('day', observation_period_start_date, a.cohort_start_date) AS covariate_value FROM cohort_rows a JOIN observation_period ON person_id = a.subject_id
-       AND a.cohort_start_date BETWEEN observation_period_start_date AND observation_period_end_date WHERE a.cohort_definition_id = 2""",
+       AND a.cohort_start_date BETWEEN observation_period_start_date AND observation_period_end_date""",
 )
 def _(cdm):
     from vitalspan.plans.covariates import demographics as DG
-    attributes = DG.observation_length_attribute(cdm, cdm.cohort_rows).filter(F.col("cohort_definition_id") == 2)
+    attributes = DG.observation_length_attribute(cdm, cdm.cohort_rows)
     return DG.attribute_covariates(cdm.cohort_rows, attributes, include=(1, 7))
 
 

@@ -310,7 +310,16 @@ def _(cdm):
     return E.calibration_line(scored(cdm))
 
 
-@query("ici", "ici:f")
+@query(
+    "ici", "ici:f",
+    """WITH g AS (SELECT floor(ln(value) * 2048) AS b, avg(value) AS x, avg(outcome_count) AS y, count(*)::DOUBLE AS w FROM pred GROUP BY 1),
+      p AS (SELECT a.b, a.x, a.w AS w0, c.x - a.x AS d, abs(c.x - a.x) AS far, c.y, c.w, sum(c.w) OVER (PARTITION BY a.b ORDER BY abs(c.x - a.x) RANGE UNBOUNDED PRECEDING) AS cw FROM g a CROSS JOIN g c),
+      h AS (SELECT b, min(far) AS h FROM p WHERE cw >= (SELECT ceil(0.75 * sum(w)) FROM g) GROUP BY 1),
+      u AS (SELECT p.b, x, w0, y, d / h AS u, w * pow(1 - pow(far / h, 3), 3) AS k FROM p JOIN h ON h.b = p.b WHERE far < h),
+      m AS (SELECT b, any_value(x) AS x, any_value(w0) AS w, sum(k) AS a0, sum(k * u) AS a1, sum(k * u * u) AS a2, sum(k * u ** 3) AS a3, sum(k * u ** 4) AS a4, sum(k * y) AS r0, sum(k * y * u) AS r1, sum(k * y * u * u) AS r2 FROM u GROUP BY 1),
+      s AS (SELECT x, w, (r0 * (a2 * a4 - a3 * a3) - a1 * (r1 * a4 - a3 * r2) + a2 * (r1 * a3 - a2 * r2)) / (a0 * (a2 * a4 - a3 * a3) - a1 * (a1 * a4 - a3 * a2) + a2 * (a1 * a3 - a2 * a2)) AS smooth FROM m)
+      SELECT sum(w * abs(x - smooth)) / sum(w) AS ici FROM s""", PV,
+)
 def _(cdm):
     return E.ici(scored(cdm))
 

@@ -41,19 +41,24 @@ def _(cdm):
     return flat.withColumnRenamed("p_k", "k")
 
 
+PAGES = ("click", "error", "purchase", "signup", "view")
+
+
 @query(
-    "json_pages", "page:l user_id:l clicks:l views:l",
-    """SELECT 1 AS page, user_id, count(*) AS clicks, CAST(NULL AS BIGINT) AS views FROM events WHERE event_type = 'click' GROUP BY 2
-       UNION ALL SELECT 2, user_id, NULL, count(*) FROM events WHERE event_type = 'view' GROUP BY 2""",
+    "json_pages", "page:l user_id:l " + " ".join(f"{p}s:l" for p in PAGES),
+    " UNION ALL ".join(
+        f"SELECT {i} AS page, user_id, " + ", ".join(f"{'count(*)' if p == kind else 'CAST(NULL AS BIGINT)'} AS {p}s" for p in PAGES) + f" FROM events WHERE event_type = '{kind}' GROUP BY user_id"
+        for i, kind in enumerate(PAGES)),
 )
 def _(cdm):
+    """Each kind of event is a page with a column of its own."""
     from vitalspan.operators.sets import bind_rows
 
-    def page(i, kind, name):
+    def page(i, kind):
         return cdm.events.filter(F.col("event_type") == kind).groupBy("user_id").agg(
-            F.count(F.lit(1)).alias(name)).withColumn("page", F.lit(i))
+            F.count(F.lit(1)).alias(f"{kind}s")).withColumn("page", F.lit(i))
 
-    return bind_rows([page(1, "click", "clicks"), page(2, "view", "views")])
+    return bind_rows([page(i, kind) for i, kind in enumerate(PAGES)])
 
 
 @query("ndjson_in_out", "event_id:l user_id:l event_type:s value:f", "SELECT event_id, user_id, event_type, value FROM events")

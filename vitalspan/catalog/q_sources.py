@@ -55,16 +55,19 @@ def _(cdm):
     "SELECT count(*) AS rows, TRUE AS max_page_ok, sum(l_quantity) AS quantity FROM lineitem",
 )
 def _(cdm):
-    # pages are numbered within their partition and summed in tasks; their sums are paged through the driver
+    # pages are numbered within their partition and summed in tasks; a fixed number of
+    # groups of pages is what the driver fetches, however many pages there are
     limit = 1000
     place = F.monotonically_increasing_id()
     lines = cdm.lineitem.select(F.col("l_quantity").cast("double").alias("quantity"), place.alias("place"))
     part, at = F.shiftright("place", 33), F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
     pages = lines.groupBy(part.alias("part"), F.floor(at / limit).alias("page")).agg(
         F.count(F.lit(1)).alias("rows"), F.sum("quantity").alias("quantity"))
+    groups = pages.groupBy(F.pmod(F.xxhash64("part", "page"), F.lit(64)).alias("group")).agg(
+        F.sum("rows").alias("rows"), F.max("rows").alias("largest"), F.sum("quantity").alias("quantity"))
     rows, largest, quantity = 0, 0, 0.0
-    for page in io.fetch_batches(pages, limit):
-        rows, largest = rows + sum(r["rows"] for r in page), max(largest, len(page), *(r["rows"] for r in page))
+    for page in io.fetch_batches(groups, 10):
+        rows, largest = rows + sum(r["rows"] for r in page), max(largest, *(r["largest"] for r in page))
         quantity += sum(r["quantity"] or 0.0 for r in page)
     return literal_frame(cdm.spark, [(rows, largest <= limit, quantity)], "rows long, max_page_ok boolean, quantity double")
 

@@ -120,6 +120,19 @@ def interval_counts(windows: DataFrame, points: DataFrame, on: list[str], lo: st
         F.when(F.col("n") > 0, F.col("first")).alias("first"))
 
 
+def without_record(events: DataFrame, records: DataFrame, on: list[str], index: str, record_date: str, lo_days: int, hi_days: int) -> DataFrame:
+    """Events with no record at all in ``[index + lo_days, index + hi_days]``.
+
+    Nothing is counted: records shrink to one row per key and day, event days
+    that meet one are listed once, and an anti join leaves the others.
+    """
+    days = records.select(*on, F.col(record_date).alias("_day")).distinct()
+    asked = events.select(*on, F.col(index).alias("_index")).distinct().withColumn("_lo", F.date_add("_index", lo_days)).withColumn(
+        "_hi", F.date_add("_index", hi_days))
+    met = band_join(asked, days, on, "_lo", "_hi", "_day", hi_days - lo_days).select(*on, F.col("_index").alias(index)).distinct()
+    return events.join(met, [*on, index], "left_anti")
+
+
 def first_dates(records: DataFrame, on: list[str], date: str, alias: str = "_first") -> DataFrame:
     return records.groupBy(*on).agg(F.min(date).alias(alias))
 

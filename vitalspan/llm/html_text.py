@@ -14,7 +14,8 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,12 +38,18 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
                    "small span strike strong sub sup time tt u var wbr".split())
 #: Blocks that cannot hold an article by themselves.
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre address figcaption caption tr td th br hr blockquote ul ol dl tbody thead".split())
-#: Words of class, id and role that mark what is not the article.
-HINTS = frozenset("ad ads adsbygoogle adslot adunit toc advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion sidebar aside "
-                  "nav navbar navigation menu breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices "
-                  "alert popup modal overlay share sharing social related recommended newsletter subscribe subscription signup "
-                  "login search comment comments reply replies respond disqus widget toolbar pagination pager copyright "
-                  "complementary contentinfo disclaimer".split())
+#: Words of class, id and role that mark a place in the layout: there a whole
+#: page may stand ("no-sidebar").
+LAYOUT = frozenset("sidebar aside nav navbar navigation menu breadcrumb breadcrumbs footer masthead overlay widget toolbar toc "
+                   "complementary contentinfo".split())
+#: Words that mark what is never the article.
+HINTS = LAYOUT | frozenset("ad ads adsbygoogle adslot adunit advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion "
+                           "cookie cookies consent gdpr notice notices alert popup modal share sharing social related recommended newsletter "
+                           "subscribe subscription signup login search comment comments reply replies respond disqus pagination pager copyright "
+                           "disclaimer".split())
+#: Words that only say that a block is one; beside hint words they change nothing.
+NEUTRAL = frozenset("box list block blocks container wrapper wrap section area item items button buttons link links post posts inner outer content "
+                    "unit slot bar form panel group row col thread body title heading main top bottom left right info icon icons widget s".split())
 ARTICLES = frozenset(("article", "main"))
 HEADERS = frozenset("header topbar".split())
 #: Start tags that end an open element of the same row.
@@ -51,8 +58,9 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 _BOUNDS = frozenset("table ul ol dl article section div body main".split()) | DROPPED
 #: Elements whose blocks do not end a paragraph around them.
 _CELLS = frozenset("button object svg math select caption td th".split())
-#: How an element is left out: by a word of its class, or wherever it stands.
-BY_WORD, ALWAYS = 1, 2
+#: How an element is left out: by a layout word or another word of its class,
+#: or wherever it stands.
+BY_LAYOUT, BY_WORD, ALWAYS = 1, 2, 3
 
 
 class Node:
@@ -68,13 +76,67 @@ class Node:
         self.density = self.total = 0.0
 
 
-def _unwanted(tag: str, attrs: str, stack: list[Node], articles: int) -> int:
+class _Open:
+    """Open elements, outermost first, with the places of each tag, of elements
+    that are left out and of those that bound rows: no look-up walks them."""
+
+    def __init__(self, root: Node):
+        self.nodes = [root]
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.out: list[int] = []
+        self.bounds: list[int] = []
+
+    def push(self, n: Node) -> None:
+        i = len(self.nodes)
+        self.nodes.append(n)
+        self.places[n.tag].append(i)
+        if n.out:
+            self.out.append(i)
+        if n.tag in _BOUNDS:
+            self.bounds.append(i)
+
+    def cut(self, i: int) -> None:
+        """Ends the element at a place and all in it."""
+        while len(self.nodes) > i:
+            n = self.nodes.pop()
+            self.places[n.tag].pop()
+            if n.out:
+                self.out.pop()
+            if n.tag in _BOUNDS:
+                self.bounds.pop()
+
+    def last(self, tags: Iterable[str]) -> int:
+        """Place of the innermost open element of some tags, 0 if none is."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+    def close(self, tag: str) -> None:
+        """Ends the innermost open element of a tag. An inline end tag does
+        not end a dropped element, nor ``</p>`` a cell."""
+        i = self.last((tag,))
+        if not i or (tag in INLINE and self.out and self.out[-1] > i) or (tag == "p" and self.last(_CELLS) > i):
+            return
+        self.cut(i)
+
+
+def _marked(value: str, words: frozenset[str], whole: bool) -> bool:
+    """Whether a class, id or role has one of the words; with ``whole`` in a
+    name that says nothing else."""
+    for name in value.split():
+        parts = {w.lower() for w in _PARTS.findall(name)}
+        if parts & words and (not whole or all(w in HINTS or w in NEUTRAL or w.isdigit() for w in parts)):
+            return True
+    return False
+
+
+def _unwanted(tag: str, attrs: str, stack: _Open, articles: int) -> int:
     """Whether and how an element and all it holds is left out. ``articles``
     counts the articles begun before: the first is the page's own, whatever
-    its class; later ones may be comments or links to others."""
+    its class; later ones may be comments or links to others. Inside an
+    article only a name of hint words alone counts ("related-posts", but not
+    "comment-on-law")."""
     if tag in DROPPED:
         return ALWAYS
-    inside = any(n.tag in ARTICLES for n in stack)
+    inside = stack.last(ARTICLES) > 0
     if tag == "header" and not inside:
         return ALWAYS
     if "=" not in attrs and "hidden" not in attrs.lower():
@@ -87,40 +149,31 @@ def _unwanted(tag: str, attrs: str, stack: list[Node], articles: int) -> int:
         if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return ALWAYS
         if name in ("class", "id", "role") and not (tag in ARTICLES and not articles):
-            words = {w.lower() for w in _PARTS.findall(value)}
-            if words & HINTS or (not inside and words & HEADERS):
+            if _marked(value, HINTS - LAYOUT, inside):
                 out = BY_WORD
+            elif _marked(value, LAYOUT, inside) or (not inside and _marked(value, HEADERS, False)):
+                out = max(out, BY_LAYOUT)
     return out
 
 
-def _close(stack: list[Node], tag: str) -> None:
-    """Ends the innermost open element of a tag and all in it. An inline end
-    tag does not end a dropped element, nor ``</p>`` a cell."""
-    for i in range(len(stack) - 1, 0, -1):
-        n = stack[i]
-        if n.tag == tag:
-            del stack[i:]
-            return
-        if (tag in INLINE and n.out) or (tag == "p" and n.tag in _CELLS):
-            return
-
-
 def parse(page: str) -> Node:
     """The tree below the body, without what is never article text. Dropped
     elements stand on the same stack as others, so that they end like them."""
     root = Node("body", None)
-    stack = [root]
+    stack = _Open(root)
     articles = 0
     at, size = 0, len(page)
+    last = page.rfind(">")
 
     def add(item: str | Node) -> None:
-        if item and stack[-1].within != ALWAYS:
-            stack[-1].pieces.append(item)
+        if item and stack.nodes[-1].within != ALWAYS:
+            stack.nodes[-1].pieces.append(item)
 
     lower = None
     for_token = _TOKEN.search
     while at < size:
-        m = for_token(page, at)
+        # behind the last ">" only a comment can still be a token
+        m = for_token(page, at) if at <= last or page.find("<!", at) >= 0 else None
         if m is None:
             add(page[at:])
             break
@@ -134,7 +187,7 @@ def parse(page: str) -> Node:
             if tag == "br":
                 add(Node("br", None))
             else:
-                _close(stack, tag)
+                stack.close(tag)
             continue
         attrs = m["attrs"]
         if tag in RAW:
@@ -149,25 +202,23 @@ def parse(page: str) -> Node:
         if tag in ("html", "body"):
             continue
         void = tag in VOID or attrs.endswith("/")
-        if stack[-1].within and tag in ARTICLES and not articles:
+        if stack.nodes[-1].within and tag in ARTICLES and not articles:
             # the page's article does not start inside a menu or advert: that was never closed
-            del stack[next(i for i, n in enumerate(stack) if n.out):]
+            stack.cut(stack.out[0])
         if tag not in INLINE and tag != "br" and tag != "img":
-            _close(stack, "p")
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in CLOSES.get(tag, ()):
-                del stack[i:]
-                break
-            if stack[i].tag in _BOUNDS:
-                break
-        within = stack[-1].within
-        node = Node(tag, stack[-1], _unwanted(tag, attrs, stack, articles) if within != ALWAYS else ALWAYS)
+            stack.close("p")
+        if tag in CLOSES:
+            i = stack.last(CLOSES[tag])
+            if i and i >= (stack.bounds[-1] if stack.bounds else 0):
+                stack.cut(i)
+        within = stack.nodes[-1].within
+        node = Node(tag, stack.nodes[-1], _unwanted(tag, attrs, stack, articles) if within != ALWAYS else ALWAYS)
         articles += tag in ARTICLES and not node.within
         if node.within != ALWAYS:
-            stack[-1].children.append(node)
-            stack[-1].pieces.append(node)
+            stack.nodes[-1].children.append(node)
+            stack.nodes[-1].pieces.append(node)
         if not void:
-            stack.append(node)
+            stack.push(node)
     _prune(root, articles == 0)
     return root
 
@@ -187,7 +238,8 @@ def _own_chars(n: Node) -> int:
 
 def _prune(root: Node, weigh: bool) -> None:
     """Takes out what a word of its class marks. On a page without an article
-    a block with most of the text is the page's own, whatever its class."""
+    a block with most of the text is the page's own, whatever place in the
+    layout its class names; comments, adverts and notices go in any case."""
     nodes = _in_order(root)
     if not any(n.out for n in nodes):
         return
@@ -195,7 +247,7 @@ def _prune(root: Node, weigh: bool) -> None:
         for n in reversed(nodes):
             n.chars = _own_chars(n) + sum(c.chars for c in n.children)
         for n in nodes:
-            if 2 * n.chars > root.chars:
+            if n.out == BY_LAYOUT and 2 * n.chars > root.chars:
                 n.out = 0
     for n in nodes:
         if any(c.out for c in n.children):
@@ -287,7 +339,8 @@ def main_text(page: str | None) -> str:
 
 def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """``key, url, text, n_chars`` of every row; repeated rows are repeated,
-    an empty table gives none, other columns are not read."""
+    an empty table gives none, other columns are not read. Broken pages of any
+    length are read in one pass: no end tag walks the open elements."""
     fields = pages.select(key, url, page).schema
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@
 
 import duckdb
 from conftest import DATA
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from vitalspan.llm import queries
@@ -52,3 +53,24 @@ def test_url_verdicts_match_sql(spark):
 
 def test_every_operator_is_registered():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    names = ("kept_id", "line_counts", "mixed_id", "mixed_size", "mixed_copies", "mixed_copy")
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    for n in names:
+        docs = docs.withColumn(n, F.lit(n))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns
+        assert out.select(*names).distinct().collect() == [names]
+
+
+def test_mix_gives_rows_of_one_key_their_own_copies(spark):
+    docs = spark.createDataFrame([(1, "a b c d " * 20, "en", "s", 0), (1, "a", "en", "t", 0), (2, "x " * 400, "en", "t", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    copies = {(r["doc_id"], r["size"]): r["copies"] for r in corpus_pipeline.mixing.mix_sources(docs).collect()}
+    got = {}
+    for r in corpus_pipeline.mix(spark, docs, DATA).collect():
+        k = r["doc_id"], len(r["text"].split())
+        got[k] = got.get(k, 0) + 1
+    assert got == {k: c for k, c in copies.items() if c}

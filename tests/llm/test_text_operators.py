@@ -275,6 +275,22 @@ def test_recurring_lines_of_a_full_leaf_all_go(make):
         assert line_templates.recurring_lines(make(rows)).distinct().count() == gone
 
 
+def test_rows_of_one_key_lose_only_their_own_lines(spark, make):
+    line = "this very line is found in many documents"
+    rows = [(i, f"{line}\nown {i}", "en", "s") for i in range(8)] + [(3, "a line that nobody else has at all\nand another one that is found nowhere else", "en", "s")]
+    got = sorted((r["doc_id"], r["n_dropped"], r["text"]) for r in line_templates.drop_recurring_lines(make(rows)).collect())
+    want = [(i, 0 if i == 0 else 1, rows[i][1] if i == 0 else f"own {i}") for i in range(8)] + [(3, 0, rows[8][1])]
+    assert got == sorted(want)
+
+
+def test_rewritten_rows_keep_columns_of_any_name(spark):
+    rows = [(i, "the same long line in all of them", "mine", i, "x", "y", "z") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, own string, id long, gone string, here string, counted string")
+    found = line_templates.rewritten(docs)
+    assert found.columns == [*docs.columns, "_lines"]
+    assert {(r["own"], r["id"], r["gone"], r["here"], r["counted"]) for r in found.collect()} == {("mine", i, "x", "y", "z") for i in range(6)}
+
+
 def test_lines_that_share_only_their_leading_tokens_stay(make):
     names = ["".join("abcdefghij"[int(c)] for c in f"{i:03d}") for i in range(200)]
     rows = [(i, f"it is a {names[2 * i]} {names[2 * i + 1]}\nit is a {names[i]} {names[i + 50]} 7\n1 2 3 {names[i]} 5 6", "en", "s") for i in range(50)]

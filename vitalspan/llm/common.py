@@ -32,3 +32,11 @@ def word_array(text: Column) -> Column:
 def count_of(text: Column, characters: str) -> Column:
     """How many code points of a text are among the given ones."""
     return F.char_length(text) - F.char_length(F.translate(text, characters, ""))
+
+
+def free_name(columns: list[str], wanted: str) -> str:
+    """A column name that none of the given ones has."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted

@@ -32,6 +32,11 @@ def _hashed(words: Column) -> Column:
     return F.transform(words, lambda w: F.when(w.rlike("[0-9]"), F.lit(FIELD)).otherwise(F.hash(w)))
 
 
+def _row(words: Column, tokens: Column) -> Column:
+    """Equal for lines of equal tokens; where all are fields, of equal words."""
+    return F.when(F.exists(tokens, lambda t: t != FIELD), F.xxhash64(tokens)).otherwise(F.xxhash64(words))
+
+
 def parsed_lines(docs: DataFrame, key: str, text: str, depth: int, least_tokens: int, least_docs: int) -> DataFrame:
     """``id, line, leaf, row, tokens`` of lines with enough tokens in leaves of
     enough documents; tokens are hashes, ``FIELD`` for one with a digit. ``row``
@@ -42,8 +47,7 @@ def parsed_lines(docs: DataFrame, key: str, text: str, depth: int, least_tokens:
     rows = words.select("id", "line", "content", F.xxhash64(F.size("w"), _hashed(F.slice("w", 1, depth))).alias("leaf"))
     rows = rows.join(_reached(rows, least_docs, "leaf"), "leaf", "left_semi").withColumn("w", word_array(F.col("content")))
     rows = rows.select("id", "line", "leaf", "w", _hashed(F.col("w")).alias("tokens"))
-    row = F.when(F.exists("tokens", lambda t: t != FIELD), F.xxhash64("tokens")).otherwise(F.xxhash64("w"))
-    return materialize(rows.select("id", "line", "leaf", row.alias("row"), "tokens"), "lines")
+    return materialize(rows.select("id", "line", "leaf", _row(F.col("w"), F.col("tokens")).alias("row"), "tokens"), "lines")
 
 
 def _reached(rows: DataFrame, least_docs: int, by: str = "group") -> DataFrame:
@@ -104,11 +108,12 @@ def _split(rest: DataFrame, least_docs: int) -> DataFrame:
 
 def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = 3, least_tokens: int = 5, least_docs: int = 5,
                     agreement: float = 0.6) -> DataFrame:
-    """``id, line, leaf, template`` of every line to drop."""
+    """``id, line, row, leaf, template`` of every line to drop. ``row`` tells
+    apart lines that rows of one key have at the same place."""
     later = "NOT (id <=> first.id AND line <=> first.line)"
     rows = parsed_lines(docs, key, text, depth, least_tokens, least_docs)
     rows = materialize(rows.join(_firsts(rows, least_docs, "row"), "row", "left"), "exact")
-    dropped = rows.where("first IS NOT NULL").where(later).select("id", "line", "leaf", F.col("tokens").alias("template"))
+    dropped = rows.where("first IS NOT NULL").where(later).select("id", "line", "row", "leaf", F.col("tokens").alias("template"))
     rows = rows.where("first IS NULL").select("leaf", F.col("leaf").alias("group"), "id", "line", "row", "tokens").distinct()
     while True:
         rows = materialize(rows.join(_reached(rows, least_docs), "group"), "lines")
@@ -117,23 +122,30 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", de
         judged = rows.join(materialize(group_templates(rows, least_docs), "templates"), "group")
         judged = materialize(judged.withColumn("fits", _agrees(depth, agreement)), "judged")
         judged = judged.join(_firsts(judged.where("fits"), least_docs), "group", "left").withColumn("gone", F.col("fits") & F.col("first").isNotNull())
-        dropped = dropped.union(judged.where("gone").where(later).select("id", "line", "leaf", "template"))
+        dropped = dropped.union(judged.where("gone").where(later).select("id", "line", "row", "leaf", "template"))
         rows = materialize(_split(judged.where("NOT gone").drop("template", "fits", "first", "gone"), least_docs), "rest")
 
 
-def rewritten(docs: DataFrame, key: str = "doc_id", text: str = "text", **tree) -> DataFrame:
+def rewritten(docs: DataFrame, key: str = "doc_id", text: str = "text", counts: str = "_lines", **tree) -> DataFrame:
     """The rows with all their columns, the text without recurring lines, and
-    ``_lines`` (``n``, ``dropped``)."""
+    a struct ``counts`` (``n``, ``dropped``); no other name can clash."""
     gone = recurring_lines(docs.where(F.col(key).isNotNull()), key, text, **tree)
-    gone = gone.groupBy(F.col("id").alias("_id")).agg(F.collect_set("line").alias("_gone"))
-    rows = docs.join(gone, F.col(key) == F.col("_id"), "left")
-    rows = rows.withColumn("_all", F.split(F.col(text), "\n"))
-    rows = rows.withColumn("_n", F.when(F.col("_all").isNull(), 0).otherwise(F.size("_all")))
-    here = F.filter("_gone", lambda i: i < F.col("_n"))
-    rows = rows.withColumn("_lines", F.struct(F.col("_n").cast("long").alias("n"), F.coalesce(F.size(here), F.lit(0)).cast("long").alias("dropped")))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.col("_n") - 1), "_gone"), lambda i: F.get("_all", i))
-    rows = rows.withColumn("_new", F.when(F.col("_lines.dropped") > 0, F.array_join(kept, "\n")).otherwise(F.col(text)))
-    return rows.select(*[F.col("_new").alias(c) if c == text else F.col(c) for c in docs.columns], "_lines")
+    gone = gone.groupBy("id").agg(F.collect_set(F.struct("line", "row")).alias("gone"))
+    # one struct of all columns, so that their names cannot meet those used here
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("own"))
+    rows = rows.join(gone, F.col("own")[key] == F.col("id"), "left").withColumn("all", F.split(F.col("own")[text], "\n"))
+
+    def same(x: Column) -> Column:
+        words = word_array(F.coalesce(F.get("all", x["line"]), F.lit("")))
+        return _row(words, _hashed(words)) == x["row"]
+
+    here = F.transform(F.filter("gone", same), lambda x: x["line"])
+    rows = rows.withColumn("here", F.coalesce(F.array_distinct(here), F.array().cast("array<int>")))
+    n = F.when(F.col("all").isNull(), 0).otherwise(F.size("all"))
+    rows = rows.withColumn("counted", F.struct(n.cast("long").alias("n"), F.size("here").cast("long").alias("dropped")))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), n - 1), "here"), lambda i: F.get("all", i))
+    new = F.when(F.col("counted.dropped") > 0, F.array_join(kept, "\n")).otherwise(F.col("own")[text])
+    return rows.select(*[(new if c == text else F.col("own")[c]).alias(c) for c in docs.columns], F.col("counted").alias(counts))
 
 
 def drop_recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", **tree) -> DataFrame:
@@ -142,9 +154,9 @@ def drop_recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
 
     Lines are separated by line feeds and stay as they are. Lines with fewer
     than ``least_tokens`` words are never dropped. A null text stays null and
-    has no lines. Rows with equal keys count as one document and lose lines at
-    the same places; rows with a null key keep theirs. Other columns are not
-    read.
+    has no lines. Rows with equal keys count as one document, but each loses
+    only its own recurring lines; rows with a null key keep theirs. Other
+    columns are not read.
     """
     rows = rewritten(docs.select(key, text), key, text, **tree)
     return rows.select(key, F.col("_lines.n").alias("n_lines"), F.col("_lines.dropped").alias("n_dropped"), text)

@@ -43,7 +43,8 @@ def parsed_lines(docs: DataFrame, key: str, text: str, depth: int, least_tokens:
     is equal for lines of equal tokens; where all are fields, of equal words.
     Only leading tokens are hashed to find the leaves."""
     lines = docs.select(F.col(key).alias("id"), F.posexplode(F.split(text_of(text), "\n")).alias("line", "content"))
-    words = lines.select("id", "line", "content", word_array(F.col("content")).alias("w")).where(F.size("w") >= least_tokens)
+    # words come out of a generator, through which the filter is not pushed: each line is cut once
+    words = lines.select("id", "line", "content", F.explode(F.array(word_array(F.col("content")))).alias("w")).where(F.size("w") >= least_tokens)
     rows = words.select("id", "line", "content", F.xxhash64(F.size("w"), _hashed(F.slice("w", 1, depth))).alias("leaf"))
     rows = rows.join(_reached(rows, least_docs, "leaf"), "leaf", "left_semi").withColumn("w", word_array(F.col("content")))
     rows = rows.select("id", "line", "leaf", "w", _hashed(F.col("w")).alias("tokens"))

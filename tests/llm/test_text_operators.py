@@ -159,9 +159,12 @@ def test_near_duplicates_match_brute_force(make, corpus):
         assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[r["doc_id"]]), want[r["doc_id"]], r["doc_id"] == want[r["doc_id"]])
 
 
-def test_near_duplicates_of_a_large_group(make):
+@pytest.mark.parametrize("block, elements", [(512, 1 << 18), (16, 1 << 18), (512, 1000)])
+def test_near_duplicates_of_a_large_group(make, monkeypatch, block, elements):
     """Chains inside a family: links hold between members that the pivot does
-    not reach."""
+    not reach, whatever the blocks they are compared in."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "ELEMENTS", elements)
     rng = random.Random(8)
     base = [f"w{i}" for i in range(150)]
     rows = []
@@ -208,9 +211,12 @@ def test_signature_agreement_estimates_similarity():
     assert (sig[0] == sig[1]).mean() == pytest.approx(400 / 500, abs=0.05)
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("forest", [components.FOREST, 0])
+def test_components_of_chains_and_stars(spark, monkeypatch, forest):
+    """By one forest, and by star rounds alone where no table fits one."""
+    monkeypatch.setattr(components, "FOREST", forest)
     links = [(i, i + 1) for i in range(100, 160)] + [(7, j) for j in range(200, 300)] + [(300, 299), (5, 5)]
-    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long").repartition(5)).collect()}
     assert got == {**dict.fromkeys(range(101, 161), 100), **dict.fromkeys(range(200, 301), 7)}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 

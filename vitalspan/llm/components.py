@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from vitalspan.llm.batches import map_rows
 from vitalspan.session import materialize
 
-#: Links that one local forest holds at most.
+#: Links that one local forest holds at most, some 150 MB.
 FOREST = 1 << 20
 
 
@@ -54,20 +54,24 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield stars(sets)
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """``node, component`` for every node of ``a, b`` links that is not the
     smallest of its component; the component is its smallest node.
 
-    Links of a task become local stars; then alternating star rounds (every
-    node hands its larger neighbours, then its smaller ones, to its least
-    neighbour) run on the shrunken table until it stops changing. Only two
-    numbers a round reach the driver.
+    Links of a task become local stars. As long as they are too many for one
+    local forest, alternating star rounds (every node hands its larger
+    neighbours, then its smaller ones, to its least neighbour) run on the
+    shrunken table until it stops changing; a table that fits a forest is
+    finished by one. Only two numbers a round reach the driver.
     """
-    edges = materialize(map_rows(links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b"), _forests, "a long, b long").distinct(), "links")
+    edges = materialize(map_rows(links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b"), _forests, "a long, b long"), "links")
     before = None
-    for _ in range(rounds):
+    while True:
         state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
-        if state == before or not state[0]:
+        if state[0] < FOREST:
+            edges = materialize(map_rows(edges.coalesce(1), _forests, "a long, b long"), "links")
+            break
+        if state == before:
             break
         before = state
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

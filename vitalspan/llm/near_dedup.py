@@ -11,9 +11,10 @@ gives the groups.
 No pairs of a bucket are listed. Every bucket elects a pivot, its most central
 member, and each representative is first confirmed against the pivot it shares
 most buckets with. That leaves few components. What remains are pairs of one
-pivot's group that lie in different components: they are compared in blocks of
-bounded size inside the tasks, which return a spanning forest of the confirmed
-links.
+pivot's group that lie in different components: the group's largest component
+meets the other members only, and those meet each other too, in blocks of
+bounded members and elements inside the tasks, which return a spanning forest
+of the confirmed links.
 
 A pair at the threshold shares no band with probability
 ``(1 - 0.75**4) ** 32``, five in a million.
@@ -34,8 +35,8 @@ from vitalspan.llm.shingles import band_keys, shingle_set, signatures
 from vitalspan.session import materialize
 
 SLOTS, BAND = 128, 4
-#: Members of a block; two of them meet in one comparison.
-BLOCK = 512
+#: Members and set elements of a block, on average; two blocks meet in one comparison.
+BLOCK, ELEMENTS = 512, 1 << 18
 #: Columns of an incidence block.
 COLUMNS = 4096
 
@@ -74,6 +75,10 @@ def _alike(common: Column, a: Column, b: Column, percent: int) -> Column:
     return 100 * common >= percent * (a + b - common)
 
 
+def _blocks(members: Column, elements: Column) -> Column:
+    return F.ceil(F.greatest(members / BLOCK, elements / ELEMENTS)).cast("int")
+
+
 def near_links(features: DataFrame, docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
     """``a, b`` links between representatives whose components are those of
     all confirmed links."""
@@ -101,11 +106,18 @@ def near_links(features: DataFrame, docs: DataFrame, key: str, text: str, k: int
     found = components(stars)
     # groups of a pivot that still hold several components
     placed = member.join(found, member["id"] == found["node"], "left").select("pivot", "id", "n", F.coalesce("component", "id").alias("comp"))
-    open_ = placed.groupBy("pivot").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo <> hi")
-    rest = placed.join(open_.select("pivot", "members"), "pivot")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    rest = rest.withColumn("own", mine).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    parts = placed.groupBy("pivot", "comp").agg(F.count("*").alias("members"), F.sum("n").alias("elements"))
+    most = F.struct("members", -F.col("comp"))
+    largest = [F.max_by(c, most).alias(f"main_{c}") for c in ("comp", "members", "elements")]
+    open_ = (parts.groupBy("pivot").agg(F.count("*").alias("comps"), F.sum("members").alias("members"), F.sum("elements").alias("elements"), *largest)
+             .where("comps > 1"))
+    open_ = open_.select("pivot", "main_comp", _blocks(F.col("main_members"), F.col("main_elements")).alias("main"),
+                         _blocks(F.col("members") - F.col("main_members"), F.col("elements") - F.col("main_elements")).alias("others"))
+    rest = placed.join(materialize(open_, "groups"), "pivot")
+    # blocks of the others come first; the largest component's blocks do not meet each other
+    inner, deal = F.col("comp") == F.col("main_comp"), F.xxhash64("id")
+    rest = rest.withColumn("own", F.when(inner, F.col("others") + F.pmod(deal, "main")).otherwise(F.pmod(deal, "others")).cast("int"))
+    rest = rest.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("others") + F.when(inner, 0).otherwise(F.col("main")) - 1)))
     rest = rest.select("pivot", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "id", "comp").join(sets, "id")
     rest = rest.select("pivot", "i", "j", "own", "id", "comp", "shingles").repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")
 

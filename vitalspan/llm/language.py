@@ -41,8 +41,6 @@ SCRIPT_NAMES = sorted({n for _, n in SCRIPTS})
 _RANGE_SCRIPT = np.array([SCRIPT_NAMES.index(n) for _, n in SCRIPTS])
 
 BUCKETS = 1 << 15
-#: Documents that are labelled together; longer ones first.
-GROUP_WORDS = 1 << 20
 
 
 @cache

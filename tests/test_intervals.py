@@ -4,8 +4,9 @@ import random
 from pyspark.sql import functions as F
 
 from vitalspan.operators.eras import sub_exposures
-from vitalspan.operators.intervals import collapse_intervals, interval_difference, interval_intersection, interval_union
+from vitalspan.operators.intervals import collapse_intervals, collapse_twice, interval_difference, interval_intersection, interval_union
 from vitalspan.operators.ranges import band_join, interval_counts, overlap_join, window_counts, without_earlier
+from vitalspan.session import configure
 
 DAY0 = dt.date(2000, 1, 1)
 
@@ -66,6 +67,38 @@ def test_random_against_brute_force_with_one_hot_key(frame):
         assert spans(collapse_intervals(once, ["k"], "s", "e", gap)) == spans(once)
 
 
+def test_two_levels_in_one_sweep(frame):
+    rng = random.Random(5)
+    rows = [(rng.choice([1, 1, 2, 3, 4]), s, s + rng.randint(-1, 9)) for s in (rng.randint(0, 900) for _ in range(300))]
+    rows += rows[:40]
+    got = collapse_twice(dated(frame, rows), ["k"], "s", "e", 30, "n", "days")
+    subs = brute_collapse(rows, 0)
+    want = sorted(
+        (k, s, e, sum(1 for m, a, b in rows if m == k and s <= a <= b <= e), sum(b - a for m, a, b in subs if m == k and s <= a <= e))
+        for k, s, e in brute_collapse(rows, 30))
+    assert sorted((r.k, (r.s - DAY0).days, (r.e - DAY0).days, r.n, r.days) for r in got.collect()) == want
+
+
+def test_islands_are_not_hashed_after_the_sweep(frame, capsys):
+    rows = dated(frame, [(1, 1, 5), (1, 40, 44)])
+    for found in (collapse_intervals(rows, ["k"], "s", "e", 30, count="n"), collapse_twice(rows, ["k"], "s", "e", 30, "n", "days")):
+        found.explain()
+        text = capsys.readouterr().out
+        assert text.count("Aggregate(") == 2 and text.count("Sort [") == 1 and text.count("Exchange") == 2
+
+
+def test_shuffled_partitions_are_merged_to_a_small_size(spark):
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    was = spark.conf.get(key)
+    try:
+        for size, expected in (("64MB", "16m"), ("8m", "8m")):
+            spark.conf.set(key, size)
+            configure(spark)
+            assert spark.conf.get(key) == expected
+    finally:
+        spark.conf.set(key, was)
+
+
 def test_interval_algebra_by_days(frame):
     rng = random.Random(3)
 

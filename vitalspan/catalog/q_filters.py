@@ -181,11 +181,10 @@ def _(cdm):
       UNION ALL SELECT FALSE, person_id, drug_concept_id, drug_era_start_date, date_diff('day', drug_era_start_date, drug_era_end_date) FROM drug_era WHERE date_diff('day', drug_era_start_date, drug_era_end_date) >= 7""",
 )
 def _(cdm):
-    def variant(inclusive):
-        days = D.days_inclusive("drug_era_start_date", "drug_era_end_date", inclusive)
-        return cdm.drug_era.withColumn("days", days).filter(F.col("days") >= 7).withColumn("inclusive", F.lit(inclusive))
-
-    return variant(True).unionByName(variant(False))
+    both = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("inclusive"), D.days_inclusive("drug_era_start_date", "drug_era_end_date", i).alias("days"))
+        for i in (True, False)]))
+    return cdm.drug_era.withColumn("_v", both).select("*", "_v.*").drop("_v").filter(F.col("days") >= 7)
 
 
 @query(

@@ -328,3 +328,20 @@ def test_designs_resume_from_their_manifest(frame, cdm, tmp_path):
     assert len(log) == 3 - before and sorted(r.risk_end for r in again.collect()) == [90, 180, 365]
     assert U.run_multiple(rows, {"all": cov}, cdm.cohort, todo, manifest=folder).count() == 3 and len(log) == 3 - before
     assert len(U.designs([1, 4], [3], [Q.SPEC], [MeanLearner()], restrict=lambda d: d.covariates == "b", covariates=["a", "b"])) == 2
+
+
+def _weak(spark, rows=400):
+    """Half the rows have a covariate that outcomes hardly depend on."""
+    data = [(i, i % 2, int(i % 4 < 2) if i else 0) for i in range(rows)]
+    population = spark.createDataFrame([(i, y) for i, _, y in data], "row_id long, outcome_count int")
+    covariates = spark.createDataFrame([(i, 7, 1.0) for i, x, _ in data if x], "row_id long, covariate_id long, covariate_value double")
+    return covariates, population
+
+
+def test_learners_without_covariates_predict_the_share(spark):
+    covariates, population = _weak(spark)
+    for model in (M.fit(covariates.limit(0), population, M.ModelSpec()),):
+        assert {round(r.value, 6) for r in model.predict(covariates, population).collect()} == {0.4975}
+        assert M.kept_covariates(model).count() == 0
+    none = M.fit(covariates.limit(0), population.withColumn("outcome_count", F.lit(0)), M.ModelSpec())
+    assert {r.value for r in none.predict(covariates, population).collect()} == {0.0}

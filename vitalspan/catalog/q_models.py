@@ -395,7 +395,7 @@ def _(cdm):
     """A model refitted on new data with the features of the first one."""
     cov, pop = data(cdm)
     first = M.fit(cov, pop.filter(F.col("subject_id") % 2 == 0), M.ModelSpec())
-    kept = M.linear_scorer(first.classifier, first.index).coefficients.select("covariate_id")
+    kept = M.kept_covariates(first)
     new = pop.filter(F.col("subject_id") % 2 == 1)
     again = M.fit(cov.join(kept, "covariate_id", "left_semi"), new, M.ModelSpec("lasso_lr", (("regParam", 0.0),)))
     out = None

@@ -111,6 +111,21 @@ def fit_lasso_path(covariates: DataFrame, population: DataFrame, fold: Column |
     return LinearScorer(found.coefficients(), found.final.constant), found
 
 
+def constant_scorer(frame: DataFrame, index: DataFrame) -> LinearScorer:
+    """What can be learned without covariates: the share of outcomes."""
+    rows, cases = frame.agg(F.count("label"), F.sum("label")).first()
+    if not rows:
+        raise ValueError("no rows to learn from")
+    odds = math.log(cases / (rows - cases)) if 0 < cases < rows else math.copysign(math.inf, cases - rows / 2)
+    return LinearScorer(index.select("covariate_id", F.lit(0.0).alias("coefficient")), odds)
+
+
+def kept_covariates(model: VectorModel | LinearScorer) -> DataFrame:
+    """``covariate_id`` of the covariates a linear model has not dropped."""
+    scorer = model if isinstance(model, LinearScorer) else linear_scorer(model.classifier, model.index)
+    return scorer.coefficients.select("covariate_id")
+
+
 # --- learners -------------------------------------------------------------------
 CLASSIFIERS: dict[str, Callable[..., object]] = {
     "lasso_lr": lambda **p: C.LogisticRegression(**({"elasticNetParam": 1.0, "regParam": 0.01, "maxIter": 50} | p)),
@@ -136,8 +151,10 @@ class ModelSpec:
         return fit(covariates, population, self)
 
 
-def fit(covariates: DataFrame, population: DataFrame, spec: ModelSpec) -> VectorModel:
+def fit(covariates: DataFrame, population: DataFrame, spec: ModelSpec) -> VectorModel | LinearScorer:
     frame, index = training_frame(covariates, population)
+    if index.isEmpty():
+        return constant_scorer(frame, index)
     return VectorModel(spec.estimator().fit(frame), index)
 
 

@@ -338,9 +338,17 @@ def _weak(spark, rows=400):
     return covariates, population
 
 
+def test_iht_whose_start_drops_every_covariate_still_keeps_the_largest(spark):
+    covariates, population = _weak(spark)
+    model = M.fit_iht(covariates, population, 2)
+    assert [r.covariate_id for r in model.coefficients.collect()] == [7]
+    shares = {round(r.value, 4) for r in model.predict(covariates, population).collect()}
+    assert shares == {0.5, 0.495}
+
+
 def test_learners_without_covariates_predict_the_share(spark):
     covariates, population = _weak(spark)
-    for model in (M.fit(covariates.limit(0), population, M.ModelSpec()),):
+    for model in (M.fit(covariates.limit(0), population, M.ModelSpec()), M.fit_iht(covariates.limit(0), population, 2)):
         assert {round(r.value, 6) for r in model.predict(covariates, population).collect()} == {0.4975}
         assert M.kept_covariates(model).count() == 0
     none = M.fit(covariates.limit(0), population.withColumn("outcome_count", F.lit(0)), M.ModelSpec())

@@ -172,16 +172,23 @@ def fit_mlp(covariates: DataFrame, population: DataFrame, hidden: Sequence[int]
 
 
 def fit_iht(covariates: DataFrame, population: DataFrame, k: int = 10, rounds: int = 3) -> LinearScorer:
-    """Keep the k largest coefficients, refit on them, until the set is stable."""
+    """Keep the k largest coefficients, refit on them, until the set is stable.
+
+    A penalty of the first fit that drops every covariate is lowered.
+    """
     kept, support = covariates, None
     for i in range(rounds):
         frame, index = training_frame(kept, population)
-        reg = 0.005 if i == 0 else 0.0
-        model = C.LogisticRegression(elasticNetParam=1.0, regParam=reg, maxIter=50).fit(frame)
+        if index.isEmpty():
+            return constant_scorer(frame, index)
+        for reg in (0.005, 0.0005, 0.0) if i == 0 else (0.0,):
+            model = C.LogisticRegression(elasticNetParam=1.0, regParam=reg, maxIter=50).fit(frame)
+            if model.coefficients.numNonzeros():
+                break
         scorer = linear_scorer(model, index)
         top = scorer.coefficients.orderBy(F.abs("coefficient").desc(), "covariate_id").limit(k)
         ids = frozenset(r[0] for r in top.select("covariate_id").collect())
-        if ids == support:
+        if ids == support or not ids:
             return scorer
         support = ids
         kept = covariates.filter(F.col("covariate_id").isin(sorted(ids)))

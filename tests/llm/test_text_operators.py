@@ -683,6 +683,24 @@ def test_statistics_match_brute_force(make, corpus):
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == brute_statistics(texts[r["doc_id"]])
 
 
+@pytest.mark.parametrize("k", [1, 2, 3, 7, 8, 9])
+def test_repeated_words_of_any_window_match_brute_force(spark, k):
+    rng = random.Random(k)
+    texts = [rng.choices("ab", k=n) for n in range(12)] + [rng.choices("abcdef", k=rng.randint(0, 60)) for _ in range(60)] + [["a"] * 40]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "_hashes long, _at array<string>")
+    got = quality_rules.with_repeated_words(rows, "_at", "n", k).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        w = texts[r["_hashes"]]
+        seen = Counter(tuple(w[i:i + k]) for i in range(len(w) - k + 1))
+        assert r["n"] == len({i + j for i in range(len(w) - k + 1) if seen[tuple(w[i:i + k])] > 1 for j in range(k)}) and r["_at"] == w
+
+
+def test_statistics_evaluate_each_window_hash_once(make):
+    plan = quality_rules.text_statistics(make([(1, "a b", "en", "s")]))._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("xxhash64(") <= 4 and plan.count("sort_array(") <= 2
+
+
 def test_rules_separate_labelled_rows(spark, make):
     rng = random.Random(6)
     rows = [(i, " ".join(("x#" if i % 5 == 0 else "x") + str(rng.random()) for _ in range(30)), "en", "s") for i in range(400)]

@@ -11,12 +11,13 @@ job a step. The list becomes one ordered ``CASE`` expression.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitalspan.llm.common import BLANKS, count_of, text_of, trimmed, word_array
+from vitalspan.llm.common import BLANKS, count_of, free_name, text_of, trimmed, word_array
 from vitalspan.session import materialize
 
 SYMBOLS = "#*$%&|<>"
@@ -61,28 +62,48 @@ class Rule:
         return " and ".join(map(str, self.conditions))
 
 
-def repeated_words(words: Column, k: int = WINDOW) -> Column:
-    """Words inside a ``k``-word window that the same text has twice or more.
+def window_hashes(words: Column, k: int) -> list[Callable[[Column], Column]]:
+    """Steps from an array of words to a 64-bit hash of each ``k``-word window.
+
+    Each takes the step before: first the words' own hashes, then those of
+    twice as many words, at last of two runs that overlap to ``k`` words. Every
+    word is read once. Windows that run over the end are cut off.
+    """
+    def paired(shift: int) -> Callable[[Column], Column]:
+        return lambda h: F.zip_with(h, F.slice(h, F.lit(1 + shift), F.size(h)), lambda a, b: F.xxhash64(a, b))
+
+    steps, reach = [lambda _: F.transform(words, lambda w: F.xxhash64(w))], 1
+    while reach * 2 <= k:
+        steps.append(paired(reach))
+        reach *= 2
+    if reach < k:
+        steps.append(paired(k - reach))
+    none = F.array().cast("array<bigint>")
+    return [*steps, lambda h: F.when(F.size(h) >= k, F.slice(h, F.lit(1), F.size(h) - (k - 1))).otherwise(none)]
+
+
+def with_repeated_words(df: DataFrame, words: str, name: str, k: int = WINDOW) -> DataFrame:
+    """Adds the number of words inside a ``k``-word window that the same array
+    has twice or more.
 
     Window hashes are compared inside the row; their positions are only sorted
-    where a text repeats a window at all.
+    where a text repeats a window at all. Each step is a column of its own, so
+    that Spark evaluates it once.
     """
-    n = F.size(words)
-    starts = F.when(n >= k, F.sequence(F.lit(1), n - k + 1)).otherwise(F.array().cast("array<int>"))
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, k)))
-    pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    none = F.array(F.lit(None).cast("struct<h:bigint,i:int>"))
-    m = F.size(pairs)
-    after = F.concat(F.slice(pairs, F.lit(2), m - 1), none)
-    before = F.concat(none, F.slice(pairs, F.lit(1), m - 1))
-    flagged = F.zip_with(F.zip_with(pairs, before, lambda a, b: F.struct(a.alias("a"), (a["h"] == b["h"]).alias("d"))), after,
-                         lambda e, b: F.struct(e["a"]["i"].alias("i"),
-                                               (F.coalesce(e["d"], F.lit(False)) | F.coalesce(e["a"]["h"] == b["h"], F.lit(False))).alias("d")))
-    at = F.sort_array(F.transform(F.filter(flagged, lambda e: e["d"]), lambda e: e["i"]))
-    following = F.concat(F.slice(at, F.lit(2), F.size(at) - 1), F.array(F.lit(None).cast("int")))
-    steps = F.zip_with(at, following, lambda a, b: F.least(F.lit(k), F.coalesce(b - a, F.lit(k))))
+    h, p, at = (free_name([*df.columns, name], n) for n in ("_hashes", "_places", "_at"))
+    columns = df.columns
+    for step in window_hashes(F.col(words), k):
+        df = df.withColumn(h, step(F.col(h)))
+    places = F.transform(h, lambda v, i: F.struct(v.alias("h"), i.alias("i")))
+    df = df.select(*columns, F.when(F.size(F.array_distinct(h)) < F.size(h), F.sort_array(places)).alias(p))
+
+    def twice(v: Column, i: Column) -> Column:
+        return ((i > 0) & F.get(p, F.greatest(i - 1, F.lit(0)))["h"].eqNullSafe(v["h"])) | F.get(p, i + 1)["h"].eqNullSafe(v["h"])
+
+    df = df.select(*columns, F.sort_array(F.transform(F.filter(p, twice), lambda v: v["i"])).alias(at))
+    steps = F.transform(at, lambda v, i: F.least(F.lit(k), F.coalesce(F.get(at, i + 1) - v, F.lit(k))))
     covered = F.aggregate(steps, F.lit(0), lambda s, x: s + x)
-    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(covered).cast("long")
+    return df.select(*columns, F.coalesce(covered, F.lit(0)).cast("long").alias(name))
 
 
 def text_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -94,13 +115,14 @@ def text_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     base = docs.select(F.col(key), text_of(text).alias("_t"))
     base = base.withColumns({"_w": word_array(F.col("_t")),
                              "_lines": F.filter(F.split(F.col("_t"), "\n"), lambda x: trimmed(x) != "")})
+    base = with_repeated_words(base, "_w", "_repeated")
     t, w = F.col("_t"), F.col("_w")
     counts = base.select(
         key, F.size(w).cast("long").alias("n_words"),
         F.char_length(F.translate(t, BLANKS, "")).cast("long").alias("word_chars"),
         count_of(t, SYMBOLS).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        repeated_words(w).alias("n_repeat_words"),
+        F.col("_repeated").alias("n_repeat_words"),
         F.size("_lines").cast("long").alias("n_lines"),
         F.size(F.array_distinct(w)).cast("long").alias("n_distinct_words"),
         count_of(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("long").alias("n_upper"),

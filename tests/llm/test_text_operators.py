@@ -430,6 +430,37 @@ def test_repeated_passages_of_nothing(make):
     assert repeated_passages.remove_repeats(make([])).count() == 0
 
 
+def test_automaton_reads_only_documents_with_a_confirmed_window(monkeypatch):
+    read = []
+
+    class Counted:
+        def __init__(self, *kind):
+            self.machine = plain_automaton(*kind)
+
+        def __len__(self):
+            return len(self.machine)
+
+        def __getattr__(self, name):
+            return getattr(self.machine, name)
+
+        def iter(self, sequence):
+            read.append(len(sequence))
+            return self.machine.iter(sequence)
+
+    plain_automaton = repeated_passages.ahocorasick.Automaton
+    monkeypatch.setattr(repeated_passages.ahocorasick, "Automaton", Counted)
+    rng = random.Random(1)
+    plain = [[str(rng.random()).encode() for _ in range(n)] for n in (0, 20, 90, 120, 35, 20, 90)]
+    shared = [str(i).encode() for i in range(40)]
+    documents = [*plain[:5], [*plain[5], *shared], [*shared, *plain[6], *shared[:34]]]
+    hashes = [repeated_passages._rolled(repeated_passages.mix64(shingles.word_hashes(d)), 35) for d in documents if len(d) >= 35]
+    values, times = np.unique(np.concatenate(hashes), return_counts=True)
+    got = repeated_passages.covered_words(documents, values[times > 1])
+    assert read == [60, 164]
+    assert [g.tolist() for g in got[:5]] == [[False] * len(d) for d in plain[:5]]
+    assert np.flatnonzero(got[5]).tolist() == list(range(20, 60)) and np.flatnonzero(got[6]).tolist() == list(range(40))
+
+
 # -- 6 HTML
 
 

@@ -9,9 +9,10 @@ every word it covers goes. Documents are dealt into blocks of a bounded size.
 2. *Confirmed passages.* Candidate windows are counted over all blocks; those
    that start twice are confirmed and sent to the blocks that hold them.
 3. *Automata.* Each block compiles its confirmed passages into an Aho-Corasick
-   automaton over word numbers and streams all its documents through it. The
-   automata are sharded by document block: each holds no more than its block
-   does, and together they grow with the corpus, not with its square.
+   automaton over word numbers and streams all its documents that hold such a
+   window through it. The automata are sharded by document block: each holds
+   no more than its block does, and together they grow with the corpus, not
+   with its square.
 
 A phrase or passage reaches the counts once per block, with 1 or 2, so one
 that a third of all documents share is never gathered row by row. Rows are
@@ -163,30 +164,32 @@ def covered_words(documents: list[list[bytes]], confirmed: np.ndarray) -> list[n
 
     ``confirmed`` are the sorted hashes of confirmed windows. The passages
     that hold them are compiled into one automaton over word numbers, which
-    then reads every document.
+    then reads every document that holds a confirmed window; no passage can be
+    in any other.
     """
     lengths = [len(words) for words in documents]
     hashes = mix64(word_hashes([w for words in documents for w in words]))
     numbers = np.unique(hashes, return_inverse=True)[1]
     machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
     starts = np.cumsum([0, *lengths])
-    for start, n in zip(starts.tolist(), lengths, strict=False):
+    holders = []
+    for i, (start, n) in enumerate(zip(starts.tolist(), lengths, strict=False)):
         if n >= WINDOW and len(confirmed):
             hit = _member(_rolled(hashes[start:start + n], WINDOW), confirmed)
             if hit.any():
+                holders.append(i)
                 for passage in _passages(numbers[start:start + n], hit):
                     machine.add_word(passage, len(passage))
     out = [np.zeros(n, bool) for n in lengths]
     if len(machine):
         machine.make_automaton()
-        for i, (start, n) in enumerate(zip(starts.tolist(), lengths, strict=False)):
-            found = list(machine.iter(tuple(numbers[start:start + n].tolist()))) if n >= WINDOW else ()
-            if found:
-                spans = np.array(found)
-                edges = np.zeros(n + 1, np.int64)
-                np.add.at(edges, spans[:, 0] + 1 - spans[:, 1], 1)
-                np.add.at(edges, spans[:, 0] + 1, -1)
-                out[i] = np.cumsum(edges[:-1]) > 0
+        for i in holders:
+            start, n = int(starts[i]), lengths[i]
+            spans = np.array(list(machine.iter(tuple(numbers[start:start + n].tolist()))))
+            edges = np.zeros(n + 1, np.int64)
+            np.add.at(edges, spans[:, 0] + 1 - spans[:, 1], 1)
+            np.add.at(edges, spans[:, 0] + 1, -1)
+            out[i] = np.cumsum(edges[:-1]) > 0
     return out
 
 

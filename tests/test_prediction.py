@@ -153,6 +153,30 @@ def test_neighbours_do_not_meet_all_pairs(frame, spark):
         M.fit_knn(frame([(1, 1, -1.0)], "row_id long, covariate_id long, covariate_value double"), pop, 1)
 
 
+@pytest.mark.parametrize("k", [1, 4])
+def test_neighbours_among_common_covariates_are_found_in_blocks(frame, monkeypatch, k):
+    from vitalspan.plans.prediction import neighbours as B
+
+    monkeypatch.setattr(B, "TEST_ROWS", 16)
+    monkeypatch.setattr(B, "TRAINING_ROWS", 50)
+    rng = random.Random(8)
+    vectors = {i: {c: rng.choice([1.0, 0.1, 2 / 3]) for c in range(1, 12) if rng.random() < 0.5} for i in range(260)}
+    vectors[3], vectors[240] = {}, {}
+    cov = frame([(i, c, v) for i, e in vectors.items() for c, v in e.items()], "row_id long, covariate_id long, covariate_value double")
+    pop = frame([(i, int(i % 3 == 0)) for i in vectors], "row_id long, outcome_count long")
+    model = M.fit_knn(cov, pop.filter("row_id < 200"), k)
+    seen, plain = [], type(model)._distances
+    model._distances = lambda pairs, test: seen.append(pairs.count()) or plain(model, pairs, test)
+    got = {}
+    for r in model.neighbours(cov, pop.filter("row_id >= 200")).collect():
+        got.setdefault(r.row_id, []).append((r.distance, r.neighbour))
+    for i in range(200, 260):
+        x = vectors[i]
+        far = {t: sum((x.get(c, 0) - vectors[t].get(c, 0)) ** 2 for c in range(1, 12)) for t in range(200)}
+        assert sorted(got[i]) == sorted((round(d, 9), t) for t, d in far.items())[:k]
+    assert seen[1] <= 60 * k * 4 < 0.1 * 60 * 200
+
+
 def test_permutation_importance_equals_rescoring(frame):
     rng = random.Random(12)
     cov = frame([(i, c, float(rng.randint(1, 3))) for i in range(120) for c in (11, 12, 13) if rng.random() < 0.5], "row_id long, covariate_id long, covariate_value double")

@@ -11,6 +11,12 @@ the known distance for every holder the posting is not read, which spares the
 commonest ones; of the others only holders of fitting length are met. Survivors
 get their exact distance.
 
+Where the postings to read come to a good part of all pairs, as with few and
+common covariates, meeting holders one by one costs more than comparing all:
+test and training rows are then dealt into blocks of bounded size, and each
+pair of blocks walks its postings into one matrix of products. Of each block a
+test row keeps the k nearest within the known distance.
+
 Values must be zero or more, as flags, counts and scaled values are; others
 raise. Distances are Euclidean, of equal ones the smaller row id is nearer.
 """
@@ -19,14 +25,21 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalspan.operators.sampling import take_ordered
-from vitalspan.session import materialize
+from vitalspan.session import materialize, share_code
 
 #: Slack for bounds, against rounding.
 SLACK = 1e-7
+#: Test and training rows of a block; their products are one matrix in a task.
+TEST_ROWS, TRAINING_ROWS = 2048, 4096
+#: Postings to read, as a part of all pairs, from which blocks are compared.
+COMMON = 1 / 64
 
 
 def _entries(covariates: DataFrame, rows: DataFrame) -> DataFrame:
@@ -45,6 +58,41 @@ def _vectors(rows: DataFrame, entries: DataFrame) -> DataFrame:
     return rows.withColumn("n2", F.aggregate("e", F.lit(0.0), lambda s, x: s + x["v"] * x["v"]))
 
 
+def _postings(rows: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Places and values of the holders of each covariate, covariates rising."""
+    e = rows.column("e").combine_chunks()
+    places = np.repeat(np.arange(len(e)), pc.list_value_length(e).to_numpy())
+    covariate, value = (c.to_numpy() for c in e.flatten().flatten())
+    order = np.argsort(covariate, kind="stable")
+    names, starts = np.unique(covariate[order], return_index=True)
+    return dict(zip(names.tolist(), zip(np.split(places[order], starts[1:]), np.split(value[order], starts[1:]), strict=True), strict=True)) if len(names) else {}
+
+
+def _closest(k: int):
+    def work(test: pa.Table, training: pa.Table) -> pa.Table:
+        """``row_id, neighbour`` of the k training rows nearest to each test
+        row, as far as they come before the last one known."""
+        left, right = _postings(test), _postings(training)
+        dot = np.zeros((len(test), len(training)))
+        for c, (at, v) in left.items():
+            if c in right:
+                there, w = right[c]
+                dot[np.ix_(at, there)] += np.outer(v, w)
+        length, other, reach, last, row, ids = (
+            t.column(n).to_numpy() for t, n in ((test, "n2"), (training, "n2"), (test, "reach"), (test, "last"), (test, "row_id"), (training, "neighbour")))
+        dot *= -2
+        dot += length[:, None] + other[None, :]
+        a, b = np.nonzero(dot <= (reach + SLACK)[:, None])
+        far, name = np.round(np.maximum(dot[a, b], 0), 9), ids[b]
+        nearer = (far < reach[a] - 1e-10) | (name < last[a])
+        a, far, name = a[nearer], far[nearer], name[nearer]
+        order = np.lexsort((name, far, a))
+        a, name = a[order], name[order]
+        rank = np.arange(len(a)) - np.searchsorted(a, a)
+        return pa.table([pa.array(row[a[rank < k]], pa.int64()), pa.array(name[rank < k], pa.int64())], names=["row_id", "neighbour"])
+    return work
+
+
 @dataclass
 class NeighbourModel:
     """Postings (covariate_id, neighbour, v, n2), the vectors behind them, and
@@ -94,7 +142,7 @@ class NeighbourModel:
         # training rows that share nothing before a covariate: their product with
         # the row is at most _w and at most _a times their length
         onwards = Window.partitionBy("row_id").orderBy("frequency", "covariate_id").rowsBetween(0, Window.unboundedFollowing)
-        held = mine.select("row_id", "covariate_id", "least", F.sqrt(F.sum(F.col("v") * F.col("v")).over(onwards)).alias("_a"),
+        held = mine.select("row_id", "covariate_id", "frequency", "least", F.sqrt(F.sum(F.col("v") * F.col("v")).over(onwards)).alias("_a"),
                            F.sum(F.col("v") * F.col("peak")).over(onwards).alias("_w"))
         held = held.join(reached, "row_id").join(test.select("row_id", F.col("n2").alias("_n2")), "row_id")
 
@@ -102,12 +150,35 @@ class NeighbourModel:
             return F.col("_n2") + length * length - 2 * F.least(F.col("_a") * length, F.col("_w"))
 
         shortest = F.greatest(F.least(F.col("_a"), F.col("_w") / F.col("_a")), F.sqrt("least"))
-        walked = held.filter(at_least(shortest) <= F.col("reach") + SLACK)
+        walked = materialize(held.filter(at_least(shortest) <= F.col("reach") + SLACK), "walked")
+        read, n, m = walked.agg(F.sum("frequency")).first()[0] or 0, test.count(), self.vectors.count()
+        if read > COMMON * n * m:
+            met = self._met_in_blocks(test.join(reached, "row_id"), n, m)
+        else:
+            met = self._met_one_by_one(walked, at_least)
+        more = met.join(first.select("row_id", "neighbour"), ["row_id", "neighbour"], "left_anti")
+        return self._nearest(self._distances(more, test).unionByName(first)).drop("_r")
+
+    def _met_one_by_one(self, walked: DataFrame, at_least) -> DataFrame:
+        """Pairs that share a walked covariate, as far as lengths allow."""
         # distances have nine digits, so what cannot be nearer than the last row must come before it
         met = walked.join(self.postings, "covariate_id").withColumn("_far", at_least(F.sqrt("n2"))).filter(
             (F.col("_far") <= F.col("reach") + SLACK) & ((F.col("_far") < F.col("reach") - 1e-10) | (F.col("neighbour") < F.col("last"))))
-        more = met.select("row_id", "neighbour").distinct().join(first.select("row_id", "neighbour"), ["row_id", "neighbour"], "left_anti")
-        return self._nearest(self._distances(more, test).unionByName(first)).drop("_r")
+        return met.select("row_id", "neighbour").distinct()
+
+    def _met_in_blocks(self, test: DataFrame, n: int, m: int) -> DataFrame:
+        """Of each block of training rows the nearest to each test row, from
+        all ``n * m`` pairs."""
+        share_code(test.sparkSession)
+        across, down = -(-n // TEST_ROWS), -(-m // TRAINING_ROWS)
+
+        def dealt(rows: DataFrame, key: str, blocks: int, own: str, others: int, other: str, *columns: str) -> DataFrame:
+            return rows.where(F.col(key).isNotNull()).select(key, "e", "n2", *columns, F.pmod(F.xxhash64(key), F.lit(blocks)).alias(own),
+                               F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other)).groupBy("i", "j")
+
+        left = dealt(test, "row_id", across, "i", down, "j", "reach", "last")
+        right = dealt(self.vectors.withColumnRenamed("row_id", "neighbour"), "neighbour", down, "j", across, "i")
+        return left.cogroup(right).applyInArrow(_closest(self.k), "row_id long, neighbour long")
 
     def predict(self, covariates: DataFrame, population: DataFrame) -> DataFrame:
         """Share of outcomes among the k nearest training rows."""

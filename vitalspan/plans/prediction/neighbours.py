@@ -177,7 +177,8 @@ class NeighbourModel:
                                F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other)).groupBy("i", "j")
 
         left = dealt(test, "row_id", across, "i", down, "j", "reach", "last")
-        right = dealt(self.vectors.withColumnRenamed("row_id", "neighbour"), "neighbour", down, "j", across, "i")
+        # rows of one id have one vector; their copies come back with its distances
+        right = dealt(self.vectors.dropDuplicates(["row_id"]).withColumnRenamed("row_id", "neighbour"), "neighbour", down, "j", across, "i")
         return left.cogroup(right).applyInArrow(_closest(self.k), "row_id long, neighbour long")
 
     def predict(self, covariates: DataFrame, population: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ CLASSES, LEAST = 512, 4
 #: kinds for the best fit.
 SHARE = 0.6
 #: Chunks whose tokens a worker remembers before it starts anew.
-KNOWN = 1_000_000
+KNOWN = 500_000
 #: Shares of a length among which ranks are dealt, at least, and pieces for
 #: each further one: full pieces all have one length.
 SALTS, SHARE_PIECES = 32, 1 << 20

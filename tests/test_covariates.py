@@ -154,3 +154,25 @@ def test_exclusion_lists_have_no_limit(cdm, spark):
     assert codeset(cdm.concept_ancestor, many).count() == 50_000
     a = D.exclude_with_descendants(cdm, D.DomainAnalysis("drug_exposure", 301), many)
     assert D.domain_flags(cdm, cdm.cohort_rows, a).count() == D.domain_flags(cdm, cdm.cohort_rows, D.DomainAnalysis("drug_exposure", 301)).count()
+
+
+def test_groups_of_few_concepts_are_not_shuffled_by_concept(spark, frame, cohort):
+    drugs = [(c, "Drug", "S", "Clinical Drug", "RxNorm", "x") for c in range(100, 3100)]
+    concept = frame([*drugs, (1, "Drug", "S", "Ingredient", "RxNorm", "x"), (2, "Drug", "C", "ATC", "ATC", "A")],
+                    "concept_id long, domain_id string, standard_concept string, concept_class_id string, vocabulary_id string, concept_code string")
+    links = [(a, d) for d in range(100, 3100) for a in (1, 2)]
+    ancestor = frame([*links, (1, 1), (2, 1)], "ancestor_concept_id long, descendant_concept_id long")
+    eras = to_date(frame([(1, 1, "2000-05-01", "2000-05-09"), (1, 9, "2000-05-01", "2000-05-09"), (2, 1, "1990-05-01", "1990-05-09")],
+                         "person_id long, drug_concept_id long, drug_era_start_date string, drug_era_end_date string"),
+                   "drug_era_start_date", "drug_era_end_date")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    was = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "4k")
+        t = Tables(spark, concept=concept, concept_ancestor=ancestor, drug_era=eras)
+        flags = D.domain_flags(t, cohort, D.DomainAnalysis("drug_era", 410, groups=True))
+        plan = flags._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.row_id, r.covariate_id) for r in flags.collect()) == [(11, 1410), (11, 2410)]
+    finally:
+        spark.conf.set(key, was)
+    assert "hashpartitioning(concept_id" not in plan

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from vitalspan.operators.eras import sub_exposures
 from vitalspan.operators.intervals import collapse_intervals, collapse_twice, interval_difference, interval_intersection, interval_union
 from vitalspan.operators.ranges import band_join, interval_counts, overlap_join, window_counts, without_earlier
+from vitalspan import session
 from vitalspan.session import configure
+from vitalspan.sources.derived import derived_cdm
 
 DAY0 = dt.date(2000, 1, 1)
 
@@ -99,6 +101,22 @@ def test_shuffled_partitions_are_merged_to_a_small_size(spark):
         spark.conf.set(key, was)
 
 
+def test_shuffles_start_with_more_partitions_for_larger_tables(spark, tmp_path, monkeypatch):
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    path = str(tmp_path / "orders.parquet")
+    spark.range(1000).selectExpr("id AS o_orderkey", "id AS o_custkey").write.parquet(path)
+    monkeypatch.setattr(session, "INPUT_BYTES", 100)
+    try:
+        derived_cdm(spark, str(tmp_path)).orders
+        assert int(spark.conf.get(key)) > 40
+        monkeypatch.setattr(session, "INPUT_BYTES", 1 << 30)
+        spark.conf.unset(key)
+        derived_cdm(spark, str(tmp_path)).orders
+        assert spark.conf.get(key, None) is None
+    finally:
+        spark.conf.unset(key)
+
+
 def test_interval_algebra_by_days(frame):
     rng = random.Random(3)
 

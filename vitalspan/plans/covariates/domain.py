@@ -18,7 +18,7 @@ from vitalspan.operators.ranks import first_per_key
 from vitalspan.operators.summaries import continuous_summary, nonmissing_summary
 from vitalspan.operators.vocab import condition_groups, drug_groups, expand_descendants
 from vitalspan.plans import params as P
-from vitalspan.session import literal_frame
+from vitalspan.session import literal_frame, materialize
 
 # table -> (concept column, start column, end column)
 DOMAINS = {
@@ -66,6 +66,19 @@ def group_pairs(cdm, domain: str) -> DataFrame:
     return condition_groups(cdm.concept, cdm.concept_ancestor)
 
 
+def _with_groups(cdm, found: DataFrame, domain: str, rows: list[str]) -> DataFrame:
+    """``found`` with a row for each group of its concept, dealt by ``rows``.
+
+    It is written first, so that only pairs of its own concepts take part. Those
+    of a domain with few concepts (ingredients) are a small table that is sent
+    to all tasks; shuffled by concept, each concept would be one task.
+    """
+    found = materialize(found, "concepts")
+    own = found.select(F.col("concept_id").alias("descendant_concept_id")).distinct()
+    pairs = materialize(group_pairs(cdm, domain).join(own, "descendant_concept_id", "left_semi"), "groups")
+    return found.repartition(*rows).join(pairs, F.col("concept_id") == F.col("descendant_concept_id"))
+
+
 def domain_records(cdm, analysis: DomainAnalysis, counted: bool = False) -> DataFrame:
     """Distinct (person, concept, start, end), optionally with a row count ``n``."""
     concept, start, end = DOMAINS[analysis.domain]
@@ -86,8 +99,7 @@ def domain_records(cdm, analysis: DomainAnalysis, counted: bool = False) -> Data
             "visit_start_date", "visit_end_date", width=31)
         records = inside.groupBy("person_id", "concept_id", "start_date", "end_date").agg(F.first("n").alias("n"))
     if analysis.groups:
-        pairs = group_pairs(cdm, analysis.domain)
-        records = records.join(pairs, F.col("concept_id") == F.col("descendant_concept_id")).groupBy(
+        records = _with_groups(cdm, records, analysis.domain, ["person_id", "start_date", "end_date"]).groupBy(
             "person_id", F.col("ancestor_concept_id").alias("concept_id"), "start_date", "end_date",
         ).agg(F.sum("n").alias("n"))
     return records if counted else records.drop("n")
@@ -133,7 +145,7 @@ def _row_concepts(cdm, cohort: DataFrame, analyses: Sequence[DomainAnalysis]) ->
         found.append(hit.select(*ROW, "concept_id", F.explode(F.array_compact(F.array(*ids))).alias("analysis_id")).distinct())
     out = found[0] if len(found) == 1 else found[0].unionByName(found[1])
     if one.groups:
-        out = out.join(group_pairs(cdm, one.domain), F.col("concept_id") == F.col("descendant_concept_id")).select(
+        out = _with_groups(cdm, out, one.domain, ROW).select(
             *ROW, F.col("ancestor_concept_id").alias("concept_id"), "analysis_id").distinct()
     return out
 

@@ -353,6 +353,21 @@ def test_special_tokens_have_their_own_ids(tokenizer):
     assert got[0] == [320, 49407, 321]
 
 
+def test_tokens_of_a_chunk_and_of_its_words_are_remembered_once(tokenizer, monkeypatch):
+    import pyarrow as pa
+
+    cut = packing.ChunkTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    monkeypatch.setattr(packing, "KNOWN", 40)
+    texts = ["pain pain. (pain) it's", "PAIN it 's ' s", "12 1 don't 't n't"] + [f"w{i}x, w{i} x{i} '{i}'s" for i in range(60)]
+    for t in [*texts, *reversed(texts)]:
+        ids, _ = cut.ids(pa.array([t]))
+        assert ids.tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+    cut = packing.ChunkTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    cut.ids(pa.array(["pain fever pain. it's"]))
+    remembered = [name for held in vars(cut).values() if isinstance(held, dict) for name in held]
+    assert sorted(remembered) == sorted(["pain", "fever", "pain.", ".", "it's", "it", "'s"])
+
+
 def test_packing_an_empty_table(make):
     assert packing.pack_documents(make([]), public_tokenizers.path("word_bpe_49k.json")).count() == 0
 

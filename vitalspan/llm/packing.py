@@ -34,7 +34,7 @@ CLASSES, LEAST = 512, 4
 #: Share of the fitted counts that is taken; the rest keeps lengths of all
 #: kinds for the best fit.
 SHARE = 0.6
-#: Chunks whose tokens a worker remembers before it starts anew.
+#: Chunks and words whose tokens a worker remembers before it starts anew.
 KNOWN = 500_000
 #: Shares of a length among which ranks are dealt, at least, and pieces for
 #: each further one: full pieces all have one length.
@@ -58,8 +58,9 @@ class ChunkTokenizer:
     The tokenizer drops white space and never merges across it, so a text's
     ids are those of its chunks one after another. New chunks of simple
     characters are cut into words by the tokenizer's own pattern, and words
-    are remembered, too; all other chunks, and all of a tokenizer that cuts
-    words in another way, pass through the tokenizer whole.
+    are remembered in the same place: a pattern that looks at nothing around a
+    word cuts the word alone into itself. All other chunks, and all of a
+    tokenizer that cuts words in another way, pass through the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -67,7 +68,6 @@ class ChunkTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
         self.pattern = self._word_pattern()
         marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = regex.compile("|".join(map(regex.escape, marks)) or r"(?!)", regex.I)
@@ -80,23 +80,22 @@ class ChunkTokenizer:
             return None
         if not cut[0]["invert"] or cut[0]["behavior"] != "Removed" or cut[1]["use_regex"] or cut[1]["add_prefix_space"] or "Regex" not in cut[0]["pattern"]:
             return None
+        if regex.search(r"\(\?|\\b|[\^$](?![^\[]*\])", cut[0]["pattern"]["Regex"], regex.I):
+            return None
         return regex.compile(cut[0]["pattern"]["Regex"])
 
     def _word(self, word: str) -> bytes:
-        if len(self.words) > KNOWN:
-            self.words = {}
         written = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARS)
-        ids = self.words[word] = array("I", [t.id for t in self.tokenizer.model.tokenize(written)]).tobytes()
+        ids = self.known[word] = array("I", [t.id for t in self.tokenizer.model.tokenize(written)]).tobytes()
         return ids
 
     def _learn(self, chunks: list[str]) -> None:
         whole = []
-        words = self.words
+        known = self.known
         for c in chunks:
             if self.pattern and _SIMPLE.fullmatch(c) and not self.special.search(c):
                 found = self.pattern.findall(c.lower())
-                self.known[c] = b"".join([words.get(w) or self._word(w) for w in found])
-                words = self.words
+                known[c] = b"".join([known.get(w) or self._word(w) for w in found])
             else:
                 whole.append(c)
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
@@ -122,7 +121,11 @@ class ChunkTokenizer:
         size = np.diff(first)[which]
         ends = np.cumsum(size)
         out = blob[np.repeat(first[which] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
-        return out, np.concatenate([[0], ends])[chunks.offsets.to_numpy() - chunks.offsets[0].as_py()]
+        places = np.concatenate([[0], ends])[chunks.offsets.to_numpy() - chunks.offsets[0].as_py()]
+        # Arrow's pool keeps what it freed, as much as half of what is remembered
+        del spaced, chunks, coded, which
+        pa.default_memory_pool().release_unused()
+        return out, places
 
 
 @cache

@@ -7,6 +7,7 @@ from vitalspan.operators.eras import sub_exposures
 from vitalspan.operators.intervals import collapse_intervals, collapse_twice, interval_difference, interval_intersection, interval_union
 from vitalspan.operators.ranges import band_join, interval_counts, overlap_join, window_counts, without_earlier
 from vitalspan import session
+from vitalspan.catalog.registry import Query
 from vitalspan.session import configure
 from vitalspan.sources.derived import derived_cdm
 
@@ -117,6 +118,22 @@ def test_shuffles_start_with_more_partitions_for_larger_tables(spark, tmp_path,
         spark.conf.unset(key)
 
 
+def test_record_tables_are_read_in_small_splits(spark, tmp_path, monkeypatch):
+    key, cut = "spark.sql.files.maxPartitionBytes", "spark.sql.files.minPartitionNum"
+    was = spark.conf.get(key)
+    spark.range(400_000).selectExpr("xxhash64(id) AS o_orderkey", "id AS o_custkey").coalesce(1).write.option(
+        "parquet.block.size", 1 << 18).parquet(str(tmp_path / "orders.parquet"))
+    orders = Query("orders", (("o_orderkey", "l"),), lambda cdm: cdm.orders, None)
+    monkeypatch.setattr(session, "SPLIT_MB", 1)
+    try:
+        spark.conf.set(cut, "1")
+        found = orders.run(spark, str(tmp_path))
+        assert found.rdd.getNumPartitions() >= 3 and found.count() == 400_000
+    finally:
+        spark.conf.unset(cut)
+        spark.conf.set(key, was)
+
+
 def test_interval_algebra_by_days(frame):
     rng = random.Random(3)
 

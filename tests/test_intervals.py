@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -134,6 +135,36 @@ def test_record_tables_are_read_in_small_splits(spark, tmp_path, monkeypatch):
         spark.conf.set(key, was)
 
 
+def test_tables_are_broadcast_by_measured_rows_only(spark, tmp_path):
+    spark.range(600_000).selectExpr("xxhash64(id) AS o_orderkey", "xxhash64(-id) AS o_custkey").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+
+    def plan(cdm):
+        some = cdm.orders.select("o_orderkey")
+        return cdm.orders.join(some, "o_orderkey", "left_semi").groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"))
+
+    found = Query("orders", (("o_orderkey", "l"),), plan, None).run(spark, str(tmp_path))
+    assert len(found.collect()) == 600_000
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_written_stages_leave_no_shuffle_files(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, None)
+
+    def held():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {f for f in files.split("\n") if "shuffle_" in f}
+
+    before = held()
+    found = session.materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    until = time.time() + 20
+    while held() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not held() - before
+    assert found.count() == 7
+    assert spark.conf.get(key, None) == was
+
+
 def test_interval_algebra_by_days(frame):
     rng = random.Random(3)
 

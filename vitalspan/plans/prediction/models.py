@@ -280,7 +280,7 @@ class FrameLearner:
     estimator: object
 
     def fit(self, covariates: DataFrame, population: DataFrame) -> FrameModel:
-        train = self.frame.join(population.select("row_id"), "row_id", "left_semi")
+        train = materialize(self.frame.join(population.select("row_id"), "row_id", "left_semi"), "part")
         return FrameModel(VectorModel(self.estimator.fit(train), self.index), self.frame)
 
 

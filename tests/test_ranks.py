@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vitalspan.operators import ranks as R
+from vitalspan.operators import summaries
 from vitalspan.operators.ranks import hash_order
 from vitalspan.operators.sampling import hashed_sample, portable_order, stable_sample
 from vitalspan.operators.summaries import continuous_summary, discrete_percentiles, middle_value, nonmissing_summary
@@ -125,3 +126,27 @@ def test_samples_are_nested(frame):
     for take in (lambda n: hashed_sample(df, "id", n, 3), lambda n: stable_sample(df, "id", "d", n)):
         small, large = ({r.id for r in take(n).collect()} for n in (20, 21))
         assert len(small) == 20 and len(large) == 21 and small < large
+
+
+def test_medians_of_two_columns_take_one_pass(frame):
+    rows = sample(frame, 300).selectExpr("id", "g", "IF(id % 7 = 0, NULL, v) AS v", "c", "1 + id % 3 AS n")
+    rows = rows.unionByName(frame([(900, 9, None, 1, 2), (901, None, 1.0, 1, 2)], "id long, g long, v double, c long, n long"))
+    spread = rows.collect()
+
+    def middle(g, name):
+        found = sorted(r[name] for r in spread if r.g == g and r[name] is not None for _ in range(r.n))
+        return (found[(len(found) - 1) // 2] + found[len(found) // 2]) / 2
+
+    expected = sorted((g, middle(g, "v"), middle(g, "c")) for g in range(6))
+    for most in (1 << 20, 60, 0):
+        before = summaries.GROUP_ROWS
+        summaries.GROUP_ROWS = most
+        try:
+            got = summaries.middle_values(rows, ["g"], {"a": "v", "b": "c"}, "n")
+        finally:
+            summaries.GROUP_ROWS = before
+        assert sorted(map(tuple, got.collect())) == expected
+        if most == 1 << 20:
+            assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
+    assert summaries.middle_values(rows, [], {"a": "c"}, "n").first().a == sorted(
+        r.c for r in spread for _ in range(r.n))[sum(r.n for r in spread) // 2]

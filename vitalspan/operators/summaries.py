@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalspan.operators.ranks import running_totals
+from vitalspan.session import materialize
 
 QUANTILES = (("median_value", 0.50), ("p10_value", 0.10), ("p25_value", 0.25), ("p75_value", 0.75), ("p90_value", 0.90))
 SUMMARY_COLUMNS = [
@@ -87,15 +90,68 @@ def discrete_percentiles(values: DataFrame, keys: list[str], value: str, quantil
           for n, q in quantiles.items()])
 
 
+#: Rows of a group up to which one task orders them.
+GROUP_ROWS = 1 << 20
+
+
 def middle_value(values: DataFrame, keys: list[str], value: str, alias: str, weight: str | None = None) -> DataFrame:
     """Interpolating median from grouped values (mean of the two middle ones).
     ``weight`` names a column with the number of repeats of a row."""
-    present = values.filter(F.col(value).isNotNull())
-    repeats = F.sum(weight) if weight else F.count(F.lit(1))
-    counts = present.groupBy(*keys, F.col(value).alias("value")).agg(repeats.alias("n"))
-    totals = counts.groupBy(*keys).agg(F.sum("n").alias("_total"))
-    cum = running_totals(counts, keys, "value", ["n"]).join(totals, keys)
-    half = F.col("_total") / 2.0
-    lower = F.min(F.when(F.col("cum_n") >= half, F.col("value")))
-    upper = F.min(F.when(F.col("cum_n") > half, F.col("value")))
-    return cum.groupBy(*keys).agg(((lower + upper) / 2.0).alias(alias))
+    return middle_values(values, keys, {alias: value}, weight)
+
+
+def middle_values(values: DataFrame, keys: list[str], columns: dict[str, str], weight: str | None = None) -> DataFrame:
+    """Medians of several columns (name -> column) of the keys that have a
+    value in each of them.
+
+    The rows are written and shuffled once by key; each column is ordered where
+    its rows then are. Groups of more than ``GROUP_ROWS`` rows are ranked in
+    value buckets instead, one column after the other.
+    """
+    repeats = F.col(weight) if weight else F.lit(1)
+    named = values.select(*keys, *[F.col(c).alias(f"_v{i}") for i, c in enumerate(columns.values())], repeats.alias("_n"))
+    if not keys:
+        return _middle_by_buckets(named, keys, list(columns))
+    rows = materialize(_known(named, keys), "values")
+    large = materialize(rows.groupBy(*keys).count().filter(F.col("count") > GROUP_ROWS).drop("count"), "large")
+    if large.isEmpty():
+        return _middle_in_order(rows, keys, list(columns))
+    few = _middle_in_order(rows.join(large, keys, "left_anti"), keys, list(columns))
+    return few.unionByName(_middle_by_buckets(rows.join(large, keys, "left_semi"), keys, list(columns)))
+
+
+def _known(rows: DataFrame, names: list[str]) -> DataFrame:
+    return rows.filter(reduce(Column.__and__, [F.col(n).isNotNull() for n in names]))
+
+
+def _between(value: Column, reach: Column, total: Column) -> Column:
+    """Mean of the first value that reaches half of the total and the first
+    that exceeds it."""
+    half = total / 2.0
+    return (F.min(F.when(reach >= half, value)) + F.min(F.when(reach > half, value))) / 2.0
+
+
+def _middle_in_order(rows: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    placed = rows
+    for i in range(len(names)):
+        v = F.col(f"_v{i}")
+        mine = F.sum(F.when(v.isNotNull(), F.col("_n")).otherwise(0))
+        ordered = Window.partitionBy(*keys).orderBy(v)
+        placed = placed.withColumns({
+            f"_r{i}": mine.over(ordered.rowsBetween(Window.unboundedPreceding, 0)),
+            f"_t{i}": mine.over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    middles = [_between(F.col(f"_v{i}"), F.col(f"_r{i}"), F.col(f"_t{i}")).alias(n) for i, n in enumerate(names)]
+    return _known(placed.groupBy(*keys).agg(*middles), names)
+
+
+def _middle_by_buckets(rows: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    out = None
+    for i, name in enumerate(names):
+        present = rows.filter(F.col(f"_v{i}").isNotNull())
+        counts = present.groupBy(*keys, F.col(f"_v{i}").alias("value")).agg(F.sum("_n").alias("n"))
+        totals = counts.groupBy(*keys).agg(F.sum("n").alias("_total"))
+        cum = running_totals(counts, keys, "value", ["n"])
+        cum = cum.join(totals, keys) if keys else cum.crossJoin(totals)
+        found = cum.groupBy(*keys).agg(_between(F.col("value"), F.col("cum_n"), F.col("_total")).alias(name))
+        out = found if out is None else out.join(found, keys) if keys else out.crossJoin(found)
+    return out

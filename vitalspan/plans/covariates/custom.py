@@ -12,7 +12,7 @@ from vitalspan.functions.dates import age_by_year
 from vitalspan.functions.predicates import filter_concepts
 from vitalspan.operators.ranges import band_join, overlap_join
 from vitalspan.operators.ranks import first_per_key
-from vitalspan.operators.summaries import middle_value
+from vitalspan.operators.summaries import middle_values
 from vitalspan.plans.covariates.domain import ROW
 
 
@@ -114,8 +114,7 @@ def reduce_values(rows: DataFrame, how: str) -> DataFrame:
         rows = rows.join(near, [*ROW, "index_time"], "left_semi")
         how = "mean"
     if how == "median":
-        return middle_value(rows, ROW, "value", "covariate_value", "n").join(
-            middle_value(rows, ROW, "raw_value", "source_value", "n"), ROW)
+        return middle_values(rows, ROW, {"covariate_value": "value", "source_value": "raw_value"}, "n")
     pick = {"max": lambda c: F.max(c), "min": lambda c: F.min(c), "mean": mean}[how]
     return rows.groupBy(*ROW).agg(pick("value").alias("covariate_value"), pick("raw_value").alias("source_value"))
 

@@ -1,3 +1,6 @@
+import datetime as dt
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,3 +179,40 @@ def test_groups_of_few_concepts_are_not_shuffled_by_concept(spark, frame, cohort
     finally:
         spark.conf.set(key, was)
     assert "hashpartitioning(concept_id" not in plan
+
+
+def test_latest_values_of_several_windows_share_one_join(spark, frame):
+    rng = random.Random(8)
+    days = ["2000-%02d-%02d" % (rng.randint(1, 12), rng.randint(1, 28)) for _ in range(9)] + ["1998-05-01", "2001-02-03"]
+    records = [(rng.choice([1, 2, None]), rng.choice([7, 8, 0]), rng.choice([*days, None]), rng.choice([1, 2, None]), rng.choice([0.5, 1.5, -3.0, None]))
+               for _ in range(150)]
+    rows = [(1, 10, 1, "2000-06-30"), (2, 10, 1, "2000-06-30"), (1, 11, 2, "2001-02-03"), (1, 12, 3, "2000-06-30"), (1, 13, 1, "2000-09-01"),
+            (1, 13, 2, "2000-03-01"), (1, 13, 2, "2000-03-01"), (1, 14, 1, None)]
+    labs = to_date(frame(
+        records, "person_id long, measurement_concept_id long, measurement_date string, unit_concept_id long, value_as_number double"), "measurement_date")
+    cohort = to_date(frame(rows, "cohort_definition_id long, row_id long, subject_id long, cohort_start_date string"), "cohort_start_date")
+    analyses = [D.DomainAnalysis("measurement", 705, -100), D.DomainAnalysis("measurement", 706, None, -5)]
+
+    def expected(a):
+        best = {}
+        for cid, row, subject, start in rows:
+            for person, concept, at, unit, value in records:
+                if person != subject or not concept or None in (at, unit, value, start):
+                    continue
+                gap = (dt.date.fromisoformat(at) - dt.date.fromisoformat(start)).days
+                if gap <= a.end_day and (a.start_day is None or gap >= a.start_day):
+                    best.setdefault((cid, row, concept), []).append((at, -unit, -value, person))
+        for (cid, row, concept), found in best.items():
+            at, unit = max(found)[:2]
+            value = max(min(-f[2] for f in found if f[:2] == (at, unit) and f[3] == p) for p in {f[3] for f in found if f[:2] == (at, unit)})
+            yield cid, row, concept * 1000000 - unit * 1000 + a.analysis_id, value, a.analysis_id
+
+    t = Tables(spark, measurement=labs)
+    for some in (cohort, cohort.filter("row_id <> 13")):
+        got = D.measurement_values_of(t, some, analyses)
+        kept = {r.row_id for r in some.collect()}
+        assert sorted(map(tuple, got.collect())) == sorted(x for a in analyses for x in expected(a) if x[1] in kept)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    assert "Aggregate [cohort_definition_id" not in got._jdf.queryExecution().optimizedPlan().toString()
+    one = D.measurement_values(t, cohort, analyses[0])
+    assert sorted(map(tuple, one.collect())) == sorted(x[:4] for x in expected(analyses[0]))

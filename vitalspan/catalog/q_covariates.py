@@ -162,9 +162,8 @@ LABS_LONG = D.DomainAnalysis("measurement", 705)
       UNION ALL SELECT 'any', row_id, covariate_id, covariate_value FROM ({_latest(706, 'measurement_date <= cohort_start_date')})""",
 )
 def _(cdm):
-    long = D.measurement_values(cdm, cdm.cohort_rows, LABS_LONG).withColumn("kind", F.lit("long"))
-    ever = D.measurement_values(cdm, cdm.cohort_rows, D.DomainAnalysis("measurement", 706, None))
-    return long.unionByName(ever.withColumn("kind", F.lit("any")))
+    found = D.measurement_values_of(cdm, cdm.cohort_rows, [LABS_LONG, D.DomainAnalysis("measurement", 706, None)])
+    return found.withColumn("kind", F.when(F.col("analysis_id") == 706, "any").otherwise("long"))
 
 
 @query(

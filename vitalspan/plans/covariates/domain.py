@@ -9,12 +9,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitalspan.functions.predicates import filter_concepts, range_group
 from vitalspan.operators.ranges import band_join, overlap_join
-from vitalspan.operators.ranks import first_per_key
 from vitalspan.operators.summaries import continuous_summary, nonmissing_summary
 from vitalspan.operators.vocab import condition_groups, drug_groups, expand_descendants
 from vitalspan.plans import params as P
@@ -251,7 +250,7 @@ def aggregate_counts(counts: DataFrame, cohort: DataFrame, extra: Sequence[str]
         "covariate_value")
 
 
-def measurement_covariate_id(analysis_id: int):
+def measurement_covariate_id(analysis_id: int | Column):
     unit = F.col("unit_concept_id") % 1000
     return (F.col("measurement_concept_id") * 1000000 + unit * 1000 + analysis_id).cast("long")
 
@@ -274,42 +273,57 @@ def measurement_values(
 ) -> DataFrame:
     """Latest value per measurement; ties on the day go to the lowest unit,
     then the lowest value. ``windows`` gives one value per time window."""
+    if not windows:
+        return measurement_values_of(cdm, cohort, [analysis]).drop("analysis_id")
     daily = _daily_values(cdm, analysis)
     rows = cohort.select(*ROW, "subject_id", "cohort_start_date")
-    keys = [*ROW, "measurement_concept_id"]
-    if windows:
-        lo, hi = min(w[1] for w in windows), max(w[2] for w in windows)
-        table = F.array(*[
-            F.struct(F.lit(t).alias("time_id"), F.lit(a).alias("a"), F.lit(b).alias("b")) for t, a, b in windows])
-        offset = F.datediff("start_date", "cohort_start_date")
-        hit = in_window(rows, daily, True, lo, hi).withColumn(
-            "w", F.explode(F.filter(table, lambda w: (w["a"] <= offset) & (w["b"] >= offset))))
-        hit = hit.withColumn("time_id", F.col("w.time_id"))
-        keys.append("time_id")
-    elif analysis.start_day is not None:
-        hit = in_window(rows, daily, True, analysis.start_day, analysis.end_day)
-    else:
-        hit = _latest_any_time(rows, daily, analysis.end_day)
+    keys = [*ROW, "measurement_concept_id", "time_id"]
+    lo, hi = min(w[1] for w in windows), max(w[2] for w in windows)
+    table = F.array(*[
+        F.struct(F.lit(t).alias("time_id"), F.lit(a).alias("a"), F.lit(b).alias("b")) for t, a, b in windows])
+    offset = F.datediff("start_date", "cohort_start_date")
+    hit = in_window(rows, daily, True, lo, hi).withColumn(
+        "w", F.explode(F.filter(table, lambda w: (w["a"] <= offset) & (w["b"] >= offset))))
+    hit = hit.withColumn("time_id", F.col("w.time_id"))
     latest = F.max(F.struct("start_date", (-F.col("unit_concept_id")).alias("u"), F.col("value_as_number").alias("v")))
     flat = hit.groupBy(*keys).agg(latest.alias("best")).select(
         *keys, (-F.col("best.u")).alias("unit_concept_id"), F.col("best.v").alias("covariate_value")
     ).withColumn("covariate_id", measurement_covariate_id(analysis.analysis_id))
-    out = flat.select(*ROW, "covariate_id", *(["time_id"] if windows else []), "covariate_value")
+    out = flat.select(*ROW, "covariate_id", "time_id", "covariate_value")
     return filter_concepts(out, "covariate_id", analysis.covariate_ids) if analysis.covariate_ids else out
 
 
-def _latest_any_time(rows: DataFrame, daily: DataFrame, end_day: int) -> DataFrame:
-    """Candidates for the latest value with no lower bound: days of the index
-    year, and one last value per earlier year. Keeps matches per row small."""
-    left = rows.withColumnRenamed("subject_id", "person_id").withColumn("_hi", F.date_add("cohort_start_date", end_day))
-    left = left.withColumn("_year", F.year("_hi"))
-    by_day = daily.withColumn("_year", F.year("start_date"))
-    same = left.join(by_day, ["person_id", "_year"]).filter(F.col("start_date") <= F.col("_hi"))
-    last = first_per_key(
-        by_day, ["person_id", "measurement_concept_id", "_year"], ["start_date", -F.col("unit_concept_id")], descending=True)
-    older = left.join(last.withColumnRenamed("_year", "_then"), "person_id").filter(F.col("_then") < F.col("_year"))
-    cols = [*ROW, "measurement_concept_id", "start_date", "unit_concept_id", "value_as_number"]
-    return same.select(*cols).unionByName(older.select(*cols))
+def measurement_values_of(cdm, cohort: DataFrame, analyses: Sequence[DomainAnalysis]) -> DataFrame:
+    """Latest values of analyses that differ only in id and window, with
+    ``analysis_id``.
+
+    Values of the days are written, then dealt by person and listed by person
+    and measurement, at most one for each unit and day. A row meets the lists of
+    its person and takes from each the last value up to the end of a window, if
+    the window reaches back to it: no (row, value) pairs are formed, and windows
+    of any length share one join. Row ids that repeat have one value in all.
+    """
+    one = analyses[0]
+    daily = materialize(_daily_values(cdm, one), "daily").filter(F.col("start_date").isNotNull())
+    value = F.struct("start_date", (-F.col("unit_concept_id")).alias("u"), F.col("value_as_number").alias("v"))
+    lists = daily.repartition("person_id").groupBy("person_id", "measurement_concept_id").agg(
+        F.sort_array(F.collect_list(value)).alias("_days"))
+    who = F.struct(F.col("subject_id").alias("person_id"), "cohort_start_date")
+    rows = materialize(cohort.groupBy(*ROW).agg(F.collect_set(who).alias("_who")), "rows")
+
+    def latest(a: DomainAnalysis) -> Column:
+        end = F.date_add("cohort_start_date", a.end_day)
+        last = F.try_element_at(F.filter("_days", lambda d: d["start_date"] <= end), F.lit(-1))
+        reached = last["start_date"] >= F.date_add("cohort_start_date", a.start_day) if a.start_day is not None else last.isNotNull()
+        return F.when(reached, F.struct(F.lit(a.analysis_id).alias("analysis_id"), last.alias("best")))
+
+    found = rows.select(*ROW, F.inline("_who")).join(lists, "person_id").select(
+        *ROW, "measurement_concept_id", F.inline(F.array_compact(F.array(*[latest(a) for a in analyses]))))
+    if not rows.filter(F.size("_who") > 1).isEmpty():
+        found = found.groupBy(*ROW, "measurement_concept_id", "analysis_id").agg(F.max("best").alias("best"))
+    out = found.withColumn("unit_concept_id", -F.col("best.u")).select(
+        *ROW, measurement_covariate_id(F.col("analysis_id")).alias("covariate_id"), F.col("best.v").alias("covariate_value"), "analysis_id")
+    return filter_concepts(out, "covariate_id", one.covariate_ids) if one.covariate_ids else out
 
 
 def aggregate_measurements(values: DataFrame, extra: Sequence[str] = ()) -> DataFrame:

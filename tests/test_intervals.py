@@ -244,3 +244,32 @@ def test_long_intervals_meet_every_partner_once_and_are_not_spread(spark):
     r = spark.createDataFrame(right, "rid long, person_id long, s date, e date")
     got = sorted((x.lid, x.rid) for x in overlap_join(l, r, ["person_id"], "lo", "hi", "s", "e", 31).collect())
     assert got == sorted((a[0], b[0]) for a in left for b in right if a[1] == b[1] and b[2] <= a[3] and b[3] >= a[2])
+
+
+def test_window_counts_shuffle_events_as_they_are(frame):
+    rng = random.Random(12)
+
+    def some(n):
+        return None if rng.random() < 0.05 else day(n)
+
+    events = [(rng.choice([1, 2, 3, None]), some(rng.randint(0, 200)), some(0), some(rng.randint(150, 220))) for _ in range(60)]
+    records = [(rng.choice([1, 2, None]), some(rng.randint(-20, 240)), rng.randint(1, 3)) for _ in range(300)]
+    left = frame([*events, *events[:5]], "k long, at string, a string, z string").selectExpr("k", "date(at) AS at", "date(a) AS a", "date(z) AS z")
+    right = frame(records, "k long, d string, c long").selectExpr("k", "date(d) AS d", "c")
+
+    def expected(e, lo, hi, clipped):
+        k, at, a, z = e
+        if at is None or clipped and None in (a, z):
+            return 0, 0
+        first, last = (str(dt.date.fromisoformat(at) + dt.timedelta(days=n)) for n in (lo, hi))
+        if clipped:
+            first, last = max(first, a), min(last, z)
+        found = [c for q, d, c in records if q is not None and q == k and d is not None and first <= d <= last]
+        return len(found), found.count(2)
+
+    for lo, hi in ((-30, 0), (-7, 7), (0, 0)):
+        for bounds in (None, ("a", "z")):
+            got = window_counts(left, right, ["k"], "at", "d", lo, hi, {"n": F.lit(True), "two": F.col("c") == 2}, bounds)
+            want = [(*e, *expected(e, lo, hi, bounds)) for e in [*events, *events[:5]]]
+            assert sorted(map(str, ((r.k, r.at and str(r.at), r.a and str(r.a), r.z and str(r.z), r.n, r.two) for r in got.collect()))) == sorted(map(str, want))
+            assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()

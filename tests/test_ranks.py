@@ -150,3 +150,15 @@ def test_medians_of_two_columns_take_one_pass(frame):
             assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
     assert summaries.middle_values(rows, [], {"a": "c"}, "n").first().a == sorted(
         r.c for r in spread for _ in range(r.n))[sum(r.n for r in spread) // 2]
+
+
+def test_first_row_sends_columns_of_the_order_once(frame):
+    df = sample(frame, 200)
+    found = R.first_per_key(df, ["g"], ["v", F.col("c") + 1, "id"])
+    assert found.columns == ["g", "id", "v", "c"]
+    w = Window.partitionBy("g").orderBy("v", "c", "id")
+    same(found, df.withColumn("rn", F.row_number().over(w)).filter("rn = 1"), ["g", "id", "v", "c"])
+    last = Window.partitionBy("g").orderBy(F.col("v").desc(), F.col("id").desc())
+    same(R.first_per_key(df, ["g"], ["v", "id"], descending=True), df.withColumn("rn", F.row_number().over(last)).filter("rn = 1"), ["g", "id", "v", "c"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "_r0" in plan and "_r1" not in plan and "_row" not in plan

@@ -170,13 +170,16 @@ def row_ranks(df: DataFrame, order: list[str], name: str) -> DataFrame:
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column | str], descending: bool = False) -> DataFrame:
     """One row per key, the first in order, as an aggregate: partial results
-    merge before the shuffle, so hot keys stay cheap."""
+    merge before the shuffle, so hot keys stay cheap. Columns of the order are
+    not sent again with the row."""
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
-    rest = [c for c in df.columns if c not in keys]
-    row = F.struct(*[o.alias(f"_k{i}") for i, o in enumerate(order_cols)], F.struct(*rest).alias("_row"))
+    sent = {o: f"_k{i}" for i, o in enumerate(order) if isinstance(o, str) and o in df.columns and o not in keys}
+    rest = [c for c in df.columns if c not in keys and c not in sent]
+    row = F.struct(*[o.alias(f"_k{i}") for i, o in enumerate(order_cols)], *[F.col(c).alias(f"_r{i}") for i, c in enumerate(rest)])
     pick = F.max(row) if descending else F.min(row)
     best = df.groupBy(*keys).agg(pick.alias("_best"))
-    return best.select(*keys, *[F.col(f"_best._row.{c}").alias(c) for c in rest])
+    place = sent | {c: f"_r{i}" for i, c in enumerate(rest)}
+    return best.select(*keys, *[F.col(f"_best.{place[c]}").alias(c) for c in df.columns if c not in keys])
 
 
 def _cells(df: DataFrame, order: str) -> DataFrame:

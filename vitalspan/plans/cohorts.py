@@ -192,10 +192,11 @@ def one_event_per_day(definitions: Sequence[CohortDefinition]) -> bool:
         or all(len(set(d.entry.concepts)) == 1 for d in definitions))
 
 
-def qualified_events(cdm, definitions: Sequence[CohortDefinition]) -> DataFrame:
+def qualified_events(cdm, definitions: Sequence[CohortDefinition], entries: DataFrame | None = None) -> DataFrame:
     """Entry events inside an observation period with enough days on both sides."""
     d = definitions[0]
-    events = period_of(entry_events(cdm, definitions), cdm.observation_period, "start_date")
+    entries = entry_events(cdm, definitions) if entries is None else entries
+    events = period_of(entries, cdm.observation_period, "start_date")
     enough = (F.date_add("op_start_date", d.prior_days) <= F.col("start_date")) & (
         F.date_add("start_date", d.post_days) <= F.col("op_end_date"))
     kept = events.filter(enough)
@@ -250,12 +251,15 @@ def inclusion_mask(flagged: DataFrame, n_rules: int) -> DataFrame:
 
 
 def masked_events(cdm, definitions: Sequence[CohortDefinition]) -> DataFrame:
-    """Qualified events with their rule mask. Lab rules read the events twice,
-    so those are written first."""
+    """Qualified events with their rule mask. With lab rules entry events and
+    qualified ones are written, so that the shuffles behind them are gone when
+    the measurements are shuffled."""
     rules = definitions[0].rules
-    events = qualified_events(cdm, definitions)
     if any(isinstance(r, LabRule) for r in rules):
-        events = materialize(events, "qualified")
+        entries = materialize(entry_events(cdm, definitions), "entries")
+        events = materialize(qualified_events(cdm, definitions, entries), "qualified")
+    else:
+        events = qualified_events(cdm, definitions)
     return inclusion_mask(rule_flags(cdm, events, rules), len(rules))
 
 

@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from vitalspan.operators.eras import sub_exposures
+from vitalspan.operators.eras import drug_era, sub_exposures
 from vitalspan.operators.intervals import collapse_intervals, collapse_twice, interval_difference, interval_intersection, interval_union
 from vitalspan.operators.ranges import band_join, interval_counts, overlap_join, window_counts, without_earlier
 from vitalspan import session
@@ -273,3 +273,15 @@ def test_window_counts_shuffle_events_as_they_are(frame):
             want = [(*e, *expected(e, lo, hi, bounds)) for e in [*events, *events[:5]]]
             assert sorted(map(str, ((r.k, r.at and str(r.at), r.a and str(r.a), r.z and str(r.z), r.n, r.two) for r in got.collect()))) == sorted(map(str, want))
             assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_eras_are_swept_from_written_exposures(frame):
+    exposure = frame([(1, 21, day(0), day(5), 5), (1, 21, day(20), day(25), 5), (2, 21, day(0), None, 3), (2, 99, day(0), None, 3)],
+                     "person_id long, drug_concept_id long, s string, e string, days_supply long").selectExpr(
+        "person_id", "drug_concept_id", "date(s) AS drug_exposure_start_date", "date(e) AS drug_exposure_end_date", "days_supply")
+    concept = frame([(7, "RxNorm", "Ingredient")], "concept_id long, vocabulary_id string, concept_class_id string")
+    links = frame([(7, 21)], "ancestor_concept_id long, descendant_concept_id long")
+    eras = drug_era(exposure, concept, links)
+    assert "Join" not in eras._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.person_id, r.drug_concept_id, str(r.drug_era_start_date), r.drug_exposure_count) for r in eras.collect()) == [
+        (1, 7, day(0), 2), (2, 7, day(0), 1)]

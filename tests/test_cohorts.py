@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from vitalspan import session
 from vitalspan.plans import cohorts as K
 from vitalspan.plans import params as P
 
@@ -80,3 +81,16 @@ def test_first_only_keeps_one_row_per_person(cdm, first):
     d = K.CohortDefinition(1, "x", K.DrugEntry((P.DRUGS["losartan"],)), first_only=first, exit_days=None)
     rows = K.entry_events(cdm, [d])
     assert (rows.groupBy("person_id").count().filter("count > 1").count() == 0) == first
+
+
+def test_written_entry_events_go_when_qualified(cdm, monkeypatch):
+    written = []
+
+    def materialize(df, label="stage"):
+        written.append((label, session.materialize(df, label)))
+        return written[-1][1]
+
+    monkeypatch.setattr(K, "materialize", materialize)
+    masked = K.masked_events(cdm, K.drug_family([(P.DRUGS["losartan"], "x")]))
+    assert {label: session.path_exists(cdm.spark, f._vitalspan_path) for label, f in written} == {"entries": False, "qualified": True}
+    assert masked.count() > 0

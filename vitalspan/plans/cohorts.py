@@ -25,7 +25,7 @@ from vitalspan.operators.intervals import collapse_intervals
 from vitalspan.operators.ranges import period_of, window_counts
 from vitalspan.operators.ranks import first_per_key
 from vitalspan.plans import params as P
-from vitalspan.session import literal_frame, materialize
+from vitalspan.session import discard, literal_frame, materialize
 
 EVENT = ["cohort_definition_id", "person_id", "start_date", "end_date", "op_start_date", "op_end_date"]
 
@@ -258,6 +258,7 @@ def masked_events(cdm, definitions: Sequence[CohortDefinition]) -> DataFrame:
     if any(isinstance(r, LabRule) for r in rules):
         entries = materialize(entry_events(cdm, definitions), "entries")
         events = materialize(qualified_events(cdm, definitions, entries), "qualified")
+        discard(entries)
     else:
         events = qualified_events(cdm, definitions)
     return inclusion_mask(rule_flags(cdm, events, rules), len(rules))
